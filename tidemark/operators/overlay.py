@@ -132,18 +132,21 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str,
     An edge is listed under its latitude rows, in every bucket of its polygon's
     box that is not wholly east of it. One join keeps only the edges a point's
     ray meets, and their count combines in the same task before the shuffle.
+    Outlines may pass the seam: longitudes are read from the polygon's west end on.
     """
     box = edges.groupBy("unit_id").agg(F.min(F.least("x1", "x2")).alias("_x0"))
     lat_lo, lat_hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     listed = (edges.where("y1 <> y2").join(box, "unit_id").select(
-        "unit_id", "x1", "y1", "x2", "y2",
+        "unit_id", "x1", "y1", "x2", "y2", "_x0",
         F.explode(buckets_of_box(lat_lo, lat_hi, F.col("_x0"), F.greatest("x1", "x2"), step))
-        .alias("_b")).select("unit_id", "x1", "y1", "x2", "y2", F.col("_b.bi").alias("_bi"),
+        .alias("_b")).select("unit_id", "x1", "y1", "x2", "y2", "_x0", F.col("_b.bi").alias("_bi"),
                              F.col("_b.bj").alias("_bj")))
     bi, bj = bucket(F.col("lat"), F.col("lon"), step)
     p = points.select(point_id, "lat", "lon", bi.alias("_bi"), bj.alias("_bj"))
+    east = (F.when(F.col("lon") < F.col("_x0"), F.col("lon") + 360)
+            .when(F.col("lon") >= F.col("_x0") + 360, F.col("lon") - 360).otherwise(F.col("lon")))
     met = p.join(listed, ["_bi", "_bj"]).where(
-        crosses(F.col("lat"), F.col("lon"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+        crosses(F.col("lat"), east, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     return (met.groupBy(point_id, "unit_id").agg(F.count("*").alias("_c"))
             .where("_c % 2 = 1").select(point_id, "unit_id"))
 

@@ -120,22 +120,23 @@ P = """p AS (
 
 
 def outlines(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of a skewed quadrilateral in each lattice box."""
-    n = F.col("n_nationkey").cast("bigint")
-    x, y = -180.0 + 72.0 * (n % 5), -85.0 + 34.0 * F.floor(n / 5)
-    corner = [(x + 5, y), (x + 65, y + 4), (x + 60, y + 30), (x, y + 26)]
+    """Edges of a skewed quadrilateral around each supplier; some pass the seam, many overlap."""
+    x, y = F.col("lon"), F.col("lat")
+    corner = [(x - 9, y - 6), (x + 10, y - 4), (x + 8, y + 6), (x - 10, y + 5)]
     edges = F.array(*[F.struct(corner[i][0].alias("x1"), corner[i][1].alias("y1"),
                                corner[(i + 1) % 4][0].alias("x2"), corner[(i + 1) % 4][1].alias("y2")) for i in range(4)])
-    return (table(spark, sf, "nation").select(n.alias("unit_id"), F.explode(edges).alias("e"))
+    return (sites(spark, sf).select("unit_id", F.explode(edges).alias("e"))
             .select("unit_id", F.lit(0).alias("ring"), "e.*"))
 
 
-E = """q AS (SELECT CAST(n_nationkey AS BIGINT) AS unit_id, CAST(-180.0 + 72.0 * (n_nationkey % 5) AS DOUBLE) AS x,
-             CAST(-85.0 + 34.0 * (n_nationkey // 5) AS DOUBLE) AS y FROM nation),
-e AS (SELECT unit_id, x + 5 AS x1, y AS y1, x + 65 AS x2, y + 4 AS y2 FROM q
-      UNION ALL SELECT unit_id, x + 65, y + 4, x + 60, y + 30 FROM q
-      UNION ALL SELECT unit_id, x + 60, y + 30, x, y + 26 FROM q
-      UNION ALL SELECT unit_id, x, y + 26, x + 5, y FROM q)"""
+E = """q AS (SELECT s_suppkey AS unit_id, CAST((s_suppkey * 37) % 3600 AS DOUBLE) / 10 - 180.0 AS x,
+             CAST((s_suppkey * 53) % 1700 AS DOUBLE) / 10 - 85.0 AS y FROM supplier),
+e AS (SELECT unit_id, x - 10 AS x0, x - 9 AS x1, y - 6 AS y1, x + 10 AS x2, y - 4 AS y2 FROM q
+      UNION ALL SELECT unit_id, x - 10, x + 10, y - 4, x + 8, y + 6 FROM q
+      UNION ALL SELECT unit_id, x - 10, x + 8, y + 6, x - 10, y + 5 FROM q
+      UNION ALL SELECT unit_id, x - 10, x - 10, y + 5, x - 9, y - 6 FROM q)"""
+EAST = "(CASE WHEN lon < x0 THEN lon + 360 WHEN lon >= x0 + 360 THEN lon - 360 ELSE lon END)"
+CROSS = f"(y1 > lat) <> (y2 > lat) AND {EAST} < (x2 - x1) * (lat - y1) / (y2 - y1) + x1"
 
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,9 +23,11 @@ def _(spark, sf):
                     F.lit("customer").alias("source"))
 
 
-@query("P02_surface_filters", f"""WITH {U}, x AS (SELECT unit_id, location <> 90 AS not_ocean, location = 80 AS land FROM u) SELECT {sel('unit_id:i not_ocean:i land:i')} FROM x""")
+@query("P02_surface_filters", f"""WITH {P}, x AS (SELECT point_id, point_id % 4 <> 0 AS not_ocean, point_id % 4 > 1 AS land FROM p) SELECT {sel('point_id:i not_ocean:i land:i')} FROM x""")
 def _(spark, sf):
-    return units(spark, sf).select("unit_id", filters.not_ocean(F.col("location")).alias("not_ocean"), filters.land_only(F.col("location")).alias("land"))
+    code = F.when(F.col("point_id") % 4 == 0, 90.0).when(F.col("point_id") % 4 == 1, 1.0).otherwise(80.0)
+    return points(spark, sf).withColumn("location", code).select(
+        "point_id", filters.not_ocean(F.col("location")).alias("not_ocean"), filters.land_only(F.col("location")).alias("land"))
 
 
 @query("P03_bbox_with_pad", f"""WITH {P} SELECT point_id FROM p WHERE lat BETWEEN -11 AND 31 AND lon BETWEEN 19 AND 91""")
@@ -213,10 +215,10 @@ def _(spark, sf):
     return metrics(spark, sf).where((F.col("pred_r2_a") < 0.05) & (F.col("frac_dominant") <= 0.2)).select("unit_id")
 
 
-@query("P25_box_reaches_past_region", f"""WITH {U}, x AS (SELECT unit_id, lat_min < -60 OR lat_max > 60 OR lon_min < -150 OR lon_max > 150 AS crosses FROM u) SELECT {sel('unit_id:i crosses:i')} FROM x""")
+@query("P25_box_reaches_past_region", f"""WITH {P}, x AS (SELECT point_id, lat - 5 < -60 OR lat + 5 > 60 OR lon - 5 < -150 OR lon + 5 > 150 AS crosses FROM p) SELECT {sel('point_id:i crosses:i')} FROM x""")
 def _(spark, sf):
-    u = units(spark, sf)
-    return u.select("unit_id", filters.reaches_past(F.col("lat_min"), F.col("lat_max"), F.col("lon_min"), F.col("lon_max"), (-60, 60), (-150, 150)).alias("crosses"))
+    lat, lon = F.col("lat"), F.col("lon")
+    return points(spark, sf).select("point_id", filters.reaches_past(lat - 5, lat + 5, lon - 5, lon + 5, (-60, 60), (-150, 150)).alias("crosses"))
 
 
 # --- sort, limit, sampling ---------------------------------------------------------

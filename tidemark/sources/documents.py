@@ -17,28 +17,33 @@ SNAPSHOT = ("nombrecomun string, nombreoficial string, estado string, nommunicip
 
 
 def read_snapshots(spark: SparkSession, path: str, schema: str = SNAPSHOT,
-                   numeric: tuple[str, ...] = ("latitud", "longitud", "namoalmac", "almacenaactual")) -> DataFrame:
-    """One array of objects per date, the date in the file name; empty arrays give no rows."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
-    date = F.to_date(F.regexp_extract("_metadata.file_name", r"(\d{4}-\d{2}-\d{2})", 1))
+                   numeric: tuple[str, ...] = ("latitud", "longitud", "namoalmac", "almacenaactual"),
+                   multi_line: bool = True) -> DataFrame:
+    """One array of objects per date, the date last in the path; empty arrays give no rows."""
+    df = (spark.read.schema(schema).option("multiLine", multi_line)
+          .option("recursiveFileLookup", True).json(path))
+    date = F.to_date(F.regexp_extract("_metadata.file_path", r".*(\d{4}-\d{2}-\d{2})", 1))
     return df.withColumn("date", date).withColumns({c: F.expr(f"try_cast({c} as double)") for c in numeric})
 
 
 def read_geojson_years(spark: SparkSession, path: str, prefix: str, year_prefix: str,
                        name: str, code: str) -> DataFrame:
-    """Features whose year values are properties -> site, lat, lon, year, value.
-
-    Null, empty and non-positive values are dropped.
-    """
+    """Collections of features whose year values are properties, as site, lat, lon, year, value."""
     schema = ("features array<struct<geometry:struct<coordinates:array<double>>,"
               "properties:map<string,string>>>")
-    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    rows = f.select(
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return year_properties(rows, prefix, year_prefix, name, code)
+
+
+def year_properties(rows: DataFrame, prefix: str, year_prefix: str, name: str, code: str) -> DataFrame:
+    """Null, empty and non-positive values are dropped."""
+    f = rows.select(F.explode("features").alias("f"))
+    long = f.select(
         site_key(prefix, F.col("f.properties").getItem(name), F.col("f.properties").getItem(code)).alias("site"),
         F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"),
         F.explode(F.map_entries("f.properties")).alias("p"))
     value = F.expr("try_cast(p.value as double)")
-    return (rows.where(F.col("p.key").startswith(year_prefix))
+    return (long.where(F.col("p.key").startswith(year_prefix))
             .select("site", "lat", "lon", F.regexp_extract("p.key", r"(\d{4})$", 1).cast("int").alias("year"),
                     value.alias("value")).where("value > 0"))
 
