@@ -124,3 +124,16 @@ def paired_blocks(df: DataFrame, d: str) -> DataFrame:
             .withColumn("sign_test_p", binomial_pvalue("n_better", "n_blocks"))
             .withColumn("signed_rank_p", F.when(F.col("n_blocks") > 10, signed_rank_pvalue(
                 F.col("w_plus"), n, inexact, F.col("tie_term")))))
+
+
+def ablation(rows: DataFrame, split: str, block: str, y: str, xs: list[str], models: dict[str, list[str]],
+             min_rows: int = 500, min_blocks: int = 5) -> DataFrame:
+    """Out-of-sample R2 of nested models in every split, from one table of block sums."""
+    grams = block_grams(rows, [split], block, y, xs)
+    out = None
+    for label, use in models.items():
+        part = sub_model(grams, [split], block, xs, use)
+        r2 = pooled_r2(held_out(part, [split], block, len(use) + 1), [split], len(use) + 1)
+        r2 = r2.where((F.col("n_rows") >= min_rows) & (F.col("n_blocks") >= min_blocks)).withColumn("model", F.lit(label))
+        out = r2 if out is None else out.unionByName(r2)
+    return out
