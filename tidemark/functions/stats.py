@@ -24,7 +24,14 @@ def clamp_r(r: Column, limit: float = 0.99) -> Column:
 
 
 def n_effective(n: Column, r: Column) -> Column:
-    return n * (1 - r) / (1 + r)
+    return F.try_divide(n * (1 - r), 1 + r)
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Aggregate r over rows that have both; null for a constant side, where corr would fail."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
 
 
 def n_effective_bounded(n: Column, r: Column, low: float = 3.0) -> Column:

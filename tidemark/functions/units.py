@@ -27,7 +27,7 @@ def rate_to_cm_month(rate: Column, days: Column) -> Column:
 
 
 def acre_feet_to_mm(af: Column, area_km2: Column) -> Column:
-    return af * M3_PER_ACRE_FOOT / (area_km2 * 1e6) * 1e3
+    return F.try_divide(af * M3_PER_ACRE_FOOT, area_km2 * 1e6) * 1e3
 
 
 def thousand_acre_feet_to_mm(taf: Column, area_km2: Column) -> Column:
@@ -39,7 +39,7 @@ def acre_feet_to_hm3(af: Column) -> Column:
 
 
 def hm3_to_mm(hm3: Column, area_km2: Column) -> Column:
-    return hm3 * 1000.0 / area_km2
+    return F.try_divide(hm3 * 1000.0, area_km2)
 
 
 def acres_to_km2(acres: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import SECONDS_PER_YEAR
 from tidemark.functions.stats import (clamp_r, harmonics, n_effective, n_effective_bounded,
-                                      solve_normal, t_pvalue)
+                                      pearson, solve_normal, t_pvalue)
 
 # Times enter the Gram sums in years from here, which keeps them small. Slopes,
 # harmonics and covariates do not depend on the origin.
@@ -99,28 +99,27 @@ def fit(df: DataFrame, keys: list[str], y: str, xs: list[str], order: str,
     res = residuals(df, keys, y, xs, min_rows)
     before = F.lag("e").over(W.partitionBy(*keys).orderBy(order))
     res = res.withColumn("_e1", before)
-    pair = F.col("_e1").isNotNull()
     stats = res.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("sol").alias("sol"),
         F.sum(F.col("e") * F.col("e")).alias("rss"), F.var_pop(y).alias("_var"),
         F.sum(F.col("e") * F.col("_e1")).alias("_num"),
         F.sum(F.col("_e1") * F.col("_e1")).alias("_den"),
-        F.corr(F.when(pair, F.col("e")), F.col("_e1")).alias("_corr"),
+        pearson(F.col("e"), F.col("_e1")).alias("_corr"),
         F.stddev_pop("e").alias("resid_std"))
     n, rss = F.col("n"), F.col("rss")
-    ratio = F.col("_num") / F.nullif(F.col("_den"), F.lit(0.0))
+    ratio = F.try_divide(F.col("_num"), F.col("_den"))
     if kind == "trend":
         r1, n_eff = ratio, n_effective(n, ratio)
-        scale, dof = rss / (n - k) * n / n_eff, n_eff - k
+        scale, dof = F.try_divide(F.try_divide(rss, n - k) * n, n_eff), n_eff - k
     elif kind == "flux":
         r1 = clamp_r(F.col("_corr"))
         n_eff = n_effective_bounded(n, r1)
-        scale = rss / F.greatest(n - k, F.lit(1)) * n / n_eff
+        scale = F.try_divide(rss / F.greatest(n - k, F.lit(1)) * n, n_eff)
         dof = F.greatest(n_eff - k, F.lit(1.0))
     elif kind == "inflated":
         r1, n_eff = ratio, n.cast("double")
         inflation = F.greatest((1 + r1) / F.greatest(1 - r1, F.lit(1e-6)), F.lit(1.0))
-        scale, dof = rss / (n - k) * inflation, (n - k).cast("double")
+        scale, dof = F.try_divide(rss, n - k) * inflation, (n - k).cast("double")
     elif kind == "plain":
         r1, n_eff = ratio, n.cast("double")
         scale, dof = rss / F.greatest(n - k, F.lit(1)), (n - k).cast("double")
@@ -128,13 +127,13 @@ def fit(df: DataFrame, keys: list[str], y: str, xs: list[str], order: str,
         raise ValueError(kind)
     base = stats.select(*keys, "n", "rss", "resid_std", "sol", r1.alias("r1"),
                         n_eff.alias("n_eff"), dof.alias("df"), scale.alias("_scale"),
-                        (1 - rss / F.nullif(n * F.col("_var"), F.lit(0.0))).alias("r2"))
+                        (1 - F.try_divide(rss, n * F.col("_var"))).alias("r2"))
     named = {}
     for i, x in enumerate(xs):
         b = F.element_at("sol", i + 1)
         se = F.sqrt(F.col("_scale") * F.element_at("sol", k + i + 1))
         named[f"b_{x}"], named[f"se_{x}"] = b, se
-        named[f"t_{x}"] = b / F.nullif(se, F.lit(0.0))
+        named[f"t_{x}"] = F.try_divide(b, se)
     out = base.withColumns(named).drop("sol", "_scale")
     if p_values:
         out = out.withColumns({f"p_{x}": t_pvalue(F.col(f"t_{x}"), F.col("df")) for x in xs})
@@ -164,7 +163,7 @@ def adjusted_trend(df: DataFrame, keys: list[str], time: str, y: str, covariate:
                          F.col("p_t").alias("p_unadjusted"))
             .join(full.select(*cols), keys)
             .withColumn("fraction_unexplained",
-                        F.col("adjusted") / F.nullif(F.col("unadjusted"), F.lit(0.0)))
+                        F.try_divide(F.col("adjusted"), F.col("unadjusted")))
             .withColumn("explained_trend", F.col("unadjusted") - F.col("adjusted")))
 
 
@@ -190,13 +189,13 @@ def departure_fit(df: DataFrame, keys: list[str], order: str, y: str, xs: list[s
     n, raw = F.col("n"), F.col("r2")
     n_eff = n_effective(n, F.col("r1"))
     r2_adj = 1 - (1 - raw) * (n - 1) / F.greatest(n - p - 1, F.lit(1))
-    r2_eff = F.when(n_eff > p + 2, 1 - (1 - raw) * (n_eff - 1) / (n_eff - p - 1))
+    r2_eff = F.when(n_eff > p + 2, 1 - F.try_divide((1 - raw) * (n_eff - 1), n_eff - p - 1))
     return out.select(*keys, "n", "r1", r2_adj.alias("r2_adj"), r2_eff.alias("r2_eff"))
 
 
 def partial_from_r(rxy: Column, rxz: Column, ryz: Column) -> Column:
     """Correlation of x and y given z, from the three plain ones."""
-    return (rxy - rxz * ryz) / F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz))
+    return F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))
 
 
 def partial_corr(df: DataFrame, keys: list[str], order: str, y: str, x: str, z: str,
@@ -205,7 +204,7 @@ def partial_corr(df: DataFrame, keys: list[str], order: str, y: str, x: str, z:
     rows = complete_rows(df, [y, x, z]).withColumn("one", F.lit(1.0))
     r = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        partial_from_r(F.corr(x, y), F.corr(x, z), F.corr(y, z)).alias("partial_r"))
+        partial_from_r(pearson(F.col(x), F.col(y)), pearson(F.col(x), F.col(z)), pearson(F.col(y), F.col(z))).alias("partial_r"))
     r = r.where(F.col("n") >= min_rows)
     if effective:
         own = fit(rows, keys, y, ["one", z], order, "flux", 3, p_values=False)
@@ -228,9 +227,9 @@ def corr_effective(df: DataFrame, keys: list[str], order: str, x: str, y: str) -
 
     def lag_one(a: str, a1: str) -> Column:
         num, den = F.sum(F.col(a) * F.col(a1)), F.sum(F.col(a1) * F.col(a1))
-        return clamp_r(F.coalesce(num / F.nullif(den, F.lit(0.0)), F.lit(0.0)))
+        return clamp_r(F.coalesce(F.try_divide(num, den), F.lit(0.0)))
 
-    out = dev.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"),
+    out = dev.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col(x), F.col(y)).alias("r"),
                                  lag_one("_x", "_x1").alias("r1_x"),
                                  lag_one("_y", "_y1").alias("r1_y")).where("n >= 6")
     prod = F.col("r1_x") * F.col("r1_y")
@@ -245,5 +244,5 @@ def simple_regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFra
     out = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"),
                                 F.regr_count(y, x).alias("n"))
     dof = F.col("n") - 2
-    t = F.signum("slope") * F.sqrt(F.col("r2") * dof / F.nullif(1 - F.col("r2"), F.lit(0.0)))
+    t = F.signum("slope") * F.sqrt(F.try_divide(F.col("r2") * dof, 1 - F.col("r2")))
     return out.withColumn("t", t).withColumn("p", t_pvalue(t, dof.cast("double")))

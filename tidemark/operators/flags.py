@@ -90,4 +90,4 @@ def sweep(metrics: DataFrame, area: str) -> DataFrame:
     return rows.groupBy(F.col("_c.key").alias("key"), F.col("_c.value").alias("value")).agg(
         F.count_if(own).alias("n_flag"), F.count_if(c["any"]).alias("n_any"),
         (F.count_if(c["any"]) / F.count(F.lit(1))).alias("share_any"),
-        (F.sum(F.when(c["any"], F.col(area)).otherwise(0.0)) / F.sum(area)).alias("area_share_any"))
+        F.try_divide(F.sum(F.when(c["any"], F.col(area)).otherwise(0.0)), F.sum(area)).alias("area_share_any"))

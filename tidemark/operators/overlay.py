@@ -122,7 +122,7 @@ def nested_overlap(cell_unit: DataFrame, fine: float, coarse_lat: float, coarse_
 
 def crosses(lat: Column, lon: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """A ray to the east from the point meets the edge."""
-    return ((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
+    return ((y1 > lat) != (y2 > lat)) & (lon < F.try_divide((x2 - x1) * (lat - y1), y2 - y1) + x1)
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str,
@@ -197,7 +197,7 @@ def inside_fraction(cells: DataFrame, fine: float, member: str, inside: str) ->
     area = cell_area_km2(F.col("lat"), fine, fine)
     hit = F.when(F.col(inside).isNotNull(), area).otherwise(0.0)
     return cells.where(F.col(member).isNotNull()).groupBy(member).agg(
-        (F.sum(hit) / F.sum(area)).alias("fraction"), F.count("*").alias("cells"))
+        F.try_divide(F.sum(hit), F.sum(area)).alias("fraction"), F.count("*").alias("cells"))
 
 
 def land_fraction(fine_cells: DataFrame, value: str, lat0: float, lon0: float,
@@ -277,7 +277,7 @@ def outline_measures(edges: DataFrame) -> DataFrame:
     s = p.groupBy("unit_id").agg(F.sum(turn).alias("a2"),
                                  F.sum((F.col("x1") + F.col("x2")) * turn).alias("sx"),
                                  F.sum((F.col("y1") + F.col("y2")) * turn).alias("sy"))
-    cx, cy = F.col("sx") / (3 * F.col("a2")), F.col("sy") / (3 * F.col("a2"))
+    cx, cy = F.try_divide(F.col("sx"), 3 * F.col("a2")), F.try_divide(F.col("sy"), 3 * F.col("a2"))
     unit_x = equal_area_x(F.lit(1.0))
     unit_y = equal_area_y(F.lit(90.0))
     return s.select("unit_id", (F.abs("a2") / 2).alias("area_km2"), (cx / unit_x).alias("lon"),

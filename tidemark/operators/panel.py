@@ -65,13 +65,13 @@ def pooled_r2(solved: DataFrame, keys: list[str], k: int) -> DataFrame:
     ok = solved.where("sol is not null").withColumn("sse", _quadratic(k))
     sst = F.sum("yy") - F.sum("sy") * F.sum("sy") / F.sum("n")
     return ok.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_blocks"),
-                                 (1 - F.sum("sse") / F.nullif(sst, F.lit(0.0))).alias("oos_r2"))
+                                 (1 - F.try_divide(F.sum("sse"), sst)).alias("oos_r2"))
 
 
 def block_r2(solved: DataFrame, keys: list[str], block: str, k: int, min_rows: int = 30) -> DataFrame:
     sst = F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")
     return (solved.where(F.col("sol").isNotNull() & (F.col("n") >= min_rows)).where(sst > 1e-12)
-            .select(*keys, block, "n", (1 - _quadratic(k) / sst).alias("r2")))
+            .select(*keys, block, "n", (1 - F.try_divide(_quadratic(k), sst)).alias("r2")))
 
 
 def predictions(panel: DataFrame, solved: DataFrame, block: str, xs: list[str]) -> DataFrame:
@@ -94,10 +94,10 @@ def clustered_sign_test(df: DataFrame, block: str, delta: str) -> DataFrame:
     rows = df.where(F.col(delta).isNotNull())
     blocks = rows.groupBy(block).agg(F.avg(delta).alias("m"), F.count("*").alias("n"),
                                      F.count_if(F.col(delta) > 0).alias("up"))
-    out = blocks.agg(F.sum("n").alias("n_units"), (F.sum("up") / F.sum("n")).alias("share_units_improved"),
+    out = blocks.agg(F.sum("n").alias("n_units"), F.try_divide(F.sum("up"), F.sum("n")).alias("share_units_improved"),
                      F.count("*").alias("n_blocks"), F.count_if(F.col("m") > 0).alias("blocks_improved"))
     median = quantiles(rows, delta, [0.5]).select("quantile").scalar()
-    return (out.withColumn("share_blocks_improved", F.col("blocks_improved") / F.col("n_blocks"))
+    return (out.withColumn("share_blocks_improved", F.try_divide(F.col("blocks_improved"), F.col("n_blocks")))
             .withColumn("median_delta", median)
             .withColumn("p_value", binomial_pvalue("blocks_improved", "n_blocks")))
 
@@ -120,7 +120,7 @@ def paired_blocks(df: DataFrame, d: str) -> DataFrame:
            .withColumn("tie_term", ties.scalar()))
     n = F.col("n_blocks") - F.col("n_zero")
     inexact = (F.col("tie_term") > 0) | (F.col("n_zero") > 0)
-    return (out.withColumn("share_better", F.col("n_better") / F.nullif(F.col("n_blocks"), F.lit(0)))
+    return (out.withColumn("share_better", F.try_divide(F.col("n_better"), F.col("n_blocks")))
             .withColumn("sign_test_p", binomial_pvalue("n_better", "n_blocks"))
             .withColumn("signed_rank_p", F.when(F.col("n_blocks") > 10, signed_rank_pvalue(
                 F.col("w_plus"), n, inexact, F.col("tie_term")))))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import pearson
 from tidemark.functions.units import flag, safe_div
 from tidemark.operators.order import quantiles
 
@@ -17,23 +18,23 @@ from tidemark.operators.order import quantiles
 
 def weighted_mean(v: Column, w: Column) -> Column:
     """Missing values drop from the numerator and the denominator."""
-    return F.sum(v * w) / F.nullif(F.sum(F.when(v.isNotNull(), w)), F.lit(0.0))
+    return F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w)))
 
 
 def covered_mean(v: Column, w: Column, min_cover: float) -> Column:
     """As above, null unless at least min_cover of the weight is present."""
     present = F.sum(F.when(v.isNotNull(), w))
-    return F.when(present / F.sum(w) >= min_cover, weighted_mean(v, w))
+    return F.when(F.try_divide(present, F.sum(w)) >= min_cover, weighted_mean(v, w))
 
 
 def strict_mean(v: Column, w: Column) -> Column:
     """Null when any value is missing."""
-    return F.when(F.count(v) == F.count(F.lit(1)), F.sum(v * w) / F.sum(w))
+    return F.when(F.count(v) == F.count(F.lit(1)), F.try_divide(F.sum(v * w), F.sum(w)))
 
 
 def fixed_weight_mean(v: Column, w: Column) -> Column:
     """Denominator is the whole weight, null when nothing reported."""
-    return F.when(F.count(v) > 0, F.sum(v * w) / F.sum(w))
+    return F.when(F.count(v) > 0, F.try_divide(F.sum(v * w), F.sum(w)))
 
 
 def all_reporting_sum(v: Column, n_expected: Column) -> Column:
@@ -82,7 +83,7 @@ def collapse_by_days(df: DataFrame, keys: list[str], month: str, v: str, noise:
     d = F.col(days)
 
     def by_days(c: Column) -> Column:
-        return F.sum(c * d) / F.sum(d)
+        return F.try_divide(F.sum(c * d), F.sum(d))
 
     return df.groupBy(*keys, month).agg(
         by_days(F.col(v)).alias(v), by_days(F.col(noise)).alias(noise),
@@ -94,15 +95,13 @@ def collapse_by_days(df: DataFrame, keys: list[str], month: str, v: str, noise:
 
 def variance_ratio(num: Column, den: Column) -> Column:
     """Population variances; null when the denominator has none."""
-    return F.var_pop(num) / F.nullif(F.var_pop(den), F.lit(0.0))
+    return F.try_divide(F.var_pop(num), F.var_pop(den))
 
 
 def paired_r(x: Column, y: Column, min_pairs: int = 10) -> Column:
     """Pearson r over rows that have both, null for few pairs or a constant side."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    ok = (F.count(a) >= min_pairs) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return F.when(ok, F.corr(a, b))
+    pairs = F.count_if(x.isNotNull() & y.isNotNull())
+    return F.when(pairs >= min_pairs, pearson(x, y))
 
 
 def flag_tally(df: DataFrame, flags: list[str], area: str, by: list[str] | None = None) -> DataFrame:
@@ -113,17 +112,17 @@ def flag_tally(df: DataFrame, flags: list[str], area: str, by: list[str] | None
         for f in flags])).alias("_f"))
     return long.groupBy(*by, F.col("_f.flag").alias("flag")).agg(
         F.count_if(F.col("_f.hit")).alias("n"),
-        (F.sum(F.when(F.col("_f.hit"), F.col(area)).otherwise(0.0)) / F.sum(area)).alias("area_share"))
+        F.try_divide(F.sum(F.when(F.col("_f.hit"), F.col(area)).otherwise(0.0)), F.sum(area)).alias("area_share"))
 
 
 def eta_squared(df: DataFrame, y: str, group: str) -> DataFrame:
     """Between-group share of the sum of squares, from group sums only."""
     g = df.groupBy(group).agg(F.count(y).alias("n"), F.avg(y).alias("m"),
                               F.var_pop(y).alias("v"))
-    grand = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    grand = F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))
     between = (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * grand * grand)
     within = F.sum(F.col("n") * F.col("v"))
-    return g.where(F.col("n") > 0).agg((between / (between + within)).alias("eta_squared"),
+    return g.where(F.col("n") > 0).agg(F.try_divide(between, between + within).alias("eta_squared"),
                                        F.count("*").alias("groups"))
 
 

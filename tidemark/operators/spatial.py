@@ -28,9 +28,10 @@ TILE = 512
 
 # --- multiple testing -----------------------------------------------------------
 
-def multiple_testing(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
+def multiple_testing(df: DataFrame, p: str, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
     """Counts and largest accepted p: raw, Bonferroni, step-up, step-up under dependence."""
-    counts = value_counts(df, p)
+    keys = keys or []
+    counts = value_counts(df, p, keys)
     rank, m = F.col("before") + F.col("n"), F.col("total")
 
     def accepted(limit: Column) -> tuple[Column, Column]:
@@ -41,17 +42,23 @@ def multiple_testing(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     bh_n, bh_p = accepted(alpha * rank / m)
     by_n, by_p = accepted(alpha * rank / (m * c))
     bonf_n, _ = accepted(alpha / m)
-    return counts.agg(
+    return counts.groupBy(*keys).agg(
         F.max(m).alias("n_tested"), F.max(c).alias("c_m"), F.max(alpha / m).alias("bonferroni_cut"),
         F.coalesce(F.sum(F.when(F.col(p) < alpha, F.col("n"))), F.lit(0)).alias("n_raw"),
         bonf_n.alias("n_bonferroni"), bh_n.alias("n_bh"), bh_p.alias("bh_cut"),
         by_n.alias("n_by"), by_p.alias("by_cut"))
 
 
-def accept_mask(df: DataFrame, p: str, alpha: float = 0.05, out: str = "accepted") -> DataFrame:
+def accept_mask(df: DataFrame, p: str, alpha: float = 0.05, out: str = "accepted",
+                keys: list[str] | None = None) -> DataFrame:
     """True where p is at or below the step-up cut that holds under dependence."""
-    cut = multiple_testing(df, p, alpha).select("by_cut").scalar()
-    return df.withColumn(out, F.coalesce(F.col(p) <= cut, F.lit(False)))
+    cuts = multiple_testing(df, p, alpha, keys)
+    if keys:
+        cut = F.col("_cut")
+        df = df.join(cuts.select(*keys, F.col("by_cut").alias("_cut")), keys, "left")
+    else:
+        cut = cuts.select("by_cut").scalar()
+    return df.withColumn(out, F.coalesce(F.col(p) <= cut, F.lit(False))).drop("_cut")
 
 
 # --- Moran's I --------------------------------------------------------------------
@@ -59,7 +66,7 @@ def accept_mask(df: DataFrame, p: str, alpha: float = 0.05, out: str = "accepted
 def row_standardise(edges: DataFrame) -> DataFrame:
     """Every unit's outgoing weights sum to one."""
     total = edges.groupBy("src").agg(F.sum("w").alias("_t"))
-    return salted_join(edges, total, ["src"]).select("src", "dst", (F.col("w") / F.col("_t")).alias("w"))
+    return salted_join(edges, total, ["src"]).select("src", "dst", F.try_divide(F.col("w"), F.col("_t")).alias("w"))
 
 
 def centred(units: DataFrame) -> DataFrame:
@@ -80,8 +87,8 @@ def morans_i(units: DataFrame, edges: DataFrame) -> DataFrame:
     sums = _linked(z, edges, []).agg(F.sum(F.col("w") * F.col("z1") * F.col("z2")).alias("num"),
                                      F.sum("w").alias("s0"), F.count("*").alias("links"))
     return (sums.withColumn("n", n.scalar()).withColumn("_zz", zz.scalar())
-            .select("n", "links", (F.col("n") / F.col("s0") * F.col("num") / F.col("_zz")).alias("i"),
-                    (-1.0 / (F.col("n") - 1)).alias("e_i")))
+            .select("n", "links", F.try_divide(F.col("n") * F.col("num"), F.col("s0") * F.col("_zz")).alias("i"),
+                    F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("e_i")))
 
 
 def shuffles(z: DataFrame, n_perm: int, seed: str) -> DataFrame:
@@ -118,12 +125,12 @@ def moran_permutation(units: DataFrame, edges: DataFrame, n_perm: int, seed: str
     zz = z.agg(F.sum(F.col("z") * F.col("z")).alias("q"))
     sims = (parts.withColumn("_zz", zz.scalar()).withColumn("n", z.agg(F.count("*").alias("n")).scalar())
             .withColumn("i_obs", obs.select("i").scalar())
-            .withColumn("sim", F.col("n") / F.col("s0") * F.col("num") / F.col("_zz")))
+            .withColumn("sim", F.try_divide(F.col("n") * F.col("num"), F.col("s0") * F.col("_zz"))))
     # Sums in another order differ in the last digits, so equality needs a tolerance.
     reached = F.count_if(F.col("sim") >= F.col("i_obs") - 1e-12)
     sd = F.stddev_pop("sim")
     return sims.agg(F.max("n").alias("n"), F.max("i_obs").alias("i"), sd.alias("sd_perm"),
-                    ((F.max("i_obs") - F.avg("sim")) / F.nullif(sd, F.lit(0.0))).alias("z_perm"),
+                    F.try_divide(F.max("i_obs") - F.avg("sim"), sd).alias("z_perm"),
                     ((reached + 1) / (F.count("*") + 1)).alias("p_perm"), F.count("*").alias("n_perm"))
 
 
@@ -221,7 +228,7 @@ def effective_modes(vectors: DataFrame, tile: int = TILE) -> DataFrame:
                              "sq": [float((c ** 2).sum()) * (1 if same else 2)]})
 
     sums = tile_pairs(vectors, "unit_id", tile).groupBy("ta", "tb").applyInPandas(kernel, "tr double, sq double")
-    return sums.agg((F.sum("tr") * F.sum("tr") / F.sum("sq")).alias("effective_dof"),
+    return sums.agg(F.try_divide(F.sum("tr") * F.sum("tr"), F.sum("sq")).alias("effective_dof"),
                     F.sum("tr").alias("total_variance"))
 
 
@@ -270,14 +277,16 @@ def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None
     """Moran's I per distance band (lo, hi] with its permutation spread and p.
 
     units(unit_id, lat, lon, x). A unit carries its value and its value in every
-    permutation; tiles multiply the band's 0/1 weights with them.
+    permutation; tiles multiply the band's 0/1 weights with them. With n_perm 0
+    only the observed value is worked out.
     """
     bands = bands or BANDS
     z = centred(units)
-    dealt = shuffles(z, n_perm, seed).groupBy("unit_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s: s["z"]).alias("deals"))
-    rows = (units.select("unit_id", "lat", "lon").join(z, "unit_id").join(dealt, "unit_id")
-            .withColumn("vec", F.concat(F.array("z"), "deals")).drop("deals", "z"))
+    rows = units.select("unit_id", "lat", "lon").join(z, "unit_id").withColumn("vec", F.array("z")).drop("z")
+    if n_perm:
+        dealt = shuffles(z, n_perm, seed).groupBy("unit_id").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s: s["z"]).alias("deals"))
+        rows = rows.join(dealt, "unit_id").withColumn("vec", F.concat("vec", "deals")).drop("deals")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split(pdf)
@@ -299,7 +308,7 @@ def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None
             .agg(F.sum("s").alias("s")))
     zz = z.agg(F.sum(F.col("z") * F.col("z")).alias("q"))
     n = z.agg(F.count("*").alias("n"))
-    i = F.col("n") / F.col("pairs") * F.col("s") / F.col("_zz")
+    i = F.try_divide(F.col("n") * F.col("s"), F.col("pairs") * F.col("_zz"))
     sims = sims.join(pairs, "band").withColumn("_zz", zz.scalar()).withColumn("n", n.scalar()).withColumn("i", i)
     obs = sims.where("perm = 0").select("band", F.col("i").alias("i_obs"))
     sim = F.when(F.col("perm") > 0, F.col("i"))
@@ -316,13 +325,14 @@ def range_km(bands: DataFrame) -> DataFrame:
     """Decay length: weighted log fit through the origin over bands with I above 0.01."""
     mid = (F.col("lo_km") + F.col("hi_km")) / 2
     w = F.col("pairs")
-    fit = -F.sum(w * mid * mid) / F.sum(w * mid * F.ln("i"))
+    fit = F.try_divide(-F.sum(w * mid * mid), F.sum(w * mid * F.ln("i")))
     return bands.where("i > 0.01").agg(F.when(F.count("*") >= 2, fit).alias("range_km"))
 
 
 def effective_n(units: DataFrame, range_table: DataFrame, tile: int = TILE) -> DataFrame:
     """n^2 over the sum of exp(-d / a) over all ordered pairs, the diagonal included."""
-    rows = units.select("unit_id", "lat", "lon").withColumn("a", range_table.select("range_km").scalar())
+    length = range_table.select("range_km").scalar()
+    rows = tile_pairs(units.select("unit_id", "lat", "lon"), "unit_id", tile).withColumn("a", length)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split(pdf)
@@ -337,10 +347,10 @@ def effective_n(units: DataFrame, range_table: DataFrame, tile: int = TILE) -> D
             total = float(np.exp(-d / length).sum()) * (1 if same else 2)
         return pd.DataFrame({"s": [total], "n": [len(a) if same else 0], "a": [length]}).astype({"a": "float64"})
 
-    sums = tile_pairs(rows, "unit_id", tile).groupBy("ta", "tb").applyInPandas(kernel, "s double, n bigint, a double")
+    sums = rows.groupBy("ta", "tb").applyInPandas(kernel, "s double, n bigint, a double")
     n = F.sum("n")
-    return sums.agg(n.alias("n"), F.max("a").alias("range_km"), (n * n / F.sum("s")).alias("n_eff"),
-                    (n / F.sum("s")).alias("n_eff_share"))
+    return sums.agg(n.alias("n"), F.max("a").alias("range_km"), F.try_divide(n * n, F.sum("s")).alias("n_eff"),
+                    F.try_divide(n, F.sum("s")).alias("n_eff_share"))
 
 
 # --- connected regions -------------------------------------------------------------------
@@ -404,7 +414,7 @@ def component_summary(members: DataFrame, boxes: DataFrame, min_area: float) ->
     held = (members.withColumn("b", F.explode(listed.scalar())).where(on)
             .groupBy("component", F.col("b.name").alias("name")).agg(F.sum("area").alias("inside")))
     best = held.groupBy("component").agg(F.max_by(F.struct("name", "inside"), F.struct("inside", "name")).alias("_b"))
-    share = F.coalesce(F.col("_b.inside") / F.col("area"), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("_b.inside"), F.col("area")), F.lit(0.0))
     return (base.join(median, "component").join(best, "component", "left")
             .withColumn("label", F.when(share >= 0.5, F.col("_b.name")))
             .withColumn("share_inside", share).drop("_b"))

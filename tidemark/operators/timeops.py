@@ -115,7 +115,7 @@ def timed_derivative(df: DataFrame, keys: list[str], month: str, v: str, days: s
               & (span <= max_days))
     else:
         ok = (before <= max_days) & (after <= max_days)
-    slope = (F.lead(v).over(w) - F.lag(v).over(w)) / (span / 365.25)
+    slope = F.try_divide(F.lead(v).over(w) - F.lag(v).over(w), span / 365.25)
     return df.withColumn(out, F.when(ok, slope))
 
 
@@ -202,7 +202,7 @@ def trough_recovery(df: DataFrame, keys: list[str], month: str, v: str, before:
     after = F.when(F.col(month) > F.col("trough_month"), F.col(v))
     post = (df.join(low.select(*keys, "trough_month"), keys).groupBy(*keys)
             .agg(F.avg(after).alias("post"), F.count(after).alias("n_post")))
-    gain = (F.col("post") - F.col("trough")) / F.nullif(F.col("pre") - F.col("trough"), F.lit(0.0))
+    gain = F.try_divide(F.col("post") - F.col("trough"), F.col("pre") - F.col("trough"))
     return low.join(post, keys).withColumn("recovered_pct", 100 * gain)
 
 

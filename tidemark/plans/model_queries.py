@@ -352,7 +352,7 @@ def _(spark, sf):
 x AS (SELECT (SELECT count(*) FROM s) AS n, a AS range_km, (SELECT count(*) FROM s) ** 2 / ((SELECT count(*) FROM s) + CASE WHEN a IS NULL THEN 0 ELSE 2 * (SELECT sum(exp(-km / a)) FROM gd) END) AS n_eff FROM rk), y AS (SELECT *, n_eff / n AS n_eff_share FROM x) SELECT {sel('n:i range_km:r n_eff:r n_eff_share:r')} FROM y""")
 def _(spark, sf):
     s = sites(spark, sf)
-    return spatial.effective_n(s, spatial.range_km(spatial.band_moran(s, 49)))
+    return spatial.effective_n(s, spatial.range_km(spatial.band_moran(s, 0)))
 
 
 def sweep_sql() -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import water_year
-from tidemark.functions.stats import t_pvalue
+from tidemark.functions.stats import pearson, t_pvalue
 from tidemark.operators import fit, joins, order, overlay, reduce, spatial, timeops
 
 
@@ -26,8 +26,8 @@ def flux_rows(df: DataFrame, key: str, noise: DataFrame) -> DataFrame:
     yearly = ok.groupBy(key, F.year("month").alias("y")).agg(F.sum("c").alias("c")).groupBy(key).agg(
         F.avg("c").alias("cu_yr"))
     r = ok.groupBy(key).agg(
-        F.count("*").alias("n_months"), (-F.corr("d", "c")).alias("r_raw"), (-F.corr("d_ds", "c_ds")).alias("r_deseason"),
-        F.corr("d_ds", "p_ds").alias("r_dsdt_p"), F.corr("p_ds", "c_ds").alias("r_p_cu"),
+        F.count("*").alias("n_months"), (-pearson(F.col("d"), F.col("c"))).alias("r_raw"), (-pearson(F.col("d_ds"), F.col("c_ds"))).alias("r_deseason"),
+        pearson(F.col("d_ds"), F.col("p_ds")).alias("r_dsdt_p"), pearson(F.col("p_ds"), F.col("c_ds")).alias("r_p_cu"),
         F.stddev_samp("c_ds").alias("cu_ds_std"), F.stddev_samp("d_ds").alias("dsdt_ds_std"))
     partial = fit.partial_corr(ok.withColumn("neg_c", -F.col("c_ds")), [key], "month", "d_ds", "neg_c", "p_ds").select(
         key, "partial_r", F.col("p").alias("partial_p"))
@@ -36,11 +36,11 @@ def flux_rows(df: DataFrame, key: str, noise: DataFrame) -> DataFrame:
         F.col("b_c_ds").alias("b_cu"), F.col("se_c_ds").alias("se_cu"), F.col("p_c_ds").alias("p_cu"))
     out = r.join(yearly, key).join(reg, key).join(noise, key).join(partial, key, "left")
     dsdt_noise = F.col("noise_floor") / F.sqrt(F.lit(2.0))
-    snr = F.col("cu_ds_std") / dsdt_noise
+    snr = F.try_divide(F.col("cu_ds_std"), dsdt_noise)
     return out.withColumns({
-        "dsdt_noise": dsdt_noise, "snr_noise": snr, "snr_meas": F.col("cu_ds_std") / F.col("dsdt_ds_std"),
-        "snr_resid": F.col("cu_ds_std") / F.col("resid_std"), "induced_via_p": -F.col("r_dsdt_p") * F.col("r_p_cu"),
-        "months_for_2sigma": F.pow(2.0 / snr, 2)})
+        "dsdt_noise": dsdt_noise, "snr_noise": snr, "snr_meas": F.try_divide(F.col("cu_ds_std"), F.col("dsdt_ds_std")),
+        "snr_resid": F.try_divide(F.col("cu_ds_std"), F.col("resid_std")), "induced_via_p": -F.col("r_dsdt_p") * F.col("r_p_cu"),
+        "months_for_2sigma": F.pow(F.try_divide(F.lit(2.0), snr), 2)})
 
 
 def analyse_footprints(storage: DataFrame, flux: DataFrame, key: str) -> DataFrame:
@@ -76,14 +76,14 @@ def nested_footprints(units: DataFrame, share: str, best: DataFrame, radius_km:
 def detection_threshold(footprints: DataFrame, per_unit: DataFrame) -> DataFrame:
     """Depth of consumption needed for a two-sigma detection, from footprint and single-unit rows."""
     month = F.col("cu_yr") / 12
-    se_pred = 1 / (F.col("snr_resid") * F.sqrt("n_eff_resid"))
-    fp = footprints.agg(F.avg(F.col("cu_ds_std") / month).alias("gamma"), F.avg(F.col("se_cu") / se_pred).alias("calibration"),
+    se_pred = F.try_divide(F.lit(1.0), F.col("snr_resid") * F.sqrt("n_eff_resid"))
+    fp = footprints.agg(F.avg(F.try_divide(F.col("cu_ds_std"), month)).alias("gamma"), F.avg(F.try_divide(F.col("se_cu"), se_pred)).alias("calibration"),
                         F.avg("n_eff_resid").alias("n_eff"))
     noise = order.quantiles(per_unit, "dsdt_noise", [0.5]).select("quantile").scalar()
     out = fp.withColumn("noise_ref", noise).withColumn(
-        "snr_needed", 2.0 / F.sqrt("n_eff") * F.col("calibration"))
+        "snr_needed", F.try_divide(F.lit(2.0), F.sqrt("n_eff")) * F.col("calibration"))
     out = out.withColumn("sigma_needed", F.col("snr_needed") * F.col("noise_ref"))
-    return out.withColumn("depth_needed", F.col("sigma_needed") * 12 / F.col("gamma"))
+    return out.withColumn("depth_needed", F.try_divide(F.col("sigma_needed") * 12, F.col("gamma")))
 
 
 def annual_test(storage: DataFrame, flux: DataFrame, key: str, min_years: int = 8) -> DataFrame:
@@ -93,7 +93,7 @@ def annual_test(storage: DataFrame, flux: DataFrame, key: str, min_years: int =
     sums = flux.groupBy(key, wy.alias("wy")).agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
     j = ds.join(sums, [key, "wy"]).na.drop("any", subset=["ds", "c", "p"]).withColumn("neg_c", -F.col("c"))
     part = fit.partial_corr(j, [key], "wy", "ds", "neg_c", "p", min_rows=min_years, effective=False)
-    raw = j.groupBy(key).agg((-F.corr("ds", "c")).alias("r_raw"))
+    raw = j.groupBy(key).agg((-pearson(F.col("ds"), F.col("c"))).alias("r_raw"))
     reg = fit.fit(j.withColumn("one", F.lit(1.0)), [key], "ds", ["one", "p", "c"], "wy", "plain", min_years)
     return (part.select(key, F.col("n").alias("n_years"), "partial_r", F.col("p").alias("partial_p")).join(raw, key)
             .join(reg.select(key, F.col("b_p").alias("b_p"), F.col("se_p").alias("se_p"), F.col("b_c").alias("b_cu"),
@@ -137,12 +137,11 @@ def drying(series: DataFrame, windows: dict[str, tuple[str, str]], units: DataFr
             .withColumn("window", F.col("_s.w")).drop("_s"))
     fits = fit.trend(rows, ["window", "unit_id"], time, v, min_rows=min_rows).select(
         "window", "unit_id", F.col("b_t").alias("trend"), F.col("p_t").alias("p"))
-    masked = [spatial.accept_mask(fits.where(F.col("window") == n), "p") for n in windows]
-    j = fold(DataFrame.unionByName, masked).join(units.select("unit_id", "area_km2", cls), "unit_id")
+    j = spatial.accept_mask(fits, "p", keys=["window"]).join(units.select("unit_id", "area_km2", cls), "unit_id")
     dry = F.col("trend") <= threshold
     return j.groupBy("window", cls).agg(
         F.count("*").alias("n"), F.count_if(dry).alias("n_drying"),
-        (F.sum(F.when(dry, F.col("area_km2")).otherwise(0.0)) / F.sum("area_km2")).alias("area_share"),
+        F.try_divide(F.sum(F.when(dry, F.col("area_km2")).otherwise(0.0)), F.sum("area_km2")).alias("area_share"),
         F.count_if(dry & (F.col("p") < 0.05)).alias("n_significant"),
         F.count_if(dry & F.col("accepted")).alias("n_significant_dependent"))
 
@@ -173,7 +172,7 @@ def list_agreement(df: DataFrame, unit: str, a: str, b: str) -> DataFrame:
 def coverage_by_unit(rows: DataFrame, unit: str, year: str, area: Column, flagged: Column, unit_area: DataFrame) -> DataFrame:
     """Share of each unit's area flagged in each year; then mean, lowest and highest over the years."""
     per = rows.groupBy(unit, year).agg(F.sum(F.when(flagged, area).otherwise(0.0)).alias("_f"), F.count("*").alias("_n"))
-    shares = per.join(unit_area, unit).withColumn("share", 100 * F.col("_f") / F.col("area_km2"))
+    shares = per.join(unit_area, unit).withColumn("share", F.try_divide(100 * F.col("_f"), F.col("area_km2")))
     return shares.groupBy(unit).agg(F.avg("share").alias("mean_share"), F.min("share").alias("min_share"),
                                     F.max("share").alias("max_share"), F.sum("_n").alias("rows"))
 
@@ -184,7 +183,7 @@ def storage_inventory(dams: DataFrame, monthly: DataFrame, boxes: DataFrame, dam
     seen = monthly.groupBy(dam).agg(F.min(v).alias("obs_min"), F.max(v).alias("obs_max"), F.count(v).alias("n_months"))
     out = placed.join(dams.select(dam, "capacity"), dam).join(seen, dam, "left").join(
         boxes.select("unit_id", "area_km2"), "unit_id")
-    per = 1000.0 / F.col("area_km2")
+    per = F.try_divide(F.lit(1000.0), F.col("area_km2"))
     return out.withColumns({"mm_per_hm3": per, "capacity_mm": F.col("capacity") * per,
                             "obs_range_mm": (F.col("obs_max") - F.col("obs_min")) * per})
 
@@ -198,8 +197,8 @@ def leakage_indicator(df: DataFrame, month: str, v: str, w: str, land: Column, c
 
     g = df.groupBy(month).agg(mean(land).alias("land"), mean(ocean).alias("ocean"), mean(land & coastal).alias("coastal"),
                               mean(land & ~coastal).alias("interior"))
-    return g.agg(F.corr("land", "ocean").alias("r_land_ocean"), F.corr("coastal", "ocean").alias("r_coastal_ocean"),
-                 F.corr("interior", "ocean").alias("r_interior_ocean"), F.count("*").alias("months"))
+    return g.agg(pearson(F.col("land"), F.col("ocean")).alias("r_land_ocean"), pearson(F.col("coastal"), F.col("ocean")).alias("r_coastal_ocean"),
+                 pearson(F.col("interior"), F.col("ocean")).alias("r_interior_ocean"), F.count("*").alias("months"))
 
 
 def common_series(frames: list[DataFrame], unit: str, v: str) -> list[DataFrame]:
