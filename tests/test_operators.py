@@ -128,10 +128,19 @@ def skewed(n=4000, seed=2):
 
 def test_quantiles_are_exact(spark):
     pdf = skewed()
-    got = order.quantiles(spark.createDataFrame(pdf), "v", [0.0, 0.25, 0.5, 0.9, 1.0], ["k"]).toPandas()
-    for r in got.itertuples():
-        assert r.quantile == pytest.approx(np.quantile(pdf[pdf.k == r.k].v, r.prob), abs=1e-12)
-    assert len(got) == 5 * pdf.k.nunique()
+    for ranges in (8, 400):
+        got = order.quantiles(spark.createDataFrame(pdf), "v", [0.0, 0.25, 0.5, 0.9, 1.0], ["k"], ranges).toPandas()
+        for r in got.itertuples():
+            assert r.quantile == pytest.approx(np.quantile(pdf[pdf.k == r.k].v, r.prob), abs=1e-12)
+        assert len(got) == 5 * pdf.k.nunique()
+
+
+def test_counts_below_do_not_depend_on_the_ranges(spark):
+    pdf = skewed()
+    frames = [order.value_counts(spark.createDataFrame(pdf), "v", None, r).orderBy("v").toPandas() for r in (1, 64, 3000)]
+    want = pdf["v"].value_counts().sort_index()
+    for f in frames:
+        assert list(f["n"]) == list(want) and list(f["before"]) == list(want.cumsum() - want)
 
 
 def test_ranks_match_pandas_and_keep_every_row(spark):

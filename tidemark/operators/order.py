@@ -3,17 +3,23 @@
 Everything rests on ``value_counts``: rows are first collapsed to one row per
 (keys, value), which removes ties before any shuffle, and the distinct values
 are then cut into ranges of similar size. Running totals are taken inside a
-range, and the totals of the ranges below, a table of at most ``RANGES`` rows
-per key, are added. No task sees more than one range of one key.
+range, and the totals of the ranges below, a small table per key, are added. No
+task sees more than one range of one key.
+
+There are about as many ranges as the session has shuffle partitions. Beyond
+``FLAT`` they are found in two steps, coarse cuts and then cuts inside each
+coarse range, so that placing a value stays cheap.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+FLAT = 64
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -30,49 +36,93 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def value_counts(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """One row per (keys, value): ``n``, ``before`` (rows with a smaller value), ``total``."""
-    keys = keys or []
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count("*").alias("n")))
-    probs = [i / RANGES for i in range(1, RANGES)]
-    cuts = counts.agg(F.percentile_approx(value, probs, 1000).alias("cuts"))
-    bounds = cuts.select("cuts").scalar()
-    banded = (counts.withColumn("_cuts", bounds)
-              .withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-              .drop("_cuts"))
+def _cuts(value: str, n: int) -> Column:
+    return F.percentile_approx(value, [i / n for i in range(1, n)], 16 * n)
+
+
+def _place(cuts: Column, value: str, n: int) -> Column:
+    """How many of the n - 1 cuts lie below the value, as plain comparisons for code generation."""
+    below = F.lit(0)
+    for i in range(n - 1):
+        below = below + F.when(cuts[i] < F.col(value), 1).otherwise(0)
+    return below
+
+
+def _banded(counts: DataFrame, value: str, ranges: int | None) -> DataFrame:
+    """Adds ``_band``, the number of the range a value lies in, growing with the value."""
+    ranges = ranges or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(16, ranges if ranges <= FLAT else math.ceil(math.sqrt(ranges)))
+    # The count is asked for too, so that the subquery reads the same shuffle as the rest.
+    coarse = counts.agg(F.struct(_cuts(value, n).alias("c"), F.sum("n").alias("n")).alias("s")).scalar()
+    banded = counts.withColumn("_cuts", coarse).withColumn("_band", _place(F.col("_cuts.c"), value, n)).drop("_cuts")
+    if ranges <= FLAT:
+        return banded
+    inner = banded.groupBy("_band").agg(_cuts(value, n).alias("_cuts"))
+    return (banded.join(inner, "_band").withColumn("_band", F.col("_band") * n + _place(F.col("_cuts"), value, n))
+            .drop("_cuts"))
+
+
+def _counts(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Rows without a value or a key take no part. Said here, the filter is the same for every
+    reader of these counts, so that Spark runs the scan and the shuffle once."""
+    for c in (value, *keys):
+        df = df.where(F.col(c).isNotNull())
+    return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+
+
+def _offsets(banded: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and range: rows in it, rows below it, and the key's total. One row per range."""
     sums = banded.groupBy(*keys, "_band").agg(F.sum("n").alias("_in_band"))
     over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    offsets = (sums.withColumn("_below", F.sum("_in_band").over(
-                   over.orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow))
-                   - F.col("_in_band"))
-               .withColumn("total", F.sum("_in_band").over(over)).drop("_in_band"))
+    upto = F.sum("_in_band").over(over.orderBy("_band").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (sums.withColumn("_below", upto - F.col("_in_band"))
+            .withColumn("total", F.sum("_in_band").over(over)))
+
+
+def _running(banded: DataFrame, value: str, keys: list[str]) -> DataFrame:
     inner = W.partitionBy(*keys, "_band").orderBy(value)
-    running = banded.withColumn(
+    return banded.withColumn(
         "_run", F.sum("n").over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return (running.join(offsets, [*keys, "_band"])
+
+
+def value_counts(df: DataFrame, value: str, keys: list[str] | None = None,
+                 ranges: int | None = None) -> DataFrame:
+    """One row per (keys, value): ``n``, ``before`` (rows with a smaller value), ``total``."""
+    keys = keys or []
+    banded = _banded(_counts(df, value, keys), value, ranges)
+    offsets = _offsets(banded, keys).drop("_in_band")
+    return (_running(banded, value, keys).join(offsets, [*keys, "_band"])
             .withColumn("before", F.col("_below") + F.col("_run") - F.col("n"))
             .select(*keys, value, "n", "before", "total"))
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float],
-              keys: list[str] | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles, one row per (keys, prob)."""
+              keys: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles, one row per (keys, prob).
+
+    The range totals tell which ranges hold the wanted ranks; only those are sorted.
+    """
     keys = keys or []
-    counts = value_counts(df, value, keys)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    rows = counts.withColumn("prob", wanted)
+    banded = _banded(_counts(df, value, keys), value, ranges)
     place = F.col("prob") * (F.col("total") - 1)
-    lower, upper = F.floor(place), F.ceil(place)
+    wanted = (_offsets(banded, keys)
+              .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+              .withColumn("_low", F.floor(place)).withColumn("_high", F.ceil(place)))
+
+    def holds(rank: str, first: Column, size: Column) -> Column:
+        return (first <= F.col(rank)) & (F.col(rank) < first + size)
 
-    def holds(rank: Column) -> Column:
-        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+    def either(first: Column, size: Column) -> Column:
+        return holds("_low", first, size) | holds("_high", first, size)
 
-    near = rows.where(holds(lower) | holds(upper))
+    wanted = wanted.where(either(F.col("_below"), F.col("_in_band")))
+    sorted_ = _running(banded.join(wanted.select(*keys, "_band").distinct(), [*keys, "_band"], "left_semi"), value, keys)
+    before = F.col("_below") + F.col("_run") - F.col("n")
+    near = sorted_.join(wanted, [*keys, "_band"]).where(either(before, F.col("n")))
     pair = near.groupBy(*keys, "prob").agg(
-        F.max(F.when(holds(lower), F.col(value))).alias("_lo"),
-        F.max(F.when(holds(upper), F.col(value))).alias("_hi"),
-        F.max(place - lower).alias("_frac"), F.max("total").alias("n"))
+        F.max(F.when(holds("_low", before, F.col("n")), F.col(value))).alias("_lo"),
+        F.max(F.when(holds("_high", before, F.col("n")), F.col(value))).alias("_hi"),
+        F.max(place - F.col("_low")).alias("_frac"), F.max("total").alias("n"))
     return pair.select(*keys, "prob",
                        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
                        .alias("quantile"), "n")

@@ -32,6 +32,8 @@ def _quadratic(k: int, prefix: str = "") -> Column:
 
 def block_grams(panel: DataFrame, keys: list[str], block: str, y: str, xs: list[str]) -> DataFrame:
     """Sums of products per block; the constant comes first. Built once, used by every model."""
+    for c in (*keys, block):
+        panel = panel.where(F.col(c).isNotNull())
     return gram(panel.withColumn("one", F.lit(1.0)), [*keys, block], y, ["one", *xs])
 
 
@@ -48,16 +50,16 @@ def sub_model(grams: DataFrame, keys: list[str], block: str, all_xs: list[str],
 def held_out(grams: DataFrame, keys: list[str], block: str, k: int) -> DataFrame:
     """Coefficients per block from all other blocks: total sums minus the block's own."""
     sums = [c for c in grams.columns if c not in (*keys, block)]
-    totals = grams.groupBy(*keys).agg(*[F.sum(c).alias("all_" + c) for c in sums])
+    # One array keeps every sum in the totals, so that they read the same shuffle as the blocks.
+    every = F.array(*[F.sum(c).cast("double") for c in sums]).alias("_all")
     if keys:
-        both = grams.join(totals, keys)
+        both = grams.join(grams.groupBy(*keys).agg(every), keys)
     else:
-        one_row = totals.select(F.struct("*").alias("t")).scalar()
-        both = grams.withColumn("_t", one_row).select(*grams.columns, "_t.*")
-    rest = {c: F.col("all_" + c) - F.col(c) for c in sums}
+        both = grams.withColumn("_all", grams.agg(every).scalar())
+    rest = {c: F.col("_all")[i] - F.col(c) for i, c in enumerate(sums)}
     xx = F.array(*[rest[f"xx_{i}_{j}"] for i in range(k) for j in range(i, k)])
     xy = F.array(*[rest[f"xy_{i}"] for i in range(k)])
-    return both.withColumn("sol", solve_normal(xx, xy)).drop(*["all_" + c for c in sums])
+    return both.withColumn("sol", solve_normal(xx, xy)).drop("_all")
 
 
 def pooled_r2(solved: DataFrame, keys: list[str], k: int) -> DataFrame:

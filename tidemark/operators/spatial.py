@@ -26,6 +26,11 @@ BANDS = [(0, 250), (250, 500), (500, 750), (750, 1000), (1000, 1500), (1500, 200
 TILE = 512
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions of a fixed number. Small rows with much work each would else be merged into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # --- multiple testing -----------------------------------------------------------
 
 def multiple_testing(df: DataFrame, p: str, alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
@@ -83,10 +88,10 @@ def _linked(z: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
 def morans_i(units: DataFrame, edges: DataFrame) -> DataFrame:
     """I = n / S0 * sum(w z z) / sum(z z), one row."""
     z = centred(units)
-    n, zz = z.agg(F.count("*").alias("n")), z.agg(F.sum(F.col("z") * F.col("z")).alias("q"))
+    size = z.agg(F.array(F.count("*").cast("double"), F.sum(F.col("z") * F.col("z"))).alias("s"))
     sums = _linked(z, edges, []).agg(F.sum(F.col("w") * F.col("z1") * F.col("z2")).alias("num"),
                                      F.sum("w").alias("s0"), F.count("*").alias("links"))
-    return (sums.withColumn("n", n.scalar()).withColumn("_zz", zz.scalar())
+    return (sums.withColumn("_s", size.scalar()).withColumn("n", F.col("_s")[0].cast("bigint")).withColumn("_zz", F.col("_s")[1])
             .select("n", "links", F.try_divide(F.col("n") * F.col("num"), F.col("s0") * F.col("_zz")).alias("i"),
                     F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("e_i")))
 
@@ -98,7 +103,7 @@ def shuffles(z: DataFrame, n_perm: int, seed: str) -> DataFrame:
     engine. A window holds one permutation, that is one value per unit.
     """
     ids = dense_index(z, "unit_id")
-    dealt = z.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    dealt = spread(z.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))), "perm")
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"),
                              F.col("unit_id").cast("string")))
     place = F.row_number().over(W.partitionBy("perm").orderBy("_mark", "unit_id")) - 1
@@ -122,8 +127,8 @@ def moran_permutation(units: DataFrame, edges: DataFrame, n_perm: int, seed: str
         num = _linked(dealt, edges, ["perm"]).groupBy("perm").agg(
             F.sum(F.col("w") * F.col("z1") * F.col("z2")).alias("num"), F.sum("w").alias("s0"))
         parts = num if parts is None else parts.unionByName(num)
-    zz = z.agg(F.sum(F.col("z") * F.col("z")).alias("q"))
-    sims = (parts.withColumn("_zz", zz.scalar()).withColumn("n", z.agg(F.count("*").alias("n")).scalar())
+    size = z.agg(F.array(F.count("*").cast("double"), F.sum(F.col("z") * F.col("z"))).alias("s"))
+    sims = (parts.withColumn("_s", size.scalar()).withColumn("n", F.col("_s")[0].cast("bigint")).withColumn("_zz", F.col("_s")[1])
             .withColumn("i_obs", obs.select("i").scalar())
             .withColumn("sim", F.try_divide(F.col("n") * F.col("num"), F.col("s0") * F.col("_zz"))))
     # Sums in another order differ in the last digits, so equality needs a tolerance.
@@ -143,8 +148,8 @@ def tile_pairs(units: DataFrame, key: str, tile: int = TILE) -> DataFrame:
     mine = F.floor(F.col("_idx") / tile).cast("int")
     rows = ids.withColumn("mine", mine).withColumn("_last", last.scalar())
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    return (rows.withColumn("ta", F.least("mine", "_other")).withColumn("tb", F.greatest("mine", "_other"))
-            .drop("_last", "_other"))
+    pairs = rows.withColumns({"ta": F.least("mine", "_other"), "tb": F.greatest("mine", "_other")})
+    return spread(pairs.drop("_last", "_other"), "ta", "tb")
 
 
 def _split(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
@@ -306,10 +311,10 @@ def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None
     pairs = parts.groupBy("band").agg(F.sum("pairs").alias("pairs")).where(F.col("pairs") >= min_pairs)
     sims = (parts.select("band", F.posexplode("sums").alias("perm", "s")).groupBy("band", "perm")
             .agg(F.sum("s").alias("s")))
-    zz = z.agg(F.sum(F.col("z") * F.col("z")).alias("q"))
-    n = z.agg(F.count("*").alias("n"))
+    size = z.agg(F.array(F.count("*").cast("double"), F.sum(F.col("z") * F.col("z"))).alias("s"))
     i = F.try_divide(F.col("n") * F.col("s"), F.col("pairs") * F.col("_zz"))
-    sims = sims.join(pairs, "band").withColumn("_zz", zz.scalar()).withColumn("n", n.scalar()).withColumn("i", i)
+    sims = sims.join(pairs, "band").withColumn("_s", size.scalar()).withColumn(
+        "n", F.col("_s")[0].cast("bigint")).withColumn("_zz", F.col("_s")[1]).withColumn("i", i)
     obs = sims.where("perm = 0").select("band", F.col("i").alias("i_obs"))
     sim = F.when(F.col("perm") > 0, F.col("i"))
     lo = F.element_at(F.array(*[F.lit(float(x)) for x, _ in bands]), F.col("band") + 1)

@@ -63,11 +63,12 @@ def complete_axis(df: DataFrame, keys: list[str], month: str, per_unit: bool = F
 
     The axis is generated from each unit's own row, so nothing is cross joined.
     """
+    for c in (*keys, month):
+        df = df.where(F.col(c).isNotNull())
     units = df.groupBy(*keys).agg(F.min(month).alias("_a"), F.max(month).alias("_b"))
     if not per_unit:
-        span = df.agg(F.min(month).alias("a"), F.max(month).alias("b"))
-        units = (units.withColumn("_a", span.select("a").scalar())
-                 .withColumn("_b", span.select("b").scalar()))
+        span = units.agg(F.array(F.min("_a"), F.max("_b")).alias("s")).scalar()
+        units = units.withColumn("_s", span).withColumn("_a", F.col("_s")[0]).withColumn("_b", F.col("_s")[1])
     axis = units.select(*keys, F.explode(month_sequence(F.col("_a"), F.col("_b"))).alias(month))
     return axis.join(df.withColumn("observed", F.lit(True)), [*keys, month], "left").withColumn(
         "observed", F.coalesce("observed", F.lit(False)))

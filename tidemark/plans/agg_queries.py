@@ -8,7 +8,7 @@ from tidemark.functions.dates import water_year
 from tidemark.operators import order, overlay, reduce, timeops
 from tidemark.operators.fit import simple_regression
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import (A, AB, B, P, U, points, products, shipped, t_p_sql, table, totals, units)
+from tidemark.plans.roles import (A, AB, B, P, SCALE, U, points, products, shipped, t_p_sql, table, totals, units)
 
 K = ["unit_id"]
 
@@ -54,14 +54,14 @@ def _(spark, sf):
 
 # Cells are customers, their observations monthly order totals, some set to missing.
 CELL = f"""{P}, obs AS (SELECT o_custkey AS cell, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-CASE WHEN min(o_orderkey) % 5 <> 0 THEN sum(o_totalprice) / 1e4 END AS v FROM orders GROUP BY 1, 2),
+CASE WHEN min(o_orderkey) % 5 <> 0 THEN sum(o_totalprice) / {SCALE} END AS v FROM orders GROUP BY 1, 2),
 ov AS (SELECT nation AS unit_id, point_id AS cell, w FROM p),
 j AS (SELECT unit_id, month, v, w FROM obs JOIN ov USING (cell))"""
 
 
 def cell_obs(spark, sf):
     return (table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cell"), F.trunc("o_orderdate", "MM").alias("month"))
-            .agg((F.sum("o_totalprice") / 1e4).alias("_v"), F.min("o_orderkey").alias("_k"))
+            .agg((F.sum("o_totalprice") / SCALE).alias("_v"), F.min("o_orderkey").alias("_k"))
             .select("cell", "month", F.when(F.col("_k") % 5 != 0, F.col("_v")).alias("v")))
 
 
@@ -105,13 +105,13 @@ def _(spark, sf):
 
 
 @query("A10_collapse_by_days", f"""WITH d AS (SELECT l_suppkey AS unit_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_shipdate AS ts,
-l_extendedprice / 1e4 AS v, l_discount / 3 AS noise, l_quantity AS days FROM lineitem),
+l_extendedprice / 9973.0 AS v, l_discount / 3 AS noise, l_quantity AS days FROM lineitem),
 x AS (SELECT unit_id, month, sum(v * days) / sum(days) AS v, sum(noise * days) / sum(days) AS noise, CAST(min(ts) AS DATE) AS first_day,
 CAST(max(ts) AS DATE) AS last_day, sum(days) AS days, sum(epoch(ts) * days) / sum(days) / 86400 AS mid_day FROM d GROUP BY 1, 2)
 SELECT {sel('unit_id:i month:m v:r noise:r first_day:m last_day:m days:r mid_day:r')} FROM x""")
 def _(spark, sf):
     d = items(spark, sf).select(F.col("l_suppkey").alias("unit_id"), F.trunc("l_shipdate", "MM").alias("month"),
-                                (F.col("l_extendedprice") / 1e4).alias("v"), (F.col("l_discount") / 3).alias("noise"),
+                                (F.col("l_extendedprice") / SCALE).alias("v"), (F.col("l_discount") / 3).alias("noise"),
                                 F.col("l_quantity").alias("days"), F.to_date("l_shipdate").alias("day"))
     d = d.withColumn("last_day", F.col("day")).withColumn("first_day", F.col("day"))
     x = reduce.collapse_by_days(d, K, "month", "v", "noise", "days", "first_day", "last_day", "day")
@@ -310,12 +310,12 @@ def _(spark, sf):
 
 
 @query("A34_dedupe_then_sum", f"""WITH d AS (SELECT DISTINCT o_custkey, o_totalprice, o_orderkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-x AS (SELECT l_suppkey, sum(o_totalprice) / 1e4 AS total, count(*) AS n FROM d GROUP BY 1) SELECT {sel('l_suppkey:i total:r n:i')} FROM x""")
+x AS (SELECT l_suppkey, sum(o_totalprice) / {SCALE} AS total, count(*) AS n FROM d GROUP BY 1) SELECT {sel('l_suppkey:i total:r n:i')} FROM x""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     l = items(spark, sf).select("l_orderkey", "l_suppkey").dropDuplicates()
     return (l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey")
-            .agg((F.sum("o_totalprice") / 1e4).alias("total"), F.count("*").alias("n")))
+            .agg((F.sum("o_totalprice") / SCALE).alias("total"), F.count("*").alias("n")))
 
 
 @query("A35_ensemble_mean_spread", f"""WITH {A}, {B}, e AS (SELECT unit_id, month, value AS v FROM a UNION ALL SELECT unit_id, month, value FROM b UNION ALL SELECT unit_id, month, qty FROM b),

@@ -8,7 +8,7 @@ from tidemark.functions import geo
 from tidemark.functions.dates import water_year
 from tidemark.operators import filters, joins, overlay, reduce, timeops
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import (A, AB, B, CROSS, E, P, S, U, haversine_sql, outlines, points, products, shipped, sites, table, totals, units)
+from tidemark.plans.roles import (A, AB, B, CROSS, E, P, S, SCALE, U, haversine_sql, outlines, points, products, shipped, sites, table, totals, units)
 
 K = ["unit_id"]
 INBOX = """p.lat >= u.lat_min AND p.lat < u.lat_max AND CASE WHEN u.lon_min < u.lon_max THEN p.lon >= u.lon_min AND p.lon < u.lon_max
@@ -250,14 +250,14 @@ def _(spark, sf):
     return fine.groupBy("ci", "cj").agg(reduce.weighted_mean(F.col("v"), F.col("w")).alias("mean"), F.count("*").alias("cells"))
 
 
-@query("J32_product_at_point", f"""WITH {GRID}, ob AS (SELECT ci, cj, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(CASE WHEN o_totalprice < 300000 THEN o_totalprice END) / 1e4 AS v FROM orders JOIN g ON o_custkey = point_id GROUP BY 1, 2, 3),
+@query("J32_product_at_point", f"""WITH {GRID}, ob AS (SELECT ci, cj, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(CASE WHEN o_totalprice < 300000 THEN o_totalprice END) / {SCALE} AS v FROM orders JOIN g ON o_custkey = point_id GROUP BY 1, 2, 3),
 st AS (SELECT s_suppkey, CAST(floor((CAST((s_suppkey * 53) % 1700 AS DOUBLE) / 10 + 5) / 10) AS BIGINT) AS ci, CAST(floor((CAST((s_suppkey * 37) % 3600 AS DOUBLE) / 10) / 10) AS BIGINT) AS cj FROM supplier),
 x AS (SELECT s_suppkey AS unit_id, month, v - avg(v) OVER (PARTITION BY s_suppkey) AS anomaly FROM st JOIN ob USING (ci, cj) WHERE v IS NOT NULL) SELECT {sel('unit_id:i month:m anomaly:r')} FROM x""")
 def _(spark, sf):
     cell = gridded(spark, sf).select("point_id", "ci", "cj")
     good = filters.sentinel_to_null(F.when(F.col("o_totalprice") < 300000, F.col("o_totalprice")))
     obs = (table(spark, sf, "orders").join(cell, F.col("o_custkey") == F.col("point_id"))
-           .groupBy("ci", "cj", F.trunc("o_orderdate", "MM").alias("month")).agg((F.avg(good) / 1e4).alias("v")).where("v is not null"))
+           .groupBy("ci", "cj", F.trunc("o_orderdate", "MM").alias("month")).agg((F.avg(good) / SCALE).alias("v")).where("v is not null"))
     ci, cj = overlay.grid_index(F.col("lat"), F.col("lon"), -90.0, -180.0, 10.0)
     at = sites(spark, sf).select("unit_id", ci.alias("ci"), cj.alias("cj")).join(obs, ["ci", "cj"])
     return timeops.recentre(at, K, "v", "anomaly").select("unit_id", "month", "anomaly")

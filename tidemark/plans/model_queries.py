@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import fit, flags, order, overlay, panel, reduce, spatial, timeops
 from tidemark.plans import studies
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import (A, AB, B, P, S, U, WELL, great_circle_sql, haversine_sql, ols_sql, points, products, shipped, sites,
+from tidemark.plans.roles import (A, AB, B, P, S, SCALE, U, WELL, great_circle_sql, haversine_sql, ols_sql, points, products, shipped, sites,
                                   t_p_sql, table, totals, trend_xs, units, wells)
 from tidemark.plans.row_queries import METRIC, metrics
 
@@ -435,12 +435,12 @@ def _(spark, sf):
     return t.join(rg.groupBy("parent_id").agg(F.avg("spread").alias("sp")), "parent_id")
 
 
-DELTA = f"""{WELL}, r AS (SELECT unit_id, block_id, CASE WHEN count(*) >= 4 THEN corr(y, x1) - corr(y, x2) END AS d FROM w GROUP BY 1, 2), dk AS (SELECT * FROM r WHERE d IS NOT NULL AND NOT isnan(d))"""
+DELTA = f"""{WELL}, r AS (SELECT unit_id, block_id, CASE WHEN count(*) >= 4 THEN round(corr(y, x1) - corr(y, x2), 9) END AS d FROM w GROUP BY 1, 2), dk AS (SELECT * FROM r WHERE d IS NOT NULL AND NOT isnan(d))"""
 
 
 def deltas(spark, sf):
     d = wells(spark, sf).groupBy("unit_id", "block_id").agg(
-        (reduce.paired_r(F.col("y"), F.col("x1"), 4) - reduce.paired_r(F.col("y"), F.col("x2"), 4)).alias("d"))
+        F.round(reduce.paired_r(F.col("y"), F.col("x1"), 4) - reduce.paired_r(F.col("y"), F.col("x2"), 4), 9).alias("d"))
     return d.where("d is not null")
 
 
@@ -539,13 +539,13 @@ def _(spark, sf):
 
 
 @query("M36_coverage_by_unit", f"""WITH {P}, {U}, bx AS (SELECT point_id, min(u.unit_id) AS unit_id FROM p JOIN u ON p.lat >= lat_min AND p.lat < lat_max AND CASE WHEN lon_min < lon_max THEN p.lon >= lon_min AND p.lon < lon_max ELSE p.lon >= lon_min OR p.lon < lon_max END GROUP BY 1),
-r AS (SELECT unit_id, year(o_orderdate) AS y, o_totalprice / 1e4 AS area, o_orderstatus = 'F' AS hit FROM orders JOIN bx ON point_id = o_custkey), s AS (SELECT r.unit_id, y, 100 * sum(CASE WHEN hit THEN area ELSE 0 END) / max(area_km2) AS share, count(*) AS c FROM r JOIN u USING (unit_id) GROUP BY 1, 2),
+r AS (SELECT unit_id, year(o_orderdate) AS y, o_totalprice / {SCALE} AS area, o_orderstatus = 'F' AS hit FROM orders JOIN bx ON point_id = o_custkey), s AS (SELECT r.unit_id, y, 100 * sum(CASE WHEN hit THEN area ELSE 0 END) / max(area_km2) AS share, count(*) AS c FROM r JOIN u USING (unit_id) GROUP BY 1, 2),
 x AS (SELECT unit_id, avg(share) AS mean_share, min(share) AS min_share, max(share) AS max_share, sum(c) AS rows FROM s GROUP BY 1) SELECT {sel('unit_id:i mean_share:r min_share:r max_share:r rows:i')} FROM x""")
 def _(spark, sf):
     u = units(spark, sf)
     box = overlay.first_box(points(spark, sf), u, "point_id", "unit_id").where("unit_id >= 0")
     r = table(spark, sf, "orders").join(box, F.col("o_custkey") == F.col("point_id")).select(
-        "unit_id", F.year("o_orderdate").alias("y"), (F.col("o_totalprice") / 1e4).alias("area"), (F.col("o_orderstatus") == "F").alias("hit"))
+        "unit_id", F.year("o_orderdate").alias("y"), (F.col("o_totalprice") / SCALE).alias("area"), (F.col("o_orderstatus") == "F").alias("hit"))
     return studies.coverage_by_unit(r, "unit_id", "y", F.col("area"), F.col("hit"), u.select("unit_id", "area_km2"))
 
 

@@ -403,12 +403,12 @@ def _(spark, sf):
     return b.select("o_custkey", F.explode(dates.month_sequence(F.col("a"), F.col("z"))).alias("month"))
 
 
-@query("F19_unit_conversions", f"""WITH d AS (SELECT p_partkey, p_retailprice / 7 AS v, 1000.0 + p_size AS area FROM part),
+@query("F19_unit_conversions", f"""WITH d AS (SELECT p_partkey, p_retailprice / 9.973 AS v, 1000.0 + p_size AS area FROM part),
 x AS (SELECT p_partkey, v * 10 AS mm, v * 1e-6 * 86400 * 30 AS rate_mm, v * 1233.48184 / (area * 1e6) * 1e3 AS af_mm, v * 1e3 * 1233.48184 / (area * 1e6) * 1e3 AS taf_mm, v * 1000 / area AS hm3_mm,
 v * 0.0040468564224 AS km2, v * 304.8 AS depth_mm, v * area * 1e-6 AS km3_yr, v / 2000 * 1000 AS vol_mm, 100 * v / area AS pct FROM d)
 SELECT {sel('p_partkey:i mm:r rate_mm:r af_mm:r taf_mm:r hm3_mm:r km2:r depth_mm:r km3_yr:r vol_mm:r pct:r')} FROM x""")
 def _(spark, sf):
-    v, area = F.col("p_retailprice") / 7, F.col("p_size") + 1000.0
+    v, area = F.col("p_retailprice") / 9.973, F.col("p_size") + 1000.0
     return table(spark, sf, "part").select(
         "p_partkey", conv.cm_to_mm(v).alias("mm"), conv.rate_to_mm_month(v * 1e-6, F.lit(30)).alias("rate_mm"), conv.acre_feet_to_mm(v, area).alias("af_mm"),
         conv.thousand_acre_feet_to_mm(v, area).alias("taf_mm"), conv.hm3_to_mm(v, area).alias("hm3_mm"), conv.acres_to_km2(v).alias("km2"),

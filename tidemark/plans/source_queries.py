@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from tidemark.functions import units as conv
 from tidemark.operators import filters
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import A, B, P, points, shipped, table, totals
+from tidemark.plans.roles import A, B, P, SCALE, points, shipped, table, totals
 from tidemark.session import shared_folder
 from tidemark.sources import documents, sinks, tables
 from tidemark.streaming import incremental
@@ -24,13 +24,13 @@ def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-@query("S01_csv_scan", f"""WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n, sum(o_totalprice) / 1e4 AS total FROM orders GROUP BY 1) SELECT {sel('month:m n:i total:r')} FROM x""")
+@query("S01_csv_scan", f"""WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n, sum(o_totalprice) / {SCALE} AS total FROM orders GROUP BY 1) SELECT {sel('month:m n:i total:r')} FROM x""")
 def _(spark, sf):
     path = scratch(spark, "csv")
     o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
     sinks.write_table(o, path, "csv")
     back = tables.read_csv(spark, path, "o_orderkey bigint, day date, o_totalprice double")
-    return back.groupBy(F.trunc("day", "MM").alias("month")).agg(F.count("*").alias("n"), (F.sum("o_totalprice") / 1e4).alias("total"))
+    return back.groupBy(F.trunc("day", "MM").alias("month")).agg(F.count("*").alias("n"), (F.sum("o_totalprice") / SCALE).alias("total"))
 
 
 @query("S02_commented_csv_daily_to_monthly", f"""WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS mean, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT {sel('month:m mean:r n:i')} FROM x""")
@@ -61,7 +61,7 @@ def _(spark, sf):
     return spark.sql("SELECT p_brand, sum(p_retailprice) AS total FROM tidemark_part_csv GROUP BY p_brand")
 
 
-@query("S05_json_snapshots", f"""WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n, sum(CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END) / 1e4 AS storage FROM orders GROUP BY 1) SELECT {sel('date:m n:i storage:r')} FROM x""")
+@query("S05_json_snapshots", f"""WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n, sum(CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END) / {SCALE} AS storage FROM orders GROUP BY 1) SELECT {sel('date:m n:i storage:r')} FROM x""")
 def _(spark, sf):
     # The writer names the files itself, so the date stands in the folder.
     path = scratch(spark, "snapshots")
@@ -71,7 +71,7 @@ def _(spark, sf):
         F.lit("25.1").alias("latitud"), F.lit("-100.2").alias("longitud"), value.alias("almacenaactual"))
     rows.repartition("date").write.mode("overwrite").partitionBy("date").json(path)
     back = documents.read_snapshots(spark, path, multi_line=False)
-    return back.groupBy("date").agg(F.count("*").alias("n"), (F.sum("almacenaactual") / 1e4).alias("storage"))
+    return back.groupBy("date").agg(F.count("*").alias("n"), (F.sum("almacenaactual") / SCALE).alias("storage"))
 
 
 @query("S06_geojson_year_columns", f"""WITH x AS (SELECT 'conagua:' || c_name || '|' || c_custkey AS site, CAST(c_custkey * 53 % 1700 AS DOUBLE) / 10 - 85 AS lat, CAST(year(o_orderdate) AS BIGINT) AS year, round(sum(o_totalprice) - 200000, 2) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)
@@ -92,7 +92,7 @@ def _(spark, sf):
     return documents.year_properties(rows, "conagua", "PNE_", "NOMBRE_POZ", "CLAVE_ACUI").select("site", "lat", "year", "value")
 
 
-@query("S07_zipped_csv_members", f"""WITH x AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n, sum(o_totalprice) / 1e4 AS total FROM orders GROUP BY 1) SELECT {sel('year:i n:i total:r')} FROM x""")
+@query("S07_zipped_csv_members", f"""WITH x AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n, sum(o_totalprice) / {SCALE} AS total FROM orders GROUP BY 1) SELECT {sel('year:i n:i total:r')} FROM x""")
 def _(spark, sf):
     path = scratch(spark, "zips")
     os.makedirs(path, exist_ok=True)
@@ -112,7 +112,7 @@ def _(spark, sf):
     src.mapInPandas(pack, "file string").count()
     schema = StructType([StructField("o_orderkey", LongType()), StructField("o_totalprice", DoubleType())])
     back = documents.read_zipped_csv(spark, path, schema, r"WY(?:%20|\s)*(\d{4})")
-    return back.groupBy("year").agg(F.count("*").alias("n"), (F.sum("o_totalprice") / 1e4).alias("total"))
+    return back.groupBy("year").agg(F.count("*").alias("n"), (F.sum("o_totalprice") / SCALE).alias("total"))
 
 
 @query("S08_grid_scan_pruned", f"""WITH {A}, x AS (SELECT unit_id, count(*) AS n, sum(value) AS total FROM a WHERE year(month) BETWEEN 1996 AND 1997 GROUP BY 1) SELECT {sel('unit_id:i n:i total:r')} FROM x""")
