@@ -457,3 +457,50 @@ def test_override_takes_missing_values_too(spark):
     over = series(spark, [(0, 9.0)])
     got = joins.override(base, over, base.select("unit_id"), ["unit_id", "month"], "unit_id", "v").orderBy("month").collect()
     assert [r["v"] for r in got] == [9.0, None]
+
+
+# --- skew --------------------------------------------------------------------------------------
+
+SKEW_CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3", "spark.sql.shuffle.partitions": "40"}
+
+
+@pytest.fixture
+def small_limits(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW_CONF}
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_points(spark, n=200_000):
+    """A third of the points in one bucket."""
+    hot = F.col("id") % 3 == 0
+    return spark.range(n).select(F.col("id").alias("p"), F.when(hot, 1.0 + F.rand(1)).otherwise(F.rand(2) * 160 - 80).alias("lat"),
+                                 F.when(hot, 1.0 + F.rand(3)).otherwise(F.rand(4) * 360 - 180).alias("lon"))
+
+
+def split_by_spark(df) -> bool:
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_bucket_is_split_over_tasks(spark, small_limits):
+    corner = spark.range(400).select(F.col("id").alias("unit_id"), (F.rand(5) * 150 - 80).alias("y"), (F.rand(6) * 340 - 180).alias("x"))
+    boxes = corner.select("unit_id", F.col("y").alias("lat_min"), (F.col("y") + 9).alias("lat_max"), F.col("x").alias("lon_min"), (F.col("x") + 9).alias("lon_max"))
+    ring = [(0, 0), (12, 1), (11, 9), (1, 8)]
+    edges = corner.select("unit_id", F.explode(F.array(*[F.struct(
+        (F.col("x") + a[0]).alias("x1"), (F.col("y") + a[1]).alias("y1"), (F.col("x") + b[0]).alias("x2"), (F.col("y") + b[1]).alias("y2"))
+        for a, b in zip(ring, ring[1:] + ring[:1])])).alias("e")).select("unit_id", "e.*")
+    pts = hot_points(spark)
+    assert split_by_spark(overlay.first_box(pts, boxes, "p", "unit_id"))
+    assert split_by_spark(overlay.points_in_polygons(pts, edges, "p"))
+
+
+def test_a_hot_cell_is_split_over_tasks(spark, small_limits):
+    obs = hot_points(spark).select(F.when(F.col("p") % 3 == 0, 0).otherwise(F.col("p") % 2000).alias("cell"), F.lit(1).alias("month"), F.col("lat").alias("v"))
+    over = spark.range(2000).select(F.lit(1).alias("unit_id"), F.col("id").alias("cell"), F.lit(1.0).alias("w"))
+    assert split_by_spark(reduce.overlay_means(over, obs, ["cell"], "unit_id", "month", "v", "w"))

@@ -74,7 +74,7 @@ def _(spark, sf):
     return back.groupBy("date").agg(F.count("*").alias("n"), (F.sum("almacenaactual") / SCALE).alias("storage"))
 
 
-@query("S06_geojson_year_columns", f"""WITH x AS (SELECT 'conagua:' || c_name || '|' || c_custkey AS site, CAST(c_custkey * 53 % 1700 AS DOUBLE) / 10 - 85 AS lat, CAST(year(o_orderdate) AS BIGINT) AS year, round(sum(o_totalprice) - 200000, 2) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)
+@query("S06_geojson_year_columns", f"""WITH x AS (SELECT 'mx:' || c_name || '|' || c_custkey AS site, CAST(c_custkey * 53 % 1700 AS DOUBLE) / 10 - 85 AS lat, CAST(year(o_orderdate) AS BIGINT) AS year, round(sum(o_totalprice) - 200000, 2) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)
 SELECT {sel('site:s lat:r year:i value:r')} FROM x WHERE value > 0""")
 def _(spark, sf):
     path = scratch(spark, "geojson")
@@ -89,7 +89,7 @@ def _(spark, sf):
     # One feature per document keeps the writer from collecting all features in one row.
     c.select(F.array(feature).alias("features")).write.mode("overwrite").json(path)
     rows = spark.read.schema("features array<struct<geometry:struct<coordinates:array<double>>,properties:map<string,string>>>").json(path)
-    return documents.year_properties(rows, "conagua", "PNE_", "NOMBRE_POZ", "CLAVE_ACUI").select("site", "lat", "year", "value")
+    return documents.year_properties(rows, "mx", "PNE_", "NOMBRE_POZ", "CLAVE_ACUI").select("site", "lat", "year", "value")
 
 
 @query("S07_zipped_csv_members", f"""WITH x AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n, sum(o_totalprice) / {SCALE} AS total FROM orders GROUP BY 1) SELECT {sel('year:i n:i total:r')} FROM x""")
