@@ -22,16 +22,26 @@ def con():
 
 def ordered(columns, rows):
     at = sorted(range(len(columns)), key=lambda i: columns[i])
-    return [columns[i] for i in at], sorted([tuple(r[i] for i in at) for r in rows], key=repr)
+    rows = [tuple(r[i] for i in at) for r in rows]
+    return [columns[i] for i in at], sorted(rows, key=lambda r: repr([round(v, 3) if isinstance(v, float) else v for v in r]))
+
+
+def same(a, b) -> bool:
+    """Equal up to the last of the six places: two engines may round a half apart."""
+    if isinstance(a, float) and isinstance(b, float):
+        return abs(a - b) < 1.5e-6
+    return type(a) is type(b) and a == b
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
-    got = ordered(df.columns, [tuple(r) for r in df.collect()])
-    assert got[1] or name == "P11_admission_mask"
-    if name in ORACLE:
-        cur = con.execute(ORACLE[name])
-        want = ordered([d[0] for d in cur.description], cur.fetchall())
-        assert got[0] == want[0]
-        assert [repr(r) for r in got[1]] == [repr(r) for r in want[1]]
+    columns, got = ordered(df.columns, [tuple(r) for r in df.collect()])
+    if name not in ORACLE:
+        assert got
+        return
+    cur = con.execute(ORACLE[name])
+    names, want = ordered([d[0] for d in cur.description], cur.fetchall())
+    assert columns == names and len(got) == len(want)
+    wrong = [(g, w) for g, w in zip(got, want) if not all(map(same, g, w))]
+    assert not wrong, wrong[:2]

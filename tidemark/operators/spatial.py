@@ -212,9 +212,9 @@ def pair_decorrelation(vectors: DataFrame, width: float = 50.0, adjacent_km: flo
         kernel, "bin bigint, n bigint, s double, q double, low double")
     t = sums.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
                                 F.min("low").alias("min_r"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+    var = F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)
     return t.select("bin", "n", (F.col("s") / F.col("n")).alias("mean_r"),
-                    F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_r"), "min_r",
+                    F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std_r"), "min_r",
                     ((F.col("bin") - 0.5) * width).alias("dist_mid"))
 
 

@@ -11,7 +11,7 @@ from tidemark.plans.registry import finish, query, sel
 from tidemark.plans.roles import A, ols_sql, t_p_sql, totals, trend_xs
 
 SQL = f"""WITH {A}, d AS (SELECT *, value - avg(value) OVER (PARTITION BY unit_id, month(month)) AS des FROM a),
-{ols_sql('d', 'unit_id', 'des', trend_xs(), 'month')},
+{ols_sql('d', 'unit_id', 'des', trend_xs(), 'month', min_rows=36)},
 f AS (SELECT unit_id, n, b AS trend, num / den AS r1, n * (1 - num / den) / (1 + num / den) AS n_eff,
              rss / (n - 6) / q AS v FROM g_fit WHERE n >= 36),
 s AS (SELECT *, sqrt(v * n / n_eff) AS se, trend / sqrt(v * n / n_eff) AS t FROM f),

@@ -31,7 +31,7 @@ def stats_sql(src: str, k: int, kind: str, b: str = "b") -> str:
     return f"(SELECT *, b / se AS t FROM (SELECT *, {r} AS r1, {ne} AS n_eff, {df} AS df, sqrt({var}) AS se FROM {src}))"
 
 
-@query("M01_trend_fit", f"""WITH {A}, {ols_sql('a', 'unit_id', 'value', trend_xs(), 'month')}, x AS (SELECT *, b AS trend, {t_p_sql('t', 'df')} AS p FROM {stats_sql('g_fit', 6, 'trend')})
+@query("M01_trend_fit", f"""WITH {A}, {ols_sql('a', 'unit_id', 'value', trend_xs(), 'month', min_rows=36)}, x AS (SELECT *, b AS trend, {t_p_sql('t', 'df')} AS p FROM {stats_sql('g_fit', 6, 'trend')})
 SELECT {sel('unit_id:i n:i trend:r se:r r1:r n_eff:r p:r')} FROM x""")
 def _(spark, sf):
     f = fit.trend(totals(spark, sf), K, "month", "value")
@@ -41,7 +41,7 @@ def _(spark, sf):
 STEP = f"""{A}, d AS (SELECT *, s0 - avg(s0) OVER (PARTITION BY unit_id) AS step FROM (SELECT *, CASE WHEN month >= DATE '1999-02-01' THEN 1.0 ELSE 0.0 END AS s0 FROM a))"""
 
 
-@query("M02_trend_with_step", f"""WITH {STEP}, {ols_sql('d', 'unit_id', 'value', trend_xs() + ['step'], 'month')}, pl AS (SELECT unit_id, b AS step, se AS se_plain, {t_p_sql('t', 'df')} AS p_plain FROM {stats_sql('g_fit', 7, 'plain')}),
+@query("M02_trend_with_step", f"""WITH {STEP}, {ols_sql('d', 'unit_id', 'value', trend_xs() + ['step'], 'month', min_rows=36)}, pl AS (SELECT unit_id, b AS step, se AS se_plain, {t_p_sql('t', 'df')} AS p_plain FROM {stats_sql('g_fit', 7, 'plain')}),
 il AS (SELECT unit_id, se AS se_inflated FROM {stats_sql('g_fit', 7, 'inflated')}) SELECT {sel('unit_id:i step:r se_plain:r p_plain:r se_inflated:r')} FROM pl JOIN il USING (unit_id)""")
 def _(spark, sf):
     era = (F.col("month") >= F.lit("1999-02-01").cast("date")).cast("double")
@@ -51,7 +51,7 @@ def _(spark, sf):
     return one.join(two, "unit_id")
 
 
-@query("M03_trends_per_era", f"""WITH {A}, d AS (SELECT *, CASE WHEN month >= DATE '1999-02-01' THEN 'after' ELSE 'before' END AS era FROM a), {ols_sql('d', 'unit_id, era', 'value', trend_xs(), 'month')},
+@query("M03_trends_per_era", f"""WITH {A}, d AS (SELECT *, CASE WHEN month >= DATE '1999-02-01' THEN 'after' ELSE 'before' END AS era FROM a), {ols_sql('d', 'unit_id, era', 'value', trend_xs(), 'month', min_rows=24)},
 x AS (SELECT *, b AS trend, {t_p_sql('t', 'df')} AS p FROM {stats_sql('g_fit', 6, 'trend')} WHERE n >= 24) SELECT {sel('unit_id:i era:s n:i trend:r p:r')} FROM x""")
 def _(spark, sf):
     d = timeops.era_by_largest_gap(totals(spark, sf), K, "month", "era", ("before", "after"))
@@ -67,7 +67,7 @@ def with_rain(spark, sf):
     return totals(spark, sf).join(cum, ["unit_id", "month"])
 
 
-@query("M04_adjusted_trend", f"""WITH {CUM}, {ols_sql('d', 'unit_id', 'value', trend_xs(), 'month', 'g')}, {ols_sql('d', 'unit_id', 'value', ['cum'] + trend_xs(), 'month', 'h')},
+@query("M04_adjusted_trend", f"""WITH {CUM}, {ols_sql('d', 'unit_id', 'value', trend_xs(), 'month', 'g', 60)}, {ols_sql('d', 'unit_id', 'value', ['cum'] + trend_xs(), 'month', 'h', 60)},
 pl AS (SELECT unit_id, n, b AS unadjusted FROM g_fit WHERE n >= 60), ad AS (SELECT unit_id, b AS adjusted, {t_p_sql('t', 'df')} AS p_adjusted, n_eff AS n_eff_adjusted FROM {stats_sql('h_fit', 7, 'trend')}),
 x AS (SELECT *, adjusted / unadjusted AS fraction_unexplained, unadjusted - adjusted AS explained_trend FROM pl JOIN ad USING (unit_id)) SELECT {sel('unit_id:i n:i unadjusted:r adjusted:r p_adjusted:r n_eff_adjusted:r fraction_unexplained:r explained_trend:r')} FROM x""")
 def _(spark, sf):
@@ -82,13 +82,13 @@ def xs_last(last: str, extra: list[str] | None = None) -> list[str]:
 T0 = "(epoch(CAST(month AS TIMESTAMP)) / 31557600.0 - 30.0)"
 
 
-@query("M05_corrected_series", f"""WITH {CUM}, {ols_sql('d', 'unit_id', 'value', ['cum'] + trend_xs(), 'month', 'g')}, {ols_sql('d', 'unit_id', 'value', xs_last('one', ['cum']), 'month', 'h')},
+@query("M05_corrected_series", f"""WITH {CUM}, {ols_sql('d', 'unit_id', 'value', ['cum'] + trend_xs(), 'month', 'g', 36)}, {ols_sql('d', 'unit_id', 'value', xs_last('one', ['cum']), 'month', 'h', 36)},
 x AS (SELECT ge.unit_id, ge.ord AS month, gf.b * (epoch(CAST(ge.ord AS TIMESTAMP)) / 31557600.0 - 30.0) + hf.b + ge.e AS corrected FROM g_e ge JOIN g_fit gf USING (unit_id) JOIN h_fit hf USING (unit_id)) SELECT {sel('unit_id:i month:m corrected:r')} FROM x""")
 def _(spark, sf):
     return fit.corrected_series(with_rain(spark, sf), K, "month", "value", ["cum"]).select("unit_id", "month", "corrected")
 
 
-@query("M06_harmonic_amplitudes", f"""WITH {A}, {', '.join(ols_sql('a', 'unit_id', 'value', trend_xs(last=c), 'month', 'g' + c) for c in ('c1', 's1', 'c2', 's2'))},
+@query("M06_harmonic_amplitudes", f"""WITH {A}, {', '.join(ols_sql('a', 'unit_id', 'value', trend_xs(last=c), 'month', 'g' + c, 36) for c in ('c1', 's1', 'c2', 's2'))},
 x AS (SELECT a1.unit_id, sqrt(a1.b ** 2 + b1.b ** 2) AS annual, sqrt(a2.b ** 2 + b2.b ** 2) AS semiannual, a1.resid_std, a1.num / a1.den AS r1 FROM gc1_fit a1 JOIN gs1_fit b1 USING (unit_id) JOIN gc2_fit a2 USING (unit_id) JOIN gs2_fit b2 USING (unit_id))
 SELECT {sel('unit_id:i annual:r semiannual:r resid_std:r r1:r')} FROM x""")
 def _(spark, sf):
@@ -96,7 +96,7 @@ def _(spark, sf):
     return f.select("unit_id", F.hypot("b_c1", "b_s1").alias("annual"), F.hypot("b_c2", "b_s2").alias("semiannual"), "resid_std", "r1")
 
 
-@query("M07_trend_removed_anomaly", f"""WITH {A}, {ols_sql('a', 'unit_id', 'value', trend_xs(), 'month')}, x AS (SELECT unit_id, ord AS month, e FROM g_e) SELECT {sel('unit_id:i month:m e:r')} FROM x""")
+@query("M07_trend_removed_anomaly", f"""WITH {A}, {ols_sql('a', 'unit_id', 'value', trend_xs(), 'month', min_rows=36)}, x AS (SELECT unit_id, ord AS month, e FROM g_e) SELECT {sel('unit_id:i month:m e:r')} FROM x""")
 def _(spark, sf):
     return fit.corrected_series(totals(spark, sf), K, "month", "value").select("unit_id", "month", "e")
 
@@ -134,17 +134,17 @@ def flux_series(spark, sf):
     return d.withColumn("one", F.lit(1.0))
 
 
-@query("M09_flux_ols", f"""WITH {FLUX}, {ols_sql('d', 'unit_id', 'dd', ['1.0', 'pp', 'cc'], 'month', 'g')}, {ols_sql('d', 'unit_id', 'dd', ['1.0', 'cc', 'pp'], 'month', 'h')},
+@query("M09_flux_ols", f"""WITH {FLUX}, {ols_sql('d', 'unit_id', 'dd', ['1.0', 'pp', 'cc'], 'month', 'g', 20)}, {ols_sql('d', 'unit_id', 'dd', ['1.0', 'cc', 'pp'], 'month', 'h', 20)},
 c AS (SELECT unit_id, n, n_eff, resid_std, b AS b_cc, se AS se_cc, {t_p_sql('t', 'df')} AS p_cc FROM {stats_sql('g_fit', 3, 'flux')}), p AS (SELECT unit_id, b AS b_pp, se AS se_pp FROM {stats_sql('h_fit', 3, 'flux')})
 SELECT {sel('unit_id:i n:i n_eff:r resid_std:r b_cc:r se_cc:r p_cc:r b_pp:r se_pp:r')} FROM c JOIN p USING (unit_id)""")
 def _(spark, sf):
-    f = fit.fit(flux_series(spark, sf), K, "dd", ["one", "pp", "cc"], "month", "flux")
+    f = fit.fit(flux_series(spark, sf), K, "dd", ["one", "pp", "cc"], "month", "flux", 20)
     return f.select("unit_id", "n", "n_eff", "resid_std", "b_cc", "se_cc", "p_cc", "b_pp", "se_pp")
 
 
-@query("M10_ols_inflated_se", f"""WITH {FLUX}, {ols_sql('d', 'unit_id', 'dd', ['1.0', 'pp', 'cc'], 'month', 'g')}, x AS (SELECT unit_id, n, b AS b_cc, se AS se_cc, r1 FROM {stats_sql('g_fit', 3, 'inflated')}) SELECT {sel('unit_id:i n:i b_cc:r se_cc:r r1:r')} FROM x""")
+@query("M10_ols_inflated_se", f"""WITH {FLUX}, {ols_sql('d', 'unit_id', 'dd', ['1.0', 'pp', 'cc'], 'month', 'g', 20)}, x AS (SELECT unit_id, n, b AS b_cc, se AS se_cc, r1 FROM {stats_sql('g_fit', 3, 'inflated')}) SELECT {sel('unit_id:i n:i b_cc:r se_cc:r r1:r')} FROM x""")
 def _(spark, sf):
-    return fit.fit(flux_series(spark, sf), K, "dd", ["one", "pp", "cc"], "month", "inflated").select("unit_id", "n", "b_cc", "se_cc", "r1")
+    return fit.fit(flux_series(spark, sf), K, "dd", ["one", "pp", "cc"], "month", "inflated", 20).select("unit_id", "n", "b_cc", "se_cc", "r1")
 
 
 @query("M11_partial_correlation", f"""WITH {FLUX}, k AS (SELECT * FROM d WHERE dd IS NOT NULL), {ols_sql('k', 'unit_id', 'dd', ['1.0', 'pp'], 'month', 'g')}, {ols_sql('k', 'unit_id', '-cc', ['1.0', 'pp'], 'month', 'h')},
@@ -176,7 +176,7 @@ def flux_rows_sql(p: str, storage: str, flux: str, key: str) -> str:
 {ols_sql(p + '_ok', key, 'dd', ['1.0', 'pp', 'cc'], 'month', p + 'g')},
 {p}_y AS (SELECT {key}, avg(c) AS cu_yr FROM (SELECT {key}, year(month) AS y, sum(c) AS c FROM {p}_ok GROUP BY 1, 2) GROUP BY 1), {p}_nf AS (SELECT {key}, stddev_samp(d2) / sqrt(6) AS noise_floor FROM {p}_d GROUP BY 1),
 {p}_c AS (SELECT {key}, count(*) AS n_months, -corr(d, c) AS r_raw, -corr(dd, cc) AS r_deseason, corr(dd, pp) AS r_dsdt_p, corr(pp, cc) AS r_p_cu, stddev_samp(cc) AS cu_ds_std, stddev_samp(dd) AS dsdt_ds_std,
-(-corr(dd, cc) + corr(dd, pp) * corr(pp, cc)) / sqrt((1 - corr(dd, pp) ** 2) * (1 - corr(pp, cc) ** 2)) AS partial_r FROM {p}_ok GROUP BY 1),
+CASE WHEN count(*) >= 30 THEN (-corr(dd, cc) + corr(dd, pp) * corr(pp, cc)) / sqrt((1 - corr(dd, pp) ** 2) * (1 - corr(pp, cc) ** 2)) END AS partial_r FROM {p}_ok GROUP BY 1),
 {p}_g AS (SELECT {key}, n_eff AS n_eff_resid, resid_std, b AS b_cu, se AS se_cu FROM {stats_sql(p + 'g_fit', 3, 'flux')}),
 {p}_rows AS (SELECT *, noise_floor / sqrt(2) AS dsdt_noise, cu_ds_std / (noise_floor / sqrt(2)) AS snr_noise, cu_ds_std / dsdt_ds_std AS snr_meas, cu_ds_std / resid_std AS snr_resid, -r_dsdt_p * r_p_cu AS induced_via_p, (2 / (cu_ds_std / (noise_floor / sqrt(2)))) ** 2 AS months_for_2sigma
 FROM {p}_c JOIN {p}_y USING ({key}) JOIN {p}_nf USING ({key}) JOIN {p}_g USING ({key}))"""
@@ -424,7 +424,7 @@ def _(spark, sf):
 @query("M27_component_removal", f"""WITH {A}, {B}, {U}, m1 AS (SELECT a.unit_id, a.month, (a.value - avg(a.value) OVER w) - (b.value - avg(b.value) OVER w) AS g FROM a JOIN b ON a.unit_id = b.unit_id AND a.month = b.month WINDOW w AS (PARTITION BY a.unit_id)),
 m2 AS (SELECT a.unit_id, a.month, (a.value - avg(a.value) OVER w) - (b.qty - avg(b.qty) OVER w) AS g FROM a JOIN b ON a.unit_id = b.unit_id AND a.month = b.month WINDOW w AS (PARTITION BY a.unit_id)), al AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2),
 en AS (SELECT unit_id, month, avg(g) AS gws, max(g) - min(g) AS spread, count(g) AS n_models FROM al GROUP BY 1, 2), rg AS (SELECT parent_id, month, sum(gws * area_km2) / sum(area_km2) AS gws, sum(spread * area_km2) / sum(area_km2) AS spread FROM en JOIN u USING (unit_id) GROUP BY 1, 2),
-{ols_sql('rg', 'parent_id', 'gws', trend_xs(), 'month')}, x AS (SELECT parent_id, n, b AS trend, n_eff FROM {stats_sql('g_fit', 6, 'trend')}), y AS (SELECT x.*, sp FROM x JOIN (SELECT parent_id, avg(spread) AS sp FROM rg GROUP BY 1) USING (parent_id)) SELECT {sel('parent_id:i n:i trend:r n_eff:r sp:r')} FROM y""")
+{ols_sql('rg', 'parent_id', 'gws', trend_xs(), 'month', min_rows=36)}, x AS (SELECT parent_id, n, b AS trend, n_eff FROM {stats_sql('g_fit', 6, 'trend')}), y AS (SELECT x.*, sp FROM x JOIN (SELECT parent_id, avg(spread) AS sp FROM rg GROUP BY 1) USING (parent_id)) SELECT {sel('parent_id:i n:i trend:r n_eff:r sp:r')} FROM y""")
 def _(spark, sf):
     b = shipped(spark, sf)
     models = {"value": b.select("unit_id", "month", "value"), "qty": b.select("unit_id", "month", F.col("qty").alias("value"))}
@@ -518,7 +518,7 @@ def _(spark, sf):
     return spatial.identical_series(d, ["o_custkey"], "y", "n", "area").groupBy("cells").agg(F.count("*").alias("groups"), F.sum("area").alias("area"))
 
 
-DRY = f"""{A}, {U}, d AS (SELECT 'early' AS win, * FROM a WHERE month BETWEEN DATE '1995-01-01' AND DATE '1999-12-01' UNION ALL SELECT 'full', * FROM a), {ols_sql('d', 'win, unit_id', 'value', trend_xs(), 'month')},
+DRY = f"""{A}, {U}, d AS (SELECT 'early' AS win, * FROM a WHERE month BETWEEN DATE '1995-01-01' AND DATE '1999-12-01' UNION ALL SELECT 'full', * FROM a), {ols_sql('d', 'win, unit_id', 'value', trend_xs(), 'month', min_rows=24)},
 tr AS (SELECT win, unit_id, b AS trend, {t_p_sql('t', 'df')} AS p FROM {stats_sql('g_fit', 6, 'trend')} WHERE n >= 24), rk AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY p) AS i, count(*) OVER (PARTITION BY win) AS m FROM tr),
 ct AS (SELECT win, max(CASE WHEN p <= 0.05 * i / (m * (ln(m) + 0.5772156649 + 1.0 / (2 * m))) THEN p END) AS cut FROM rk GROUP BY 1)"""
 
@@ -531,7 +531,7 @@ def _(spark, sf):
     return studies.drying(totals(spark, sf), windows, units(spark, sf), "parent_id", -0.2)
 
 
-@query("M35_two_solutions", f"""WITH {AB}, {ols_sql('ab', 'unit_id', 'a', trend_xs(), 'month', 'g')}, {ols_sql('ab', 'unit_id', 'b', trend_xs(), 'month', 'h')},
+@query("M35_two_solutions", f"""WITH {AB}, {ols_sql('ab', 'unit_id', 'a', trend_xs(), 'month', 'g', 36)}, {ols_sql('ab', 'unit_id', 'b', trend_xs(), 'month', 'h', 36)},
 mo AS (SELECT unit_id, count(*) AS n, corr(a, b) AS r, avg(CASE WHEN month < DATE '1999-01-01' THEN a - b END) AS offset_before, avg(CASE WHEN month >= DATE '1999-01-01' THEN a - b END) AS offset_from FROM ab GROUP BY 1),
 x AS (SELECT mo.*, g_fit.b AS trend_a, h_fit.b AS trend_b, (g_fit.b < 0) <> (h_fit.b < 0) AS sign_flip FROM mo JOIN g_fit USING (unit_id) JOIN h_fit USING (unit_id)) SELECT {sel('unit_id:i n:i r:r offset_before:r offset_from:r trend_a:r trend_b:r sign_flip:i')} FROM x""")
 def _(spark, sf):

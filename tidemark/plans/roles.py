@@ -196,16 +196,17 @@ def t_p_sql(t: str, df: str, steps: int = 2000) -> str:
     return f"(1 - ({area(f'atan(abs({t}) / sqrt({df}))')}) / ({area('(pi() / 2)')}))"
 
 
-def ols_sql(base: str, keys: str, y: str, xs: list[str], order: str, name: str = "g") -> str:
+def ols_sql(base: str, keys: str, y: str, xs: list[str], order: str, name: str = "g", min_rows: int | None = None) -> str:
     """CTEs that orthogonalise xs in turn; the last column's coefficient and the residuals come out.
 
     Gives {name}_fit(keys, n, b, q, rss, num, den, corr, ssy) where b is the last column's
-    coefficient, q the sum of its squares after orthogonalisation.
+    coefficient, q the sum of its squares after orthogonalisation. Groups below min_rows are left out.
     """
     k, prev, parts = len(xs), f"{name}_0", []
     cols = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(xs))
     notnull = " AND ".join(f"({c}) IS NOT NULL" for c in [y, *xs])
-    parts.append(f"{prev} AS (SELECT {keys}, {order} AS ord, {y} AS y, {y} AS y0, {cols} FROM {base} WHERE {notnull})")
+    parts.append(f"{prev} AS (SELECT {keys}, {order} AS ord, {y} AS y, {y} AS y0, {cols} FROM {base} WHERE {notnull} "
+                 f"QUALIFY count(*) OVER (PARTITION BY {keys}) >= {min_rows or k + 1})")
     for j in range(k):
         rest = "".join(f", x{m} - x{j} * sum(x{m} * x{j}) OVER w / nullif(sum(x{j} * x{j}) OVER w, 0) AS x{m}"
                        for m in range(j + 1, k))
