@@ -20,9 +20,9 @@ def stats_sql(src: str, k: int, kind: str, b: str = "b") -> str:
         r, ne = "num / den", "(n * (1 - num / den) / (1 + num / den))"
         var, df = f"rss / (n - {k}) / q * n / {ne}", f"({ne} - {k})"
     elif kind == "flux":
-        r = "greatest(-0.99, least(0.99, rc))"
-        ne = f"greatest(3.0, least(n, n * (1 - {r}) / (1 + {r})))"
-        var, df = f"rss / greatest(n - {k}, 1) / q * n / {ne}", f"greatest({ne} - {k}, 1.0)"
+        r = "(CASE WHEN isfinite(rc) THEN greatest(-0.99, least(0.99, rc)) END)"
+        ne = f"(CASE WHEN isfinite(rc) THEN greatest(3.0, least(n, n * (1 - {r}) / (1 + {r}))) END)"
+        var, df = f"rss / greatest(n - {k}, 1) / q * n / {ne}", f"(CASE WHEN isfinite(rc) THEN greatest({ne} - {k}, 1.0) END)"
     elif kind == "inflated":
         r, ne = "num / den", "n"
         var, df = f"rss / (n - {k}) / q * greatest((1 + num / den) / greatest(1 - num / den, 1e-6), 1.0)", f"(n - {k})"
@@ -182,6 +182,11 @@ CASE WHEN count(*) >= 30 THEN (-corr(dd, cc) + corr(dd, pp) * corr(pp, cc)) / sq
 FROM {p}_c JOIN {p}_y USING ({key}) JOIN {p}_nf USING ({key}) JOIN {p}_g USING ({key}))"""
 
 
+def finite(src: str, cols: list[str]) -> str:
+    """Not-a-number, which SQL gives for a constant side, is null."""
+    return f", {src}_f AS (SELECT * REPLACE ({', '.join(f'CASE WHEN isfinite({c}) THEN {c} END AS {c}' for c in cols)}) FROM {src})"
+
+
 FLUXIN = f"{A}, {B}, fl AS (SELECT unit_id, month, value AS c, qty AS p FROM b)"
 M13_COLS = ["n_months", "cu_yr", "cu_ds_std", "dsdt_ds_std", "noise_floor", "dsdt_noise", "snr_noise", "snr_meas", "snr_resid", "r_raw", "r_deseason",
             "r_dsdt_p", "r_p_cu", "induced_via_p", "partial_r", "n_eff_resid", "b_cu", "se_cu", "months_for_2sigma"]
@@ -191,7 +196,7 @@ def flux_inputs(spark, sf):
     return totals(spark, sf), shipped(spark, sf).select("unit_id", "month", F.col("value").alias("c"), F.col("qty").alias("p"))
 
 
-@query("M13_footprint_flux", f"""WITH {FLUXIN}, {flux_rows_sql('k', 'a', 'fl', 'unit_id')} SELECT {sel('unit_id:i n_months:i ' + ' '.join(c + ':r' for c in M13_COLS[1:]))} FROM k_rows""")
+@query("M13_footprint_flux", f"""WITH {FLUXIN}, {flux_rows_sql('k', 'a', 'fl', 'unit_id')} {finite('k_rows', M13_COLS[1:])} SELECT {sel('unit_id:i n_months:i ' + ' '.join(c + ':r' for c in M13_COLS[1:]))} FROM k_rows_f""")
 def _(spark, sf):
     storage, flux = flux_inputs(spark, sf)
     return studies.analyse_footprints(storage, flux, "unit_id").select("unit_id", *M13_COLS)
