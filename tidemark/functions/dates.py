@@ -55,9 +55,14 @@ def decimal_year(d: Column) -> Column:
     return F.year(d) + (F.dayofyear(d) - 1) / length
 
 
+def epoch_seconds(d: Column) -> Column:
+    """Seconds since 1970 as the clock shows them, whatever the session's time zone."""
+    return F.unix_date(F.to_date(d)) * F.lit(86400).cast("bigint") + F.hour(d) * 3600 + F.minute(d) * 60 + F.second(d)
+
+
 def epoch_years(d: Column) -> Column:
     """Years of 365.25 days since 1970."""
-    return F.unix_timestamp(F.to_timestamp(d)) / SECONDS_PER_YEAR
+    return epoch_seconds(d) / SECONDS_PER_YEAR
 
 
 def water_year(d: Column) -> Column:

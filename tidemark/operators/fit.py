@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import SECONDS_PER_YEAR
+from tidemark.functions.dates import SECONDS_PER_YEAR, epoch_seconds, epoch_years
 from tidemark.functions.stats import (clamp_r, harmonics, n_effective, n_effective_bounded,
                                       pearson, solve_normal, t_pvalue)
 
@@ -23,9 +23,7 @@ TREND = ["one", "t", "c1", "s1", "c2", "s2"]
 
 
 def years_from_origin(d: Column) -> Column:
-    seconds = F.unix_timestamp(F.to_timestamp(d)) - F.unix_timestamp(
-        F.to_timestamp(F.lit(ORIGIN)))
-    return seconds / SECONDS_PER_YEAR
+    return (epoch_seconds(d) - epoch_seconds(F.lit(ORIGIN).cast("date"))) / SECONDS_PER_YEAR
 
 
 def trend_design(df: DataFrame, time: str) -> DataFrame:
@@ -33,7 +31,7 @@ def trend_design(df: DataFrame, time: str) -> DataFrame:
 
     The phase of the harmonics is that of years since 1970, as is the time.
     """
-    phase = F.unix_timestamp(F.to_timestamp(F.col(time))) / SECONDS_PER_YEAR
+    phase = epoch_years(F.col(time))
     return df.withColumns({"one": F.lit(1.0), "t": years_from_origin(F.col(time)),
                            **harmonics(phase)})
 

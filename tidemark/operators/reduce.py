@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import epoch_seconds
 from tidemark.functions.stats import pearson
 from tidemark.functions.units import flag, safe_div
 from tidemark.operators.order import quantiles
@@ -88,7 +89,7 @@ def collapse_by_days(df: DataFrame, keys: list[str], month: str, v: str, noise:
     return df.groupBy(*keys, month).agg(
         by_days(F.col(v)).alias(v), by_days(F.col(noise)).alias(noise),
         F.min(start).alias(start), F.max(end).alias(end), F.sum(d).alias(days),
-        by_days(F.unix_timestamp(F.col(mid).cast("timestamp"))).alias("mid_epoch"))
+        by_days(epoch_seconds(F.col(mid))).alias("mid_epoch"))
 
 
 # --- moments ------------------------------------------------------------------

@@ -26,9 +26,10 @@ BANDS = [(0, 250), (250, 500), (500, 750), (750, 1000), (1000, 1500), (1500, 200
 TILE = 512
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, groups: int | None = None) -> DataFrame:
     """Hash partitions of a fixed number. Small rows with much work each would else be merged into few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(parts, groups or parts), *keys)
 
 
 # --- multiple testing -----------------------------------------------------------
@@ -103,7 +104,7 @@ def shuffles(z: DataFrame, n_perm: int, seed: str) -> DataFrame:
     engine. A window holds one permutation, that is one value per unit.
     """
     ids = dense_index(z, "unit_id")
-    dealt = spread(z.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))), "perm")
+    dealt = spread(z.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))), "perm", groups=n_perm)
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"),
                              F.col("unit_id").cast("string")))
     place = F.row_number().over(W.partitionBy("perm").orderBy("_mark", "unit_id")) - 1
@@ -308,18 +309,18 @@ def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None
 
     parts = tile_pairs(rows, "unit_id", tile).groupBy("ta", "tb").applyInPandas(
         kernel, "band int, pairs bigint, sums array<double>")
-    pairs = parts.groupBy("band").agg(F.sum("pairs").alias("pairs")).where(F.col("pairs") >= min_pairs)
-    sims = (parts.select("band", F.posexplode("sums").alias("perm", "s")).groupBy("band", "perm")
-            .agg(F.sum("s").alias("s")))
+    # One branch, so that the kernel runs once: pairs come along with every permutation.
+    sims = (parts.select("band", "pairs", F.posexplode("sums").alias("perm", "s")).groupBy("band", "perm")
+            .agg(F.sum("s").alias("s"), F.sum("pairs").alias("pairs")).where(F.col("pairs") >= min_pairs))
     size = z.agg(F.array(F.count("*").cast("double"), F.sum(F.col("z") * F.col("z"))).alias("s"))
-    i = F.try_divide(F.col("n") * F.col("s"), F.col("pairs") * F.col("_zz"))
-    sims = sims.join(pairs, "band").withColumn("_s", size.scalar()).withColumn(
-        "n", F.col("_s")[0].cast("bigint")).withColumn("_zz", F.col("_s")[1]).withColumn("i", i)
-    obs = sims.where("perm = 0").select("band", F.col("i").alias("i_obs"))
+    i = F.try_divide(F.col("_s")[0] * F.col("s"), F.col("pairs") * F.col("_s")[1])
+    sims = sims.withColumn("_s", size.scalar()).withColumn("i", i)
+    # A band has one row per permutation.
+    sims = sims.withColumn("i_obs", F.max(F.when(F.col("perm") == 0, F.col("i"))).over(W.partitionBy("band")))
     sim = F.when(F.col("perm") > 0, F.col("i"))
     lo = F.element_at(F.array(*[F.lit(float(x)) for x, _ in bands]), F.col("band") + 1)
     hi = F.element_at(F.array(*[F.lit(float(x)) for _, x in bands]), F.col("band") + 1)
-    return (sims.join(obs, "band").groupBy("band").agg(
+    return (sims.groupBy("band").agg(
         F.first("pairs").alias("pairs"), F.first("i_obs").alias("i"), F.stddev_pop(sim).alias("sd_perm"),
         ((F.count_if(sim >= F.col("i_obs") - 1e-12) + 1) / (F.count(sim) + 1)).alias("p_perm"))
         .select(F.col("band").cast("bigint").alias("band"), lo.alias("lo_km"), hi.alias("hi_km"),
