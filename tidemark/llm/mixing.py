@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.text import word_count
+from tidemark.llm.text import WORD, word_count
 from tidemark.session import cut_lineage
 
 #: Words in a block; slots in an output shard; documents counted by one task; most passes over a source.
 BLOCK, SHARD_SLOTS, CHUNK_ROWS, PASSES = 64, 4096, 1 << 16, 3
 #: Output shards are drawn in at most so many groups; the driver draws the groups, tasks draw the shards.
 GROUPS = 1024
+WORDS = re.compile(WORD)
 WEIGHTS = (1, 2, 3)
 
 
@@ -155,3 +157,31 @@ def taken(sizes: DataFrame, spans: DataFrame) -> DataFrame:
     got = spans.groupBy("uid").agg(F.sum("n_words").alias("taken"))
     return (sizes.join(got, "uid", "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs with the text that the mix takes of each document, and its n_chars; documents of which it takes nothing go.
+
+    A pass that takes a whole document gives its text unchanged; taken parts keep the blanks between their words. Parts and
+    passes follow each other, a line feed between them. Rows that repeat a doc_id share what is taken of either.
+    """
+    spans = mix(docs, **options)[1]
+    of_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.array("pass", "start", "n_words"))).alias("_spans"))
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(text, spans):
+            words = [m.span() for m in WORDS.finditer(t)]
+            parts, last = [], None
+            for turn, start, n in own:
+                if last and last[0] == turn and last[2] == start:
+                    last[2] = start + n
+                else:
+                    last = [turn, start, start + n]
+                    parts.append(last)
+            out.append("\n".join(t if b - a == len(words) else t[words[a][0]:words[b - 1][1]] for _, a, b in parts))
+        return pd.Series(out, dtype=object)
+
+    out = docs.join(of_doc, "doc_id").withColumn("text", cut("text", "_spans"))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)

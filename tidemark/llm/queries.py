@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, embedding_dedup, exact_dedup, lm_score, mixing, packing, simhash, substring_dedup, url_filter
+from tidemark.llm import (chat, embedding_dedup, exact_dedup, language_id, lm_score, mixing, packing, simhash, substring_dedup,
+                          url_filter)
 from tidemark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    pages = language_id.page_rows(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return language_id.identify(pages, model).withColumnRenamed("id", "page_id")
