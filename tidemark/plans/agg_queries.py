@@ -119,12 +119,12 @@ def _(spark, sf):
 
 
 @query("A11_annual_demeaned", f"""WITH {A}, y AS (SELECT unit_id, year(month) AS year, avg(value) AS m FROM a GROUP BY 1, 2),
-ax AS (SELECT unit_id, year FROM (SELECT DISTINCT unit_id FROM a), (SELECT unnest(range(1995, 2003)) AS year)),
+ax AS (SELECT unit_id, year FROM (SELECT DISTINCT unit_id FROM a), (SELECT unnest(range((SELECT min(year) FROM y), (SELECT max(year) + 1 FROM y))) AS year)),
 x AS (SELECT ax.unit_id, ax.year, m - avg(m) OVER (PARTITION BY ax.unit_id) AS anomaly FROM ax LEFT JOIN y USING (unit_id, year))
 SELECT {sel('unit_id:i year:i anomaly:r')} FROM x""")
 def _(spark, sf):
     years = totals(spark, sf).groupBy("unit_id", F.year("month").alias("year")).agg(F.avg("value").alias("m"))
-    axis = years.select("unit_id").distinct().withColumn("year", F.explode(F.sequence(F.lit(1995), F.lit(2002))))
+    axis = years.select("unit_id").distinct().withColumn("year", F.explode(F.sequence(years.agg(F.min("year")).scalar(), years.agg(F.max("year")).scalar())))
     return timeops.recentre(axis.join(years, ["unit_id", "year"], "left"), K, "m", "anomaly").select("unit_id", "year", "anomaly")
 
 
@@ -229,11 +229,11 @@ def _(spark, sf):
     return order.average_rank(rx, "y").agg(F.corr("rx", "rank").alias("rho"), F.count("*").alias("n"))
 
 
-@query("A24_arg_min_max", f"""WITH {A}, x AS (SELECT unit_id, arg_min(month, value) AS low_month, min(value) AS low, arg_max(month, value) AS high_month, max(value) AS high FROM a GROUP BY 1)
+@query("A24_arg_min_max", f"""WITH {A}, x AS (SELECT unit_id, arg_min(month, (value, month)) AS low_month, min(value) AS low, arg_max(month, (value, month)) AS high_month, max(value) AS high FROM a GROUP BY 1)
 SELECT {sel('unit_id:i low_month:m low:r high_month:m high:r')} FROM x""")
 def _(spark, sf):
-    return totals(spark, sf).groupBy("unit_id").agg(F.min_by("month", "value").alias("low_month"), F.min("value").alias("low"),
-                                                    F.max_by("month", "value").alias("high_month"), F.max("value").alias("high"))
+    return totals(spark, sf).groupBy("unit_id").agg(F.min_by("month", F.struct("value", "month")).alias("low_month"), F.min("value").alias("low"),
+                                                    F.max_by("month", F.struct("value", "month")).alias("high_month"), F.max("value").alias("high"))
 
 
 @query("A25_mode", f"""WITH c AS (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -485,10 +485,10 @@ def _(spark, sf):
 
 
 @query("A52_climatology_peak", f"""WITH {B}, c AS (SELECT unit_id, month(month) AS moy, avg(qty) AS m FROM b GROUP BY 1, 2),
-x AS (SELECT unit_id, arg_max(moy, m) AS peak_month, max(m) AS peak, arg_min(moy, m) AS low_month FROM c GROUP BY 1) SELECT {sel('unit_id:i peak_month:i peak:r low_month:i')} FROM x""")
+x AS (SELECT unit_id, arg_max(moy, (m, moy)) AS peak_month, max(m) AS peak, arg_min(moy, (m, moy)) AS low_month FROM c GROUP BY 1) SELECT {sel('unit_id:i peak_month:i peak:r low_month:i')} FROM x""")
 def _(spark, sf):
     c = shipped(spark, sf).groupBy("unit_id", F.month("month").alias("moy")).agg(F.avg("qty").alias("m"))
-    return c.groupBy("unit_id").agg(F.max_by("moy", "m").alias("peak_month"), F.max("m").alias("peak"), F.min_by("moy", "m").alias("low_month"))
+    return c.groupBy("unit_id").agg(F.max_by("moy", F.struct("m", "moy")).alias("peak_month"), F.max("m").alias("peak"), F.min_by("moy", F.struct("m", "moy")).alias("low_month"))
 
 
 @query("A53_neighbour_cell_comparison", f"""WITH cell AS (SELECT c_custkey // 40 AS i, c_custkey % 40 AS j, CAST(c_custkey % 4 AS BIGINT) AS class, CAST(year(o_orderdate) AS BIGINT) AS t, round(sum(o_totalprice) / 1e6, 1) AS v FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),

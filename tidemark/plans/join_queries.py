@@ -8,7 +8,7 @@ from tidemark.functions import geo
 from tidemark.functions.dates import water_year
 from tidemark.operators import filters, joins, overlay, reduce, timeops
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import (A, AB, B, CROSS, E, P, S, SCALE, U, haversine_sql, outlines, points, products, shipped, sites, table, totals, units)
+from tidemark.plans.roles import (A, AB, B, CROSS, E, G, P, S, SCALE, U, gappy_totals, haversine_sql, outlines, points, products, shipped, sites, table, totals, units)
 
 K = ["unit_id"]
 INBOX = """p.lat >= u.lat_min AND p.lat < u.lat_max AND CASE WHEN u.lon_min < u.lon_max THEN p.lon >= u.lon_min AND p.lon < u.lon_max
@@ -84,17 +84,17 @@ def _(spark, sf):
     return g.join(g.where("v > 9000").select("ci", "cj"), ["ci", "cj"], "left_semi").select("point_id")
 
 
-@query("J10_missing_months", f"""WITH {A}, ax AS (SELECT CAST(unnest(range(CAST((SELECT min(month) FROM a) AS TIMESTAMP), CAST((SELECT max(month) FROM a) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS month),
+@query("J10_missing_months", f"""WITH {G}, ax AS (SELECT CAST(unnest(range(CAST((SELECT min(month) FROM a) AS TIMESTAMP), CAST((SELECT max(month) FROM a) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS month),
 x AS (SELECT month FROM ax WHERE month NOT IN (SELECT month FROM a)) SELECT {sel('month:m')} FROM x""")
 def _(spark, sf):
-    return timeops.missing_months(totals(spark, sf), "month")
+    return timeops.missing_months(gappy_totals(spark, sf), "month")
 
 
-@query("J11_complete_axis", f"""WITH {A}, ax AS (SELECT CAST(unnest(range(CAST((SELECT min(month) FROM a) AS TIMESTAMP), CAST((SELECT max(month) FROM a) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS month),
+@query("J11_complete_axis", f"""WITH {G}, ax AS (SELECT CAST(unnest(range(CAST((SELECT min(month) FROM a) AS TIMESTAMP), CAST((SELECT max(month) FROM a) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS month),
 k AS (SELECT unit_id, month FROM (SELECT DISTINCT unit_id FROM a), ax), x AS (SELECT k.unit_id, k.month, value, value IS NOT NULL AS observed FROM k LEFT JOIN a ON a.unit_id = k.unit_id AND a.month = k.month)
 SELECT {sel('unit_id:i month:m value:r observed:i')} FROM x""")
 def _(spark, sf):
-    return timeops.complete_axis(totals(spark, sf), K, "month").select("unit_id", "month", "value", "observed")
+    return timeops.complete_axis(gappy_totals(spark, sf), K, "month").select("unit_id", "month", "value", "observed")
 
 
 @query("J12_override_source", f"""WITH {A}, {B}, x AS (SELECT a.unit_id, a.month, CASE WHEN a.unit_id IN (3, 7) THEN b.value ELSE a.value END AS value, a.unit_id IN (3, 7) AS overridden FROM a LEFT JOIN b ON a.unit_id = b.unit_id AND a.month = b.month)
@@ -232,10 +232,10 @@ def _(spark, sf):
     return near.select(F.col("a").alias("unit_id"), F.col("b").alias("point_id"), "km")
 
 
-@query("J29_nearest_point", f"""WITH {S}, {P}, d AS (SELECT s.unit_id, p.point_id, {haversine_sql('s', 'p')} AS km FROM s, p), x AS (SELECT unit_id, arg_min(point_id, (km, point_id)) AS point_id, min(km) AS km FROM d WHERE km <= 600 GROUP BY 1) SELECT {sel('unit_id:i point_id:i km:r')} FROM x""")
+@query("J29_nearest_point", f"""WITH {S}, {P}, h AS (SELECT unit_id, lat + 2.3 AS lat, lon + 1.7 AS lon FROM s), d AS (SELECT h.unit_id, p.point_id, {haversine_sql('h', 'p')} AS km FROM h, p), x AS (SELECT unit_id, arg_min(point_id, (km, point_id)) AS point_id, min(km) AS km FROM d WHERE km <= 150 GROUP BY 1) SELECT {sel('unit_id:i point_id:i km:r')} FROM x""")
 def _(spark, sf):
-    left = sites(spark, sf).select(F.col("unit_id").alias("a"), "lat", "lon")
-    near = overlay.nearest_within(left, points(spark, sf).select(F.col("point_id").alias("b"), "lat", "lon"), 600.0)
+    left = sites(spark, sf).select(F.col("unit_id").alias("a"), (F.col("lat") + 2.3).alias("lat"), (F.col("lon") + 1.7).alias("lon"))
+    near = overlay.nearest_within(left, points(spark, sf).select(F.col("point_id").alias("b"), "lat", "lon"), 150.0)
     return near.select(F.col("a").alias("unit_id"), F.col("b").alias("point_id"), "km")
 
 

@@ -17,30 +17,45 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def kept(ts: str):
-    """Observed months: every 17th month and one block are absent."""
-    c = F.col(ts)
-    return (((F.year(c) * 12 + F.month(c)) % 17 != 0)
-            & ~((c >= F.lit(GAP[0]).cast("timestamp")) & (c < F.lit(GAP[1]).cast("timestamp"))))
+def booked(month):
+    """Month under which a late report stands: GAP goes to the year before, every 17th month to the next one.
 
+    So the series has gaps of one and of eleven months, and yet every order counts.
+    """
+    early = F.when((month >= F.lit(GAP[0]).cast("date")) & (month < F.lit(GAP[1]).cast("date")), F.add_months(month, -12)).otherwise(month)
+    return F.when((F.year(early) * 12 + F.month(early)) % 17 == 0, F.add_months(early, 1)).otherwise(early)
 
-def totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly series a per unit: scaled order totals by the customer's nation, with gaps."""
-    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice").where(kept("o_orderdate"))
+
+def _totals(spark: SparkSession, sf: str, month) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     return (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .groupBy(F.col("c_nationkey").cast("bigint").alias("unit_id"),
-                     F.trunc("o_orderdate", "MM").alias("month"))
+            .groupBy(F.col("c_nationkey").cast("bigint").alias("unit_id"), month.alias("month"))
             .agg((F.sum("o_totalprice") / SCALE).alias("value")))
 
 
+def totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly series a per unit: scaled order totals by the customer's nation."""
+    return _totals(spark, sf, F.trunc("o_orderdate", "MM"))
+
+
+def gappy_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The series a with absent months, for operators whose feature is gaps."""
+    return _totals(spark, sf, booked(F.trunc("o_orderdate", "MM")))
+
+
 A = f"""a AS (
   SELECT CAST(c_nationkey AS BIGINT) AS unit_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
          sum(o_totalprice) / {SCALE} AS value
-  FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 17 <> 0
-    AND NOT (o_orderdate >= TIMESTAMP '{GAP[0]}' AND o_orderdate < TIMESTAMP '{GAP[1]}')
-  GROUP BY 1, 2)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+
+G = f"""a AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS unit_id,
+         CAST(CASE WHEN (year(early) * 12 + month(early)) % 17 = 0 THEN early + INTERVAL 1 MONTH ELSE early END AS DATE) AS month,
+         sum(o_totalprice) / {SCALE} AS value
+  FROM (SELECT *, CASE WHEN o_orderdate >= TIMESTAMP '{GAP[0]}' AND o_orderdate < TIMESTAMP '{GAP[1]}'
+                       THEN date_trunc('month', o_orderdate) - INTERVAL 1 YEAR ELSE date_trunc('month', o_orderdate) END AS early
+        FROM orders) JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 
 def shipped(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,9 +84,18 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, ["unit_id", "month"])
 
 
-AB = f"""{A}, {B}, ab AS (
+def gappy_products(spark: SparkSession, sf: str) -> DataFrame:
+    """products with the absent months of a."""
+    a = gappy_totals(spark, sf).withColumnRenamed("value", "a")
+    b = shipped(spark, sf).withColumnRenamed("value", "b")
+    return a.join(b, ["unit_id", "month"])
+
+
+SIDE = """ab AS (
   SELECT a.unit_id, a.month, a.value AS a, b.value AS b, b.qty, b.disc, b.cnt
   FROM a JOIN b ON a.unit_id = b.unit_id AND a.month = b.month)"""
+AB = f"{A}, {B}, {SIDE}"
+GB = f"{G}, {B}, {SIDE}"
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:

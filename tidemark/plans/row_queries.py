@@ -8,7 +8,7 @@ from tidemark.functions import dates, geo, stats, text
 from tidemark.functions import units as conv
 from tidemark.operators import filters, flags, order, timeops
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import (A, AB, B, P, U, great_circle_sql, haversine_sql, points, products, shipped,
+from tidemark.plans.roles import (A, AB, B, G, P, U, gappy_totals, great_circle_sql, haversine_sql, points, products, shipped,
                                   t_p_sql, table, totals, units)
 
 K = ["unit_id"]
@@ -246,12 +246,13 @@ def _(spark, sf):
     return order.both_ends(c, "c_acctbal", "c_custkey", 8)
 
 
-@query("T05_default_picks", f"""WITH x AS (SELECT arg_min(c_custkey, c_acctbal) AS loss, arg_max(c_custkey, c_acctbal) AS gain, arg_min(c_custkey, abs(c_acctbal)) FILTER (WHERE c_mktsegment = 'BUILDING') AS flat FROM customer)
+@query("T05_default_picks", f"""WITH x AS (SELECT arg_min(c_custkey, (c_acctbal, c_custkey)) AS loss, arg_max(c_custkey, (c_acctbal, c_custkey)) AS gain, arg_min(c_custkey, (abs(c_acctbal), c_custkey)) FILTER (WHERE c_mktsegment = 'BUILDING') AS flat FROM customer)
 SELECT {sel('loss:i gain:i flat:i')} FROM x""")
 def _(spark, sf):
     return table(spark, sf, "customer").agg(
-        F.min_by("c_custkey", "c_acctbal").alias("loss"), F.max_by("c_custkey", "c_acctbal").alias("gain"),
-        F.min_by("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.abs("c_acctbal"))).alias("flat"))
+        F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("loss"),
+        F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("gain"),
+        F.min_by("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.struct(F.abs("c_acctbal"), "c_custkey"))).alias("flat"))
 
 
 @query("T06_seeded_sample", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5('20260916' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 30")
@@ -279,9 +280,9 @@ def _(spark, sf):
     return totals(spark, sf).select("month").intersect(shipped(spark, sf).select("month"))
 
 
-@query("U03_month_difference", f"""WITH {A}, {B}, x AS (SELECT month FROM b EXCEPT SELECT month FROM a) SELECT {sel('month:m')} FROM x""")
+@query("U03_month_difference", f"""WITH {G}, {B}, x AS (SELECT month FROM b EXCEPT SELECT month FROM a) SELECT {sel('month:m')} FROM x""")
 def _(spark, sf):
-    return shipped(spark, sf).select("month").subtract(totals(spark, sf).select("month"))
+    return shipped(spark, sf).select("month").subtract(gappy_totals(spark, sf).select("month"))
 
 
 @query("U04_distinct", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")

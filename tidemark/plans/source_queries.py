@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import uuid
 import zipfile
 
@@ -14,7 +13,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from tidemark.functions import units as conv
 from tidemark.operators import filters
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import A, B, P, SCALE, points, shipped, table, totals
+from tidemark.plans.roles import A, B, G, P, SCALE, gappy_totals, points, shipped, table, totals
 from tidemark.session import shared_folder
 from tidemark.sources import documents, sinks, tables
 from tidemark.streaming import incremental
@@ -63,14 +62,16 @@ def _(spark, sf):
 
 @query("S05_json_snapshots", f"""WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n, sum(CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END) / {SCALE} AS storage FROM orders GROUP BY 1) SELECT {sel('date:m n:i storage:r')} FROM x""")
 def _(spark, sf):
-    # The writer names the files itself, so the date stands in the folder.
+    # One array of objects for each file, the date in its path; a long month has several files.
     path = scratch(spark, "snapshots")
     value = F.when(F.col("o_orderkey") % 10 == 0, F.lit("n/d")).otherwise(F.col("o_totalprice").cast("string"))
     rows = table(spark, sf, "orders").select(
-        F.date_format("o_orderdate", "yyyy-MM-01").alias("date"), F.concat(F.lit("dam"), "o_custkey").alias("nombrecomun"),
-        F.lit("25.1").alias("latitud"), F.lit("-100.2").alias("longitud"), value.alias("almacenaactual"))
-    rows.repartition("date").write.mode("overwrite").partitionBy("date").json(path)
-    back = documents.read_snapshots(spark, path, multi_line=False)
+        F.date_format("o_orderdate", "yyyy-MM-01").alias("date"), F.expr("o_orderkey div 50000").alias("file"),
+        F.to_json(F.struct(F.concat(F.lit("dam"), "o_custkey").alias("nombrecomun"), F.lit("25.1").alias("latitud"),
+                           F.lit("-100.2").alias("longitud"), value.alias("almacenaactual"))).alias("json"))
+    whole = rows.groupBy("date", "file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value"))
+    (whole.select("date", "value").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("date").text(path))
+    back = documents.read_snapshots(spark, path, multi_line=True)
     return back.groupBy("date").agg(F.count("*").alias("n"), (F.sum("almacenaactual") / SCALE).alias("storage"))
 
 
@@ -86,32 +87,30 @@ def _(spark, sf):
                                       F.lit("PNE_1990"), F.lit("")), "m")
     lat, lon = (F.col("c_custkey") * 53) % 1700 / 10 - 85.0, (F.col("c_custkey") * 37) % 3600 / 10 - 180.0
     feature = F.struct(F.struct(F.array(lon, lat).alias("coordinates")).alias("geometry"), props.alias("properties"))
-    # One feature per document keeps the writer from collecting all features in one row.
-    c.select(F.array(feature).alias("features")).write.mode("overwrite").json(path)
-    rows = spark.read.schema("features array<struct<geometry:struct<coordinates:array<double>>,properties:map<string,string>>>").json(path)
-    return documents.year_properties(rows, "mx", "PNE_", "NOMBRE_POZ", "CLAVE_ACUI").select("site", "lat", "year", "value")
+    # One collection for each file, of at most a thousand features.
+    files = c.groupBy(F.expr("c_custkey div 1000")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))
+    files.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return documents.read_geojson_years(spark, path, "mx", "PNE_", "NOMBRE_POZ", "CLAVE_ACUI").select("site", "lat", "year", "value")
 
 
 @query("S07_zipped_csv_members", f"""WITH x AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n, sum(o_totalprice) / {SCALE} AS total FROM orders GROUP BY 1) SELECT {sel('year:i n:i total:r')} FROM x""")
 def _(spark, sf):
     path = scratch(spark, "zips")
-    os.makedirs(path, exist_ok=True)
 
     def pack(batches):
         for pdf in batches:
             for year, rows in pdf.groupby("year"):
-                name = f"{path}/balance WY {year} {uuid.uuid4().hex}.zip"
-                text = io.StringIO()
-                rows[["o_orderkey", "o_totalprice"]].to_csv(text, index=False)
-                with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+                archive = io.BytesIO()
+                with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr("notes.txt", "not a table")
-                    z.writestr("rows.csv", text.getvalue())
-                yield pd.DataFrame({"file": [name]})
+                    z.writestr("rows.csv", rows[["o_orderkey", "o_totalprice"]].to_csv(index=False))
+                yield pd.DataFrame({"path": [f"balance WY {year} {uuid.uuid4().hex}.zip"], "content": [archive.getvalue()]})
 
+    # Archives stand in a table of names and bytes, as the binary file source gives them.
     src = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
-    src.mapInPandas(pack, "file string").count()
+    sinks.write_table(src.mapInPandas(pack, "path string, content binary"), path)
     schema = StructType([StructField("o_orderkey", LongType()), StructField("o_totalprice", DoubleType())])
-    back = documents.read_zipped_csv(spark, path, schema, r"WY(?:%20|\s)*(\d{4})")
+    back = documents.zipped_csv_rows(spark.read.parquet(path), schema, r"WY(?:%20|\s)*(\d{4})")
     return back.groupBy("year").agg(F.count("*").alias("n"), (F.sum("o_totalprice") / SCALE).alias("total"))
 
 
@@ -121,7 +120,7 @@ def _(spark, sf):
     a = totals(spark, sf).withColumn("source", F.lit("orders"))
     b = shipped(spark, sf).select("unit_id", "month", "value", F.lit("items").alias("source"))
     both = a.unionByName(b).withColumn("year", F.year("month"))
-    both.repartition("source", "year").write.mode("overwrite").partitionBy("source", "year").parquet(path)
+    both.write.mode("overwrite").partitionBy("source", "year").parquet(path)
     return tables.scan_grid(spark, path, "orders", (1996, 1997)).groupBy("unit_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -140,21 +139,21 @@ def _(spark, sf):
     return tables.scan_region(spark.read.parquet(path), (-30, 30), (-60, 60), True, 1.0).select("point_id")
 
 
-@query("S11_melt_month_columns", f"""WITH d AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS "ET", CAST(count(*) AS DOUBLE) AS "CU" FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1, 2) SELECT {sel('o_custkey:i month:m ET:r CU:r')} FROM d""")
+@query("S11_melt_month_columns", f"""WITH d AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS "ET", CAST(count(*) AS DOUBLE) AS "CU" FROM orders GROUP BY 1, 2) SELECT {sel('o_custkey:i month:m ET:r CU:r')} FROM d""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") == 1997)
-    names = [f"{m:02d}_1997" for m in range(1, 13)]
-    wide = o.groupBy("o_custkey").pivot("m", names) if "m" in o.columns else o.withColumn(
-        "m", F.date_format("o_orderdate", "MM_yyyy")).groupBy("o_custkey").pivot("m", names)
-    wide = wide.agg(F.sum("o_totalprice").alias("ET"), F.count(F.lit(1)).cast("double").alias("CU"))
+    o = table(spark, sf, "orders").withColumn("m", F.date_format("o_orderdate", "MM_yyyy"))
+    # The columns are the months of the record: as many as the calendar has, not the table.
+    names = sorted(r["m"] for r in o.select("m").distinct().collect())
+    wide = o.groupBy("o_custkey").pivot("m", names).agg(F.sum("o_totalprice").alias("ET"), F.count(F.lit(1)).cast("double").alias("CU"))
     wide = wide.select("o_custkey", *[F.col(f"{n}_{v}").alias(f"{v}_VOLUME_{n}_acft") for n in names for v in ("ET", "CU")])
     tall = tables.melt_months(wide, ["o_custkey"], r"^([A-Z]+)_VOLUME_(\d{2})_(\d{4})_acft$", ["ET", "CU"])
     return tall.where("ET is not null or CU is not null")
 
 
-@query("S12_melt_year_columns", f"""WITH x AS (SELECT l_suppkey, CAST(y AS BIGINT) AS year, sum(CASE WHEN year(l_shipdate) = y THEN l_quantity ELSE 0 END) AS "QTY", count(CASE WHEN year(l_shipdate) = y THEN 1 END) AS "N" FROM lineitem, (SELECT unnest(range(1995, 2002)) AS y) GROUP BY 1, 2) SELECT {sel('l_suppkey:i year:i QTY:r N:i')} FROM x""")
+@query("S12_melt_year_columns", f"""WITH x AS (SELECT l_suppkey, CAST(y AS BIGINT) AS year, sum(CASE WHEN year(l_shipdate) = y THEN l_quantity ELSE 0 END) AS "QTY", count(CASE WHEN year(l_shipdate) = y THEN 1 END) AS "N" FROM lineitem, (SELECT unnest(range((SELECT min(year(l_shipdate)) FROM lineitem), (SELECT max(year(l_shipdate)) + 1 FROM lineitem))) AS y) GROUP BY 1, 2) SELECT {sel('l_suppkey:i year:i QTY:r N:i')} FROM x""")
 def _(spark, sf):
-    years = list(range(1995, 2002))
+    ends = table(spark, sf, "lineitem").agg(F.min(F.year("l_shipdate")).alias("first"), F.max(F.year("l_shipdate")).alias("last")).first()
+    years = list(range(ends["first"], ends["last"] + 1))
     at = {y: F.year("l_shipdate") == y for y in years}
     wide = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
         *[F.sum(F.when(at[y], F.col("l_quantity")).otherwise(0.0)).alias(f"QTY_{y % 100:02d}") for y in years],
@@ -190,15 +189,23 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch(spark, "ingest")
     events = table(spark, sf, "events").select("user_id", "ts", "value")
+    day = F.to_date("ts")
     late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
 
+    def send(rows):
+        # A file holds whole days, so a stored day is complete.
+        rows.repartitionByRange(8, day).write.mode("append").parquet(f"{path}/in")
+
     def run() -> int:
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-        return incremental.ingest(stream, lambda b: incremental.daily_partials(b, "user_id", "ts", "value"), f"{path}/out", f"{path}/ck")
+        return incremental.ingest(stream, lambda b: incremental.daily_partials(b, "user_id", "ts", "value"), f"{path}/out", f"{path}/ck", ["day"])
 
-    events.where(~late).write.parquet(f"{path}/in")
+    send(events.where(~late))
+    run()
+    send(events.where(late))
     run()
-    events.where(late).write.mode("append").parquet(f"{path}/in")
+    # Days that come again in a new file are stored already and do not count twice.
+    send(events.where(F.dayofmonth("ts") <= 3))
     run()
     assert run() == 0
     return incremental.merged(spark, f"{path}/out")
@@ -246,12 +253,13 @@ def _(spark, sf):
     return stack.groupBy("footprint", "unit_id").agg(F.count("*").alias("n"))
 
 
-@query("K05_payload_arrays", f"""WITH {A}, ax AS (SELECT CAST(unnest(range(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-02', INTERVAL 1 MONTH)) AS DATE) AS month), k AS (SELECT unit_id, month FROM (SELECT DISTINCT unit_id FROM a), ax),
+@query("K05_payload_arrays", f"""WITH {G}, ax AS (SELECT CAST(unnest(range(CAST((SELECT min(month) FROM a) AS TIMESTAMP), CAST((SELECT max(month) FROM a) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS month), k AS (SELECT unit_id, month FROM (SELECT DISTINCT unit_id FROM a), ax),
 j AS (SELECT k.unit_id, k.month, CASE WHEN value IS NULL THEN 'null' ELSE CAST(CAST(round(value * 10) AS BIGINT) AS VARCHAR) END AS v FROM k LEFT JOIN a ON a.unit_id = k.unit_id AND a.month = k.month)
 SELECT unit_id, '[' || string_agg(v, ',' ORDER BY month) || ']' AS payload FROM j GROUP BY 1""")
 def _(spark, sf):
-    first, last = F.lit("1995-01-01").cast("date"), F.lit("2001-08-01").cast("date")
-    rows = sinks.payload_arrays(totals(spark, sf), "unit_id", "month", "value", first, last)
+    series = gappy_totals(spark, sf)
+    ends = series.agg(F.min("month").alias("first"), F.max("month").alias("last")).first()
+    rows = sinks.payload_arrays(series, "unit_id", "month", "value", F.lit(ends["first"]), F.lit(ends["last"]))
     return rows.select("unit_id", F.to_json("values", {"ignoreNullFields": "false"}).alias("payload"))
 
 

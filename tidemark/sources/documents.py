@@ -49,7 +49,12 @@ def year_properties(rows: DataFrame, prefix: str, year_prefix: str, name: str, c
 
 
 def read_zipped_csv(spark: SparkSession, path: str, schema: StructType, year_pattern: str) -> DataFrame:
-    """Every CSV member of every archive, read in blocks; the year comes from the archive's name."""
+    """Every CSV member of every archive under a path; the year comes from the archive's name."""
+    return zipped_csv_rows(spark.read.format("binaryFile").load(path), schema, year_pattern)
+
+
+def zipped_csv_rows(archives: DataFrame, schema: StructType, year_pattern: str) -> DataFrame:
+    """As read_zipped_csv, of archives(path, content); members are read in blocks."""
     names = [f.name for f in schema.fields]
 
     def members(batches):
@@ -63,7 +68,6 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: StructType, year_pat
                             for block in pd.read_csv(fh, chunksize=50_000):
                                 yield block[names].assign(year=year)
 
-    files = (spark.read.format("binaryFile").load(path)
-             .select(F.regexp_extract("path", year_pattern, 1).cast("int").alias("year"), "content"))
+    files = archives.select(F.regexp_extract("path", year_pattern, 1).cast("int").alias("year"), "content")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", year int"
     return files.mapInPandas(members, ddl)

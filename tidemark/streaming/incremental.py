@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import read_if_present
+
 
 def new_keys(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key has not been reduced before."""
@@ -14,20 +16,28 @@ def new_keys(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ingest(stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], target: str,
-           checkpoint: str) -> int:
-    """Reduces every new file once and stores the partial sums.
+           checkpoint: str, keys: list[str]) -> int:
+    """Reduces every new file once and stores the partial sums of keys that no other batch has stored.
 
-    Each micro-batch overwrites its own batch folder, so a batch that is run
-    again after a lost executor or a restart leaves the same rows. Returns the
-    number of batches run.
+    A key is complete in the batch that brings it, so a file sent again under
+    another name adds nothing. Each micro-batch overwrites its own batch folder:
+    a batch that is run again after a lost executor or a restart leaves the same
+    rows. Returns the number of batches run.
     """
+    ran = []
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        reduce_batch(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        reduced = reduce_batch(batch)
+        stored = read_if_present(batch.sparkSession, target, f"{reduced._jdf.schema().toDDL()}, batch long")
+        if stored is not None:
+            reduced = new_keys(reduced, stored.where(F.col("batch") != batch_id), keys)
+        reduced.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        ran.append(batch_id)
 
     query = (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return len([p for p in query.recentProgress if p["numInputRows"] > 0])
+    return len(ran)
 
 
 def daily_partials(batch: DataFrame, unit: str, ts: str, v: str) -> DataFrame:
