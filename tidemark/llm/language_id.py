@@ -102,7 +102,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     whole_n = [sums[f"n{i}"] for i in range(known)]
     overall = [F.lit((n + 1) / (sum(whole_n) + known)) for n in whole_n]
     out = scored
-    for level, p in (("domain", "_d"), ("host", "_h"), ("declared", "_l"), ("suffix", "_s")):
+    for level, p in (("domain", "_d"), ("host", "_h"), ("declared", "_l"), ("suffix", "_s")) if known else ():
         out = out.join(decided.where(F.col(level).isNotNull()).groupBy(level).agg(*tally(p)), level, "left")
     prior = _smoothed(at("_h"), _smoothed(at("_d"), overall)) if known else []
 

@@ -15,7 +15,7 @@ from tidemark.llm.text import WORD, word_count
 from tidemark.session import cut_lineage
 
 #: Words in a block; slots in an output shard; documents counted by one task; most passes over a source.
-BLOCK, SHARD_SLOTS, CHUNK_ROWS, PASSES = 64, 4096, 1 << 16, 3
+BLOCK, SHARD_SLOTS, CHUNK_ROWS, PASSES = 64, 4096, 1 << 12, 3
 #: Output shards are drawn in at most so many groups; the driver draws the groups, tasks draw the shards.
 GROUPS = 1024
 WORDS = re.compile(WORD)

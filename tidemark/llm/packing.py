@@ -21,7 +21,7 @@ LENGTH, END_ID = 1024, 0
 #: The vocabulary of byte_bpe_50k.json as ranks: same ids, several times faster to apply.
 RANKS, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
 #: Pieces in a shard; ordinals are counted within shards.
-SHARD_ROWS = 1 << 16
+SHARD_ROWS = 1 << 13
 
 
 @lru_cache(maxsize=2)
@@ -115,18 +115,19 @@ def best_fit_decreasing(counts: dict[int, int], length: int = LENGTH) -> list[tu
         at, n = 0, counts[size]
         while n:
             room = windows.tightest(size)
+            # No window has less room that would do, so one that got a piece is the tightest for the next, while it holds one.
+            per = (room or length) // size
+            wanted = -(-n // per)
             if room is None:
-                per = length // size
-                full, rest = divmod(n, per)
-                rows.append((size, at, n, opened, 0, per))
-                windows.put(length - per * size, opened, full)
-                windows.put(length - rest * size, opened + full, int(rest > 0))
-                opened += full + (rest > 0)
-                break
-            first, m = windows.take(room, n)
-            rows.append((size, at, m, first, length - room, 1))
-            windows.put(room - size, first, m)
-            at, n = at + m, n - m
+                room, first, count, opened = length, opened, wanted, opened + wanted
+            else:
+                first, count = windows.take(room, wanted)
+            placed = min(n, count * per)
+            rows.append((size, at, placed, first, length - room, per))
+            full, rest = divmod(placed, per)
+            windows.put(room - per * size, first, full)
+            windows.put(room - rest * size, first + full, int(rest > 0))
+            at, n = at + placed, n - placed
     return rows
 
 

@@ -40,7 +40,7 @@ GROUP BY page_id, host, path"""
 
 @query("op2_url_filter", URL_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(str(r) for r in RULES)} AS t(host, path, verdict)")
     judged = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
@@ -73,7 +73,7 @@ FROM t GROUP BY conv_id"""
 @query("op9_chat_format", CHAT_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
+    probe = spark.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}') AS t(conv_id, turn, role, text)")
     out = chat.format_chat(rows.unionByName(probe))
     turns = F.col("turns")
     loss = F.array_join(chat.loss_spans(turns), "")
