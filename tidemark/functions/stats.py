@@ -64,15 +64,29 @@ def _beta_fraction(a, b, x):
     return h
 
 
+#: The published method counts all sign patterns up to this many pairs and takes the normal limit above.
+EXACT_RANKS = 50
+
+
+def log_gamma(x):
+    """Stirling's series from 10 up; smaller arguments are shifted there."""
+    x = np.asarray(x, dtype="float64")
+    small = x < 10
+    z = np.where(small, x + 10, x)
+    out = ((z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z ** 3)
+           + 1 / (1260 * z ** 5) - 1 / (1680 * z ** 7) + 1 / (1188 * z ** 9))
+    steps = np.where(small, x, 1.0)[..., None] + np.arange(10)
+    return np.where(small, out - np.log(steps).sum(axis=-1), out)
+
+
 def regularised_beta(a, b, x):
     """I_x(a, b) for arrays, by the continued fraction on the side that converges."""
     a, b, x = (np.asarray(v, dtype="float64") for v in np.broadcast_arrays(a, b, x))
     swap = x > (a + 1) / (a + b + 2)
     aa, bb, xx = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    lgamma = np.vectorize(math.lgamma, otypes=[float])
     inner = (xx > 0) & (xx < 1)
     xs = np.where(inner, xx, 0.5)
-    front = np.exp(lgamma(aa + bb) - lgamma(aa) - lgamma(bb)
+    front = np.exp(log_gamma(aa + bb) - log_gamma(aa) - log_gamma(bb)
                    + aa * np.log(xs) + bb * np.log1p(-xs)) / aa
     value = np.where(inner, front * _beta_fraction(aa, bb, xs), np.where(xx <= 0, 0.0, 1.0))
     return np.where(swap, 1 - value, value)
@@ -94,31 +108,28 @@ def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(p).astype(object).where(np.isfinite(p), None)
 
 
-def binomial_two_sided(k: int, n: int) -> float | None:
-    if n == 0:
-        return None
-    low = min(k, n - k)
-    if 2 * low == n:
-        return 1.0
-    log_half = n * math.log(0.5)
-    tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
-                        + log_half) for i in range(low + 1))
-    return min(1.0, 2 * tail)
+def binomial_two_sided(k, n):
+    """Exact two-sided tests of k successes in n at one half, for arrays; not a number where n is 0."""
+    k, n = np.asarray(k, dtype="float64"), np.asarray(n, dtype="float64")
+    low = np.minimum(k, n - k)
+    ok = np.isfinite(low) & (n > 0)
+    some = np.where(ok, low, 0.0)
+    tail = regularised_beta(np.where(ok, n, 1.0) - some, some + 1, 0.5)
+    return np.where(ok, np.where(2 * low == n, 1.0, np.minimum(1.0, 2 * tail)), np.nan)
 
 
 @F.pandas_udf(T.DoubleType())
 def binomial_pvalue(k: pd.Series, n: pd.Series) -> pd.Series:
-    """Exact two-sided test of k successes in n at one half."""
-    return pd.Series([binomial_two_sided(int(a), int(b)) if a == a and b == b else None
-                      for a, b in zip(k, n)], dtype="float64")
+    p = binomial_two_sided(k.to_numpy("float64"), n.to_numpy("float64"))
+    return pd.Series(p).astype(object).where(np.isfinite(p), None)
 
 
 def signed_rank_two_sided(w_plus: float, n: int, ties: bool, tie_term: float) -> float | None:
-    """Wilcoxon signed-rank probability: exact to n = 50 without ties or zeros, else normal."""
+    """Wilcoxon signed-rank probability: exact up to EXACT_RANKS without ties or zeros, else normal."""
     if n == 0:
         return None
     w = min(w_plus, n * (n + 1) / 2 - w_plus)
-    if n <= 50 and not ties:
+    if n <= EXACT_RANKS and not ties:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1.0
         for rank in range(1, n + 1):
@@ -164,9 +175,10 @@ def solve_normal(xx: pd.Series, xy: pd.Series) -> pd.Series:
         safe = np.where(scale > 0, scale, 1.0)
         corr = m / safe[:, :, None] / safe[:, None, :]
         good &= np.linalg.eigvalsh(corr)[:, 0] > 1e-13
-        for j, row in enumerate(rows):
-            if good[j]:
-                inv = np.linalg.inv(corr[j])
-                beta = np.linalg.solve(corr[j], v[j] / safe[j]) / safe[j]
-                out[row] = [*map(float, beta), *map(float, np.diag(inv) / safe[j] ** 2)]
+        some = np.flatnonzero(good)
+        inv = np.linalg.inv(corr[some])
+        beta = np.linalg.solve(corr[some], (v / safe)[some, :, None])[:, :, 0] / safe[some]
+        spread = np.einsum("ijj->ij", inv) / safe[some] ** 2
+        for j, values in zip(some, np.hstack([beta, spread]).tolist()):
+            out[rows[j]] = values
     return pd.Series(out)

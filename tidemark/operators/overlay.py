@@ -108,16 +108,25 @@ def grid_index(lat: Column, lon: Column, lat0: float, lon0: float, d: float,
 
 
 def nested_overlap(cell_unit: DataFrame, fine: float, coarse_lat: float, coarse_lon: float,
-                   lat0: float = -90.0, lon0: float = -180.0) -> DataFrame:
-    """(unit_id, ci, cj, weight km2) of a coarse grid from fine cells with their unit."""
+                   lat0: float = -90.0, lon0: float = -180.0, n_lat: int | None = None, n_lon: int | None = None,
+                   descending: bool = False) -> DataFrame:
+    """(unit_id, ci, cj, weight km2) of a coarse grid from fine cells with their unit.
+
+    lat0 and lon0 are the outer edges of the coarse grid, n_lat and n_lon its size. Fine cells
+    north or south of a regional grid give no rows; east and west of it they count to its last column.
+    Rows are numbered from the north if the grid descends.
+    """
     for d in (coarse_lat, coarse_lon):
         if abs(d / fine - round(d / fine)) > 1e-6:
-            raise ValueError(f"grid step {d} is not a multiple of {fine}")
-    ci = F.floor((F.col("lat") - lat0) / coarse_lat).cast("bigint")
-    cj = F.floor(F.pmod(F.col("lon") - lon0, F.lit(360.0)) / coarse_lon).cast("bigint")
+            raise ValueError(f"{d} is no whole number of fine cells of {fine}")
+    n_lat = n_lat or round(180 / coarse_lat)
+    up = F.floor((F.col("lat") - lat0) / coarse_lat).cast("bigint")
+    across = F.floor(F.pmod(F.col("lon") - lon0, F.lit(360.0)) / coarse_lon).cast("bigint")
     area = cell_area_km2(F.col("lat"), fine, fine)
-    return cell_unit.groupBy("unit_id", ci.alias("ci"), cj.alias("cj")).agg(
-        F.sum(area).alias("weight"))
+    rows = cell_unit.where((up >= 0) & (up < n_lat))
+    ci = F.lit(n_lat - 1) - up if descending else up
+    cj = F.least(across, F.lit(n_lon - 1)) if n_lon else across
+    return rows.groupBy("unit_id", ci.alias("ci"), cj.alias("cj")).agg(F.sum(area).alias("weight"))
 
 
 def crosses(lat: Column, lon: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -139,3 +139,25 @@ def ablation(rows: DataFrame, split: str, block: str, y: str, xs: list[str], mod
         r2 = r2.where((F.col("n_rows") >= min_rows) & (F.col("n_blocks") >= min_blocks)).withColumn("model", F.lit(label))
         out = r2 if out is None else out.unionByName(r2)
     return out
+
+
+def wetness(rows: DataFrame, unit: str, precip: str, cut: float = 500.0, min_units: int = 50) -> DataFrame:
+    """(unit, split): dry below the cut of the unit's mean, else wet; a split of fewer than ``min_units`` units is left out."""
+    split = F.when(F.col("_m") < cut, "dry").otherwise("wet")
+    units = rows.groupBy(unit).agg(F.avg(precip).alias("_m")).where("_m is not null").select(unit, split.alias("split"))
+    large = units.groupBy("split").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_units).select("split")
+    return units.join(large, "split", "left_semi")
+
+
+def ablation_medians(rows: DataFrame, unit: str, block: str, y: str, xs: list[str], models: dict[str, list[str]],
+                     min_pairs: int = 10, min_rows: int = 30) -> DataFrame:
+    """(model, median_unit_r, median_block_r2) of nested models, from the same block sums."""
+    grams = block_grams(rows, [], block, y, xs)
+    r = r2 = None
+    for label, use in models.items():
+        solved = held_out(sub_model(grams, [], block, xs, use), [], block, len(use) + 1)
+        own = unit_scores(predictions(rows, solved, block, use), unit, y, min_pairs).select(F.lit(label).alias("model"), "r")
+        blocks = block_r2(solved, [], block, len(use) + 1, min_rows).select(F.lit(label).alias("model"), "r2")
+        r, r2 = (own, blocks) if r is None else (r.unionByName(own), r2.unionByName(blocks))
+    units = quantiles(r, "r", [0.5], ["model"]).select("model", F.col("quantile").alias("median_unit_r"))
+    return units.join(quantiles(r2, "r2", [0.5], ["model"]).select("model", F.col("quantile").alias("median_block_r2")), "model")

@@ -278,6 +278,18 @@ def variance_modes(dev: DataFrame, unit: str, month: str, v: str) -> DataFrame:
     return listed.select(F.posexplode(mode_shares("u")).alias("mode", "share"))
 
 
+def mode_counts(shares: DataFrame, levels: list[float], min_rows: int = 25) -> DataFrame:
+    """Modes needed for each share of variance; nothing for records of fewer than ``min_rows`` months.
+
+    One row for each month of the record, so the window over all modes is bounded by the calendar.
+    """
+    upto = F.sum("share").over(W.partitionBy(F.lit(1)).orderBy(F.desc("share"), "mode"))
+    rows = shares.withColumn("_upto", upto - F.col("share"))
+    counts = [F.count_if(F.col("_upto") < level - 1e-12).alias(f"modes_{round(level * 100)}") for level in levels]
+    return rows.agg(F.count("*").alias("n_months"), F.sum("share").alias("total_share"),
+                    F.sum(F.col("share") * F.col("share")).alias("square_sum"), *counts).where(F.col("n_months") >= min_rows)
+
+
 def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None,
                min_pairs: int = 50, tile: int = TILE) -> DataFrame:
     """Moran's I per distance band (lo, hi] with its permutation spread and p.

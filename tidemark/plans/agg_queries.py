@@ -8,7 +8,7 @@ from tidemark.functions.dates import water_year
 from tidemark.operators import order, overlay, reduce, timeops
 from tidemark.operators.fit import simple_regression
 from tidemark.plans.registry import query, sel
-from tidemark.plans.roles import (A, AB, B, P, SCALE, U, points, products, shipped, t_p_sql, table, totals, units)
+from tidemark.plans.roles import (A, AB, B, CROSS, E, P, SCALE, U, outlines, points, products, shipped, sites, t_p_sql, table, totals, units)
 
 K = ["unit_id"]
 
@@ -173,14 +173,12 @@ def _(spark, sf):
                                     F.max("share").alias("frac_dominant"))
 
 
-@query("A17_cell_centres_per_unit", f"""WITH {P}, {U}, x AS (SELECT u.unit_id, count(p.point_id) AS n FROM u LEFT JOIN p ON p.lat >= lat_min AND p.lat < lat_max
-AND CASE WHEN lon_min < lon_max THEN p.lon >= lon_min AND p.lon < lon_max ELSE p.lon >= lon_min OR p.lon < lon_max END GROUP BY 1)
-SELECT {sel('unit_id:i n:i')} FROM x""")
+@query("A17_cell_centres_per_unit", f"""WITH {P}, {E}, h AS (SELECT point_id, unit_id FROM p JOIN e ON {CROSS} GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+x AS (SELECT s_suppkey AS unit_id, count(point_id) AS n FROM supplier LEFT JOIN h ON unit_id = s_suppkey GROUP BY 1) SELECT {sel('unit_id:i n:i')} FROM x""")
 def _(spark, sf):
-    u = units(spark, sf)
-    hits = overlay.box_pairs(points(spark, sf).select("point_id", "lat", "lon"), u, "unit_id")
+    hits = overlay.points_in_polygons(points(spark, sf).select("point_id", "lat", "lon"), outlines(spark, sf), "point_id")
     n = hits.groupBy("unit_id").agg(F.count("*").alias("n"))
-    return u.select("unit_id").join(n, "unit_id", "left").na.fill(0, ["n"])
+    return sites(spark, sf).select("unit_id").join(n, "unit_id", "left").na.fill(0, ["n"])
 
 
 @query("A18_population_and_sample_spread", f"""WITH {A}, x AS (SELECT unit_id, var_pop(value) AS vp, var_samp(value) AS vs, stddev_pop(value) AS sp, stddev_samp(value) AS ss FROM a GROUP BY 1)
@@ -202,6 +200,7 @@ def _(spark, sf):
     return order.quantiles(items(spark, sf), "l_extendedprice", [0.0, 0.1, 0.5, 0.9, 1.0], ["l_returnflag"])
 
 
+# The round limits of the reports.
 STEPS = [10, 20, 25, 40, 50, 75, 100, 150, 200, 300, 400, 500]
 
 

@@ -9,7 +9,7 @@ from tidemark.plans import studies
 from tidemark.plans.registry import query, sel
 from tidemark.plans.roles import (A, AB, B, G, GB, P, S, SCALE, U, WELL, gappy_products, gappy_totals, great_circle_sql, haversine_sql, ols_sql, points, shipped, sites,
                                   t_p_sql, table, totals, trend_xs, units, wells)
-from tidemark.plans.row_queries import METRIC, metrics
+from tidemark.plans.flag_metrics import METRIC, metrics
 
 K = ["unit_id"]
 
@@ -273,6 +273,14 @@ def _(spark, sf):
     return spatial.pair_decorrelation(vectors(spark, sf), 500.0, 1300.0)
 
 
+@query("M17_crossing_distances", f"""WITH {SUPSER}, pr AS (SELECT a.unit_id AS ua, b.unit_id AS ub, corr(a.x, b.x) AS r FROM ad a JOIN ad b ON a.month = b.month AND a.unit_id < b.unit_id GROUP BY 1, 2),
+d AS (SELECT r, {haversine_sql('s1', 's2')} AS km FROM pr JOIN s s1 ON s1.unit_id = ua JOIN s s2 ON s2.unit_id = ub WHERE r IS NOT NULL), bn AS (SELECT CAST(ceil(km / 500) AS BIGINT) AS bin, avg(r) AS mean_r FROM d GROUP BY 1),
+x AS (SELECT min(CASE WHEN bin > 0 AND mean_r < 0.7 THEN (bin - 0.5) * 500 END) AS km_07, min(CASE WHEN bin > 0 AND mean_r < 0.5 THEN (bin - 0.5) * 500 END) AS km_05, min(CASE WHEN bin > 0 AND mean_r < -0.02 THEN (bin - 0.5) * 500 END) AS km_below FROM bn) SELECT {sel('km_07:r km_05:r km_below:r')} FROM x""")
+def _(spark, sf):
+    bins = spatial.pair_decorrelation(vectors(spark, sf), 500.0, 1300.0)
+    return bins.agg(*[spatial.crossing_distance(bins, level).alias(name) for name, level in (("km_07", 0.7), ("km_05", 0.5), ("km_below", -0.02))])
+
+
 COMPLETE = f"""{SUPSER}, nm AS (SELECT count(DISTINCT month) AS n FROM ad), okm AS (SELECT month FROM ad GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT unit_id) FROM ad)), cx AS (SELECT unit_id, month, x - avg(x) OVER (PARTITION BY unit_id) AS z FROM ad WHERE month IN (SELECT month FROM okm))"""
 
 
@@ -294,8 +302,15 @@ def _(spark, sf):
 
 @query("M18_mode_shares")
 def _(spark, sf):
-    shares = spatial.variance_modes(complete_departures(spark, sf), "unit_id", "month", "z")
-    return shares.where("share > 1e-9")
+    return spatial.variance_modes(complete_departures(spark, sf), "unit_id", "month", "z")
+
+
+# The shares sum to one and their squares to one over the effective dof; the counts of modes are tested against singular values.
+@query("M18_mode_summary", f"""WITH {COMPLETE}, c AS (SELECT a.unit_id AS i, b.unit_id AS j, sum(a.z * b.z) AS c FROM cx a JOIN cx b USING (month) GROUP BY 1, 2), x AS (SELECT 1.0 AS total_share, sum(c * c) / (sum(CASE WHEN i = j THEN c END)) ** 2 AS square_sum, (SELECT count(*) FROM okm) AS n_months FROM c)
+SELECT {sel('total_share:r square_sum:r n_months:i')} FROM x WHERE n_months > 24""")
+def _(spark, sf):
+    out = spatial.mode_counts(spatial.variance_modes(complete_departures(spark, sf), "unit_id", "month", "z"), [0.9, 0.95, 0.99])
+    return out.select("total_share", "square_sum", "n_months")
 
 
 EDGE = f"""{S}, pr AS (SELECT a.unit_id AS src, b.unit_id AS dst FROM s a JOIN s b ON a.unit_id <> b.unit_id WHERE {haversine_sql('a', 'b')} <= 2500), e AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM pr)"""
@@ -482,9 +497,37 @@ def _(spark, sf):
     return panel.ablation(well_panel(spark, sf).withColumn("split", F.lit("all")), "split", "block_id", "y", ["x2", "x1", "x4"], MODELS)
 
 
-@query("M30_ablation_by_class")
+CLASSES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+WETNESS = {"dry": "wet < 6.5", "wet": "wet >= 6.5"}
+
+
+def split_ablation_sql(panel_sql: str, splits: dict[str, str]) -> str:
+    parts, rows = [], []
+    for j, (tag, rule) in enumerate(splits.items()):
+        parts.append(f"c{j} AS (SELECT * FROM pw WHERE {rule})")
+        for i, (label, xs) in enumerate(MODELS.items()):
+            parts.append(holdout_sql(f"c{j}m{i}", f"c{j}", xs))
+            rows.append(f"SELECT '{tag}' AS split, '{label}' AS model, count(*) AS n_rows, count(DISTINCT block_id) AS n_blocks, {R2} AS oos_r2 FROM c{j}m{i}_pred HAVING count(*) >= 100 AND count(DISTINCT block_id) >= 5")
+    return f"WITH {panel_sql}, {', '.join(parts)}, x AS ({' UNION ALL '.join(rows)}) SELECT {sel('split:s model:s n_rows:i n_blocks:i oos_r2:r')} FROM x"
+
+
+@query("M30_ablation_by_class", split_ablation_sql(f"{PANEL}, pw AS (SELECT * FROM pn)", {c: f"class = '{c}'" for c in CLASSES}))
+def _(spark, sf):
+    return panel.ablation(well_panel(spark, sf), "class", "block_id", "y", ["x2", "x1", "x4"], MODELS, 100).withColumnRenamed("class", "split")
+
+
+@query("M30_ablation_by_wetness", split_ablation_sql(f"{PANEL}, uw AS (SELECT unit_id, avg(x2) AS wet FROM w GROUP BY 1), pw AS (SELECT pn.*, wet FROM pn JOIN uw USING (unit_id))", WETNESS))
+def _(spark, sf):
+    split = panel.wetness(wells(spark, sf), "unit_id", "x2", 6.5, 50)
+    return panel.ablation(well_panel(spark, sf).join(split, "unit_id"), "split", "block_id", "y", ["x2", "x1", "x4"], MODELS, 100)
+
+
+@query("M30_unit_and_block_medians", f"""WITH {PANEL}, {', '.join(holdout_sql(f"m{i}", "pn", xs) for i, xs in enumerate(MODELS.values()))},
+u AS ({" UNION ALL ".join(f"SELECT '{label}' AS model, unit_id, CASE WHEN count(*) >= 5 AND stddev_pop(y) > 0 AND stddev_pop(pred) > 0 THEN corr(y, pred) END AS r FROM m{i}_pred GROUP BY 2" for i, label in enumerate(MODELS))}),
+b AS ({" UNION ALL ".join(f"SELECT '{label}' AS model, block_id, {R2} AS r2 FROM m{i}_pred GROUP BY 2 HAVING count(*) >= 30" for i, label in enumerate(MODELS))}),
+x AS (SELECT model, median_unit_r, median_block_r2 FROM (SELECT model, median(r) AS median_unit_r FROM u GROUP BY 1) JOIN (SELECT model, median(r2) AS median_block_r2 FROM b GROUP BY 1) USING (model)) SELECT {sel('model:s median_unit_r:r median_block_r2:r')} FROM x""")
 def _(spark, sf):
-    return panel.ablation(well_panel(spark, sf), "class", "block_id", "y", ["x2", "x1", "x4"], MODELS, 100)
+    return panel.ablation_medians(well_panel(spark, sf), "unit_id", "block_id", "y", ["x2", "x1", "x4"], MODELS, 5)
 
 
 FLAGGED = f"""{S}, fl AS (SELECT * FROM s WHERE x < 6), ed AS (SELECT a.unit_id AS src, b.unit_id AS dst FROM fl a JOIN fl b ON a.unit_id <> b.unit_id WHERE {haversine_sql('a', 'b')} <= 1500),
