@@ -379,13 +379,42 @@ def test_modes_equal_singular_values(spark):
 def test_permutation_deals_every_value_once(spark):
     _, df = site_frame(spark, 25)
     z = spatial.centred(df.select("unit_id", "x"))
-    dealt = spatial.shuffles(z, 4, "seed").toPandas()
     want = sorted(z.toPandas()["z"].round(12))
-    orders = set()
-    for _p, g in dealt.groupby("perm"):
-        assert sorted(g["z"].round(12)) == want
-        orders.add(tuple(g.sort_values("unit_id")["z"].round(12)))
-    assert len(orders) == 4
+    orders = []
+    for batch in (3, 10):
+        rows = sorted(spatial.shuffles(z, 4, "seed", batch).collect(), key=lambda r: (r["part"], r["unit_id"]))
+        deals = [[] for _ in want]
+        for i, r in enumerate(rows):
+            deals[i % len(want)] += [round(x, 12) for x in r["deal"]]
+        orders.append(deals)
+        assert all(sorted(d) == want for d in zip(*deals)) and len(set(zip(*deals))) == 4
+    assert orders[0] == orders[1]
+
+
+def test_moran_permutation_batches_agree(spark):
+    _, df = site_frame(spark, 30)
+    ring = [(i, (i + k) % 30, 0.5) for i in range(30) for k in (1, 29)]
+    edges = spark.createDataFrame(ring, "src bigint, dst bigint, w double")
+    ids = sorted(r["unit_id"] for r in df.select("unit_id").collect())
+    edges = edges.select(*[F.element_at(F.array(*[F.lit(i) for i in ids]), F.col(c).cast("int") + 1).alias(c) for c in ("src", "dst")], "w")
+    units = df.select("unit_id", "x")
+    got = [spatial.moran_permutation(units, edges, 40, "s", b).first() for b in (7, 100)]
+    assert got[0]["n_perm"] == 40 and got[0]["p_perm"] == got[1]["p_perm"]
+    assert got[0]["sd_perm"] == pytest.approx(got[1]["sd_perm"], rel=1e-12)
+
+
+def test_mode_counts(spark):
+    shares = spark.createDataFrame([(i, s) for i, s in enumerate([0.6, 0.31, 0.05, 0.03, 0.01])], "mode int, share double")
+    row = spatial.mode_counts(shares, [0.9, 0.95, 0.99], 5).first()
+    assert (row["modes_90"], row["modes_95"], row["modes_99"], row["n_months"]) == (2, 3, 4, 5)
+    assert spatial.mode_counts(shares, [0.9], 6).collect() == []
+
+
+def test_contiguity_graph_links_lone_units(spark):
+    cells = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 5, 3), (0, 8, None)], "i bigint, j bigint, unit_id bigint")
+    units = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 0.0, 5.0), (4, 0.0, 179.0), (5, 1.0, -179.0)], "unit_id bigint, lat double, lon double")
+    got = {(r["src"], r["dst"]) for r in overlay.contiguity_graph(cells, units, 360, 1).collect()}
+    assert got == {(1, 2), (2, 1), (3, 2), (2, 3), (4, 5), (5, 4)}
 
 
 # --- sources and sinks ---------------------------------------------------------------------------

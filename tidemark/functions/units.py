@@ -22,10 +22,6 @@ def rate_to_mm_month(rate: Column, days: Column) -> Column:
     return rate * SECONDS_PER_DAY * days
 
 
-def rate_to_cm_month(rate: Column, days: Column) -> Column:
-    return rate_to_mm_month(rate, days) / MM_PER_CM
-
-
 def acre_feet_to_mm(af: Column, area_km2: Column) -> Column:
     return F.try_divide(af * M3_PER_ACRE_FOOT, area_km2 * 1e6) * 1e3
 
@@ -34,10 +30,6 @@ def thousand_acre_feet_to_mm(taf: Column, area_km2: Column) -> Column:
     return acre_feet_to_mm(taf * 1e3, area_km2)
 
 
-def acre_feet_to_hm3(af: Column) -> Column:
-    return af * M3_PER_ACRE_FOOT / 1e6
-
-
 def hm3_to_mm(hm3: Column, area_km2: Column) -> Column:
     return F.try_divide(hm3 * 1000.0, area_km2)
 
@@ -67,10 +59,6 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.when(den > 0, den)
 
 
-def nan_to_null(v: Column) -> Column:
-    return F.when(~F.isnan(v), v)
-
-
 def clip(v: Column, low=None, high=None) -> Column:
     """Nulls stay null, which greatest and least alone would not do."""
     out = v

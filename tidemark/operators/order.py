@@ -6,9 +6,9 @@ are then cut into ranges of similar size. Running totals are taken inside a
 range, and the totals of the ranges below, a small table per key, are added. No
 task sees more than one range of one key.
 
-There are about as many ranges as the session has shuffle partitions. Beyond
-``FLAT`` they are found in two steps, coarse cuts and then cuts inside each
-coarse range, so that placing a value stays cheap.
+There are about as many ranges as the session has shuffle partitions. They are
+found in two steps, coarse cuts and then cuts inside each coarse range, so that
+placing a value stays cheap.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FLAT = 64
+#: A value that this share of all rows has is hot; there are as many hot values at most.
+HOT_SHARE = 64
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -49,14 +50,15 @@ def _place(cuts: Column, value: str, n: int) -> Column:
 
 
 def _banded(counts: DataFrame, value: str, ranges: int | None) -> DataFrame:
-    """Adds ``_band``, the number of the range a value lies in, growing with the value."""
+    """Adds ``_band``, the number of the range a value lies in, growing with the value.
+
+    Two levels of cuts: n coarse ranges, each cut into n. One row holds n cuts at most.
+    """
     ranges = ranges or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(16, ranges if ranges <= FLAT else math.ceil(math.sqrt(ranges)))
+    n = max(4, math.ceil(math.sqrt(ranges)))
     # The count is asked for too, so that the subquery reads the same shuffle as the rest.
     coarse = counts.agg(F.struct(_cuts(value, n).alias("c"), F.sum("n").alias("n")).alias("s")).scalar()
     banded = counts.withColumn("_cuts", coarse).withColumn("_band", _place(F.col("_cuts.c"), value, n)).drop("_cuts")
-    if ranges <= FLAT:
-        return banded
     inner = banded.groupBy("_band").agg(_cuts(value, n).alias("_cuts"))
     return (banded.join(inner, "_band").withColumn("_band", F.col("_band") * n + _place(F.col("_cuts"), value, n))
             .drop("_cuts"))
@@ -128,16 +130,25 @@ def quantiles(df: DataFrame, value: str, probs: list[float],
                        .alias("quantile"), "n")
 
 
-def average_rank(df: DataFrame, value: str, keys: list[str] | None = None,
-                 salts: int = 8) -> DataFrame:
-    """Adds ``rank`` (ties share the mean), ``pct_rank`` (0 to 100, 0 = smallest)."""
+def average_rank(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds ``rank`` (ties share the mean), ``pct_rank`` (0 to 100, 0 = smallest).
+
+    Ranks have one row for each distinct value and join back by it. Hot values, of which there are
+    HOT_SHARE at most, are joined beside every row, so that no task gets all rows of one value.
+    """
     keys = keys or []
     counts = value_counts(df, value, keys)
     rank = F.col("before") + (F.col("n") + 1) / 2
     table = counts.select(
-        *keys, value, rank.alias("rank"),
+        *keys, value, "n", rank.alias("rank"),
         (100.0 * (rank - 1) / F.greatest(F.col("total") - 1, F.lit(1))).alias("pct_rank"))
-    return salted_join(df, table, [*keys, value], "left", salts)
+    on = [*keys, value]
+    every = counts.agg(F.sum("n")).scalar()
+    hot = F.broadcast(table.where(F.col("n") * HOT_SHARE > every).select(*on, F.struct("rank", "pct_rank").alias("_hot")))
+    marked = df.join(hot, on, "left")
+    warm = marked.where("_hot is not null").select(*df.columns, "_hot.rank", "_hot.pct_rank")
+    cold = marked.where("_hot is null").select(*df.columns).join(table.drop("n"), on, "left").select(*df.columns, "rank", "pct_rank")
+    return warm.unionByName(cold)
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:

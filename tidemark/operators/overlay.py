@@ -10,9 +10,11 @@ when the smaller side is under its size limit, else AQE splits hot buckets.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import (cell_area_km2, equal_area_x, equal_area_y, haversine_km)
+from tidemark.session import cut_lineage
 
 
 def _columns(step: float) -> int:
@@ -201,6 +203,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def contiguity_graph(cell_unit: DataFrame, units: DataFrame, n_cols: int, k: int = 4) -> DataFrame:
+    """(src, dst), both ways: touching units, and the k nearest of each unit that touches none.
+
+    Degrees are those of a map, so links grow in line with the units.
+    """
+    touching = both_ways(contiguity(cell_unit, n_cols))
+    lone = units.join(touching.select(F.col("src").alias("unit_id")).distinct(), "unit_id", "left_anti")
+    near = nearest_k(lone, units, k)
+    return touching.unionByName(both_ways(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))).distinct()
+
+
 def inside_fraction(cells: DataFrame, fine: float, member: str, inside: str) -> DataFrame:
     """Area share of each member's fine cells that carry the other membership."""
     area = cell_area_km2(F.col("lat"), fine, fine)
@@ -256,26 +269,30 @@ def nearest_within(left: DataFrame, right: DataFrame, km: float, step: float = 5
         "a", F.col("_m.b").alias("b"), F.col("_m.km").alias("km"))
 
 
-def nearest_k(lone: DataFrame, units: DataFrame, k: int, step: float = 10.0,
-              reach_km: tuple[float, ...] = (1500.0, 5000.0, 20100.0)) -> DataFrame:
+def nearest_k(lone: DataFrame, units: DataFrame, k: int,
+              reach_km: tuple[float, ...] = (300.0, 1200.0, 5000.0, 20100.0)) -> DataFrame:
     """k nearest units (other than itself) of each lone unit.
 
     The search widens only for units that found fewer than k; the last reach is
-    half the globe, so the answer is complete.
+    half the globe, so the answer is complete. Buckets grow with the reach.
     """
-    from pyspark.sql import Window as W
-    left = lone.select(F.col("unit_id").alias("a"), "lat", "lon")
     right = units.select(F.col("unit_id").alias("b"), "lat", "lon")
-    found, open_ = None, left
-    for i, km in enumerate(reach_km):
-        near = within_radius(open_, right, km, step).where("a <> b")
-        if i < len(reach_km) - 1:
-            enough = near.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
-            near = near.join(enough.select("a"), "a", "left_semi")
-            open_ = open_.join(enough.select("a"), "a", "left_anti")
-        found = near if found is None else found.unionByName(near)
+    found, open_ = None, cut_lineage(lone.select(F.col("unit_id").alias("a"), "lat", "lon"))
     place = F.row_number().over(W.partitionBy("a").orderBy("km", "b"))
-    return found.withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+    for km in reach_km:
+        near = within_radius(open_, right, km, min(30.0, max(1.0, km / 100))).where("a <> b")
+        near = cut_lineage(near.withColumn("_r", place).where(F.col("_r") <= k).drop("_r"))
+        enough = near.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("a")
+        if km < reach_km[-1]:
+            open_ = cut_lineage(open_.join(enough, "a", "left_anti"))
+            done = open_.isEmpty()
+            near = near.join(enough, "a", "left_semi")
+        else:
+            done = True
+        found = near if found is None else found.unionByName(near)
+        if done:
+            return found
+    return found
 
 
 def outline_measures(edges: DataFrame) -> DataFrame:

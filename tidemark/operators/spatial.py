@@ -97,39 +97,53 @@ def morans_i(units: DataFrame, edges: DataFrame) -> DataFrame:
                     F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("e_i")))
 
 
-def shuffles(z: DataFrame, n_perm: int, seed: str) -> DataFrame:
-    """(perm, unit_id, z): every permutation deals the values out to all units.
+def shuffles(z: DataFrame, n_perm: int, seed: str, batch: int) -> DataFrame:
+    """(part, unit_id, deal): one array of dealt values for each unit and ``batch`` permutations.
 
     The deal is the order of md5(seed, perm, unit), so it is the same on every
     engine. A window holds one permutation, that is one value per unit.
     """
     ids = dense_index(z, "unit_id")
-    dealt = spread(z.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))), "perm", groups=n_perm)
-    mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"),
-                             F.col("unit_id").cast("string")))
-    place = F.row_number().over(W.partitionBy("perm").orderBy("_mark", "unit_id")) - 1
-    dealt = dealt.withColumn("_mark", mark).withColumn("idx", place).select("perm", "idx", "z")
-    return dealt.join(ids.select("unit_id", "idx"), "idx").select("perm", "unit_id", "z")
+    part = F.expr(f"(_k - 1) div {batch}").cast("int")
+    rows = z.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumns(
+        {"part": part, "perm": (F.col("_k") - 1) % batch + 1})
+    mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("_k").cast("string"), F.col("unit_id").cast("string")))
+    place = F.row_number().over(W.partitionBy("part", "perm").orderBy("_mark", "unit_id")) - 1
+    dealt = rows.withColumn("_mark", mark).withColumn("idx", place)
+    deal = F.transform(F.sort_array(F.collect_list(F.struct("perm", "z"))), lambda s: s["z"])
+    return (dealt.groupBy("part", "idx").agg(deal.alias("deal")).join(ids.select("unit_id", "idx"), "idx")
+            .select("part", "unit_id", "deal"))
 
 
 def moran_permutation(units: DataFrame, edges: DataFrame, n_perm: int, seed: str = "20260916",
-                      batch: int = 500) -> DataFrame:
+                      batch: int = 250) -> DataFrame:
     """Moran's I with its permutation spread, z and one-sided p, one row.
 
-    Permutations go in batches of ``batch`` in one plan, each aggregated to one
-    number per permutation before the batches meet.
+    Every unit carries an array of ``batch`` dealt values, so an edge meets each of its ends once
+    for a whole batch; the products of the arrays add up in the task, and one number for each
+    permutation and task goes on.
     """
     z = centred(units)
     obs = morans_i(units, edges)
-    parts = None
-    for start in range(0, n_perm, batch):
-        size = min(batch, n_perm - start)
-        dealt = shuffles(z, size, f"{seed}:{start}")
-        num = _linked(dealt, edges, ["perm"]).groupBy("perm").agg(
-            F.sum(F.col("w") * F.col("z1") * F.col("z2")).alias("num"), F.sum("w").alias("s0"))
-        parts = num if parts is None else parts.unionByName(num)
+    dealt = shuffles(z, n_perm, seed, batch)
+    a = dealt.select("part", F.col("unit_id").alias("src"), F.col("deal").alias("d1"))
+    b = dealt.select("part", F.col("unit_id").alias("dst"), F.col("deal").alias("d2"))
+
+    def products(batches):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for part, own in pdf.groupby("part"):
+                w = own["w"].to_numpy("float64")
+                more = np.append((w[:, None] * np.array(own["d1"].tolist()) * np.array(own["d2"].tolist())).sum(axis=0), w.sum())
+                sums[part] = sums.get(part, 0.0) + more
+        for part, total in sums.items():
+            yield pd.DataFrame({"part": part, "perm": np.arange(len(total) - 1), "num": total[:-1], "s0": total[-1]})
+
+    sums = (edges.join(a, "src").join(b, ["part", "dst"]).select("part", "w", "d1", "d2")
+            .mapInPandas(products, "part int, perm int, num double, s0 double")
+            .groupBy("part", "perm").agg(F.sum("num").alias("num"), F.sum("s0").alias("s0")))
     size = z.agg(F.array(F.count("*").cast("double"), F.sum(F.col("z") * F.col("z"))).alias("s"))
-    sims = (parts.withColumn("_s", size.scalar()).withColumn("n", F.col("_s")[0].cast("bigint")).withColumn("_zz", F.col("_s")[1])
+    sims = (sums.withColumn("_s", size.scalar()).withColumn("n", F.col("_s")[0].cast("bigint")).withColumn("_zz", F.col("_s")[1])
             .withColumn("i_obs", obs.select("i").scalar())
             .withColumn("sim", F.try_divide(F.col("n") * F.col("num"), F.col("s0") * F.col("_zz"))))
     # Sums in another order differ in the last digits, so equality needs a tolerance.
@@ -302,9 +316,8 @@ def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None
     z = centred(units)
     rows = units.select("unit_id", "lat", "lon").join(z, "unit_id").withColumn("vec", F.array("z")).drop("z")
     if n_perm:
-        dealt = shuffles(z, n_perm, seed).groupBy("unit_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s: s["z"]).alias("deals"))
-        rows = rows.join(dealt, "unit_id").withColumn("vec", F.concat("vec", "deals")).drop("deals")
+        dealt = shuffles(z, n_perm, seed, n_perm).select("unit_id", "deal")
+        rows = rows.join(dealt, "unit_id").withColumn("vec", F.concat("vec", "deal")).drop("deal")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split(pdf)

@@ -205,7 +205,3 @@ def trough_recovery(df: DataFrame, keys: list[str], month: str, v: str, before:
             .agg(F.avg(after).alias("post"), F.count(after).alias("n_post")))
     gain = F.try_divide(F.col("post") - F.col("trough"), F.col("pre") - F.col("trough"))
     return low.join(post, keys).withColumn("recovered_pct", 100 * gain)
-
-
-def lag_of(v: Column, keys: list[str], month: str, k: int = 1) -> Column:
-    return F.lag(v, k).over(_by(keys, month))

@@ -9,6 +9,7 @@ from tidemark.operators import order, overlay, reduce, timeops
 from tidemark.operators.fit import simple_regression
 from tidemark.plans.registry import query, sel
 from tidemark.plans.roles import (A, AB, B, CROSS, E, P, SCALE, U, outlines, points, products, shipped, sites, t_p_sql, table, totals, units)
+from tidemark.session import cut_lineage
 
 K = ["unit_id"]
 
@@ -224,7 +225,8 @@ def _(spark, sf):
     n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("y"))
     c = (table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"))
          .join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "x", F.coalesce("y", F.lit(0)).alias("y")))
-    rx = order.average_rank(c, "x").select("c_custkey", "y", F.col("rank").alias("rx"))
+    # Ranked twice: without the cut, the second ranking would plan the first one for each of its branches.
+    rx = cut_lineage(order.average_rank(c, "x").select("y", F.col("rank").alias("rx")))
     return order.average_rank(rx, "y").agg(F.corr("rx", "rank").alias("rho"), F.count("*").alias("n"))
 
 
@@ -355,17 +357,19 @@ pm AS (SELECT parent_id, sum(v * w) / sum(w) AS pv FROM m GROUP BY 1)"""
 x AS (SELECT count(*) AS n, 1 - (sum(w * gap * gap) / sum(w)) / (sum(w * (v - g) * (v - g)) / sum(w)) AS explained, median(abs(gap)) AS median_gap, quantile_cont(abs(gap), 0.9) AS p90_gap FROM d)
 SELECT {sel('n:i explained:r median_gap:r p90_gap:r')} FROM x""")
 def _(spark, sf):
-    m = (totals(spark, sf).groupBy("unit_id").agg(F.avg("value").alias("v"))
-         .join(units(spark, sf).select("unit_id", "parent_id", F.col("area_km2").alias("w")), "unit_id"))
+    # One row for each unit, read by the parents, the moments and the quantiles.
+    m = cut_lineage(totals(spark, sf).groupBy("unit_id").agg(F.avg("value").alias("v"))
+                    .join(units(spark, sf).select("unit_id", "parent_id", F.col("area_km2").alias("w")), "unit_id"))
     p = m.groupBy("parent_id").agg(reduce.weighted_mean(F.col("v"), F.col("w")).alias("pv"))
-    d = m.join(p, "parent_id").withColumn("gap", F.col("v") - F.col("pv")).withColumn("size", F.abs("gap"))
+    d = cut_lineage(m.join(p, "parent_id").withColumn("gap", F.col("v") - F.col("pv")).withColumn("size", F.abs("gap")))
     grand = m.agg(reduce.weighted_mean(F.col("v"), F.col("w")).alias("g"))
     q = order.quantiles(d, "size", [0.5, 0.9])
     moments = d.withColumn("g", grand.scalar()).agg(
         F.count("*").alias("n"),
         (1 - F.sum(F.col("w") * F.col("gap") * F.col("gap")) / F.sum(F.col("w") * F.pow(F.col("v") - F.col("g"), 2))).alias("explained"))
-    return (moments.withColumn("median_gap", q.where("prob = 0.5").select("quantile").scalar())
-            .withColumn("p90_gap", q.where("prob = 0.9").select("quantile").scalar()))
+    wide = q.agg(F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median_gap"),
+                 F.max(F.when(F.col("prob") == 0.9, F.col("quantile"))).alias("p90_gap"))
+    return moments.withColumn("_q", wide.select(F.struct("median_gap", "p90_gap")).scalar()).select("n", "explained", "_q.*")
 
 
 @query("A40_eta_squared", f"""WITH d AS (SELECT c_acctbal AS y, c_mktsegment AS g FROM customer), gm AS (SELECT g, avg(y) AS m, count(*) AS n FROM d GROUP BY 1),

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import fit, flags, order, overlay, panel, reduce, spatial, timeops
 from tidemark.plans import studies
+from tidemark.plans.join_queries import CONTACT, RASTER, raster
 from tidemark.plans.registry import query, sel
 from tidemark.plans.roles import (A, AB, B, G, GB, P, S, SCALE, U, WELL, gappy_products, gappy_totals, great_circle_sql, haversine_sql, ols_sql, points, shipped, sites,
                                   t_p_sql, table, totals, trend_xs, units, wells)
 from tidemark.plans.flag_metrics import METRIC, metrics
+from tidemark.session import cut_lineage
 
 K = ["unit_id"]
 
@@ -313,13 +315,21 @@ def _(spark, sf):
     return out.select("total_share", "square_sum", "n_months")
 
 
-EDGE = f"""{S}, pr AS (SELECT a.unit_id AS src, b.unit_id AS dst FROM s a JOIN s b ON a.unit_id <> b.unit_id WHERE {haversine_sql('a', 'b')} <= 2500), e AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM pr)"""
+EDGE = f"""{S}, {RASTER}, {CONTACT}, lone AS (SELECT * FROM s WHERE unit_id NOT IN (SELECT src FROM pairs UNION SELECT dst FROM pairs)),
+nd AS (SELECT lone.unit_id AS a, s.unit_id AS b, {haversine_sql('lone', 's')} AS km FROM lone JOIN s ON lone.unit_id <> s.unit_id), nk AS (SELECT a, b FROM nd QUALIFY row_number() OVER (PARTITION BY a ORDER BY km, b) <= 4),
+pr AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs UNION SELECT a, b FROM nk UNION SELECT b, a FROM nk), ew AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS w FROM pr)"""
 
 
-def site_edges(spark, sf, keep=None):
-    s = sites(spark, sf) if keep is None else sites(spark, sf).where(keep)
-    near = overlay.within_radius(s.select(F.col("unit_id").alias("a"), "lat", "lon"), s.select(F.col("unit_id").alias("b"), "lat", "lon"), 2500.0)
-    raw = near.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))
+def site_graph(spark, sf):
+    """Touching outlines, and the four nearest of suppliers that touch none."""
+    return cut_lineage(overlay.contiguity_graph(raster(spark, sf), sites(spark, sf).select("unit_id", "lat", "lon"), 144))
+
+
+def site_edges(graph, keep=None):
+    """Row-standardised weights; among the units of keep(unit_id) only, if given."""
+    raw = graph.withColumn("w", F.lit(1.0))
+    for end in ("src", "dst") if keep is not None else ():
+        raw = raw.join(keep.select(F.col("unit_id").alias(end)), end, "left_semi")
     return spatial.row_standardise(raw)
 
 
@@ -331,11 +341,12 @@ SELECT '{tag}' AS variant, (SELECT count(*) FROM v) AS n, count(*) AS links, (SE
 @query("M19_morans_i", f"""WITH {EDGE}, x AS ({moran_sql('x', 'true', 'all')} UNION ALL {moran_sql('rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0', 'true', 'all_ranks')} UNION ALL {moran_sql('x', 'area > 2000', 'no_ice')}) SELECT {sel('variant:s n:i links:i i:r e_i:r')} FROM x""")
 def _(spark, sf):
     s = sites(spark, sf)
-    edges = site_edges(spark, sf)
+    graph = site_graph(spark, sf)
+    edges = site_edges(graph)
     ranks = order.average_rank(s.select("unit_id", F.col("x").alias("x0")), "x0").select("unit_id", F.col("rank").alias("x"))
     dry = F.col("area") > 2000
     parts = {"all": spatial.morans_i(s.select("unit_id", "x"), edges), "all_ranks": spatial.morans_i(ranks, edges),
-             "no_ice": spatial.morans_i(s.where(dry).select("unit_id", "x"), site_edges(spark, sf, dry))}
+             "no_ice": spatial.morans_i(s.where(dry).select("unit_id", "x"), site_edges(graph, s.where(dry)))}
     out = None
     for name, part in parts.items():
         part = part.withColumn("variant", F.lit(name))
@@ -349,11 +360,11 @@ dl AS (SELECT perm, z, row_number() OVER (PARTITION BY perm ORDER BY md5('{seed}
 dz AS (SELECT perm, v.unit_id, dl.z FROM dl JOIN v USING (idx) UNION ALL SELECT 0, unit_id, z FROM v)"""
 
 
-@query("M20_moran_permutation", f"""WITH {EDGE}, {deals_sql(99, '20260916:0')}, i AS (SELECT a.perm, (SELECT count(*) FROM v) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM v) AS i FROM e JOIN dz a ON a.unit_id = src JOIN dz b ON b.unit_id = dst AND b.perm = a.perm GROUP BY 1),
+@query("M20_moran_permutation", f"""WITH {EDGE}, {deals_sql(999, '20260916')}, i AS (SELECT a.perm, (SELECT count(*) FROM v) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM v) AS i FROM ew JOIN dz a ON a.unit_id = src JOIN dz b ON b.unit_id = dst AND b.perm = a.perm GROUP BY 1),
 o AS (SELECT i AS io FROM i WHERE perm = 0), x AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT io FROM o) AS i, stddev_pop(i) AS sd_perm, ((SELECT io FROM o) - avg(i)) / stddev_pop(i) AS z_perm, (count(CASE WHEN i >= (SELECT io FROM o) - 1e-12 THEN 1 END) + 1) / (count(*) + 1) AS p_perm, count(*) AS n_perm FROM i WHERE perm > 0)
 SELECT {sel('n:i i:r sd_perm:r z_perm:r p_perm:r n_perm:i')} FROM x""")
 def _(spark, sf):
-    return spatial.moran_permutation(sites(spark, sf).select("unit_id", "x"), site_edges(spark, sf), 99)
+    return spatial.moran_permutation(sites(spark, sf).select("unit_id", "x"), site_edges(site_graph(spark, sf)), 999)
 
 
 BANDLIST = "(VALUES (0, 0, 250), (1, 250, 500), (2, 500, 750), (3, 750, 1000), (4, 1000, 1500), (5, 1500, 2000), (6, 2000, 3000), (7, 3000, 4000), (8, 4000, 6000))"
@@ -530,14 +541,16 @@ def _(spark, sf):
     return panel.ablation_medians(well_panel(spark, sf), "unit_id", "block_id", "y", ["x2", "x1", "x4"], MODELS, 5)
 
 
-FLAGGED = f"""{S}, fl AS (SELECT * FROM s WHERE x < 6), ed AS (SELECT a.unit_id AS src, b.unit_id AS dst FROM fl a JOIN fl b ON a.unit_id <> b.unit_id WHERE {haversine_sql('a', 'b')} <= 1500),
+FLAGGED = f"""{EDGE}, fl AS (SELECT * FROM s WHERE x < 6), ed AS (SELECT src, dst FROM pr WHERE src IN (SELECT unit_id FROM fl) AND dst IN (SELECT unit_id FROM fl)),
 rc AS (SELECT unit_id AS u, unit_id AS v FROM fl UNION SELECT rc.u, ed.dst FROM rc JOIN ed ON ed.src = rc.v), cp AS (SELECT u AS unit_id, min(v) AS component FROM rc GROUP BY 1)"""
 
 
 def site_components(spark, sf):
     f = sites(spark, sf).where("x < 6")
-    near = overlay.within_radius(f.select(F.col("unit_id").alias("a"), "lat", "lon"), f.select(F.col("unit_id").alias("b"), "lat", "lon"), 1500.0)
-    return f, spatial.components(f, near.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    edges = site_graph(spark, sf)
+    for end in ("src", "dst"):
+        edges = edges.join(f.select(F.col("unit_id").alias(end)), end, "left_semi")
+    return f, spatial.components(f, edges)
 
 
 @query("M31_connected_components", f"""WITH RECURSIVE {FLAGGED} SELECT {sel('unit_id:i component:i')} FROM cp""")
@@ -545,8 +558,8 @@ def _(spark, sf):
     return site_components(spark, sf)[1]
 
 
-@query("M32_component_summary", f"""WITH RECURSIVE {FLAGGED}, m AS (SELECT component, fl.* FROM cp JOIN fl USING (unit_id)), bx AS (SELECT r_name AS name, -180.0 + 72 * r_regionkey AS lo, -108.0 + 72 * r_regionkey AS hi FROM region),
-g AS (SELECT component, count(*) AS units, sum(area) AS area, min(lon) AS lon_lo, max(lat) AS lat_hi, median(x) AS median_trend FROM m GROUP BY 1 HAVING sum(area) >= 5000), h AS (SELECT component, name, sum(area) AS inside FROM m JOIN bx ON lon BETWEEN lo AND hi GROUP BY 1, 2),
+@query("M32_component_summary", f"""WITH RECURSIVE {FLAGGED}, mb AS (SELECT component, fl.* FROM cp JOIN fl USING (unit_id)), bx AS (SELECT r_name AS name, -180.0 + 72 * r_regionkey AS lo, -108.0 + 72 * r_regionkey AS hi FROM region),
+g AS (SELECT component, count(*) AS units, sum(area) AS area, min(lon) AS lon_lo, max(lat) AS lat_hi, median(x) AS median_trend FROM mb GROUP BY 1 HAVING sum(area) >= 5000), h AS (SELECT component, name, sum(area) AS inside FROM mb JOIN bx ON lon BETWEEN lo AND hi GROUP BY 1, 2),
 b AS (SELECT component, arg_max(name, (inside, name)) AS name, max(inside) AS inside FROM h GROUP BY 1), x AS (SELECT g.*, coalesce(inside / area, 0) AS share_inside, CASE WHEN coalesce(inside / area, 0) >= 0.5 THEN name ELSE 'none' END AS label FROM g LEFT JOIN b USING (component))
 SELECT {sel('component:i units:i area:r lon_lo:r lat_hi:r median_trend:r share_inside:r label:s')} FROM x""")
 def _(spark, sf):

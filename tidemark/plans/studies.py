@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import water_year
 from tidemark.functions.stats import pearson, t_pvalue
 from tidemark.operators import fit, joins, order, overlay, reduce, spatial, timeops
+from tidemark.session import cut_lineage
 
 
 # --- flux footprints --------------------------------------------------------------------
@@ -22,7 +23,8 @@ def flux_rows(df: DataFrame, key: str, noise: DataFrame) -> DataFrame:
     """
     for v in ("d", "c", "p"):
         df = timeops.deseasonalise(df, [key], "month", v, f"{v}_ds")
-    ok = df.where(F.col("d_ds").isNotNull() & F.col("c_ds").isNotNull())
+    # One table of footprint months, read by every statistic below.
+    ok = cut_lineage(df.where(F.col("d_ds").isNotNull() & F.col("c_ds").isNotNull()))
     yearly = ok.groupBy(key, F.year("month").alias("y")).agg(F.sum("c").alias("c")).groupBy(key).agg(
         F.avg("c").alias("cu_yr"))
     r = ok.groupBy(key).agg(
@@ -45,6 +47,7 @@ def flux_rows(df: DataFrame, key: str, noise: DataFrame) -> DataFrame:
 
 def analyse_footprints(storage: DataFrame, flux: DataFrame, key: str) -> DataFrame:
     """storage(key, month, value) with gaps; flux(key, month, c, p). One row per footprint."""
+    storage = cut_lineage(storage.select(key, "month", "value"))
     full = timeops.complete_axis(storage, [key], "month", per_unit=True)
     change = timeops.centred_difference(storage, [key], "month", "value", "d").select(key, "month", "d")
     rows = full.select(key, "month").join(change, [key, "month"], "left").join(flux, [key, "month"])
@@ -199,13 +202,3 @@ def leakage_indicator(df: DataFrame, month: str, v: str, w: str, land: Column, c
                               mean(land & ~coastal).alias("interior"))
     return g.agg(pearson(F.col("land"), F.col("ocean")).alias("r_land_ocean"), pearson(F.col("coastal"), F.col("ocean")).alias("r_coastal_ocean"),
                  pearson(F.col("interior"), F.col("ocean")).alias("r_interior_ocean"), F.count("*").alias("months"))
-
-
-def common_series(frames: list[DataFrame], unit: str, v: str) -> list[DataFrame]:
-    """Series re-centred on the months every one of them has."""
-    return [timeops.recentre(f, [unit], v, v) for f in joins.on_common_months(frames)]
-
-
-def small_sample_p(r: Column, n: Column) -> Column:
-    dof = F.greatest(n - 3, F.lit(1)).cast("double")
-    return t_pvalue(r * F.sqrt(dof / F.greatest(F.lit(1e-12), 1 - r * r)), dof)
