@@ -19,6 +19,8 @@ from tidemark.session import cut_lineage
 CELLS, PER_LANGUAGE = 1 << 14, 2000
 #: Trigrams overlap, so their evidence counts by a third. Prior of no known language. Weight of a parent in host counts.
 TEMPER, UNKNOWN, PARENT = 1 / 3, 1e-3, 20.0
+#: Trigrams looked up at a time.
+SLICE = 1 << 16
 #: ASCII other than letters becomes a space.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -84,11 +86,12 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     def likelihood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf.drop(columns="text")
-            cells = [trigrams(t) for t in pdf["text"]]
-            out["_n"] = [len(c) for c in cells]
-            out["_ll"] = [logs[c].sum(axis=0, dtype=np.float64) for c in cells]
-            yield out
+            out, n, ll = pdf.drop(columns="text"), [], []
+            for text in pdf["text"]:  # the trigrams of one text at a time
+                cells = trigrams(text)
+                n.append(len(cells))
+                ll.append(sum(logs[cells[at:at + SLICE]].sum(axis=0, dtype=np.float64) for at in range(0, max(1, len(cells)), SLICE)))
+            yield out.assign(_n=n, _ll=ll)
 
     kind = rows.schema["id"].dataType.simpleString()
     scored = cut_lineage(rows.select("id", "declared", "suffix", "host", "domain", "text").mapInPandas(
