@@ -38,8 +38,14 @@ class WaveletMatrix:
             i = np.where((c >> level) & 1, row.zeros + ones, i - ones)
         return i
 
-    def count(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        return self._down(c, i) - self.begin[c]
+    def counts(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of c before two places each."""
+        for row, level in zip(self.rows, range(self.levels - 1, -1, -1)):
+            one = ((c >> level) & 1).astype(bool)
+            a, b = row.ones_before(lo), row.ones_before(hi)
+            lo, hi = np.where(one, row.zeros + a, lo - a), np.where(one, row.zeros + b, hi - b)
+        begin = self.begin[c]
+        return lo - begin, hi - begin
 
 
 class FMIndex:
@@ -51,14 +57,20 @@ class FMIndex:
 
     def __init__(self, words: np.ndarray, owner: np.ndarray, depth: int):
         self.depth, n = depth, len(words)
-        rank, have, steps = words.astype(np.int64), 1, []
+        # Ranks by ever more words: as many ranks side by side as fit into one 64-bit key.
+        rank, have, ranks = words.astype(np.int64), 1, {1: words.astype(np.int64)}
         while have < depth:
-            step = min(have, depth - have)
-            after = np.zeros(n, dtype=np.int64)
-            after[:n - step] = rank[step:] + 1
-            rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)[1]
-            have += step
-            steps.append(step)
+            key, got, bits = rank, have, int(rank.max(initial=0) + 1).bit_length()
+            while got < depth:
+                size = max(k for k in ranks if k <= depth - got)
+                more = int(ranks[size].max(initial=0) + 1).bit_length()
+                if bits + more > 63:
+                    break
+                after = np.zeros(n, dtype=np.int64)
+                after[:n - got] = ranks[size][got:] + 1
+                key, got, bits = (key << more) | after, got + size, bits + more
+            rank, have = np.unique(key, return_inverse=True)[1], got
+            ranks[have] = rank
         order = np.argsort(rank, kind="stable")
         self.symbols = int(words.max(initial=0)) + 1
         self.levels = max(1, (self.symbols - 1).bit_length())
@@ -86,7 +98,8 @@ class FMIndex:
 
     def _step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = self.first[c]
-        return base + self.bwt.count(c, lo), base + self.bwt.count(c, hi)
+        before, upto = self.bwt.counts(c, lo, hi)
+        return base + before, base + upto
 
     def matching_statistics(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word of the streamed passages: words that match from there on, at most ``depth``, and the least owner of a

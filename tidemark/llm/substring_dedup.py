@@ -11,14 +11,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import BATCH_BYTES, by_bucket, dealt, pack_sorted, press, text_bytes, unpack_sorted, unpacked, unpress
+from tidemark.llm.batches import by_bucket, dealt, pack_sorted, press, text_bytes, unpack_sorted, unpacked, unpress
 from tidemark.llm.fm_index import FMIndex
 from tidemark.session import cut_lineage
 
 #: Words of a passage; words of an anchor; most windows in a segment.
 WINDOW, ANCHOR, SEGMENT = 13, 3, 64
 #: An anchor in more documents than this is split by window; anchors of a count bucket and words of an index, about.
-HOT, BUCKET_ANCHORS, SHARD_WORDS = 1000, 1 << 20, 1_500_000
+HOT, BUCKET_ANCHORS, SHARD_WORDS = 1000, 1 << 20, 500_000
+#: Bytes of text in a batch, about, and bytes that are hashed at a time.
+BATCH_BYTES, HASH_BYTES = 6_000_000, 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,25 +43,45 @@ class Words:
         return self.data[self.begin[start]:self.end[start + words - 1]]
 
 
-def anchors(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(words: Words) -> np.ndarray:
+    """Rolling sums of byte * odd**place modulo 2**64, divided by the power of the word's begin; some words at a time."""
+    back, n, out = np.uint64(pow(int(ODD), -1, 1 << 64)), len(words.begin), np.zeros(len(words.begin), dtype=np.uint64)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(words.end, words.begin[i] + HASH_BYTES, side="right")))
+        lo, hi = words.begin[i], words.end[j - 1]
+        power = np.full(hi - lo + 1, ODD)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum((words.bytes[lo:hi] + np.uint64(1)) * power[:-1], out=sums[1:])
+        power[1:] = back
+        np.cumprod(power, out=power)
+        begin, end = words.begin[i:j] - lo, words.end[i:j] - lo
+        out[i:j] = _mixed((sums[end] - sums[begin]) * power[begin])
+        i = j
+    return out
+
+
+def anchors(words: Words, own: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, document, first window, windows): runs of windows with one anchor, the least hash of ANCHOR words in a window.
 
-    Equal windows have equal anchors. A run spans at most SEGMENT windows.
+    ``own`` are the hashes of the words. Equal windows have equal anchors. A run spans at most SEGMENT windows.
     """
     n = len(words.begin)
     none = np.zeros(0, dtype=np.int64)
     if n < window:
         return none.astype(np.uint64), none, none, none
-    # Rolling sums of byte * odd**place modulo 2**64; the hash divides by the power of its begin.
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words.bytes), ODD)]), dtype=np.uint64)
-    back = np.uint64(pow(int(ODD), -1, 1 << 64))
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words.bytes), back)]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((words.bytes + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    begin, end = words.begin[:n - ANCHOR + 1], words.end[ANCHOR - 1:]
-    h = (sums[end] - sums[begin]) * inverse[begin]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    h = own[:n - ANCHOR + 1].copy()
+    for k in range(1, ANCHOR):
+        h = h * ODD + own[k:n - ANCHOR + 1 + k]
+    h = _mixed(h)
     least, have, most = h, 1, window - ANCHOR + 1
     while have < most:
         step = min(have, most - have)
@@ -89,8 +111,13 @@ def _flags(answers: pd.DataFrame) -> np.ndarray:
 
 
 def _segments(words: Words, answers: pd.DataFrame, shards: int):
-    """Segments of a batch that may recur: (document, first window, windows, key), hot anchors window by window."""
-    anchor, doc, start, n = anchors(words)
+    """Segments of a batch that may recur: (document, first window, windows, number), and of each number (shard, occurrence).
+
+    Hot anchors give one segment for each window. Numbers follow (shard, hash of the segment), so they depend only on the
+    batch's texts; within a batch segments are known by 64-bit hashes.
+    """
+    own = word_hashes(words)
+    anchor, doc, start, n = anchors(words, own)
     u, place = np.unique(anchor, return_inverse=True)
     flag = _flags(answers)[place] if len(u) else np.zeros(0, dtype=np.uint8)
     hot = flag == 2
@@ -98,15 +125,23 @@ def _segments(words: Words, answers: pd.DataFrame, shards: int):
     at = np.repeat(np.flatnonzero(flag > 0), times)
     shift = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
     start, n = start[at] + np.where(hot[at], shift, 0), np.where(hot[at], 1, n[at])
-    texts = np.array([words.slice(s, m + WINDOW - 1) for s, m in zip(start.tolist(), n.tolist())] + [None], dtype=object)[:-1]
-    key = anchor[at].copy()
-    for i in np.flatnonzero(hot[at]):
-        key[i] = xxhash.xxh3_64_intdigest(texts[i])
-    # The distinct segments in the order of (shard, text) depend only on the batch's texts.
-    shard = (key % np.uint64(shards)).astype(np.int64)
-    frame = pd.DataFrame({"shard": shard, "text": texts})
-    number, distinct = pd.factorize(pd.MultiIndex.from_frame(frame), sort=True) if len(frame) else (np.zeros(0, dtype=np.int64), [])
-    return doc[at], start, n, number, list(distinct)
+    # Hash of a segment from those of its words, by rolling sums.
+    power = np.full(len(own) + 1, ODD)
+    power[:1] = 1
+    np.cumprod(power, out=power)
+    sums = np.zeros(len(own) + 1, dtype=np.uint64)
+    np.cumsum(own * power[:-1], out=sums[1:])
+    power[1:] = np.uint64(pow(int(ODD), -1, 1 << 64))
+    np.cumprod(power, out=power)
+    text = _mixed((sums[start + n + WINDOW - 1] - sums[start]) * power[start] + n.astype(np.uint64))
+    shard = (np.where(hot[at], text, anchor[at]) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((text, shard))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (shard[order][1:] != shard[order][:-1])
+    number = np.zeros(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    return doc[at], start, n, number, shard[first], first
 
 
 def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -132,7 +167,8 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["doc_id"].notna()]
-        anchor, doc, _, _ = anchors(Words(unpacked(pdf)))
+        words = Words(unpacked(pdf))
+        anchor, doc, _, _ = anchors(words, word_hashes(words))
         order = np.lexsort((doc, anchor))
         anchor, doc = anchor[order], doc[order]
         own = np.ones(len(anchor), dtype=bool)
@@ -158,13 +194,14 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def cut(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = _ordered(left[left["doc_id"].notna()])
-        doc, _, n, number, distinct = _segments(Words(unpacked(left)), right, shards)
-        first = np.full(len(distinct), np.iinfo(np.int64).max)
+        words = Words(unpacked(left))
+        doc, start, n, number, shard, at = _segments(words, right, shards)
+        first = np.full(len(shard), np.iinfo(np.int64).max)
         np.minimum.at(first, number, left["doc_id"].to_numpy(dtype=np.int64)[doc])
-        shard = np.array([s for s, _ in distinct], dtype=np.int64)
+        begin, end = words.begin[start[at]].tolist(), words.end[start[at] + n[at] + WINDOW - 2].tolist()
         heads = np.flatnonzero(np.diff(shard, prepend=-1))
         pack = zstandard.ZstdCompressor(level=3).compress
-        out = [(key[0], int(shard[lo]), pack(b"\n".join(t for _, t in distinct[lo:hi])), press(first[lo:hi]))
+        out = [(key[0], int(shard[lo]), pack(b"\n".join(words.data[x:y] for x, y in zip(begin[lo:hi], end[lo:hi]))), press(first[lo:hi]))
                for lo, hi in zip(heads, np.append(heads[1:], len(shard)))]
         return pd.DataFrame(out, columns=["batch", "shard", "segments", "first"])
 
@@ -173,9 +210,9 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
         number, texts = pd.factorize(np.array([t for own in lists for t in own] + [None], dtype=object)[:-1])
         first = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(first, number, np.concatenate([unpress(b, "<i8") for b in pdf["first"]]))
-        split = [t.split(b" ") for t in texts]
-        lengths = np.array([len(w) for w in split])
-        ids = pd.factorize(np.array([w for own in split for w in own], dtype=object))[0] + 1
+        words = Words(list(texts))
+        lengths = words.n
+        ids = np.unique(word_hashes(words), return_inverse=True)[1] + 1
         # A 0 follows each passage, so a word lies as many places further on as passages come before it.
         begins = np.cumsum(lengths + 1) - lengths - 1
         stream = np.zeros(len(ids) + len(texts), dtype=np.int64)
@@ -203,12 +240,12 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
         texts = unpacked(left)
         known = left["doc_id"].notna().to_numpy()
         words = Words([t if k else b"" for t, k in zip(texts, known)])
-        doc, start, n, number, distinct = _segments(words, right[right["kind"] == 0], shards)
+        doc, start, n, number, _, at = _segments(words, right[right["kind"] == 0], shards)
         gone = np.zeros(len(words.begin) + 1, dtype=np.int64)
         if len(doc):
             own = right[right["kind"] == 1].sort_values("bucket")
             least = np.concatenate([unpress(b, "<i8") for b in own["flags"]])
-            windows = np.array([t.count(b" ") + 2 - WINDOW for _, t in distinct])
+            windows = n[at]
             base = (np.cumsum(windows) - windows)[number]
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             earlier = least[np.repeat(base, n) + place] < np.repeat(left["doc_id"].fillna(0).to_numpy(dtype=np.int64)[doc], n)
