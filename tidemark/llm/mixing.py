@@ -148,7 +148,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     lo = F.greatest(begin, F.col("block") * b)
     hi = F.least(begin + size, F.col("block") * b + b)
     parts = parts.select("uid", "doc_id", "sid", "block", (lo - begin).alias("start"), (hi - lo).alias("n_words"))
-    spans = plan_slots(spark, slots, blocks, seed).join(parts, ["sid", "block"])
+    # Spark takes the slots for as small as the table of counts that they are made from, and would copy them to every task.
+    spans = plan_slots(spark, slots, blocks, seed).hint("merge").join(parts, ["sid", "block"])
     return sizes, spans.select("shard", "slot", "pass", "uid", "doc_id", "start", "n_words")
 
 
