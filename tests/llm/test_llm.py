@@ -504,6 +504,15 @@ def test_exact_dedup_spreads_a_hot_text(spark):
     assert sorted(kept, key=repr) == [(3, 3, 4), (None, None, 2)]
 
 
+def test_large_ids_beside_nulls_stay_whole(spark):
+    big = (1 << 62) + 1
+    t = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(None, t), (big, t), (big + 2, t)], "doc_id long, text string").coalesce(1)
+    for out in (substring_dedup.repeated_passages(df), simhash.simhash_groups(df), exact_dedup.exact_dedup(df), packing.pieces(df), lm_score.lm_score(df)):
+        assert {r["doc_id"] for r in out.collect()} == {None, big, big + 2}
+    assert [r["n_removed"] for r in substring_dedup.repeated_passages(df).orderBy("doc_id").collect()] == [0, 0, 20]
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, docs, odd, empty, tmp_path):

@@ -20,16 +20,18 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def dealt(docs: DataFrame, part: Column, number: Column) -> DataFrame:
-    """(batch, part, doc_id, packed) of docs(doc_id, text): batch is the part's bits above the number, packed the compressed text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", part.alias("part"), (part * (1 << 40) + number).alias("batch"))
+    """(batch, part, doc_id, packed) of docs(doc_id, text): batch is the part's bits above the number, packed the compressed text.
+
+    The id is text from here on.
+    """
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", part.alias("part"), (part * (1 << 40) + number).alias("batch"))
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
         for pdf in batches:
             yield pd.DataFrame({"batch": pdf["batch"], "part": pdf["part"], "doc_id": pdf["doc_id"],
                                 "packed": [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
-    return rows.select("batch", "part", "doc_id", "text").mapInPandas(squeeze, f"batch long, part int, doc_id {kind}, packed binary")
+    return rows.select("batch", "part", "doc_id", "text").mapInPandas(squeeze, "batch long, part int, doc_id string, packed binary")
 
 
 def unpacked(pdf: pd.DataFrame) -> list[bytes]:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import BLANKS, partitions, whole
+from tidemark.llm.text import BLANKS, as_before, as_text, partitions, whole
 from tidemark.session import cut_lineage
 
 #: Characters of the text in the keys from which the splitters are sampled: the sample that the driver sees has short rows.
@@ -67,9 +67,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     order = ["start", "h", F.col("doc_id").asc_nulls_last()]
     ranged = rows.repartitionByRange(partitions(docs), *order)
     laid = ranged.sortWithinPartitions("start", "h", "norm", F.col("doc_id").asc_nulls_last())
-    found = laid.select("doc_id", "norm", F.sha2(norm, 256).alias("text_sha256")).mapInPandas(
-        _runs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_sha256 string, run long, head boolean, edge_text string")
-    found = cut_lineage(found)
+    found = as_text(laid.select("doc_id", "norm", F.sha2(norm, 256).alias("text_sha256"))).mapInPandas(
+        _runs, "doc_id string, text_sha256 string, run long, head boolean, edge_text string")
+    found = cut_lineage(as_before(found, docs))
 
     runs = found.groupBy("run").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max("edge_text").alias("edge_text"))
     edge = runs.where("edge_text is not null")

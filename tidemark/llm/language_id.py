@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import ascii_lower, whole
+from tidemark.llm.text import as_before, as_text, ascii_lower, whole
 from tidemark.llm.url_filter import host_of
 from tidemark.session import cut_lineage
 
@@ -93,9 +93,9 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
                 ll.append(sum(logs[cells[at:at + SLICE]].sum(axis=0, dtype=np.float64) for at in range(0, max(1, len(cells)), SLICE)))
             yield out.assign(_n=n, _ll=ll)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = cut_lineage(rows.select("id", "declared", "suffix", "host", "domain", "text").mapInPandas(
-        likelihood, f"id {kind}, declared string, suffix string, host string, domain string, _n long, _ll array<double>"))
+    scored = as_text(rows.select("id", "declared", "suffix", "host", "domain", "text"), "id").mapInPandas(
+        likelihood, "id string, declared string, suffix string, host string, domain string, _n long, _ll array<double>")
+    scored = cut_lineage(as_before(scored, rows, "id"))
     best = F.array_position("_ll", F.array_max("_ll")) - 1
     scored = scored.withColumn("_best", F.when((F.col("_n") > 0) & (best < known), best))
     decided = scored.where("_best is not null")

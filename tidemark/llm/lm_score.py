@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import BATCH_BYTES, by_bucket, dealt, pack_sorted, press, text_bytes, unpack_sorted, unpacked, unpress
+from tidemark.llm.text import as_before
 from tidemark.session import cut_lineage
 
 #: N-grams in a count bucket, about: what one task holds.
@@ -179,7 +180,6 @@ def lm_score(docs: DataFrame) -> DataFrame:
             .applyInPandas(held_out_bins, "bucket long, pair long, word long, n long")
             .groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).orderBy("bucket", "pair", "word").toPandas())
     weights = learn_weights(bins, known_rest)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         word, before, pair, n = _looked_up(left, right, "train")
@@ -191,5 +191,6 @@ def lm_score(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": left["doc_id"], "held_out": left["part"] == 0, "n_tokens": n, "n_known": np.add.reduceat(word > 0, at, dtype=np.int64),
                              "train_tokens": seen, "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logs, at)})
 
-    return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
-        score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
+        score, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return as_before(out, docs)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.text import as_before, as_text
 from tidemark.session import cut_lineage
 
 LENGTH, END_ID = 1024, 0
@@ -37,13 +38,12 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
     All pieces of a document but the last are full windows. A null text is empty, so its only id is END_ID.
     """
     path = path or public_tokenizers.path(RANKS)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"]):
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = np.array(enc.encode(text or "", allowed_special="all") + [END_ID], dtype="<u4")
                 for at in range(0, len(ids), length):
                     part = ids[at:at + length]
@@ -51,12 +51,10 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
                         out[k].append(v)
             if not with_ids:
                 del out["ids"]
-            frame = pd.DataFrame(out)
-            frame["doc_id"] = pd.array(out["doc_id"], dtype=pdf["doc_id"].dtype)
-            yield frame
+            yield pd.DataFrame(out)
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    return as_before(as_text(docs.select("doc_id", "text")).mapInPandas(run, schema), docs)
 
 
 class OpenWindows:

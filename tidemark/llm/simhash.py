@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import partitions
+from tidemark.llm.text import as_before, as_text, partitions
 from tidemark.operators.spatial import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -38,8 +38,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.int64)})
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return as_before(as_text(docs.select("doc_id", "text")).mapInPandas(run, "doc_id string, fp long"), docs)
 
 
 def links(prints: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import by_bucket, dealt, pack_sorted, press, text_bytes, unpack_sorted, unpacked, unpress
 from tidemark.llm.fm_index import FMIndex
+from tidemark.llm.text import as_before
 from tidemark.session import cut_lineage
 
 #: Words of a passage; words of an anchor; most windows in a segment.
@@ -160,7 +161,6 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Null and empty texts have no words. A null doc_id is neither a source nor loses words; rows that repeat a doc_id do not
     count against each other.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     total = text_bytes(docs.select("text"))
     batched = dealt(docs, F.lit(0), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + total // BATCH_BYTES)))
     bits = max(1, (total // 32 // BUCKET_ANCHORS).bit_length())
@@ -197,7 +197,7 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
         words = Words(unpacked(left))
         doc, start, n, number, shard, at = _segments(words, right, shards)
         first = np.full(len(shard), np.iinfo(np.int64).max)
-        np.minimum.at(first, number, left["doc_id"].to_numpy(dtype=np.int64)[doc])
+        np.minimum.at(first, number, left["doc_id"].astype("int64").to_numpy()[doc])
         begin, end = words.begin[start[at]].tolist(), words.end[start[at] + n[at] + WINDOW - 2].tolist()
         heads = np.flatnonzero(np.diff(shard, prepend=-1))
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -248,7 +248,7 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
             windows = n[at]
             base = (np.cumsum(windows) - windows)[number]
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            earlier = least[np.repeat(base, n) + place] < np.repeat(left["doc_id"].fillna(0).to_numpy(dtype=np.int64)[doc], n)
+            earlier = least[np.repeat(base, n) + place] < np.repeat(left["doc_id"].fillna("0").astype("int64").to_numpy()[doc], n)
             hit = (np.repeat(start, n) + place)[earlier]
             np.add.at(gone, hit, 1)
             np.add.at(gone, np.minimum(hit + WINDOW, len(words.begin)), -1)
@@ -271,6 +271,6 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
             rows.append(row + [kept.decode("utf-8", "surrogatepass")] * with_text)
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"] + ["kept_text"] * with_text)
 
-    schema = (f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,n:long>>"
+    schema = ("doc_id string, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,n:long>>"
               + ", kept_text string" * with_text)
-    return batched.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(remove, schema)
+    return as_before(batched.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(remove, schema), docs)

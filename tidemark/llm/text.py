@@ -28,5 +28,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def as_text(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The id as text on its way through pandas, where a null beside it would make a float of a long."""
+    return df.withColumn(name, F.col(name).cast("string"))
+
+
+def as_before(df: DataFrame, like: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast(like.schema[name].dataType))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
