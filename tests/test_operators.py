@@ -410,6 +410,21 @@ def test_mode_counts(spark):
     assert spatial.mode_counts(shares, [0.9], 6).collect() == []
 
 
+def test_scan_lines_agree_with_points_in_polygons(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for u in range(30):
+        x, y, n = rng.uniform(-180, 180), rng.uniform(-80, 80), rng.integers(3, 9)
+        ring = [(x + rng.uniform(-25, 25), y + rng.uniform(-9, 9)) for _ in range(n)]
+        rows += [(u, 0, *ring[k], *ring[(k + 1) % n]) for k in range(n)]
+    rows += [(90, 0, 0.0, 0.0, 10.0, 0.0), (90, 0, 10.0, 0.0, 10.0, 7.5), (90, 0, 10.0, 7.5, 0.0, 7.5), (90, 0, 0.0, 7.5, 0.0, 0.0)]
+    edges = spark.createDataFrame([(r[0], r[1], *map(float, r[2:])) for r in rows], "unit_id bigint, ring int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["i"], r["j"]): r["unit_id"] for r in overlay.unit_raster(edges, 2.5).collect()}
+    grid = overlay.master_grid(spark, 2.5)
+    want = {r["cell_id"]: r["unit_id"] for r in overlay.first_polygon(grid, edges, "cell_id").collect()}
+    assert len(got) == 72 * 144 and all(want[i * 144 + j] == u for (i, j), u in got.items())
+
+
 def test_contiguity_graph_links_lone_units(spark):
     cells = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 5, 3), (0, 8, None)], "i bigint, j bigint, unit_id bigint")
     units = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 0.0, 5.0), (4, 0.0, 179.0), (5, 1.0, -179.0)], "unit_id bigint, lat double, lon double")

@@ -180,9 +180,31 @@ def master_grid(spark, d: float, lat0: float = -90.0, lat1: float = 90.0) -> Dat
         (F.lit(-180.0) + (F.col("j") + 0.5) * d).alias("lon"))
 
 
-def unit_raster(grid: DataFrame, edges: DataFrame, step: float = 5.0) -> DataFrame:
-    """cell_id, i, j, lat, lon, unit_id: each cell centre gets one unit or none."""
-    return grid.join(first_polygon(grid, edges, "cell_id", step), "cell_id")
+def unit_raster(edges: DataFrame, d: float, lat0: float = -90.0, lat1: float = 90.0) -> DataFrame:
+    """cell_id, i, j, lat, lon, unit_id: each centre of the global grid gets the lowest unit that holds it, or none.
+
+    Scan lines: an edge meets each row of centres between its ends once, where it crosses the row. The crossings of an
+    outline in a row, in order, are the ends of its covered spans, and only covered cells are listed. The work follows the
+    outlines' heights and the cells inside, not cells times edges. Even-odd rule and seam as in points_in_polygons.
+    """
+    rows, cols = int(round((lat1 - lat0) / d)), int(round(360 / d))
+    box = edges.groupBy("unit_id").agg(F.min(F.least("x1", "x2")).alias("_x0"))
+    lat = F.lit(lat0) + (F.col("i") + 0.5) * d
+    first = F.greatest(F.floor((F.least("y1", "y2") - lat0) / d - 0.5), F.lit(0))
+    last = F.least(F.ceil((F.greatest("y1", "y2") - lat0) / d - 0.5), F.lit(rows - 1))
+    met = (edges.where("y1 <> y2").join(box, "unit_id").where(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
+           .where((F.col("y1") > lat) != (F.col("y2") > lat)))
+    cross = F.try_divide((F.col("x2") - F.col("x1")) * (lat - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
+    ends = met.groupBy("unit_id", "_x0", "i").agg(F.sort_array(F.collect_list(cross)).alias("_c"))
+    span = F.transform(F.sequence(F.lit(1), F.size("_c") - 1, F.lit(2)),
+                       lambda k: F.struct(F.element_at("_c", k).alias("lo"), F.element_at("_c", k + 1).alias("hi")))
+    spans = ends.where(F.size("_c") > 1).select("unit_id", "_x0", "i", F.inline(span))
+    left, right = F.floor((F.col("lo") + 180.0) / d - 0.5), F.ceil((F.col("hi") + 180.0) / d - 0.5)
+    cells = spans.withColumn("j", F.explode(F.sequence(left, right))).withColumn("j", F.pmod("j", F.lit(cols)))
+    lon = F.lit(-180.0) + (F.col("j") + 0.5) * d
+    east = F.when(lon < F.col("_x0"), lon + 360).when(lon >= F.col("_x0") + 360, lon - 360).otherwise(lon)
+    held = cells.where((east >= F.col("lo")) & (east < F.col("hi"))).groupBy("i", "j").agg(F.min("unit_id").alias("unit_id"))
+    return master_grid(edges.sparkSession, d, lat0, lat1).join(held, ["i", "j"], "left")
 
 
 def contiguity(cell_unit: DataFrame, n_cols: int) -> DataFrame:

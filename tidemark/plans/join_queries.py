@@ -156,7 +156,7 @@ AREA = "(6371.0088 ** 2 * radians(2.5) * (sin(radians(lat + 1.25)) - sin(radians
 
 
 def raster(spark, sf):
-    return overlay.unit_raster(overlay.master_grid(spark, 2.5), outlines(spark, sf))
+    return overlay.unit_raster(outlines(spark, sf), 2.5)
 
 
 @query("J19_nested_grid_overlap", f"""WITH {RASTER}, x AS (SELECT unit_id, CAST(floor((lat + 90) / 5) AS BIGINT) AS ci, CAST(floor((lon + 180) / 10) AS BIGINT) AS cj, sum({AREA}) AS weight FROM r WHERE unit_id IS NOT NULL GROUP BY 1, 2, 3)
