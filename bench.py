@@ -11,7 +11,8 @@ from tidemark.plans.catalog import QUERIES
 from tidemark.session import local_session
 
 HEADLINE = ["flagship_ranked_trends", "A05_weighted_mean", "J20_point_in_polygon", "M24_leave_one_block_out",
-            "M20_moran_permutation", "A20_quantiles", "W07_average_and_percentile_rank", "M23_sensitivity_sweep"]
+            "M20_moran_permutation", "A20_quantiles", "W07_average_and_percentile_rank", "M23_sensitivity_sweep",
+            "A39_parent_explained_share", "M15_detection_threshold"]
 
 
 def main() -> None:

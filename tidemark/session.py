@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,10 +30,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as named in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: executors on other
+    Only a local master may fall back to a temporary folder, one for a session: executors on other
     machines could not read it back after a loss.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,9 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-    return tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    return _LOCAL[app]
 
 
 def cut_lineage(df):
