@@ -548,3 +548,15 @@ def test_a_hot_cell_is_split_over_tasks(spark, small_limits):
     obs = hot_points(spark).select(F.when(F.col("p") % 3 == 0, 0).otherwise(F.col("p") % 2000).alias("cell"), F.lit(1).alias("month"), F.col("lat").alias("v"))
     over = spark.range(2000).select(F.lit(1).alias("unit_id"), F.col("id").alias("cell"), F.lit(1.0).alias("w"))
     assert split_by_spark(reduce.overlay_means(over, obs, ["cell"], "unit_id", "month", "v", "w"))
+
+
+def test_legend_check_fails_on_a_wrong_label(spark):
+    from tidemark.operators import filters
+
+    cells = spark.createDataFrame([(1, 0.0, 0.0)] * 3 + [(1, 50.0, 90.0)] + [(2, 50.0, 90.0)] * 9 + [(2, 0.0, 0.0)], "name bigint, lat double, lon double")
+    boxes = spark.createDataFrame([(1, -5.0, 5.0, -5.0, 5.0), (2, -5.0, 5.0, -5.0, 5.0)], "name bigint, lat_min double, lat_max double, lon_min double, lon_max double")
+    shares = filters.outside_share(cells, boxes, "name")
+    assert {r["name"]: r["outside"] for r in shares.collect()} == {1: 0.25, 2: 0.9}
+    assert filters.checked(shares, F.col("outside") <= 0.9, "label").count() == 2
+    with pytest.raises(Exception, match="label"):
+        filters.checked(shares, F.col("outside") <= 0.5, "label").collect()
