@@ -478,16 +478,22 @@ def test_payload_keeps_gaps(spark):
 
 def test_ingest_resumes_and_repeats_change_nothing(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    ev = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, h), float(h)) for h in range(10)], "user_id bigint, ts timestamp, value double")
+    ev = spark.createDataFrame([(1, dt.datetime(2024, 1, 1 + h // 5, h), float(h)) for h in range(10)], "user_id bigint, ts timestamp, value double")
 
     def run():
         stream = spark.readStream.schema(ev.schema).parquet(src)
-        return incremental.ingest(stream, lambda b: incremental.daily_partials(b, "user_id", "ts", "value"), out, ck)
-    ev.where("value < 5").write.parquet(src)
+        return incremental.ingest(stream, lambda b: incremental.daily_partials(b, "user_id", "ts", "value"), out, ck, ["day"])
+
+    def stored():
+        return sorted(tuple(r) for r in incremental.merged(spark, out).select("total", "n").collect())
+    ev.where("value < 5").coalesce(1).write.parquet(src)
     assert run() == 1 and run() == 0
-    ev.where("value >= 5").write.mode("append").parquet(src)
+    ev.where("value >= 5").coalesce(1).write.mode("append").parquet(src)
     assert run() == 1
-    assert [tuple(r) for r in incremental.merged(spark, out).select("total", "n").collect()] == [(45.0, 10)]
+    assert stored() == [(10.0, 5), (35.0, 5)]
+    # The first day sent again under another name is stored already.
+    ev.where("value < 5").coalesce(1).write.mode("append").parquet(src)
+    assert run() == 1 and stored() == [(10.0, 5), (35.0, 5)]
     assert incremental.new_keys(ev, ev.where("value < 9"), ["user_id", "ts"]).count() == 1
 
 

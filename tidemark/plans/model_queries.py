@@ -509,7 +509,8 @@ def _(spark, sf):
 
 
 CLASSES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-WETNESS = {"dry": "wet < 6.5", "wet": "wet >= 6.5"}
+# The cut is no mean of whole months, so that no unit lies on it.
+WETNESS = {"dry": "wet < 6.4871", "wet": "wet >= 6.4871"}
 
 
 def split_ablation_sql(panel_sql: str, splits: dict[str, str]) -> str:
@@ -529,7 +530,7 @@ def _(spark, sf):
 
 @query("M30_ablation_by_wetness", split_ablation_sql(f"{PANEL}, uw AS (SELECT unit_id, avg(x2) AS wet FROM w GROUP BY 1), pw AS (SELECT pn.*, wet FROM pn JOIN uw USING (unit_id))", WETNESS))
 def _(spark, sf):
-    split = panel.wetness(wells(spark, sf), "unit_id", "x2", 6.5, 50)
+    split = panel.wetness(wells(spark, sf), "unit_id", "x2", 6.4871, 50)
     return panel.ablation(well_panel(spark, sf).join(split, "unit_id"), "split", "block_id", "y", ["x2", "x1", "x4"], MODELS, 100)
 
 
