@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import fit, order, overlay, reduce, timeops
 from tidemark.plans.roles import CROSS, E, P, ols_sql, outlines, points, sites, table, trend_xs
+from tidemark.session import cut_lineage
 
 K = ["unit_id"]
 
@@ -20,7 +21,8 @@ def three_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    s = three_series(spark, sf)
+    # One row for each unit and month, read by every metric below.
+    s = cut_lineage(three_series(spark, sf))
     unit = sites(spark, sf).select("unit_id", "area")
 
     cells = points(spark, sf).select("point_id", "lat", "lon", "w", "v")
@@ -39,6 +41,7 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("ya", "yb", "p", "sm", "sn"):
         d = timeops.deseasonalise(d, K, "month", name, name)
     d = timeops.accumulated_anomaly(timeops.lagged(d, K, "month", "p", [1, 2, 3], "p"), K, "month", "p", "pc", nulls_as_zero=True)
+    d = cut_lineage(d)
     predictors = ["p", "p1", "p2", "p3", "pc", "sm", "sn"]
     departures = {x: fit.departure_fit(d, K, "month", f"y{x}", predictors).select("unit_id", F.col("r2_adj").alias(f"pred_r2_{x}")) for x in "ab"}
 
@@ -48,6 +51,7 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     for x in "abc":
         trend = fit.trend(s, K, "month", x).select("unit_id", F.col("b_t").alias(f"t_{x}"))
         if x != "c":
+            trend = cut_lineage(trend)
             trend = order.average_rank(trend, f"t_{x}").select("unit_id", f"t_{x}", F.col("pct_rank").alias(f"rank_{x}"))
         out = out.join(trend, "unit_id", "left")
     ratio = F.try_divide(F.abs(F.col("t_a") - F.col("t_b")), F.abs("t_c"))
