@@ -16,7 +16,7 @@ import xxhash
 
 import corpus_pipeline
 from tidemark.llm import (batches, chat, embedding_dedup, exact_dedup, fm_index, language_id, lm_score, mixing, packing, queries,
-                          simhash, substring_dedup, url_filter)
+                          shingle_dedup, simhash, substring_dedup, url_filter)
 
 SF = os.environ.get("TIDEMARK_TEST_SF", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -543,3 +543,38 @@ def test_pipeline_stages(spark, docs, odd, empty, tmp_path):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+
+
+def five_words(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_groups_are_those_of_brute_force(spark, monkeypatch):
+    """Pairs around a similarity of 0.8, nulls and repeated ids; most of the near pairs lie beyond two bits."""
+    monkeypatch.setattr(shingle_dedup, "SAMPLED", 1)
+    rng = random.Random(11)
+    base = [prose(rng, 1).join(["", " "]) + " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(3, 150))) for _ in range(40)]
+    line = " ".join(f"line{i}" for i in range(25))
+    texts = [None, "", "a b", "A b", *base]
+    for t in base:
+        for _ in range(6):
+            w = t.split()
+            for _ in range(rng.randrange(0, 2 + len(w) // 40)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(w) + (" " + line if rng.random() < 0.3 else ""))
+    ids = [None if rng.random() < 0.1 else rng.randrange(250) for _ in texts]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    own = [five_words(t) for t in texts]
+    linked = lambda a, b: 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])
+    group = components(list(range(len(texts))), linked)
+    low = {}
+    for i, g in group.items():
+        low[g] = min([x for x in (low.get(g), ids[i]) if x is not None], default=None)
+    got = shingle_dedup.near_groups(df).collect()
+    digest = [hashlib.sha256((t or "").encode()).hexdigest()[:32] for t in texts]
+    assert Counter((r["doc_id"], r["digest"], r["component_id"]) for r in got) == Counter((ids[i], digest[i], low[group[i]]) for i in group)
+    assert sum(r["kept"] for r in got) == len(low)
+    assert Counter(r["doc_id"] for r in got if r["kept"]) == Counter(low.values())
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if linked(a, b)]
+    assert sum((fingerprint(texts[a]) ^ fingerprint(texts[b])).bit_count() > 2 for a, b in near) > len(near) / 10
