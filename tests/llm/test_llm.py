@@ -578,3 +578,24 @@ def test_near_groups_are_those_of_brute_force(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in got if r["kept"]) == Counter(low.values())
     near = [(a, b) for a in range(len(texts)) for b in range(a) if linked(a, b)]
     assert sum((fingerprint(texts[a]) ^ fingerprint(texts[b])).bit_count() > 2 for a, b in near) > len(near) / 10
+
+
+def test_mixed_rows_have_their_own_words(spark):
+    data = odd_ids()
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = mixing.mixed_documents(df, block=8).collect()
+    count = lambda t: len(WORD.findall(t or ""))
+    owned = defaultdict(list)
+    for i, t, _, s in data:
+        owned[i, s].append(t or "")
+    for r in got:
+        words, lines = WORD.findall(r["text"]), r["text"].split("\n")
+        fits = [t for t in owned[r["doc_id"], r["source"]] if all(x in t for x in lines) and len(words) <= 3 * count(t)]
+        assert fits and r["n_chars"] == len(r["text"])
+    sources = ["s0", "s1"]
+    total = [sum(count(t) for _, t, _, s in data if s == x) for x in sources]
+    for x, want in zip(sources, mixing.targets(total, [1, 2])):
+        assert abs(sum(count(r["text"]) for r in got if r["source"] == x) - want) <= 16
+    assert any(r["doc_id"] is None for r in got)
+    again = mixing.mixed_documents(df.repartition(7), block=8).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.text import WORD, word_count
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, shared_folder
 
 #: Words in a block; slots in an output shard; documents counted by one task; most passes over a source.
 BLOCK, SHARD_SLOTS, CHUNK_ROWS, PASSES = 64, 4096, 1 << 12, 3
@@ -106,12 +107,12 @@ def plan_slots(spark, slots: np.ndarray, blocks: np.ndarray, seed: int) -> DataF
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(sizes, spans) of a mix of docs(doc_id, text, source, ...).
+    """(sizes, spans) of a mix of docs(doc_id, text, source, ...). A column ``_uid`` that numbers the rows is taken as uid.
 
     sizes(uid, doc_id, size, source_size, target): one row for each row of docs. spans(shard, slot, pass, uid, doc_id, start,
     n_words): the words that a slot of the mix takes from a document.
 
-    A source's documents, in the order of a hash and doc_id, are one run of words, cut into blocks. Sources weigh ``weights``
+    A source's documents, in the order of a hash, doc_id and the text's hash, are one run of words, cut into blocks. Sources weigh ``weights``
     by turns, by code point, null last, and share all words; none is taken more than PASSES times. A source gets as many
     slots as its target holds mean blocks, so its words come within a block of the target, and no block is taken more than
     PASSES times. Slots of an output shard are multinomial counts against what each source has left. The k-th slot of a
@@ -121,8 +122,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     One row for each source reaches the driver, none for a document.
     """
     spark = docs.sparkSession
-    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sized = sized.withColumn("uid", F.monotonically_increasing_id())
+    numbered = [F.col("_uid").alias("uid")] if "_uid" in docs.columns else []
+    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"), *numbered))
+    if not numbered:
+        sized = sized.withColumn("uid", F.monotonically_increasing_id())
     sources = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     sources = sorted(sources, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     words = [r["words"] for r in sources]
@@ -131,15 +134,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     slots = np.array([min(PASSES * b, round(t * b / w)) if w else 0 for t, b, w in zip(goal, blocks.tolist(), words)], dtype=np.int64)
     listed = spark.createDataFrame([(i, r["source"], w, t) for i, (r, w, t) in enumerate(zip(sources, words, goal))],
                                    "sid long, _source string, source_size long, target double")
-    known = sized.join(listed, sized["source"].eqNullSafe(listed["_source"])).select("uid", "doc_id", "size", "sid", "source_size", "target")
+    known = sized.join(listed, sized["source"].eqNullSafe(listed["_source"])).select("uid", "doc_id", "size", "_h", "sid", "source_size", "target")
     sizes = known.select("uid", "doc_id", "size", "source_size", "target")
 
     chunks = 1 + sum(r["n"] for r in sources) // CHUNK_ROWS
-    rows = known.where("size > 0").select("uid", "doc_id", "size", "sid").withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    # Rows with a null doc_id, which may be many, go to chunks by their text.
+    spread = F.when(F.col("doc_id").isNull(), F.col("_h")).otherwise(F.xxhash64("doc_id"))
+    rows = known.where("size > 0").select("uid", "doc_id", "size", "_h", "sid").withColumn("_chunk", F.pmod(spread, F.lit(chunks)))
     before = Window.partitionBy("sid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = (rows.groupBy("sid", "_chunk").agg(F.sum("size").alias("_words"))
             .select("sid", "_chunk", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base")))
-    inside = Window.partitionBy("sid", "_chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "_chunk").orderBy("doc_id", "size", "_h").rowsBetween(Window.unboundedPreceding, -1)
     begins = (rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["sid", "_chunk"])
               .withColumn("begin", F.col("_base") + F.col("_in")))
     begin, size, b = F.col("begin"), F.col("size"), F.lit(block)
@@ -164,10 +169,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with the text that the mix takes of each document, and its n_chars; documents of which it takes nothing go.
 
     A pass that takes a whole document gives its text unchanged; taken parts keep the blanks between their words. Parts and
-    passes follow each other, a line feed between them. Rows that repeat a doc_id share what is taken of either.
+    passes follow each other, a line feed between them. Each row gets its own spans, also with a null doc_id or one that it
+    shares. For that the rows are numbered once, in the shared folder.
     """
-    spans = mix(docs, **options)[1]
-    of_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.array("pass", "start", "n_words"))).alias("_spans"))
+    spark, at = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/mixing-{uuid.uuid4().hex}"
+    docs.withColumn("_uid", F.monotonically_increasing_id()).write.parquet(at)
+    numbered = spark.read.parquet(at)
+    spans = mix(numbered, **options)[1]
+    of_row = spans.groupBy(F.col("uid").alias("_uid")).agg(F.sort_array(F.collect_list(F.array("pass", "start", "n_words"))).alias("_spans"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -184,5 +193,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             out.append("\n".join(t if b - a == len(words) else t[words[a][0]:words[b - 1][1]] for _, a, b in parts))
         return pd.Series(out, dtype=object)
 
-    out = docs.join(of_doc, "doc_id").withColumn("text", cut("text", "_spans"))
+    out = numbered.join(of_row, "_uid").withColumn("text", cut("text", "_spans"))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
