@@ -578,6 +578,8 @@ def test_near_groups_are_those_of_brute_force(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in got if r["kept"]) == Counter(low.values())
     near = [(a, b) for a in range(len(texts)) for b in range(a) if linked(a, b)]
     assert sum((fingerprint(texts[a]) ^ fingerprint(texts[b])).bit_count() > 2 for a, b in near) > len(near) / 10
+    out = corpus_pipeline.near(spark, df.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars"), SF).collect()
+    assert Counter((r["doc_id"]) for r in out) == Counter(low.values())
 
 
 def test_mixed_rows_have_their_own_words(spark):
@@ -599,3 +601,26 @@ def test_mixed_rows_have_their_own_words(spark):
     assert any(r["doc_id"] is None for r in got)
     again = mixing.mixed_documents(df.repartition(7), block=8).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_rows_are_decided_on_one_by_one(spark):
+    """Each filtering stage against a plain version that numbers the rows."""
+    data = odd_ids() + [(11, "\u4e2d\u6587\u5b57\u5178" * 40, None, "s0"), (None, "\u7535\u8111\u6c34\u706b" * 40, None, "s0")]
+    df = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    plain = lambda frame: Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in frame.collect())
+    known = corpus_pipeline.languages(spark, df, SF)
+    assert plain(known) == Counter(r for r in data if not (r[1] or "").startswith(("\u4e2d", "\u7535")))
+    order = lambda r: (r[0] is None, r[0] or 0)
+    first = {}
+    for r in sorted(data, key=order):
+        first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", r[1] or ""), r)
+    got = plain(corpus_pipeline.exact(spark, df, SF))
+    assert Counter((i, t) for i, t, _, _ in got.elements()) == Counter((i, t) for i, t, _, _ in first.values())
+    own = [five_words(r[1]) for r in data]
+    group = components(list(range(len(data))), lambda a, b: 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b]))
+    kept = {}
+    for k in sorted(range(len(data)), key=lambda k: order(data[k])):
+        kept.setdefault(group[k], data[k])
+    got = plain(corpus_pipeline.near(spark, df, SF))
+    assert Counter(i for i, *_ in got.elements()) == Counter(r[0] for r in kept.values())
+    assert Counter(t or "" for _, t, *_ in got.elements()) == Counter(r[1] or "" for r in kept.values())
