@@ -582,6 +582,35 @@ def test_near_groups_are_those_of_brute_force(spark, monkeypatch):
     assert Counter((r["doc_id"]) for r in out) == Counter(low.values())
 
 
+def test_rare_languages_are_known_beside_any_number_of_others(spark):
+    """Five labelled documents count beside 6,000 as beside 60; junk is still of no language."""
+    rng = random.Random(8)
+    greek = ["το νερό και η στάθμη της θάλασσας ", "η θύελλα και το κύμα στο λιμάνι ", "ο άνεμος και η στάθμη του νερού "]
+    rare = [(i, rng.choice(greek) * 5, "el", "s") for i in range(5)]
+    junk = [(-1, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200)), None, "s")]
+    for n in (60, 6000):
+        common = [(10 + i, prose(rng, 30), "en", "s") for i in range(n)]
+        df = spark.createDataFrame(rare + common + junk, "doc_id long, text string, lang string, source string")
+        model = language_id.train(df)
+        assert model.languages == ["el", "en"]
+        got = collected(language_id.identify(language_id.document_rows(df), model), "id")
+        assert [got[i]["lang"] for i in range(5)] == ["el"] * 5 and got[-1]["rejected"]
+        assert sum(got[10 + i]["lang"] == "en" for i in range(n)) == n
+        assert {r["doc_id"] for r in corpus_pipeline.languages(spark, df, SF).collect()} == set(got) - {-1}
+    blank = spark.createDataFrame([(1, "12", "xx", "s"), (2, "water level", "en", "s")], df.schema)
+    assert language_id.train(blank).languages == ["en"]
+
+
+def odd_ids():
+    """Rows (doc_id, text, lang, source): null, repeated and clashing doc_ids, null texts."""
+    rng = random.Random(21)
+    out = [(i, prose(rng, rng.randrange(30, 90)), "en", f"s{i % 2}") for i in range(40)]
+    out += [(None, prose(rng, 40 + i), "en", f"s{i % 2}") for i in range(20)]
+    out += [out[0], out[1], out[1], out[45], out[45]]  # rows that repeat, two of them without an id
+    out += [(7, out[3][1], "en", "s0"), (8, None, "en", "s1"), (9, "a short one", "en", "s1"), (None, None, "en", "s0"), (None, out[5][1], "en", "s0")]
+    return out
+
+
 def test_mixed_rows_have_their_own_words(spark):
     data = odd_ids()
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)

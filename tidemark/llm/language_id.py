@@ -44,11 +44,14 @@ def trigrams(text: str | None) -> np.ndarray:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
     """Text model from docs(doc_id, text, lang): trigram counts of a bounded sample of labelled rows, by hash of doc_id and text.
 
-    Languages are the labels of at least a thousandth of the labelled rows. Without labels every text is of unknown language.
+    Languages are all labels whose texts have trigrams, however few. Each cell starts at half an occurrence; in a language
+    of fewer trigrams than cells at less, so that all starts weigh half its trigrams and it stays apart from the unknown
+    language. Without labels every text is of unknown language.
     """
     sizes = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(k for k, n in sizes.items() if n * 1000 >= sum(sizes.values()))
-    share = reduce(lambda c, k: F.when(F.col("lang") == k, min(1.0, per_language / sizes[k])).otherwise(c), languages, F.lit(0.0))
+    large = sorted(k for k, n in sizes.items() if n > per_language)
+    all_of = F.when(F.col("lang").isNotNull(), 1.0).otherwise(0.0)
+    share = reduce(lambda c, k: F.when(F.col("lang") == k, per_language / sizes[k]).otherwise(c), large, all_of)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000)) / 1e6
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,10 +62,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
 
     counts = (docs.where(draw < share).select("lang", "text").mapInPandas(count, "lang string, cell long, n long")
               .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas())
+    by_lang = dict(list(counts.groupby("lang")))
+    languages = sorted(by_lang)
     logs = np.full((CELLS, len(languages) + 1), -np.log(CELLS))
     for i, lang in enumerate(languages):
-        n = np.full(CELLS, 0.5)
-        own = counts[counts["lang"] == lang]
+        own = by_lang[lang]
+        n = np.full(CELLS, 0.5 * min(1.0, own["n"].sum() / CELLS))
         n[own["cell"]] += own["n"]
         logs[:, i] = np.log(n / n.sum())
     return TextModel(languages, logs.astype(np.float32))
