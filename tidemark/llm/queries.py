@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (chat, embedding_dedup, exact_dedup, language_id, lm_score, mixing, packing, simhash, substring_dedup,
-                          url_filter)
+                          suffix_dedup, url_filter)
 from tidemark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     pages = language_id.page_rows(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return language_id.identify(pages, model).withColumnRenamed("id", "page_id")
+
+
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
