@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import by_bucket, pack_sorted, press, text_bytes, unpack_sorted, unpress
+from tidemark.llm.batches import by_bucket, frugal, give_back, pack_sorted, press, text_bytes, unpack_sorted, unpress
 from tidemark.llm.suffix_sort import sorted_suffixes
 from tidemark.llm.text import as_before
 from tidemark.session import cut_lineage, shared_folder
@@ -108,6 +108,7 @@ def bundles(docs: DataFrame) -> DataFrame:
                     yield row()
                     number, held = number + 1, 0
                     ids, known, texts = [], [], []
+                    give_back()
         if ids:
             yield row()
 
@@ -220,7 +221,9 @@ def repeated_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 u, n = np.unique(anchors(own.data, own.sizes)[0], return_counts=True)
                 yield pd.DataFrame([(row.batch, b, pack_sorted(u[lo:hi]), press(n[lo:hi].astype("<u4"))) for b, lo, hi in by_bucket(u, bits)],
                                    columns=["batch", "bucket", "hashes", "n"])
+                give_back()
 
+    @frugal
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [unpack_sorted(b) for b in pdf["hashes"]]
         u, place = np.unique(np.concatenate(asked), return_inverse=True)
@@ -237,6 +240,7 @@ def repeated_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
                           .groupBy("bucket").applyInPandas(count, "batch long, bucket long, flags binary, carried long"))
     shards = 1 + (answers.agg(F.sum("carried").alias("n")).first()["n"] or 0) // SHARD_BYTES
 
+    @frugal
     def cut(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = Segments(Bundle(left.iloc[0]), right, shards)
         pack, rows = zstandard.ZstdCompressor(level=3).compress, []
@@ -247,6 +251,7 @@ def repeated_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
                          press(own.offset[lo:hi]), press(own.owner[0][lo:hi]), press(own.owner[1][lo:hi])))
         return pd.DataFrame(rows, columns=["batch", "shard", "texts", "size", "anchor", "offset", "doc", "start"])
 
+    @frugal
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         merged, number, cuts = {}, [], [0]
         for texts, size in zip(pdf["texts"], pdf["size"]):
@@ -281,8 +286,9 @@ def repeated_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
              .groupBy("shard").applyInPandas(sort, "batch long, shard long, runs binary, skip binary, doc binary, start binary"))
     none = [F.lit(None).cast("binary").alias(c) for c in ("runs", "skip", "doc", "start")]
     replies = answers.select("batch", "bucket", "flags", *none).unionByName(
-        cut_lineage(found).select("batch", F.col("shard").alias("bucket"), F.lit(None).cast("binary").alias("flags"), "runs", "skip", "doc", "start"))
+        found.select("batch", F.col("shard").alias("bucket"), F.lit(None).cast("binary").alias("flags"), "runs", "skip", "doc", "start"))
 
+    @frugal
     def remove(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         asked = right["flags"].notna()
         bundle = Bundle(left.iloc[0])
