@@ -1,12 +1,14 @@
 """Suffix sorting, whitening and conversation repair against brute force."""
 
 import hashlib
+import heapq
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from tidemark.llm import suffix_dedup, suffix_sort
+from tidemark.llm import conversation_repair, suffix_dedup, suffix_sort
 
 #: Names that operators use inside stand as extra columns.
 DOC = "doc_id long, text string, batch long, bucket long, known boolean, id long, packed string, shard long"
@@ -103,3 +105,93 @@ def test_hash_slices(monkeypatch):
         assert [s + k for s, m in zip(start, n) for k in range(m)] == windows
         assert all(a <= p and p + 32 <= a + m + 99 for a, p, m in zip(start, place, n))
         assert len({(int(a), data[p:p + 32]) for a, p in zip(anchor, place)}) == len(set(anchor.tolist()))
+
+
+# --- 13 conversation repair -------------------------------------------------------------------
+
+def cheapest(rows):
+    """(cost, audit, repaired lines, faults) of ordered (role, text): best-first search over whole edit lists."""
+    seen, faults = set(), []
+    for row in rows:
+        body = row[1].strip(" \t\n\x0b\x0c\r")
+        faults.append(1 if not body else 2 if row in seen else 0 if body[-1] in ".!?" else 3)
+        seen.add(row)
+    heap, best = [(0, "", 0, 0, ())], {}
+    while heap:
+        cost, audit, i, state, out = heapq.heappop(heap)
+        if (i, state) in best and best[i, state] <= (cost, audit):
+            continue
+        best[i, state] = cost, audit, out
+        to, name = (3, "assistant") if state == 2 else (2, "user")
+        heapq.heappush(heap, (cost + 2, audit + "I", i, to, (*out, name + ":")))
+        if i == len(rows):
+            continue
+        heapq.heappush(heap, (cost + 3, audit + "D", i + 1, state, out))
+        role, text = rows[i]
+        if faults[i] in (0, 3):
+            cost += faults[i] == 3
+            heapq.heappush(heap, (cost + 2, audit + "R", i + 1, to, (*out, f"{name}:{text}")))
+            kept = 1 if role[:1] == "s" and state == 0 else to if role[:1] == name[0] else None
+            if kept:
+                heapq.heappush(heap, (cost, audit + "K", i + 1, kept, (*out, f"{role}:{text}")))
+    return *min(best[len(rows), s] for s in (0, 3) if (len(rows), s) in best), faults
+
+
+@pytest.mark.parametrize("modulus, nodes", [(conversation_repair.MODULUS, 1 << 14), (3, 1 << 14), (conversation_repair.MODULUS, 10), (7, 20)])
+def test_repair_is_cheapest(modulus, nodes):
+    """Also with hashes that meet, and with shared prefixes written out early."""
+    rng = random.Random(2)
+    for _ in range(250):
+        rows = [(rng.choice(["user", "assistant", "system", "tool", "u2", ""]), rng.choice(["a.", "b", "", "c!", "d"])) for _ in range(rng.randrange(14))]
+        cost, audit, lines, faults = cheapest(rows)
+        work = conversation_repair.Repair(modulus, nodes)
+        for (role, text), fault in zip(rows, faults):
+            work.row(role, text, fault)
+        assert work.result() == (cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+CHAT = "conv_id long, turn long, role string, text string, conv string, number long, fault int, n long"
+
+
+def test_repair_rows(spark):
+    """Nulls, ties, repeated rows, a long conversation, a very long text, clashing columns; and what the audits make of the rows."""
+    rng = random.Random(6)
+    rows = []
+    for c in [*range(60), None]:
+        for i in range(rng.randrange(1, 9)):
+            rows.append((c, rng.choice([i, i, i, i + 3, None]), rng.choice(["user", "assistant", "user", "system", None, "tool"]),
+                         rng.choice(["Yes.", "no", " ", None, "", "Ok!\n", "Été? \u00a0", "a.\x0b"])))
+        rows += rows[-1:] * rng.randrange(2)
+    rows += [(100, i, rng.choice(["user", "assistant"]), f"line {i}.") for i in range(3000)] + [(101, 0, "user", "x. " * 300_000)]
+    df = spark.createDataFrame([(*r, "c", 1, 9, 2) for r in rows], CHAT).repartition(7)
+    got = {r.conv_id: r for r in conversation_repair.repair(df).collect()}
+    made = {}
+    judged = conversation_repair.repair(df)
+    for r in conversation_repair.repaired_rows(df, judged).collect():
+        made.setdefault(r.conv_id, {})[r.turn] = f"{r.role}:{r.text}"
+    assert set(got) == {r[0] for r in rows}
+    for c in got:
+        own = sorted(((t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c), key=lambda v: (v[0], v[1], v[2].encode(), v[3].encode()))
+        cost, audit, lines, faults = cheapest([v[2:] for v in own])
+        turns = [v[1] for v in own if v[0]]
+        initials = [v[2][:1] for v in own]
+        assert (got[c].cost, got[c].audit) == (cost, audit)
+        assert got[c].repaired_sha256 == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        assert [got[c].blank, got[c].duplicate, got[c].truncated] == [faults.count(k) for k in (1, 2, 3)]
+        assert got[c].gaps == (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0)
+        assert got[c].illegal == sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        assert [made.get(c, {})[k] for k in range(len(made.get(c, {})))] == list(lines)
+    none = conversation_repair.repair(spark.createDataFrame([], CHAT))
+    assert none.columns[:2] == ["conv_id", "gaps"] and none.count() == 0
+
+
+def test_damage(spark):
+    rows = [(c, t, "assistant", "A. b! c?") for c in (None, 1, 2, 3) for t in (None, *range(25))] + [(7, 0, None, None)]
+    want = []
+    for c, t, role, text in rows:
+        role, text = role or " ", text or " "
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        row = (c, t, "user" if kind == 4 else role, {1: "", 2: "A b c" if text != " " else " "}.get(kind, text))
+        want += [row] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    got = [tuple(r) for r in conversation_repair.damaged(spark.createDataFrame([(*r, "c", 1, 9, 2) for r in rows], CHAT)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(set(got)) < len(got)
