@@ -8,13 +8,82 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import conversation_repair, suffix_dedup, suffix_sort
+from tidemark.llm import conversation_repair, suffix_dedup, suffix_sort, whitening
 
 #: Names that operators use inside stand as extra columns.
 DOC = "doc_id long, text string, batch long, bucket long, known boolean, id long, packed string, shard long"
 EXTRA = (1, 2, True, 3, "p", 4)
 
 
+# --- 11 embedding whitening -------------------------------------------------------------------
+
+def test_minres_and_jacobi_davidson():
+    rng = np.random.default_rng(3)
+    for dims, wanted in ((1, 3), (6, 6), (40, 5), (200, 12)):
+        q = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+        for e in (np.sort(rng.random(dims))[::-1], 0.7 ** np.arange(dims), np.r_[np.ones((dims + 1) // 2), np.zeros(dims // 2)], np.full(dims, 1e8)):
+            a, calls = (q * e) @ q.T, []
+
+            def product(w):
+                calls.append(w.shape[1])
+                return a @ w
+            values, vectors, residuals = whitening.jacobi_davidson(product, dims, wanted)
+            k = min(dims, wanted)
+            assert np.allclose(values, e[:k], rtol=0, atol=1e-12 * e[0]) and len(values) == k
+            assert np.abs(vectors.T @ vectors - np.eye(k)).max() < 1e-12
+            assert np.linalg.norm(a @ vectors - vectors * values, axis=0).max() < 1e-11 * e[0] and len(calls) < 60 * k
+        shifted = a - 0.3 * np.eye(dims)
+        rhs = rng.standard_normal((dims, 2))
+        x = whitening.minres(lambda t: shifted @ t, rhs, 5 * dims, 1e-13)
+        assert np.allclose(shifted @ x, rhs, atol=1e-6)
+
+
+VECTOR = "vec_id long, embedding array<float>, id long, x binary, dims int, component int, n long"
+
+
+def vectors(rng, n, dims):
+    scale = 1.5 ** -np.arange(dims)
+    return [(i, (rng.standard_normal(dims) * scale * 3 + 40).astype(np.float32).tolist()) for i in range(n)]
+
+
+def test_whitening(spark):
+    rng = np.random.default_rng(4)
+    good = vectors(rng, 700, 12)
+    good += [good[3], (None, good[5][1]), (3, good[9][1])]
+    bad = [(900, None), (901, []), (902, [1.0, None] * 6), (903, [float("nan")] * 12), (904, [float("inf")] + [0.0] * 11), (905, [1.0] * 5), (906, [1e30] * 12)]
+    df = spark.createDataFrame([(*r, 1, b"x", 2, 3, 4) for r in good + bad], VECTOR).repartition(6)
+    for k in (5, 32):
+        got = whitening.whiten(df, components=k).collect()
+        k = min(k, 12)
+        x = np.array([[int(np.floor(64 * float(np.float32(c)))) + 1_000_000 for c in v] for _, v in good], dtype=object)
+        n, total = len(x), x.sum(axis=0)
+        far = [int(v) for v in ((n * x - total) ** 2).sum(axis=1)]
+        d = (n * x - total).astype(float) / n
+        e, u = np.linalg.eigh(d.T @ d / n)
+        e, u = e[::-1][:k], u[:, ::-1][:, :k]
+        z = d @ u / np.sqrt(e)
+        assert len(got) == n * k and {r.n for r in got} == {n}
+        assert sorted((r.vec_id is None, r.vec_id or 0, r.deviation, r.component) for r in got) == sorted(
+            (i is None, i or 0, f, c + 1) for (i, _), f in zip(good, far) for c in range(k))
+        assert max(abs(r.explained - e[r.component - 1] / (d ** 2).sum() * n) for r in got) < 1e-10
+        for c in range(k):
+            own = sorted(abs(r.whitened) for r in got if r.component == c + 1)
+            assert np.allclose(own, np.sort(np.abs(z[:, c])), atol=1e-7)
+        assert {r.identity_error for r in got} == {got[0].identity_error} and got[0].identity_error < 1e-9
+
+
+def test_whitening_edges(spark):
+    frame = lambda rows: spark.createDataFrame([(*r, 1, b"x", 2, 3, 4) for r in rows], VECTOR)
+    assert whitening.whiten(frame([])).count() == 0 and whitening.whiten(frame([(1, None)])).count() == 0
+    assert whitening.whiten(frame([(i, [1.5, 2.0]) for i in range(9)])).count() == 0
+    flat = whitening.whiten(frame([(i, [float(i), 2.0 * i, 7.0]) for i in range(9)])).collect()  # one direction
+    assert {r.component for r in flat} == {1} and len(flat) == 9 and abs(flat[0].explained - 1) < 1e-12
+    far = whitening.whiten(frame([(i, [1e12 * i, 1.0 * i * i]) for i in range(3)])).collect()
+    assert len(far) == 3 and all(r.deviation is None for r in far if r.vec_id != 1) and all(abs(r.whitened) < 3 for r in far)
+    two = whitening.whiten(frame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (3, [2.0, 2.0, 9.0]), (4, [0.0, 1.0])])).collect()
+    assert {r.vec_id for r in two} == {2, 3}
+
+
 # --- 12 suffix-array dedup --------------------------------------------------------------------
 
 def test_deep_shallow_order():

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import zlib
 from collections.abc import Callable, Iterator
-from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -27,14 +26,19 @@ def give_back() -> None:
 
 
 def frugal(fn: Callable) -> Callable:
-    """A function of a group that gives its memory back when it is done."""
-    @wraps(fn)
-    def run(*args):
+    """A function of a group, or of a key and two groups, that gives its memory back when it is done."""
+    def of_group(pdf):
         try:
-            return fn(*args)
+            return fn(pdf)
         finally:
             give_back()
-    return run
+
+    def of_groups(key, left, right):
+        try:
+            return fn(key, left, right)
+        finally:
+            give_back()
+    return of_group if fn.__code__.co_argcount == 1 else of_groups
 
 
 def text_bytes(docs: DataFrame) -> int:

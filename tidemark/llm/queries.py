@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (chat, conversation_repair, embedding_dedup, exact_dedup, language_id, lm_score, mixing, packing, simhash,
-                          substring_dedup, suffix_dedup, url_filter)
+                          substring_dedup, suffix_dedup, url_filter, whitening)
 from tidemark.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (every.join(judged, F.col("_conv").eqNullSafe(F.col("conv_id")), "left")
             .select(F.col("_conv").alias("conv_id"), *(zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
                     F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
