@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -23,7 +24,8 @@ tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Names that operators use inside stand as extra columns.
-DOC = "doc_id long, text string, lang string, source string, n_chars long, host string, run long, batch long, kept boolean, norm string"
+DOC = ("doc_id long, text string, lang string, source string, n_chars long, host string, run long, batch long, kept boolean, norm string, "
+       "key string, _key string, _uid long, uid long, _spans string, size long, `a.b` string")
 
 
 def prose(rng, n):
@@ -32,7 +34,7 @@ def prose(rng, n):
 
 def rows(texts, first=0):
     langs, sources = ["en", "fr", None], ["src0", "src1", None, "b"]
-    return [(first + i, t, langs[i % 3], sources[i % 4], len(t or ""), "h", 1, 2, True, "n") for i, t in enumerate(texts)]
+    return [(first + i, t, langs[i % 3], sources[i % 4], len(t or ""), "h", 1, 2, True, "n", "k", "k", i % 3, 7, "s", 5, "dot") for i, t in enumerate(texts)]
 
 
 @pytest.fixture(scope="module")
@@ -327,6 +329,61 @@ def test_language_evidence(spark, empty):
     assert all(r["rejected"] for r in language_id.identify(spark.createDataFrame(body, schema), none).collect())
 
 
+def fused(rows, model):
+    """Posterior of each row in plain Python: (language or None, posterior), by index."""
+    known = len(model.languages)
+    lls = [sum((model.logs[c].astype(float) for c in language_id.trigrams(r[1])), np.zeros(known + 1)) for r in rows]
+    best = [int(np.argmax(ll)) if len(language_id.trigrams(r[1])) and np.argmax(ll) < known else None for r, ll in zip(rows, lls)]
+    n = [best.count(k) for k in range(known)]
+    def tally(at, value, k):
+        return sum(b == k and r[at] == value for r, b in zip(rows, best) if value is not None)
+    kinds = {at: len({r[at] for r, b in zip(rows, best) if b is not None and r[at] is not None}) + 1 for at in (2, 3)}
+    out = []
+    for r, ll in zip(rows, lls):
+        base = [(x + 1) / (sum(n) + known) for x in n]
+        for at in (5, 4):
+            own = [tally(at, r[at], k) for k in range(known)]
+            base = [(x + 20 * p) / (sum(own) + 20) for x, p in zip(own, base)]
+        logs = [ll[k] / 3 + math.log(0.999 * base[k]) for k in range(known)] + [ll[known] / 3 + math.log(0.001)]
+        for at in (2, 3):
+            if r[at] is not None:
+                logs = [x + math.log((tally(at, r[at], k) + 1) / (n[k] + kinds[at]) if k < known else 1 / kinds[at]) for k, x in enumerate(logs)]
+        top = int(np.argmax(logs))
+        out.append((model.languages[top] if top < known else None, 1 / sum(math.exp(x - logs[top]) for x in logs)))
+    return out
+
+
+EVIDENCE = "id long, text string, declared string, suffix string, host string, domain string, lang string, _best long, rejected boolean"
+
+
+def test_fusion_against_plain_python(spark):
+    rng = random.Random(12)
+    vocabulary = {"en": "the of and to storm water level", "fr": "le la des une eau dans niveau", "el": "το νερό και η στάθμη της θύελλα"}
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k].split()) for _ in range(n))
+    train = [(i, text(k, 30), k) for i, k in enumerate(rng.choice(sorted(vocabulary)) for _ in range(60))]
+    model = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    junk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    data = [(i % 90 if i % 7 else None, rng.choice([text(rng.choice(sorted(vocabulary)), rng.randrange(1, 6)), "", None, "12", junk]),
+             rng.choice(["en", "fr", "xx", None]), rng.choice(["fr", "org", None]), rng.choice(["h1", "h2", None]), rng.choice(["d1", None])) for i in range(150)]
+    data += [data[3], (999, text("fr", 60_000), "en", "org", "h1", "d1")]
+    df = spark.createDataFrame([(*r, "x", 1, True) for r in data], EVIDENCE).repartition(4)
+    got = Counter((r["id"], r["lang"], round(r["posterior"], 6), r["rejected"]) for r in language_id.identify(df, model).collect())
+    want = Counter((r[0], lang, round(p, 6), lang is None) for r, (lang, p) in zip(data, fused(data, model)))
+    assert got == want and {x[1] for x in want} == {"en", "fr", "el", None}
+
+
+def test_a_thousand_labels(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(1000)]
+    df = spark.createDataFrame([(i, words[i % 1000] + " " + words[(7 * i) % 1000], f"l{i % 1000}", f"s{i % 3}") for i in range(10_000)],
+                               "doc_id long, text string, lang string, source string")
+    began = time.time()
+    model = language_id.train(df)
+    got = language_id.identify(language_id.document_rows(df), model).collect()
+    assert len(model.languages) == 1000 and len(got) == 10_000 and time.time() - began < 60
+    assert sum(r["lang"] == r["declared"] for r in got) > 9000
+
+
 # --- 6 embeddings -----------------------------------------------------------------------------
 
 def test_near_vectors(spark, monkeypatch):
@@ -462,8 +519,9 @@ def test_mixed_documents(docs, odd):
 # --- 9 chat -----------------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
-    texts = ["hi", "", None, "</s>", "<s>", "a</s><s>[INST] b", "\\", "\\l\\b", "</s", "s>", "\n</s>\n", "[INST]\\ x", "</s></s>", "<" * 5 + "\\</s>"]
-    roles = ["user", "assistant", "system", None, "tool]</s>\\r", ""]
+    texts = ["hi", "", None, "</s>", "<s>", "a</s><s>[INST] b", "\\", "\\l\\b", "</s", "s>", "\n</s>\n", "[INST]\\ x", "</s></s>", "<" * 5 + "\\</s>",
+             "[/INST]", "say [INST] now [/INST] and <s>[SYS] x", "[ROLE=x]", "[ROLE=", "[[INST]]", "[INST", "\\o[", "x " * 40_000 + "[SYS]"]
+    roles = ["user", "assistant", "system", None, "tool]</s>\\r", "", "[INST]", "<s>", "[ROLE=x]"]
     rng = random.Random(9)
     convs = {c: [(t, rng.choice(roles), rng.choice(texts)) for t in range(rng.randrange(1, 7))] for c in range(150)}
     data = [(c, t, r, x, "z") for c, own in convs.items() for t, r, x in own] + [(None, None, None, None, "z"), (777, 1, "user", "b", "z"), (777, 1, "user", "a", "z"), (777, None, "user", "n", "z"), (777, 1, "user", "a", "z")]
@@ -474,8 +532,15 @@ def test_chat_round_trip(spark):
         assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r or "", x or "") for _, r, x in own]
         assert [t["shown"] in got[c]["formatted"] for t in got[c]["turns"]]
     assert [t["text"] for t in got[777]["turns"]] == ["n", "a", "a", "b"] and len(got[None]["turns"]) == 1
-    plain = [c for c, own in convs.items() if not any("</s>" in (x or "") + (r or "") for _, r, x in own)]
-    assert all("[INST]\\" not in got[c]["formatted"].replace("[INST]\\ x", "") for c in plain)
+    control = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[ROLE="]
+    code = lambda x: x.replace("\\", "\\b").replace("<", "\\l").replace("[", "\\o")
+    mark = lambda r: {"user": "[INST]", "assistant": "[/INST]", "system": "[SYS]"}.get(r, "[ROLE=" + code(r).replace("]", "\\r") + "]")
+    for c, own in convs.items():
+        want = ""
+        for _, r, x in own:
+            x = x or ""
+            want += "<s>" + mark(r or "") + ("\\" + code(x) if any(k in x for k in control) else " " + x) + "</s>"
+        assert got[c]["formatted"] == want
 
 
 def test_chat_empty_table(spark):

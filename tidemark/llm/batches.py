@@ -88,6 +88,16 @@ def unpress(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=dtype)
 
 
+def press_counts(x: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one needs them."""
+    width = 4 if int(x.max(initial=0)) < 1 << 32 else 8
+    return bytes([width]) + press(x.astype(f"<u{width}"))
+
+
+def unpress_counts(data: bytes) -> np.ndarray:
+    return unpress(data[1:], f"<u{data[0]}")
+
+
 def by_bucket(u: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of ascending hashes, by their top bits."""
     cuts = np.searchsorted(u >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))

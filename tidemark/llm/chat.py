@@ -12,15 +12,29 @@ from tidemark.llm.text import whole
 START, END = "<s>", "</s>"
 MARKS = {"user": "[INST]", "assistant": "[/INST]", "system": "[SYS]"}
 VERBATIM, ESCAPED = " ", "\\"
+#: No text may hold one of these as it is; [ROLE= begins the mark of any other role.
+CONTROL = [START, END, *MARKS.values(), "[ROLE="]
 
 
 def escape(text: Column) -> Column:
-    """Backslash and ``<`` become ``\\b`` and ``\\l``: no control string can start inside the text."""
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
+    """Backslash, ``<`` and ``[`` become ``\\b``, ``\\l`` and ``\\o``: no control string can start inside the text."""
+    for plain, code in (("\\", "\\b"), ("<", "\\l"), ("[", "\\o")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    for plain, code in (("[", "\\o"), ("<", "\\l"), ("\\", "\\b")):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
+
+
+def conflicts(text: Column) -> Column:
+    """Whether the text holds a control string."""
+    found = F.lit(False)
+    for c in CONTROL:
+        found = found | F.contains(text, F.lit(c))
+    return found
 
 
 def _mark(role: Column) -> Column:
@@ -53,14 +67,17 @@ TURN = "^<s>(\\[[^\\]]*\\])([ \\\\])((?s:.*))$"
 
 
 def parse(rendered: Column) -> Column:
-    """array of (role, text, shown): shown is the text as it stands in the output. Not of the grammar: role null."""
+    """array of (role, text, shown): shown is the text as it stands in the output.
+
+    What is not of the grammar, such as a text that holds a control string, has a null role.
+    """
     # The text after the last END is empty in every sentence of the grammar; it is kept as a faulty turn otherwise.
     pieces = F.split(rendered, END, -1)
     pieces = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
     def one(p: Column) -> Column:
         kind, shown = F.regexp_extract(p, TURN, 2), F.regexp_extract(p, TURN, 3)
-        return F.struct(F.when(kind != "", _role(F.regexp_extract(p, TURN, 1))).alias("role"),
+        return F.struct(F.when((kind != "") & ~conflicts(shown), _role(F.regexp_extract(p, TURN, 1))).alias("role"),
                         F.when(kind == ESCAPED, unescape(shown)).otherwise(shown).alias("text"), shown.alias("shown"))
     return F.transform(pieces, one)
 
@@ -74,8 +91,9 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 
     Turns are ordered by number, then role and text, so ties and repeated rows have one order; a null turn comes first,
     a null role or text is empty. Every text is first rendered as it is and parsed again. If the turns differ from the
-    source, texts that hold END are escaped; if they still differ, all texts are. The last form always reads back, since no
-    control string can stand in an escaped text. A conversation is one record of the output, so its rows meet in one task.
+    source, texts that hold a control string are escaped; if they still differ, all texts are. The last form always reads
+    back, since no control string can stand in an escaped text. Texts of any length are rendered whole; further columns are
+    not looked at. A conversation is one record of the output, so its rows meet in one task.
     """
     ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), whole(F.col(role)).alias("role"),
                                                    whole(F.col(text)).alias("text"))))
@@ -84,7 +102,7 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     source = F.col("_source")
     out = out.withColumn("_plain", render(source, lambda t: F.lit(False)))
     out = out.withColumn("_some", F.when(_recovered(F.col("_plain"), source), F.col("_plain"))
-                         .otherwise(render(source, lambda t: F.contains(t["text"], F.lit(END)))))
+                         .otherwise(render(source, lambda t: conflicts(t["text"]))))
     out = out.withColumn("formatted", F.when(_recovered(F.col("_some"), source), F.col("_some"))
                          .otherwise(render(source, lambda t: F.lit(True))))
     return out.select(conv, "formatted").withColumn("turns", parse(F.col("formatted")))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import give_back
 from tidemark.llm.text import as_before, as_text, ascii_lower, whole
 from tidemark.llm.url_filter import host_of
 from tidemark.session import cut_lineage
@@ -21,6 +21,9 @@ CELLS, PER_LANGUAGE = 1 << 14, 2000
 TEMPER, UNKNOWN, PARENT = 1 / 3, 1e-3, 20.0
 #: Trigrams looked up at a time.
 SLICE = 1 << 16
+#: Up to so many labels with a share of their own are copied to every executor; more are joined.
+BROADCAST_LABELS = 1 << 16
+LEVELS = ("domain", "host", "declared", "suffix")
 #: ASCII other than letters becomes a space.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -48,10 +51,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
     of fewer trigrams than cells at less, so that all starts weigh half its trigrams and it stays apart from the unknown
     language. Without labels every text is of unknown language.
     """
-    sizes = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    large = sorted(k for k, n in sizes.items() if n > per_language)
-    all_of = F.when(F.col("lang").isNotNull(), 1.0).otherwise(0.0)
-    share = reduce(lambda c, k: F.when(F.col("lang") == k, per_language / sizes[k]).otherwise(c), large, all_of)
+    sizes = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+    shares = cut_lineage(sizes.where(F.col("n") > per_language).select("lang", (per_language / F.col("n")).alias("share")))
+    if shares.count() <= BROADCAST_LABELS:
+        shares = F.broadcast(shares)
+    labelled = docs.where("lang is not null").join(shares, "lang", "left")
+    share = F.coalesce("share", F.lit(1.0))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000)) / 1e6
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,7 +65,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
                 n = np.bincount(np.concatenate([trigrams(t) for t in own["text"]]), minlength=CELLS)
                 yield pd.DataFrame({"lang": lang, "cell": np.flatnonzero(n), "n": n[n > 0]})
 
-    counts = (docs.where(draw < share).select("lang", "text").mapInPandas(count, "lang string, cell long, n long")
+    counts = (labelled.where(draw < share).select("lang", "text").mapInPandas(count, "lang string, cell long, n long")
               .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas())
     by_lang = dict(list(counts.groupby("lang")))
     languages = sorted(by_lang)
@@ -73,9 +78,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
     return TextModel(languages, logs.astype(np.float32))
 
 
-def _smoothed(n: list[Column], parent: list[Column], weight: float = PARENT) -> list[Column]:
-    total = reduce(lambda a, b: a + b, n)
-    return [(x + weight * p) / (total + weight) for x, p in zip(n, parent)]
+def _frequencies(decided: DataFrame, level: str) -> DataFrame:
+    """(level, languages, counts): for each value of the level the rows that their text gives to each language."""
+    own = decided.where(F.col(level).isNotNull()).groupBy(level, "_best").agg(F.count("*").alias("n"))
+    listed = own.groupBy(level).agg(F.sort_array(F.collect_list(F.struct("_best", "n"))).alias("_of"))
+    return listed.select(level, F.col("_of._best").alias(f"_{level}_langs"), F.col("_of.n").alias(f"_{level}_n"))
 
 
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -83,11 +90,12 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     Log evidence of a language: text likelihood, tempered; the declared language and the address suffix, each by its smoothed
     frequency among texts of that language; the host's prior, smoothed towards its domain's and that towards the prior of all
-    rows. The frequencies are counted over all rows by what their text says alone. Missing evidence says nothing. A row whose
-    best hypothesis is no known language is rejected, with a null ``lang``; so is one without any letters, unless its other
-    evidence outweighs UNKNOWN. Repeated rows are judged alike.
+    rows. The frequencies are counted over all rows by what their text says alone, as rows (value, language, n), so a further
+    language costs no further column. Missing evidence says nothing. A row whose best hypothesis is no known language is
+    rejected, with a null ``lang``; so is one without any letters, unless its other evidence outweighs UNKNOWN. Repeated rows are
+    judged alike. Texts of any length are read whole; further columns are not looked at.
     """
-    logs, known = model.logs, len(model.languages)
+    logs, languages, known = model.logs, model.languages, len(model.languages)
 
     def likelihood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,6 +105,7 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
                 n.append(len(cells))
                 ll.append(sum(logs[cells[at:at + SLICE]].sum(axis=0, dtype=np.float64) for at in range(0, max(1, len(cells)), SLICE)))
             yield out.assign(_n=n, _ll=ll)
+            give_back()
 
     scored = as_text(rows.select("id", "declared", "suffix", "host", "domain", "text"), "id").mapInPandas(
         likelihood, "id string, declared string, suffix string, host string, domain string, _n long, _ll array<double>")
@@ -104,31 +113,44 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     best = F.array_position("_ll", F.array_max("_ll")) - 1
     scored = scored.withColumn("_best", F.when((F.col("_n") > 0) & (best < known), best))
     decided = scored.where("_best is not null")
-    tally = lambda p: [F.count_if(F.col("_best") == i).alias(f"{p}{i}") for i in range(known)]
-    at = lambda p: [F.coalesce(F.col(f"{p}{i}"), F.lit(0)) for i in range(known)]
-    sums = decided.agg(*tally("n"), F.count_distinct("declared").alias("declared"), F.count_distinct("suffix").alias("suffix")).first()
-    whole_n = [sums[f"n{i}"] for i in range(known)]
-    overall = [F.lit((n + 1) / (sum(whole_n) + known)) for n in whole_n]
+    n = np.zeros(known)
+    for r in decided.groupBy("_best").agg(F.count("*").alias("n")).collect():
+        n[r["_best"]] = r["n"]
+    kinds = decided.agg(*(F.count_distinct(c).alias(c) for c in ("declared", "suffix"))).first()
+    overall = (n + 1) / (n.sum() + max(known, 1))
     out = scored
-    for level, p in (("domain", "_d"), ("host", "_h"), ("declared", "_l"), ("suffix", "_s")) if known else ():
-        out = out.join(decided.where(F.col(level).isNotNull()).groupBy(level).agg(*tally(p)), level, "left")
-    prior = _smoothed(at("_h"), _smoothed(at("_d"), overall)) if known else []
-
-    def frequency(level: str, p: str) -> list[Column]:
-        kinds = sums[level] + 1
-        # The last one stands for no known language: all values alike.
-        each = [(x + F.lit(1.0)) / (n + kinds) for x, n in zip(at(p), whole_n)] + [F.lit(1.0 / kinds)]
-        return [F.when(F.col(level).isNull(), 0.0).otherwise(F.ln(x)) for x in each]
-
-    says, ends = frequency("declared", "_l"), frequency("suffix", "_s")
-    prior = [F.ln((1 - UNKNOWN) * p) for p in prior] + [F.lit(float(np.log(UNKNOWN)))]
-    total = F.array(*(F.col("_ll")[i] * TEMPER + prior[i] + says[i] + ends[i] for i in range(known + 1)))
-    out = out.withColumn("_log", total).withColumn("_top", F.array_max("_log"))
-    names = F.array(*(F.lit(x) for x in model.languages), F.lit(None).cast("string"))
-    chosen = F.array_position("_log", F.col("_top")).cast("int") - 1
-    mass = F.aggregate("_log", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top")))
-    return out.select("id", names[chosen].alias("lang"), (1 / mass).alias("posterior"), "declared", "suffix", "host",
-                      names[F.coalesce(F.col("_best"), F.lit(known)).cast("int")].alias("text_lang"), (chosen == known).alias("rejected"))
+    for level in LEVELS:
+        out = out.join(_frequencies(decided, level), level, "left")
+
+    def fuse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counted(langs, counts) -> np.ndarray:
+            x = np.zeros(known)
+            if langs is not None:
+                x[np.asarray(langs, dtype=np.int64)] = counts
+            return x
+
+        def smoothed(x: np.ndarray, parent: np.ndarray) -> np.ndarray:
+            return (x + PARENT * parent) / (x.sum() + PARENT)
+
+        for pdf in batches:
+            told = {c: pdf[c].tolist() for c in pdf}
+            judged = []
+            for i in range(len(pdf)):
+                of = {c: counted(told[f"_{c}_langs"][i], told[f"_{c}_n"][i]) for c in LEVELS}
+                prior = smoothed(of["host"], smoothed(of["domain"], overall))
+                log = np.asarray(told["_ll"][i]) * TEMPER + np.log(np.append((1 - UNKNOWN) * prior, UNKNOWN))
+                for c in ("declared", "suffix"):
+                    if told[c][i] is not None:  # of no known language all values are alike
+                        log += np.log(np.append((of[c] + 1) / (n + kinds[c] + 1), 1 / (kinds[c] + 1)))
+                top = int(log.argmax())
+                judged.append((languages[top] if top < known else None, 1 / np.exp(log - log[top]).sum(), top == known))
+            text_best = [None if b is None or b != b else languages[int(b)] for b in told["_best"]]
+            yield pd.DataFrame({"id": pdf["id"], "lang": [j[0] for j in judged], "posterior": [j[1] for j in judged], "declared": pdf["declared"],
+                                "suffix": pdf["suffix"], "host": pdf["host"], "text_lang": text_best, "rejected": [j[2] for j in judged]})
+
+    judged = as_text(out, "id").mapInPandas(fuse, "id string, lang string, posterior double, declared string, suffix string, host string, "
+                                                  "text_lang string, rejected boolean")
+    return as_before(judged, rows, "id")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

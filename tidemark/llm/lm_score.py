@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import BATCH_BYTES, by_bucket, dealt, pack_sorted, press, text_bytes, unpack_sorted, unpacked, unpress
+from tidemark.llm.batches import BATCH_BYTES, by_bucket, dealt, pack_sorted, press, press_counts, text_bytes, unpack_sorted, unpacked, unpress, unpress_counts
 from tidemark.llm.text import as_before
 from tidemark.session import cut_lineage
 
@@ -94,7 +94,7 @@ def _answers(batched: DataFrame, total: int) -> DataFrame:
         ends = np.cumsum([len(a) for a in asked])
         out = []
         for batch, p, k, b, lo, hi in zip(pdf["batch"], pdf["part"], pdf["kind"], pdf["bucket"], ends - [len(a) for a in asked], ends):
-            own = [press(np.minimum(c[place[lo:hi]], 0xFFFFFFFF).astype("<u4")) for c in (train, rest)]
+            own = [press_counts(c[place[lo:hi]]) for c in (train, rest)]
             out.append((batch, k, b, own[0], own[1] if p == 1 else None, None))
         sums = [int((train > 0).sum()), int(train.sum()), int((rest > 0).sum()), int(rest.sum())]
         out.append((-1, pdf["kind"].iloc[0], pdf["bucket"].iloc[0], None, None, sums))
@@ -111,7 +111,7 @@ def _looked_up(docs: pd.DataFrame, answers: pd.DataFrame, column: str):
     found = []
     for kind, (_, place, _) in enumerate(_ask(h)):
         own = answers[answers["kind"] == kind].sort_values("bucket")
-        found.append(np.concatenate([unpress(b, "<u4") for b in own[column]]).astype(np.float64)[place])
+        found.append(np.concatenate([unpress_counts(b) for b in own[column]]).astype(np.float64)[place])
     word, pair = found
     end = h == np.uint64(xxhash.xxh3_64_intdigest(b""))
     before = np.roll(word, 1)

@@ -16,7 +16,7 @@ from tidemark.llm.text import WORD, word_count
 from tidemark.session import cut_lineage, shared_folder
 
 #: Words in a block; slots in an output shard; documents counted by one task; most passes over a source.
-BLOCK, SHARD_SLOTS, CHUNK_ROWS, PASSES = 64, 4096, 1 << 12, 3
+BLOCK, SHARD_SLOTS, CHUNK_ROWS, PASSES = 64, 4096, 1 << 9, 3
 #: Output shards are drawn in at most so many groups; the driver draws the groups, tasks draw the shards.
 GROUPS = 1024
 WORDS = re.compile(WORD)
@@ -106,8 +106,9 @@ def plan_slots(spark, slots: np.ndarray, blocks: np.ndarray, seed: int) -> DataF
     return frame.repartition(groups, "g").mapInPandas(run, "shard long, slot long, sid long, block long, pass long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(sizes, spans) of a mix of docs(doc_id, text, source, ...). A column ``_uid`` that numbers the rows is taken as uid.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, seed: int = 42,
+        number: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sizes, spans) of a mix of docs(doc_id, text, source). ``number`` names a column that numbers the rows, if there is one.
 
     sizes(uid, doc_id, size, source_size, target): one row for each row of docs. spans(shard, slot, pass, uid, doc_id, start,
     n_words): the words that a slot of the mix takes from a document.
@@ -119,10 +120,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     source takes the block at place k of a pseudorandom permutation, again from the start on the next pass.
 
     Nothing depends on the number of tasks, so reruns agree. A null text has no words; documents without words take no slot.
+    Texts of any length count whole; further columns, whatever their names, are not looked at.
     One row for each source reaches the driver, none for a document.
     """
     spark = docs.sparkSession
-    numbered = [F.col("_uid").alias("uid")] if "_uid" in docs.columns else []
+    numbered = [F.col(f"`{number}`").alias("uid")] if number else []
     sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"), *numbered))
     if not numbered:
         sized = sized.withColumn("uid", F.monotonically_increasing_id())
@@ -132,15 +134,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     goal = targets(words, [weights[i % len(weights)] for i in range(len(sources))]) if sum(words) else [0.0] * len(words)
     blocks = np.array([-(-w // block) for w in words], dtype=np.int64)
     slots = np.array([min(PASSES * b, round(t * b / w)) if w else 0 for t, b, w in zip(goal, blocks.tolist(), words)], dtype=np.int64)
-    listed = spark.createDataFrame([(i, r["source"], w, t) for i, (r, w, t) in enumerate(zip(sources, words, goal))],
-                                   "sid long, _source string, source_size long, target double")
-    known = sized.join(listed, sized["source"].eqNullSafe(listed["_source"])).select("uid", "doc_id", "size", "_h", "sid", "source_size", "target")
+    listed = spark.createDataFrame([(i, r["source"], w, t, 1 + r["n"] // CHUNK_ROWS) for i, (r, w, t) in enumerate(zip(sources, words, goal))],
+                                   "sid long, _source string, source_size long, target double, _chunks long")
+    known = sized.join(listed, sized["source"].eqNullSafe(listed["_source"])).select(
+        "uid", "doc_id", "size", "_h", "sid", "source_size", "target", "_chunks")
     sizes = known.select("uid", "doc_id", "size", "source_size", "target")
 
-    chunks = 1 + sum(r["n"] for r in sources) // CHUNK_ROWS
-    # Rows with a null doc_id, which may be many, go to chunks by their text.
-    spread = F.when(F.col("doc_id").isNull(), F.col("_h")).otherwise(F.xxhash64("doc_id"))
-    rows = known.where("size > 0").select("uid", "doc_id", "size", "_h", "sid").withColumn("_chunk", F.pmod(spread, F.lit(chunks)))
+    # Chunks of all sources hold about as many rows; those with one doc_id, which may be many, go to chunks by their text.
+    rows = (known.where("size > 0").select("uid", "doc_id", "size", "_h", "sid", "_chunks")
+            .withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_h"), F.col("_chunks"))))
     before = Window.partitionBy("sid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = (rows.groupBy("sid", "_chunk").agg(F.sum("size").alias("_words"))
             .select("sid", "_chunk", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base")))
@@ -170,13 +172,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A pass that takes a whole document gives its text unchanged; taken parts keep the blanks between their words. Parts and
     passes follow each other, a line feed between them. Each row gets its own spans, also with a null doc_id or one that it
-    shares. For that the rows are numbered once, in the shared folder.
+    shares. For that the rows are numbered once, in the shared folder, under a name of its own, so columns of any name pass.
     """
-    spark, at = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/mixing-{uuid.uuid4().hex}"
-    docs.withColumn("_uid", F.monotonically_increasing_id()).write.parquet(at)
+    spark, run = docs.sparkSession, uuid.uuid4().hex
+    at, row, own_spans = f"{shared_folder(spark)}/mixing-{run}", f"row_{run}", f"spans_{run}"
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(at)
     numbered = spark.read.parquet(at)
-    spans = mix(numbered, **options)[1]
-    of_row = spans.groupBy(F.col("uid").alias("_uid")).agg(F.sort_array(F.collect_list(F.array("pass", "start", "n_words"))).alias("_spans"))
+    spans = mix(numbered, number=row, **options)[1]
+    of_row = spans.groupBy(F.col("uid").alias(row)).agg(F.sort_array(F.collect_list(F.array("pass", "start", "n_words"))).alias(own_spans))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -193,5 +196,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             out.append("\n".join(t if b - a == len(words) else t[words[a][0]:words[b - 1][1]] for _, a, b in parts))
         return pd.Series(out, dtype=object)
 
-    out = numbered.join(of_row, "_uid").withColumn("text", cut("text", "_spans"))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    out = numbered.join(of_row, row).withColumn("text", cut("text", own_spans))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*(f"`{c}`" for c in docs.columns))

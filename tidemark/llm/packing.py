@@ -35,7 +35,8 @@ def encoder(path: str) -> tiktoken.Encoding:
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids and END_ID, cut into windows of ``length``.
 
-    All pieces of a document but the last are full windows. A null text is empty, so its only id is END_ID.
+    All pieces of a document but the last are full windows. A null text is empty, so its only id is END_ID. Texts of any
+    length are read whole; a null or repeated doc_id is kept as it is, and further columns are not looked at.
     """
     path = path or public_tokenizers.path(RANKS)
 
@@ -140,11 +141,11 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = cut_lineage(cut)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shards = 1 + sum(counts.values()) // SHARD_ROWS
-    rows = cut.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    rows = cut.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(shards)))
     per = rows.groupBy("length", "_shard").agg(F.count("*").alias("_n"))
     over = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("length", "_shard", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_shard").orderBy("doc_id", "start")
+    inside = Window.partitionBy("length", "_shard").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     numbered = rows.withColumn("_at", F.row_number().over(inside)).join(base, ["length", "_shard"])
     placed = cut.sparkSession.createDataFrame(best_fit_decreasing(counts, length),
                                               "length long, _lo long, _count long, _window long, _offset long, _per long")

@@ -58,9 +58,9 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
 t AS (
-  SELECT *, contains(text, '</s>') AS escaped,
-         replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), ']', '\\r') AS named,
-         replace(replace(text, '\\', '\\b'), '<', '\\l') AS safe FROM c)
+  SELECT *, regexp_matches(text, '</?s>|\\[/?INST\\]|\\[SYS\\]|\\[ROLE=') AS escaped,
+         replace(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '[', '\\o'), ']', '\\r') AS named,
+         replace(replace(replace(text, '\\', '\\b'), '<', '\\l'), '[', '\\o') AS safe FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
@@ -102,7 +102,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
+    return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 @query("op4_lm_score")
