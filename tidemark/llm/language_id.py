@@ -64,6 +64,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
             for lang, own in pdf.groupby("lang"):
                 n = np.bincount(np.concatenate([trigrams(t) for t in own["text"]]), minlength=CELLS)
                 yield pd.DataFrame({"lang": lang, "cell": np.flatnonzero(n), "n": n[n > 0]})
+            give_back()
 
     counts = (labelled.where(draw < share).select("lang", "text").mapInPandas(count, "lang string, cell long, n long")
               .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas())

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.batches import give_back
 from tidemark.llm.text import WORD, word_count
 from tidemark.session import cut_lineage, shared_folder
 
@@ -194,6 +195,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                     last = [turn, start, start + n]
                     parts.append(last)
             out.append("\n".join(t if b - a == len(words) else t[words[a][0]:words[b - 1][1]] for _, a, b in parts))
+        give_back()
         return pd.Series(out, dtype=object)
 
     out = numbered.join(of_row, row).withColumn("text", cut("text", own_spans))

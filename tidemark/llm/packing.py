@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.batches import give_back
 from tidemark.llm.text import as_before, as_text
 from tidemark.session import cut_lineage
 
@@ -53,6 +54,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
             if not with_ids:
                 del out["ids"]
             yield pd.DataFrame(out)
+            give_back()
 
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return as_before(as_text(docs.select("doc_id", "text")).mapInPandas(run, schema), docs)
