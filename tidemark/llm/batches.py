@@ -5,12 +5,13 @@ from __future__ import annotations
 import ctypes
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, about: what one task holds.
@@ -41,6 +42,18 @@ def frugal(fn: Callable) -> Callable:
     return of_group if fn.__code__.co_argcount == 1 else of_groups
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Rows that a job started inside sends to Python at a time: long texts and packed rows would else make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
 

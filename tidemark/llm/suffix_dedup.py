@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import by_bucket, frugal, give_back, pack_sorted, press, text_bytes, unpack_sorted, unpress
+from tidemark.llm.batches import arrow_rows, by_bucket, frugal, give_back, pack_sorted, press, text_bytes, unpack_sorted, unpress
 from tidemark.llm.suffix_sort import sorted_suffixes
 from tidemark.llm.text import as_before
 from tidemark.session import cut_lineage, shared_folder
@@ -113,7 +113,8 @@ def bundles(docs: DataFrame) -> DataFrame:
             yield row()
 
     at = f"{shared_folder(spark)}/suffix-dedup-{uuid.uuid4().hex}"
-    rows.mapInPandas(run, "batch long, ids binary, known binary, sizes binary, packed binary").write.parquet(at)
+    with arrow_rows(spark, 500):
+        rows.mapInPandas(run, "batch long, ids binary, known binary, sizes binary, packed binary").write.parquet(at)
     return spark.read.parquet(at)
 
 
@@ -236,8 +237,9 @@ def repeated_strings(docs: DataFrame, with_text: bool = False) -> DataFrame:
                              "flags": [press(flag[a:b]) for a, b in zip(cuts, cuts[1:])],
                              "carried": [int(carried[a:b].sum()) for a, b in zip(cuts, cuts[1:])]})
 
-    answers = cut_lineage(packed.mapInPandas(ask, "batch long, bucket long, hashes binary, n binary")
-                          .groupBy("bucket").applyInPandas(count, "batch long, bucket long, flags binary, carried long"))
+    with arrow_rows(docs.sparkSession, 1):
+        answers = cut_lineage(packed.mapInPandas(ask, "batch long, bucket long, hashes binary, n binary")
+                              .groupBy("bucket").applyInPandas(count, "batch long, bucket long, flags binary, carried long"))
     shards = 1 + (answers.agg(F.sum("carried").alias("n")).first()["n"] or 0) // SHARD_BYTES
 
     @frugal
