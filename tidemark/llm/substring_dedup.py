@@ -99,7 +99,8 @@ def anchors(words: Words, own: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     heads = np.flatnonzero(new)
     since = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
     heads = np.flatnonzero(since % SEGMENT == 0)
-    return anchor[heads], doc[heads], at[heads], np.diff(np.append(heads, len(at)))
+    # Least hashes are small; mixed once more they spread over the buckets.
+    return _mixed(anchor[heads] * ODD), doc[heads], at[heads], np.diff(np.append(heads, len(at)))
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -45,6 +45,13 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _remixed(h: np.ndarray) -> np.ndarray:
+    """Least hashes are small; mixed once more they spread over buckets and shards."""
+    h = (h ^ (h >> np.uint64(29))) * MIX[1]
+    h = (h ^ (h >> np.uint64(31))) * MIX[2]
+    return h ^ (h >> np.uint64(32))
+
+
 def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, place, start, windows): runs of windows inside one of the documents that share the place of their anchor.
 
@@ -74,7 +81,7 @@ def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         new = np.ones(len(at), dtype=bool)
         new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         heads = np.flatnonzero(new)
-        out.append((h[place[heads]], place[heads] + lo, at[heads] + lo, np.diff(np.append(heads, len(at)))))
+        out.append((_remixed(h[place[heads]]), place[heads] + lo, at[heads] + lo, np.diff(np.append(heads, len(at)))))
     if not out:
         return np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out))
