@@ -22,9 +22,9 @@ from tidemark.session import cut_lineage, shared_folder
 #: Bytes of a string that counts; bytes of an anchor.
 WINDOW, ANCHOR = 100, 32
 #: An anchor in more places than this is split by window; anchors of a count bucket and bytes of a shard, about.
-HOT, BUCKET_ANCHORS, SHARD_BYTES = 1000, 1 << 20, 6_000_000
+HOT, BUCKET_ANCHORS, SHARD_BYTES = 1000, 1 << 20, 16_000_000
 #: Bytes of text in a bundle, about; bytes hashed at a time, a power of two.
-BUNDLE_BYTES, SLICE = 4_000_000, 1 << 19
+BUNDLE_BYTES, SLICE = 12_000_000, 1 << 19
 #: Odd multipliers.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
