@@ -566,3 +566,28 @@ def test_legend_check_fails_on_a_wrong_label(spark):
     assert filters.checked(shares, F.col("outside") <= 0.9, "label").count() == 2
     with pytest.raises(Exception, match="label"):
         filters.checked(shares, F.col("outside") <= 0.5, "label").collect()
+
+
+def test_one_pass_fits_equal_two_pass_fits(spark):
+    """Several right-hand sides from lagged sums, on large, small and gappy series, beside the fits by residuals."""
+    import numpy as np
+    from tidemark.operators import fit
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for u in range(12):
+        e = 0.0
+        for m in range(90):
+            e = 0.6 * e + rng.standard_normal()
+            if rng.random() > 0.1:
+                rows.append((u, m, 1.0, m / 12 + 50.0 * (u == 3), float(rng.standard_normal()), 1e6 + 1e3 * u + 0.3 * m + e, 1e-6 * e, None if u == 4 and m % 2 else e))
+    df = spark.createDataFrame(rows, "u int, m int, one double, t double, x double, big double, small double, gap double")
+    xs = ["one", "t", "x"]
+    for kind in ("trend", "flux", "inflated", "plain"):
+        many = {r["u"]: r for r in fit.fits(df, ["u"], ["big", "small", "gap"], xs, "m", kind, 10).collect()}
+        for y in ("big", "small", "gap"):
+            for r in fit.fit(df.where("gap is not null"), ["u"], y, xs, "m", kind, 10, p_values=False).collect():
+                own = many[r["u"]][y]
+                assert many[r["u"]]["n"] == r["n"]
+                for c in ("rss", "resid_std", "r1", "n_eff", "df", "r2", "b_t", "se_t", "b_x", "se_x", "t_x"):
+                    assert abs(own[c] - r[c]) <= 1e-5 * abs(r[c]) + 1e-12, (kind, y, r["u"], c, own[c], r[c])

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import SECONDS_PER_YEAR, epoch_seconds, epoch_years
+from tidemark.functions.regress import lagged_sums, solve_lagged
 from tidemark.functions.stats import (clamp_r, harmonics, n_effective, n_effective_bounded,
                                       pearson, solve_normal, t_pvalue)
 
@@ -138,6 +139,76 @@ def fit(df: DataFrame, keys: list[str], y: str, xs: list[str], order: str,
     return out
 
 
+def lagged_gram(df: DataFrame, keys: list[str], ys: list[str], xs: list[str], order: str) -> DataFrame:
+    """keys, n and ``sums``: products of the columns and right-hand sides with each other and with the row before.
+
+    Rows count that are complete in all columns. With a constant ``one`` among xs every other column and
+    right-hand side is first centred on its mean in the unit, so sums of large values lose no digits. A unit's
+    rows, at most one for each step of the calendar, meet as one array of numbers.
+    """
+    cols = [*xs, *ys]
+    rows = complete_rows(df, cols).select(*keys, F.struct(order, F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).alias("_r"))
+    listed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.flatten(F.transform(
+        F.sort_array(F.collect_list("_r")), lambda r: r["v"])).alias("_v"))
+    sums = lagged_sums(len(xs), len(cols), [("one" in xs) and c != "one" for c in cols])
+    return listed.select(*keys, "n", sums("_v").alias("sums"))
+
+
+def _fields(sol: Column, n: Column, yy: Column, xs: list[str], kind: str) -> dict[str, Column]:
+    """The named results of one right-hand side from its solution, in the order of the output."""
+    k = len(xs)
+    at = lambda i: F.element_at(sol, i)
+    rss, num, first, last, total = (at(2 * k + i) for i in range(1, 6))
+    ratio = F.try_divide(num, rss - last * last)
+    if kind == "trend":
+        r1, n_eff = ratio, n_effective(n, ratio)
+        scale, dof = F.try_divide(F.try_divide(rss, n - k) * n, n_eff), n_eff - k
+    elif kind == "flux":
+        m, here, before = n - 1, total - first, total - last
+        spread = (m * (rss - first * first) - here * here) * (m * (rss - last * last) - before * before)
+        r1 = clamp_r(F.try_divide(m * num - here * before, F.sqrt(F.greatest(spread, F.lit(0.0)))))
+        n_eff = n_effective_bounded(n, r1)
+        scale = F.try_divide(rss / F.greatest(n - k, F.lit(1)) * n, n_eff)
+        dof = F.greatest(n_eff - k, F.lit(1.0))
+    elif kind == "inflated":
+        r1, n_eff = ratio, n.cast("double")
+        inflation = F.greatest((1 + r1) / F.greatest(1 - r1, F.lit(1e-6)), F.lit(1.0))
+        scale, dof = F.try_divide(rss, n - k) * inflation, (n - k).cast("double")
+    elif kind == "plain":
+        r1, n_eff = ratio, n.cast("double")
+        scale, dof = rss / F.greatest(n - k, F.lit(1)), (n - k).cast("double")
+    else:
+        raise ValueError(kind)
+    std = F.sqrt(F.greatest(rss / n - (total / n) * (total / n), F.lit(0.0)))
+    out = {"rss": rss, "resid_std": std, "r1": r1, "n_eff": n_eff, "df": dof, "r2": 1 - F.try_divide(rss, yy)}
+    for i, x in enumerate(xs):
+        se = F.sqrt(scale * at(k + i + 1))
+        out |= {f"b_{x}": at(i + 1), f"se_{x}": se, f"t_{x}": F.try_divide(at(i + 1), se)}
+    return out
+
+
+def solved(sums: DataFrame, keys: list[str], ys: list[str], xs: list[str], kind: str, min_rows: int | None = None) -> DataFrame:
+    """Results from lagged_gram(..., ys, xs): a struct for each right-hand side."""
+    solve = solve_lagged(len(xs), xs.index("one") if "one" in xs else None)
+    rows = sums.where(F.col("n") >= (min_rows or len(xs) + 1)).withColumn("_sol", solve("sums")).where(F.col("_sol").isNotNull())
+    n, named = F.col("n"), []
+    for i, y in enumerate(ys):
+        sy = F.col("sums.sy")[i]
+        var = F.col("sums.yy")[i] - sy * sy / n
+        named.append(F.struct(*[c.alias(f) for f, c in _fields(F.col("_sol")[i], n, var, xs, kind).items()]).alias(y))
+    return rows.select(*keys, "n", *named)
+
+
+def fits(df: DataFrame, keys: list[str], ys: list[str], xs: list[str], order: str,
+         kind: str = "trend", min_rows: int | None = None) -> DataFrame:
+    """One row per unit: n, and for every right-hand side a struct of its name with the results of ``fit``.
+
+    All right-hand sides are taken on the rows that are complete in every one of them, and share one
+    pass and one factor.
+    """
+    return solved(lagged_gram(df, keys, ys, xs, order), keys, ys, xs, kind, min_rows)
+
+
 def trend(df: DataFrame, keys: list[str], time: str, y: str, covariates: list[str] | None = None,
           kind: str = "trend", min_rows: int = 36) -> DataFrame:
     """Slope per year with harmonics and optional covariates on observed rows."""
@@ -191,6 +262,23 @@ def departure_fit(df: DataFrame, keys: list[str], order: str, y: str, xs: list[s
     return out.select(*keys, "n", "r1", r2_adj.alias("r2_adj"), r2_eff.alias("r2_eff"))
 
 
+def departure_fits(df: DataFrame, keys: list[str], order: str, ys: list[str], xs: list[str]) -> DataFrame:
+    """For every y a struct with r1, the adjusted R2 of y on xs and a constant, and the one on the effective n.
+
+    Needs at least ten rows more than columns, complete in every y. The lag-1 term is the Pearson
+    correlation of consecutive residuals, kept within 0.99.
+    """
+    p = len(xs)
+    out = fits(df.withColumn("one", F.lit(1.0)), keys, ys, ["one", *xs], order, "flux", p + 10)
+    n, named = F.col("n"), []
+    for y in ys:
+        raw, n_eff = F.col(y)["r2"], n_effective(n, F.col(y)["r1"])
+        r2_adj = 1 - (1 - raw) * (n - 1) / F.greatest(n - p - 1, F.lit(1))
+        r2_eff = F.when(n_eff > p + 2, 1 - F.try_divide((1 - raw) * (n_eff - 1), n_eff - p - 1))
+        named.append(F.struct(F.col(y)["r1"].alias("r1"), r2_adj.alias("r2_adj"), r2_eff.alias("r2_eff")).alias(y))
+    return out.select(*keys, "n", *named)
+
+
 def partial_from_r(rxy: Column, rxz: Column, ryz: Column) -> Column:
     """Correlation of x and y given z, from the three plain ones."""
     return F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))

@@ -41,19 +41,18 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("ya", "yb", "p", "sm", "sn"):
         d = timeops.deseasonalise(d, K, "month", name, name)
     d = timeops.accumulated_anomaly(timeops.lagged(d, K, "month", "p", [1, 2, 3], "p"), K, "month", "p", "pc", nulls_as_zero=True)
-    d = cut_lineage(d)
     predictors = ["p", "p1", "p2", "p3", "pc", "sm", "sn"]
-    departures = {x: fit.departure_fit(d, K, "month", f"y{x}", predictors).select("unit_id", F.col("r2_adj").alias(f"pred_r2_{x}")) for x in "ab"}
+    departures = fit.departure_fits(d, K, "month", ["ya", "yb"], predictors).select(
+        "unit_id", *[F.col(f"y{x}")["r2_adj"].alias(f"pred_r2_{x}") for x in "ab"])
 
     out = unit.join(geometry, "unit_id", "left").na.fill(0.0, ["n_cells_a", "n_cells_b"]).join(pairs, "unit_id", "left")
+    out = out.join(departures, "unit_id", "left")
+    trends = fit.fits(fit.trend_design(s, "month"), K, ["a", "b", "c"], fit.TREND, "month", "trend", 36)
+    # One row a unit, read by both ranks.
+    trends = cut_lineage(trends.select("unit_id", *[F.col(x)["b_t"].alias(f"t_{x}") for x in "abc"]))
     for x in "ab":
-        out = out.join(departures[x], "unit_id", "left")
-    for x in "abc":
-        trend = fit.trend(s, K, "month", x).select("unit_id", F.col("b_t").alias(f"t_{x}"))
-        if x != "c":
-            trend = cut_lineage(trend)
-            trend = order.average_rank(trend, f"t_{x}").select("unit_id", f"t_{x}", F.col("pct_rank").alias(f"rank_{x}"))
-        out = out.join(trend, "unit_id", "left")
+        trends = order.average_rank(trends, f"t_{x}").drop("rank").withColumnRenamed("pct_rank", f"rank_{x}")
+    out = out.join(trends, "unit_id", "left")
     ratio = F.try_divide(F.abs(F.col("t_a") - F.col("t_b")), F.abs("t_c"))
     return out.select("unit_id", "area", "n_cells_a", "n_cells_b", "frac_dominant", "var_ratio_a", "var_ratio_b", "pred_r2_a", "pred_r2_b",
                       "r_ab", ratio.alias("trend_diff_ratio"), F.abs(F.col("rank_a") - F.col("rank_b")).alias("rank_shift"))

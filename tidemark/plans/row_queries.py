@@ -225,10 +225,10 @@ def _(spark, sf):
     return order.top_rows(o, 8, F.desc("o_totalprice"), F.asc("o_orderkey"))
 
 
-@query("T04_both_extremes", f"""WITH x AS ((SELECT c_custkey, c_acctbal, 'low' AS "end" FROM customer WHERE c_custkey % 3 > 0 ORDER BY c_acctbal, c_custkey LIMIT 8)
-UNION ALL (SELECT c_custkey, c_acctbal, 'high' FROM customer WHERE c_custkey % 3 > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 8)) SELECT {sel('c_custkey:i c_acctbal:r')}, "end" FROM x""")
+@query("T04_both_extremes", f"""WITH x AS ((SELECT c_custkey, c_acctbal, 'low' AS "end" FROM customer WHERE abs(c_acctbal) >= 100 ORDER BY c_acctbal, c_custkey LIMIT 8)
+UNION ALL (SELECT c_custkey, c_acctbal, 'high' FROM customer WHERE abs(c_acctbal) >= 100 ORDER BY c_acctbal DESC, c_custkey LIMIT 8)) SELECT {sel('c_custkey:i c_acctbal:r')}, "end" FROM x""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 3 > 0").select("c_custkey", "c_acctbal")
+    c = table(spark, sf, "customer").where("abs(c_acctbal) >= 100").select("c_custkey", "c_acctbal")
     return order.both_ends(c, "c_acctbal", "c_custkey", 8)
 
 
