@@ -372,8 +372,7 @@ def test_modes_equal_singular_values(spark):
     dev = spark.createDataFrame(rows, "unit_id bigint, month date, z double")
     got = spatial.variance_modes(dev, "unit_id", "month", "z").orderBy("mode").limit(12).toPandas()
     assert np.allclose(got["share"], share)
-    vec = dev.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "z"))), lambda r: r["z"]).alias("vec"))
-    assert spatial.effective_modes(vec, 5).first()["effective_dof"] == pytest.approx(1 / (share ** 2).sum())
+    assert spatial.effective_modes(dev, "unit_id", "month", "z").first()["effective_dof"] == pytest.approx(1 / (share ** 2).sum())
 
 
 def test_permutation_deals_every_value_once(spark):

@@ -237,19 +237,15 @@ def crossing_distance(bins: DataFrame, level: float) -> Column:
     return F.min(F.when((F.col("bin") > 0) & (F.col("mean_r") < level), F.col("dist_mid")))
 
 
-def effective_modes(vectors: DataFrame, tile: int = TILE) -> DataFrame:
-    """Effective degrees of freedom (tr C)^2 / tr(C C) from centred complete vectors, by tiles."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, same = _split(pdf)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"tr": [0.0], "sq": [0.0]})
-        c = np.array(a["vec"].tolist(), dtype=float) @ np.array(b["vec"].tolist(), dtype=float).T
-        return pd.DataFrame({"tr": [float(np.trace(c)) if same else 0.0],
-                             "sq": [float((c ** 2).sum()) * (1 if same else 2)]})
+def effective_modes(dev: DataFrame, unit: str, month: str, v: str) -> DataFrame:
+    """Effective degrees of freedom (tr C)^2 / tr(C C) from centred complete values.
 
-    sums = tile_pairs(vectors, "unit_id", tile).groupBy("ta", "tb").applyInPandas(kernel, "tr double, sq double")
-    return sums.agg(F.try_divide(F.sum("tr") * F.sum("tr"), F.sum("sq")).alias("effective_dof"),
-                    F.sum("tr").alias("total_variance"))
+    Both traces are the same for the month-by-month products, whose size is the record length
+    whatever the number of units.
+    """
+    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    trace, square = F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))), F.sum(F.col("c") * F.col("c") * twice)
+    return month_products(dev, unit, month, v).agg(F.try_divide(trace * trace, square).alias("effective_dof"), trace.alias("total_variance"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -265,13 +261,8 @@ def mode_shares(upper: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def variance_modes(dev: DataFrame, unit: str, month: str, v: str) -> DataFrame:
-    """Shares of variance by mode from the months x months products.
-
-    The non-zero eigenvalues of the unit covariance are those of the month-by-
-    month one, whose size is the record length whatever the number of units.
-    dev holds centred values, complete on every month.
-    """
+def month_products(dev: DataFrame, unit: str, month: str, v: str) -> DataFrame:
+    """(i, j, c): sums over units of the products of months i <= j. dev holds centred values, complete on every month."""
     # One vector per unit: bounded by the record length.
     vec = dev.groupBy(unit).agg(F.transform(F.array_sort(F.collect_list(F.struct(month, v))),
                                             lambda s: s[v]).alias("vec"))
@@ -286,7 +277,17 @@ def variance_modes(dev: DataFrame, unit: str, month: str, v: str) -> DataFrame:
             i, j = np.triu_indices(total.shape[0])
             yield pd.DataFrame({"i": i, "j": j, "c": total[i, j]})
 
-    cells = vec.mapInPandas(partial, "i int, j int, c double").groupBy("i", "j").agg(F.sum("c").alias("c"))
+    return vec.mapInPandas(partial, "i int, j int, c double").groupBy("i", "j").agg(F.sum("c").alias("c"))
+
+
+def variance_modes(dev: DataFrame, unit: str, month: str, v: str) -> DataFrame:
+    """Shares of variance by mode from the months x months products.
+
+    The non-zero eigenvalues of the unit covariance are those of the month-by-
+    month one, whose size is the record length whatever the number of units.
+    dev holds centred values, complete on every month.
+    """
+    cells = month_products(dev, unit, month, v)
     listed = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "c"))),
                                    lambda s: s["c"]).alias("u"))
     return listed.select(F.posexplode(mode_shares("u")).alias("mode", "share"))

@@ -297,9 +297,8 @@ def complete_departures(spark, sf):
 @query("M18_effective_modes", f"""WITH {COMPLETE}, c AS (SELECT a.unit_id AS i, b.unit_id AS j, sum(a.z * b.z) AS c FROM cx a JOIN cx b USING (month) GROUP BY 1, 2), x AS (SELECT (sum(CASE WHEN i = j THEN c END)) ** 2 / sum(c * c) AS effective_dof, sum(CASE WHEN i = j THEN c END) / 1e4 AS total_variance FROM c)
 SELECT {sel('effective_dof:r total_variance:r')} FROM x""")
 def _(spark, sf):
-    z = complete_departures(spark, sf)
-    vec = z.groupBy("unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "z"))), lambda r: r["z"]).alias("vec"))
-    return spatial.effective_modes(vec).select("effective_dof", (F.col("total_variance") / 1e4).alias("total_variance"))
+    out = spatial.effective_modes(complete_departures(spark, sf), "unit_id", "month", "z")
+    return out.select("effective_dof", (F.col("total_variance") / 1e4).alias("total_variance"))
 
 
 @query("M18_mode_shares")
