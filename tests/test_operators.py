@@ -387,9 +387,29 @@ def test_permutation_deals_every_value_once(spark):
             deals[i % len(want)] += [round(x, 12) for x in r["deal"]]
         orders.append(deals)
         assert all(sorted(d) == want for d in zip(*deals)) and len(set(zip(*deals))) == 4
+        rows = sorted(spatial.shuffles(z, 4, "seed", batch, copied=0).collect(), key=lambda r: (r["part"], r["unit_id"]))
+        assert [round(x, 12) for i in range(len(want)) for r in rows[i::len(want)] for x in r["deal"]] == sum(deals, [])
     assert orders[0] == orders[1]
 
 
+def test_places_are_dealt_evenly():
+    for n in (1, 2, 7, 30):
+        keys = spatial.round_keys("even", 4000)
+        got = spatial.dealt_places(np.arange(n), n, keys)
+        assert (np.sort(got, axis=0) == np.arange(n)[:, None]).all()
+        for k in range(n):
+            assert (np.abs(np.bincount(got[k], minlength=n) - 4000 / n) < 6 * np.sqrt(4000 / n)).all()
+    # Two neighbours land side by side as often as any two would, and in either order.
+    step = (got[5] - got[4]) % 30
+    assert (np.abs(np.bincount(step, minlength=30)[1:] - 4000 / 29) < 6 * np.sqrt(4000 / 29)).all() and (step > 0).all()
+    # The spread of a statistic over links is that of permutations drawn at random.
+    rng = np.random.default_rng(4)
+    z, links = rng.normal(size=30), rng.integers(0, 30, (60, 2))
+    ours = (z[got][links[:, 0]] * z[got][links[:, 1]]).sum(axis=0)
+    drawn = np.array([(p[links[:, 0]] * p[links[:, 1]]).sum() for p in (rng.permutation(z) for _ in range(4000))])
+    assert ours.std() == pytest.approx(drawn.std(), rel=0.08) and abs(ours.mean() - drawn.mean()) < 0.1 * drawn.std()
+
+
 def test_moran_permutation_batches_agree(spark):
     _, df = site_frame(spark, 30)
     ring = [(i, (i + k) % 30, 0.5) for i in range(30) for k in (1, 29)]
@@ -397,9 +417,10 @@ def test_moran_permutation_batches_agree(spark):
     ids = sorted(r["unit_id"] for r in df.select("unit_id").collect())
     edges = edges.select(*[F.element_at(F.array(*[F.lit(i) for i in ids]), F.col(c).cast("int") + 1).alias(c) for c in ("src", "dst")], "w")
     units = df.select("unit_id", "x")
-    got = [spatial.moran_permutation(units, edges, 40, "s", b).first() for b in (7, 100)]
-    assert got[0]["n_perm"] == 40 and got[0]["p_perm"] == got[1]["p_perm"]
-    assert got[0]["sd_perm"] == pytest.approx(got[1]["sd_perm"], rel=1e-12)
+    got = [spatial.moran_permutation(units, edges, 40, "s", b, c).first() for b, c in ((7, 100), (100, 100), (7, 0))]
+    for other in got[1:]:
+        assert got[0]["n_perm"] == other["n_perm"] == 40 and got[0]["p_perm"] == other["p_perm"]
+        assert got[0]["sd_perm"] == pytest.approx(other["sd_perm"], rel=1e-12)
 
 
 def test_mode_counts(spark):

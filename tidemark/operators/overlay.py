@@ -111,12 +111,12 @@ def grid_index(lat: Column, lon: Column, lat0: float, lon0: float, d: float,
 
 def nested_overlap(cell_unit: DataFrame, fine: float, coarse_lat: float, coarse_lon: float,
                    lat0: float = -90.0, lon0: float = -180.0, n_lat: int | None = None, n_lon: int | None = None,
-                   descending: bool = False) -> DataFrame:
+                   descending: bool = False, westward: bool = False) -> DataFrame:
     """(unit_id, ci, cj, weight km2) of a coarse grid from fine cells with their unit.
 
     lat0 and lon0 are the outer edges of the coarse grid, n_lat and n_lon its size. Fine cells
     north or south of a regional grid give no rows; east and west of it they count to its last column.
-    Rows are numbered from the north if the grid descends.
+    Rows are numbered from the north if the grid descends, columns from the east if it runs westward.
     """
     for d in (coarse_lat, coarse_lon):
         if abs(d / fine - round(d / fine)) > 1e-6:
@@ -128,6 +128,8 @@ def nested_overlap(cell_unit: DataFrame, fine: float, coarse_lat: float, coarse_
     rows = cell_unit.where((up >= 0) & (up < n_lat))
     ci = F.lit(n_lat - 1) - up if descending else up
     cj = F.least(across, F.lit(n_lon - 1)) if n_lon else across
+    if westward:
+        cj = F.lit((n_lon or round(360 / coarse_lon)) - 1) - cj
     return rows.groupBy("unit_id", ci.alias("ci"), cj.alias("cj")).agg(F.sum(area).alias("weight"))
 
 

@@ -8,6 +8,9 @@ returns sums. A tile is bounded by construction, so there is no hot group.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +27,12 @@ from tidemark.session import cut_lineage
 BANDS = [(0, 250), (250, 500), (500, 750), (750, 1000), (1000, 1500), (1500, 2000),
          (2000, 3000), (3000, 4000), (4000, 6000)]
 TILE = 512
+#: Rounds of a permutation, and the multiplier and width of the hash that decides in them.
+ROUNDS, MIX, MASK = 24, 73244475, (1 << 32) - 1
+#: Up to this many values (16 MB) are copied to every task to be dealt; more are joined by place.
+COPIED_VALUES = 1 << 21
+#: Dealt values that a task holds at once.
+DEALT_AT_ONCE = 1 << 17
 
 
 def spread(df: DataFrame, *keys: str, groups: int | None = None) -> DataFrame:
@@ -97,51 +106,142 @@ def morans_i(units: DataFrame, edges: DataFrame) -> DataFrame:
                     F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("e_i")))
 
 
-def shuffles(z: DataFrame, n_perm: int, seed: str, batch: int) -> DataFrame:
+@functools.lru_cache(maxsize=2)
+def round_keys(seed: str, n_perm: int) -> np.ndarray:
+    """(permutation, round, [pivot, a, b]) from the md5 of seed, permutation and round; permutations count from 1."""
+    def keys(perm: int, r: int) -> tuple[int, int, int]:
+        mark = hashlib.md5(f"{seed}|{perm}|{r}".encode()).hexdigest()
+        return int(mark[:13], 16), int(mark[13:20], 16), int(mark[20:27], 16)
+
+    return np.array([[keys(k, r) for r in range(ROUNDS)] for k in range(1, n_perm + 1)], "int64").reshape(n_perm, ROUNDS, 3)
+
+
+def dealt_places(place: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """The place whose value each given place gets, one column a permutation.
+
+    A swap-or-not shuffle: in each round a place and its mirror about the pivot change over or stay, as
+    a keyed hash of the larger of the two says. That permutes 0..n-1 for every n below 2^31, and one
+    place is worked out without the others, so nothing is sorted and no permutation is held.
+    """
+    size = np.uint32(n)
+    x = np.repeat(place.astype("uint32")[:, None], len(keys), axis=1)
+    pivots, first, second = (keys[:, :, 0] % n).astype("uint32"), keys[:, :, 1].astype("uint32"), keys[:, :, 2].astype("uint32")
+    for r in range(ROUNDS):
+        # Arithmetic wraps at 32 bits, so of mirror and mirror + n the right one is the smaller.
+        mirror = pivots[:, r] - x
+        np.minimum(mirror, mirror + size, out=mirror)
+        t = np.maximum(x, mirror)
+        t += first[:, r]
+        t ^= t >> np.uint32(16)
+        t *= np.uint32(MIX)
+        t += second[:, r]
+        t ^= t >> np.uint32(16)
+        t *= np.uint32(MIX)
+        np.copyto(x, mirror, where=t > np.uint32(MASK >> 1))
+    return x.astype("int64")
+
+
+def _copied(placed: DataFrame, n: int):
+    """The values by place, for every task; the caller has checked their number."""
+    pdf = placed.select("idx", "z").toPandas()
+    values = np.empty(n)
+    values[pdf["idx"].to_numpy("int64")] = pdf["z"].to_numpy("float64")
+    return placed.sparkSession.sparkContext.broadcast(values)
+
+
+def _numbered(z: DataFrame) -> tuple[DataFrame, int]:
+    placed = cut_lineage(dense_index(z, "unit_id").select("unit_id", "idx", "z"))
+    return placed, placed.count()
+
+
+def shuffles(z: DataFrame, n_perm: int, seed: str, batch: int, copied: int = COPIED_VALUES) -> DataFrame:
     """(part, unit_id, deal): one array of dealt values for each unit and ``batch`` permutations.
 
-    The deal is the order of md5(seed, perm, unit), so it is the same on every
-    engine. A window holds one permutation, that is one value per unit.
+    The deal follows from seed, permutation and the unit's place alone (dealt_places). Up to ``copied``
+    values are copied to the tasks; more are joined by place, which deals the same.
     """
-    ids = dense_index(z, "unit_id")
-    part = F.expr(f"(_k - 1) div {batch}").cast("int")
-    rows = z.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumns(
-        {"part": part, "perm": (F.col("_k") - 1) % batch + 1})
-    mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("_k").cast("string"), F.col("unit_id").cast("string")))
-    place = F.row_number().over(W.partitionBy("part", "perm").orderBy("_mark", "unit_id")) - 1
-    dealt = rows.withColumn("_mark", mark).withColumn("idx", place)
-    deal = F.transform(F.sort_array(F.collect_list(F.struct("perm", "z"))), lambda s: s["z"])
-    return (dealt.groupBy("part", "idx").agg(deal.alias("deal")).join(ids.select("unit_id", "idx"), "idx")
-            .select("part", "unit_id", "deal"))
+    return _shuffled(*_numbered(z), n_perm, seed, batch, copied)
+
+
+def _shuffled(placed: DataFrame, n: int, n_perm: int, seed: str, batch: int, copied: int) -> DataFrame:
+    values = _copied(placed, n) if n <= copied else None
+    kind = "bigint" if values is None else "double"
+
+    def deal(batches):
+        keys = round_keys(seed, n_perm)
+        for pdf in batches:
+            for part, rows in pdf.groupby("part"):
+                own = keys[part * batch:(part + 1) * batch]
+                step = max(1, DEALT_AT_ONCE // len(own))
+                for k in range(0, len(rows), step):
+                    some = rows.iloc[k:k + step]
+                    got = dealt_places(some["idx"].to_numpy(), n, own)
+                    yield pd.DataFrame({"part": part, "unit_id": some["unit_id"], "deal": list(got if values is None else values.value[got])})
+
+    parts = F.sequence(F.lit(0), F.lit((n_perm - 1) // batch))
+    unit = placed.schema["unit_id"].dataType.simpleString()
+    dealt = (spread(placed.select("unit_id", "idx", F.explode(parts).alias("part")), "unit_id", "part")
+             .mapInPandas(deal, f"part int, unit_id {unit}, deal array<{kind}>"))
+    if values is not None:
+        return dealt
+    asked = dealt.select("part", "unit_id", F.posexplode("deal").alias("perm", "idx"))
+    told = asked.join(placed.select("idx", "z"), "idx")
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("perm", "z"))), lambda x: x["z"])
+    return told.groupBy("part", "unit_id").agg(in_order.alias("deal"))
 
 
 def moran_permutation(units: DataFrame, edges: DataFrame, n_perm: int, seed: str = "20260916",
-                      batch: int = 250) -> DataFrame:
+                      batch: int = 250, copied: int = COPIED_VALUES) -> DataFrame:
     """Moran's I with its permutation spread, z and one-sided p, one row.
 
-    Every unit carries an array of ``batch`` dealt values, so an edge meets each of its ends once
-    for a whole batch; the products of the arrays add up in the task, and one number for each
-    permutation and task goes on.
+    An edge carries the places of its ends, and a task deals to the ends of its edges, ``batch``
+    permutations at a time; the products add up in the task, and one number for each permutation and
+    task goes on. Beyond ``copied`` units the dealt values travel to the edges as arrays.
     """
-    z = centred(units)
+    z, n = _numbered(centred(units))
     obs = morans_i(units, edges)
-    dealt = shuffles(z, n_perm, seed, batch)
-    a = dealt.select("part", F.col("unit_id").alias("src"), F.col("deal").alias("d1"))
-    b = dealt.select("part", F.col("unit_id").alias("dst"), F.col("deal").alias("d2"))
-
-    def products(batches):
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for part, own in pdf.groupby("part"):
-                w = own["w"].to_numpy("float64")
-                more = np.append((w[:, None] * np.array(own["d1"].tolist()) * np.array(own["d2"].tolist())).sum(axis=0), w.sum())
-                sums[part] = sums.get(part, 0.0) + more
-        for part, total in sums.items():
-            yield pd.DataFrame({"part": part, "perm": np.arange(len(total) - 1), "num": total[:-1], "s0": total[-1]})
-
-    sums = (edges.join(a, "src").join(b, ["part", "dst"]).select("part", "w", "d1", "d2")
-            .mapInPandas(products, "part int, perm int, num double, s0 double")
-            .groupBy("part", "perm").agg(F.sum("num").alias("num"), F.sum("s0").alias("s0")))
+    if n <= copied:
+        values = _copied(z, n)
+        linked = edges.join(z.select(F.col("unit_id").alias("src"), F.col("idx").alias("i1")), "src").join(
+            z.select(F.col("unit_id").alias("dst"), F.col("idx").alias("i2")), "dst")
+
+        def dealt_products(batches):
+            keys, num, s0, seen = round_keys(seed, n_perm), np.zeros(n_perm), 0.0, False
+            for pdf in batches:
+                w = pdf["w"].to_numpy("float64")
+                if not len(w):
+                    continue
+                ends, at = np.unique(pdf[["i1", "i2"]].to_numpy("int64"), return_inverse=True)
+                at = at.reshape(-1, 2)
+                step = max(1, min(batch, DEALT_AT_ONCE // max(len(ends), len(w))))
+                for k in range(0, n_perm, step):
+                    dealt = values.value[dealt_places(ends, n, keys[k:k + step])]
+                    num[k:k + step] += np.einsum("e,ep,ep->p", w, dealt[at[:, 0]], dealt[at[:, 1]])
+                s0, seen = s0 + w.sum(), True
+            if seen:
+                yield pd.DataFrame({"perm": np.arange(n_perm), "num": num, "s0": s0})
+
+        sums = (spread(linked.select("src", "dst", "w", "i1", "i2"), "src", "dst").select("w", "i1", "i2")
+                .mapInPandas(dealt_products, "perm int, num double, s0 double")
+                .groupBy("perm").agg(F.sum("num").alias("num"), F.sum("s0").alias("s0")))
+    else:
+        dealt = _shuffled(z, n, n_perm, seed, batch, copied)
+        a = dealt.select("part", F.col("unit_id").alias("src"), F.col("deal").alias("d1"))
+        b = dealt.select("part", F.col("unit_id").alias("dst"), F.col("deal").alias("d2"))
+
+        def products(batches):
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for part, own in pdf.groupby("part"):
+                    w = own["w"].to_numpy("float64")
+                    more = np.append((w[:, None] * np.array(own["d1"].tolist()) * np.array(own["d2"].tolist())).sum(axis=0), w.sum())
+                    sums[part] = sums.get(part, 0.0) + more
+            for part, total in sums.items():
+                yield pd.DataFrame({"part": part, "perm": np.arange(len(total) - 1), "num": total[:-1], "s0": total[-1]})
+
+        sums = (edges.join(a, "src").join(b, ["part", "dst"]).select("part", "w", "d1", "d2")
+                .mapInPandas(products, "part int, perm int, num double, s0 double")
+                .groupBy("part", "perm").agg(F.sum("num").alias("num"), F.sum("s0").alias("s0")))
     size = z.agg(F.array(F.count("*").cast("double"), F.sum(F.col("z") * F.col("z"))).alias("s"))
     sims = (sums.withColumn("_s", size.scalar()).withColumn("n", F.col("_s")[0].cast("bigint")).withColumn("_zz", F.col("_s")[1])
             .withColumn("i_obs", obs.select("i").scalar())

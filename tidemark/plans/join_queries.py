@@ -171,6 +171,12 @@ def _(spark, sf):
     return overlay.nested_overlap(raster(spark, sf).where("unit_id is not null"), 2.5, 5.0, 10.0, -40.0, -60.0, 16, 24, True)
 
 
+@query("J19_west_running", f"""WITH {RASTER}, f AS (SELECT unit_id, {AREA} AS area, CAST(floor((lat + 90) / 5) AS BIGINT) AS ci, CAST(floor((lon + 180) / 10) AS BIGINT) AS ac FROM r WHERE unit_id IS NOT NULL),
+x AS (SELECT unit_id, ci, 35 - ac AS cj, sum(area) AS weight FROM f GROUP BY 1, 2, 3) SELECT {sel('unit_id:i ci:i cj:i weight:r')} FROM x""")
+def _(spark, sf):
+    return overlay.nested_overlap(raster(spark, sf).where("unit_id is not null"), 2.5, 5.0, 10.0, westward=True)
+
+
 PIP = f"""{P}, {E}, hit AS (SELECT point_id, unit_id FROM p JOIN e ON {CROSS} GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
 
 

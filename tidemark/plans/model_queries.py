@@ -354,16 +354,24 @@ def _(spark, sf):
 
 
 def deals_sql(n: int, seed: str) -> str:
-    return f"""v AS (SELECT unit_id, x - avg(x) OVER () AS z, row_number() OVER (ORDER BY unit_id) AS idx FROM s), pm AS (SELECT CAST(unnest(range(1, {n + 1})) AS BIGINT) AS perm),
-dl AS (SELECT perm, z, row_number() OVER (PARTITION BY perm ORDER BY md5('{seed}' || '|' || CAST(perm AS VARCHAR) || '|' || CAST(unit_id AS VARCHAR)), unit_id) AS idx FROM v, pm),
-dz AS (SELECT perm, v.unit_id, dl.z FROM dl JOIN v USING (idx) UNION ALL SELECT 0, unit_id, z FROM v)"""
-
-
-@query("M20_moran_permutation", f"""WITH {EDGE}, {deals_sql(999, '20260916')}, i AS (SELECT a.perm, (SELECT count(*) FROM v) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM v) AS i FROM ew JOIN dz a ON a.unit_id = src JOIN dz b ON b.unit_id = dst AND b.perm = a.perm GROUP BY 1),
+    """dz(perm, unit_id, z): the value of each unit in each permutation, 0 being the observed one."""
+    mix, mask = spatial.MIX, spatial.MASK
+    rounds = ", ".join(f"""d{r + 1} AS (SELECT perm, unit_id, CASE WHEN ((xor(t, t >> 16) * {mix}) & {mask}) >> 31 = 1 THEN m ELSE x END AS x FROM
+(SELECT perm, unit_id, x, m, (xor(t, t >> 16) * {mix} + b) & {mask} AS t FROM (SELECT perm, unit_id, x, m, b, (greatest(x, m) + a) & {mask} AS t FROM
+(SELECT perm, unit_id, x, a, b, (mid + n - x) % n AS m FROM d{r} JOIN (SELECT * FROM kk WHERE r = {r}) USING (perm)))))""" for r in range(spatial.ROUNDS))
+    part = "CAST('0x' || substr(h, {}, {}) AS BIGINT)".format
+    return f"""v AS (SELECT unit_id, x - avg(x) OVER () AS z, row_number() OVER (ORDER BY unit_id) - 1 AS idx FROM s), pm AS (SELECT CAST(unnest(range(1, {n + 1})) AS BIGINT) AS perm),
+rh AS (SELECT perm, r, md5('{seed}' || '|' || CAST(perm AS VARCHAR) || '|' || CAST(r AS VARCHAR)) AS h FROM pm, (SELECT unnest(range({spatial.ROUNDS})) AS r)),
+kk AS (SELECT perm, r, n, {part(1, 13)} % n AS mid, {part(14, 7)} AS a, {part(21, 7)} AS b FROM rh, (SELECT count(*) AS n FROM v)),
+d0 AS (SELECT perm, unit_id, idx AS x FROM v, pm), {rounds},
+dz AS (SELECT perm, d.unit_id, v.z FROM d{spatial.ROUNDS} d JOIN v ON v.idx = d.x UNION ALL SELECT 0, unit_id, z FROM v)"""
+
+
+@query("M20_moran_permutation", f"""WITH {EDGE}, {deals_sql(9999, '20260916')}, i AS (SELECT a.perm, (SELECT count(*) FROM v) / sum(w) * sum(w * a.z * b.z) / (SELECT sum(z * z) FROM v) AS i FROM ew JOIN dz a ON a.unit_id = src JOIN dz b ON b.unit_id = dst AND b.perm = a.perm GROUP BY 1),
 o AS (SELECT i AS io FROM i WHERE perm = 0), x AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT io FROM o) AS i, stddev_pop(i) AS sd_perm, ((SELECT io FROM o) - avg(i)) / stddev_pop(i) AS z_perm, (count(CASE WHEN i >= (SELECT io FROM o) - 1e-12 THEN 1 END) + 1) / (count(*) + 1) AS p_perm, count(*) AS n_perm FROM i WHERE perm > 0)
 SELECT {sel('n:i i:r sd_perm:r z_perm:r p_perm:r n_perm:i')} FROM x""")
 def _(spark, sf):
-    return spatial.moran_permutation(sites(spark, sf).select("unit_id", "x"), site_edges(site_graph(spark, sf)), 999)
+    return spatial.moran_permutation(sites(spark, sf).select("unit_id", "x"), site_edges(site_graph(spark, sf)), 9999)
 
 
 BANDLIST = "(VALUES (0, 0, 250), (1, 250, 500), (2, 500, 750), (3, 750, 1000), (4, 1000, 1500), (5, 1500, 2000), (6, 2000, 3000), (7, 3000, 4000), (8, 4000, 6000))"
