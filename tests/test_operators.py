@@ -349,17 +349,52 @@ def test_pair_correlations_with_missing_months(spark):
     v[rng.random(v.shape) < 0.1] = np.nan
     pdf["vec"] = list(v)
     df = spark.createDataFrame([(int(r.unit_id), r.lat, r.lon, list(map(float, r.vec))) for r in pdf.itertuples()], "unit_id bigint, lat double, lon double, vec array<double>")
-    got = spatial.pair_decorrelation(df, 2000.0, 1500.0, tile=16).toPandas().set_index("bin")
-    c = pd.DataFrame(v.T).corr().to_numpy()
+    got = spatial.pair_decorrelation(df, 2000.0, 1500.0, 24, tile=16).toPandas().set_index("bin")
+    full = np.isfinite(v).sum(axis=1) > 24
+    assert 0 < full.sum() < 40
+    c = pd.DataFrame(v.T).corr().where(np.outer(full, full)).to_numpy()
     lat, lon = np.radians(pdf.lat.to_numpy()), np.radians(pdf.lon.to_numpy())
     h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
     d = 2 * 6371.0 * np.arcsin(np.sqrt(h))
     i, j = np.triu_indices(40, 1)
-    want = pd.DataFrame({"bin": np.ceil(d[i, j] / 2000).astype(int), "r": c[i, j]}).groupby("bin").r.agg(["mean", "std", "size"])
+    pairs = pd.DataFrame({"km": d[i, j], "bin": np.ceil(d[i, j] / 2000).astype(int), "r": c[i, j]}).dropna()
+    want = pairs.groupby("bin").r.agg(["mean", "std", "size"])
     for b, w in want.iterrows():
         assert got.loc[b, "n"] == w["size"] and got.loc[b, "mean_r"] == pytest.approx(w["mean"])
         assert w["size"] < 2 or got.loc[b, "std_r"] == pytest.approx(w["std"])
-    assert got.loc[0, "n"] == (d[i, j] < 1500).sum()
+    assert got.loc[0, "n"] == (pairs.km < 1500).sum()
+    near = spatial.pair_decorrelation(df, 2000.0, 1500.0, 24, 3000.0, tile=4).toPandas().set_index("bin")
+    assert near.loc[1, "n"] == got.loc[1, "n"] and near.loc[2, "n"] == ((pairs.km > 2000) & (pairs.km <= 3000)).sum() and near.index.max() == 2
+
+
+def test_tiles_beyond_the_reach_do_not_meet(spark):
+    rng = np.random.default_rng(21)
+    lat, lon = np.degrees(np.arcsin(rng.uniform(-1, 1, 900))), rng.uniform(-180, 180, 900)
+    # A third of all units at one place, some at the poles and on the seam.
+    lat[:300], lon[:300] = 40.0, 179.99
+    lat[300:304], lon[300:304] = [90, -90, 0, 0], [0, 0, 180, -180]
+    pdf = pd.DataFrame({"unit_id": np.arange(900), "lat": lat, "lon": lon, "x": rng.normal(size=900)})
+    df = spark.createDataFrame(pdf)
+    placed = spatial.placed_units(df, 16)
+    tile_of = placed.toPandas().set_index("unit_id").mine.sort_index()
+    assert len(tile_of) == 900 and tile_of.value_counts().max() <= 64
+    listed = [tuple(r) for r in spatial.near_tiles(placed, 1500.0).collect()]
+    every = spatial.near_tiles(placed).count()
+    # The tiles of the crowded place always meet each other; of the rest most pairs are left out.
+    assert len(set(listed)) == len(listed) < every / 2
+    p, l = np.radians(lat), np.radians(lon)
+    d = 6371.0088 * np.arccos(np.clip(np.sin(p)[:, None] * np.sin(p) + np.cos(p)[:, None] * np.cos(p) * np.cos(l[:, None] - l), -1, 1))
+    t = tile_of.to_numpy()
+    i, j = np.nonzero(d <= 1500)
+    assert set(zip(np.minimum(t[i], t[j]), np.maximum(t[i], t[j]))) <= set(listed)
+    bands = [(0, 400), (400, 1500)]
+    one, many = (spatial.band_moran(df, 5, bands=bands, tile=k).orderBy("band").toPandas() for k in (512, 16))
+    pd.testing.assert_frame_equal(one, many)
+    upper = np.triu(np.ones_like(d, dtype=bool), 1)
+    assert many.pairs.tolist() == [int(((d > lo) & (d <= hi) & upper).sum()) for lo, hi in bands]
+    blank = df.unionByName(spark.createDataFrame([(900, None, 1.0, 0.0)], "unit_id bigint, lat double, lon double, x double"))
+    assert spatial.placed_units(blank, 16).count() == 900
+    assert spatial.placed_units(df.where("false"), 16).count() == spatial.near_tiles(spatial.placed_units(df.where("false")), 100.0).count() == 0
 
 
 def test_modes_equal_singular_values(spark):

@@ -1,9 +1,10 @@
 """Spatial statistics.
 
 Values live in units(unit_id, x), links in edges(src, dst, w). Statistics over
-all pairs of units never emit the pairs: units are cut into tiles of a fixed
-number of units by their dense index, and each task takes one pair of tiles and
-returns sums. A tile is bounded by construction, so there is no hot group.
+all pairs of units never emit the pairs: units are cut into tiles of about the
+same number along a space-filling curve, and each task takes one pair of tiles
+and returns sums. A tile is bounded by construction, so there is no hot group,
+and pairs of tiles that lie farther apart than a statistic reaches are not built.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tidemark.session import cut_lineage
 BANDS = [(0, 250), (250, 500), (500, 750), (750, 1000), (1000, 1500), (1500, 2000),
          (2000, 3000), (3000, 4000), (4000, 6000)]
 TILE = 512
+#: Steps of the space-filling curve on each axis (powers of two), and the least width of a bucket of tiles in Earth radii.
+CURVE_BITS, BUCKET = 12, 0.25
 #: Rounds of a permutation, and the multiplier and width of the hash that decides in them.
 ROUNDS, MIX, MASK = 24, 73244475, (1 << 32) - 1
 #: Up to this many values (16 MB) are copied to every task to be dealt; more are joined by place.
@@ -256,20 +259,85 @@ def moran_permutation(units: DataFrame, edges: DataFrame, n_perm: int, seed: str
 
 # --- all pairs by tiles --------------------------------------------------------------
 
-def tile_pairs(units: DataFrame, key: str, tile: int = TILE) -> DataFrame:
-    """Every unit once per pair of tiles it takes part in: ``ta``, ``tb``, ``mine``."""
-    ids = dense_index(units, key, "_idx")
-    last = units.agg(F.floor((F.count("*") - 1) / tile).cast("int").alias("t"))
-    mine = F.floor(F.col("_idx") / tile).cast("int")
-    rows = ids.withColumn("mine", mine).withColumn("_last", last.scalar())
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    pairs = rows.withColumns({"ta": F.least("mine", "_other"), "tb": F.greatest("mine", "_other")})
-    return spread(pairs.drop("_last", "_other"), "ta", "tb")
+def unit_vector(lat: Column, lon: Column) -> list[Column]:
+    """x, y, z on the unit sphere. Without a seam or poles, unlike degrees."""
+    p, l = F.radians(lat), F.radians(lon)
+    return [F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p)]
+
+
+def curve_key(xyz: list[Column], bits: int = CURVE_BITS) -> Column:
+    """Place along a Z-order curve through the cube around the sphere."""
+    steps = [F.least(F.floor((c + 1) * (1 << (bits - 1))), F.lit((1 << bits) - 1)) for c in xyz]
+    key = F.lit(0).cast("bigint")
+    for bit in range(bits):
+        for axis, step in enumerate(steps):
+            key = key + F.shiftleft(F.shiftright(step, bit).bitwiseAND(F.lit(1)), 3 * bit + axis)
+    return key
+
+
+def placed_units(units: DataFrame, tile: int = TILE) -> DataFrame:
+    """(unit_id, lat, lon, x, y, z, mine): the tile of every unit along the curve.
+
+    Units of one curve cell that are more than a tile are dealt to several tiles by a hash, so a tile
+    has at most about three times ``tile`` units wherever they crowd. Units without a place have no pairs.
+    """
+    rows = units.select("unit_id", "lat", "lon", *[c.alias(a) for a, c in zip("xyz", unit_vector(F.col("lat"), F.col("lon")))])
+    rows = rows.where("x is not null and y is not null and not isnan(x + y + z)").withColumn("_key", curve_key([F.col(a) for a in "xyz"]))
+    counts = value_counts(rows.select("_key"), "_key").select("_key", "n", "before")
+    part = F.pmod(F.xxhash64("unit_id"), F.ceil(F.col("n") / tile))
+    mine = (F.floor(F.col("before") / tile) + part).cast("bigint")
+    return salted_join(rows, counts, ["_key"]).withColumn("mine", mine).drop("_key", "n", "before")
+
+
+def near_tiles(placed: DataFrame, reach_km: float | None = None) -> DataFrame:
+    """(ta, tb), ta <= tb: pairs of tiles that may hold units within reach_km of each other; all pairs without a reach.
+
+    A tile is known by its box in x, y, z, and two tiles meet in the buckets that one box and the other,
+    widened by the reach, both touch; the first common bucket lists the pair.
+    """
+    ends = [f(a).alias(f"{a}_{name}") for a in "xyz" for name, f in (("lo", F.min), ("hi", F.max))]
+    boxes = placed.groupBy("mine").agg(*ends)
+    if reach_km is None:
+        last = boxes.agg(F.max("mine")).scalar()
+        return boxes.select(F.col("mine").alias("ta"), F.explode(F.sequence(F.col("mine"), last)).alias("tb"))
+    # The straight line through the Earth, a little more for rounding.
+    chord = 2 * np.sin(min(reach_km / min(R_MEAN, R_HAVERSINE), np.pi) / 2) + 1e-9
+    side = max(chord, BUCKET)
+
+    def listed(t: str, widen: float) -> DataFrame:
+        rows = boxes.select(F.col("mine").alias(t), *[F.col(f"{a}_{e}").alias(f"{t}_{a}_{e}") for a in "xyz" for e in ("lo", "hi")])
+        for a in "xyz":
+            first, final = (F.floor((F.col(f"{t}_{a}_{e}") + w) / side) for e, w in (("lo", -widen), ("hi", widen)))
+            rows = rows.withColumn(f"{t}_{a}_first", first).withColumn(f"_{a}", F.explode(F.sequence(first, final)))
+        return rows
+
+    met = listed("ta", 0.0).join(listed("tb", chord), ["_x", "_y", "_z"]).where("ta <= tb")
+    gap = F.lit(0.0)
+    for a in "xyz":
+        met = met.where(F.col(f"_{a}") == F.greatest(f"ta_{a}_first", f"tb_{a}_first"))
+        apart = F.greatest(F.lit(0.0), F.col(f"ta_{a}_lo") - F.col(f"tb_{a}_hi"), F.col(f"tb_{a}_lo") - F.col(f"ta_{a}_hi"))
+        gap = gap + apart * apart
+    return met.where(gap <= float(chord * chord)).select("ta", "tb")
+
+
+def tile_pairs(units: DataFrame, tile: int = TILE, reach_km: float | None = None, carried: DataFrame | None = None) -> DataFrame:
+    """Every unit once for each pair of tiles it takes part in: ``ta``, ``tb``, ``mine``.
+
+    units(unit_id, lat, lon); further columns come by unit_id from ``carried``, after the tiles are known.
+    """
+    # Read by the boxes and by the rows: stored once, so that the units are worked out once.
+    placed = cut_lineage(placed_units(units, tile))
+    pairs = near_tiles(placed, reach_km)
+    sides = pairs.select("ta", "tb", F.explode(F.array_distinct(F.array("ta", "tb"))).alias("mine"))
+    rows = placed.drop("x", "y", "z")
+    if carried is not None:
+        rows = rows.join(carried, "unit_id")
+    return spread(rows.join(sides, "mine"), "ta", "tb")
 
 
 def _split(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     ta, tb = int(pdf["ta"].iloc[0]), int(pdf["tb"].iloc[0])
-    pdf = pdf.sort_values("_idx")
+    pdf = pdf.sort_values("unit_id")
     a = pdf[pdf["mine"] == ta]
     return a, (a if ta == tb else pdf[pdf["mine"] == tb]), ta == tb
 
@@ -301,12 +369,16 @@ def _pairwise_r(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pair_decorrelation(vectors: DataFrame, width: float = 50.0, adjacent_km: float = 130.0,
-                       tile: int = TILE) -> DataFrame:
+                       min_months: int = 100, reach_km: float | None = None, tile: int = TILE) -> DataFrame:
     """Correlation of every pair of units against distance, in right-closed bins.
 
-    vectors(unit_id, lat, lon, vec): deseasonalised values on one month axis.
-    Adds the adjacent pairs as bin 0 with their mean and lowest r.
+    vectors(unit_id, lat, lon, vec): deseasonalised values on one month axis. Only units with more
+    than ``min_months`` values take part. Adds the adjacent pairs as bin 0 with their mean and lowest r.
+    With ``reach_km``, pairs farther apart are left out, and tiles of them never meet.
     """
+    observed = F.size(F.filter("vec", lambda v: v.isNotNull() & ~F.isnan(v)))
+    vectors = cut_lineage(vectors.where(observed > min_months))
+
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split(pdf)
         if not len(a) or not len(b):
@@ -314,7 +386,7 @@ def pair_decorrelation(vectors: DataFrame, width: float = 50.0, adjacent_km: flo
         r = _pairwise_r(np.array(a["vec"].tolist(), dtype=float), np.array(b["vec"].tolist(), dtype=float))
         d = _haversine(a, b)
         keep = np.triu(np.ones_like(d, dtype=bool), 1) if same else np.ones_like(d, dtype=bool)
-        keep &= np.isfinite(r)
+        keep &= np.isfinite(r) if reach_km is None else np.isfinite(r) & (d <= reach_km)
         d, r = d[keep], r[keep]
         bins = pd.DataFrame({"bin": np.ceil(d / width).astype("int64"), "r": r})
         near = pd.DataFrame({"bin": np.zeros(int((d < adjacent_km).sum()), "int64"), "r": r[d < adjacent_km]})
@@ -323,7 +395,7 @@ def pair_decorrelation(vectors: DataFrame, width: float = 50.0, adjacent_km: flo
         return both.groupby("bin", as_index=False).agg(n=("r", "size"), s=("r", "sum"), q=("q", "sum"),
                                                        low=("r", "min"))
 
-    sums = tile_pairs(vectors, "unit_id", tile).groupBy("ta", "tb").applyInPandas(
+    sums = tile_pairs(vectors, tile, reach_km, vectors.select("unit_id", "vec")).groupBy("ta", "tb").applyInPandas(
         kernel, "bin bigint, n bigint, s double, q double, low double")
     t = sums.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
                                 F.min("low").alias("min_r"))
@@ -410,12 +482,12 @@ def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None
     """Moran's I per distance band (lo, hi] with its permutation spread and p.
 
     units(unit_id, lat, lon, x). A unit carries its value and its value in every
-    permutation; tiles multiply the band's 0/1 weights with them. With n_perm 0
-    only the observed value is worked out.
+    permutation; tiles multiply the band's 0/1 weights with them, and tiles farther
+    apart than the last band do not meet. With n_perm 0 only the observed value is worked out.
     """
     bands = bands or BANDS
     z = centred(units)
-    rows = units.select("unit_id", "lat", "lon").join(z, "unit_id").withColumn("vec", F.array("z")).drop("z")
+    rows = z.select("unit_id", F.array("z").alias("vec"))
     if n_perm:
         dealt = shuffles(z, n_perm, seed, n_perm).select("unit_id", "deal")
         rows = rows.join(dealt, "unit_id").withColumn("vec", F.concat("vec", "deal")).drop("deal")
@@ -433,7 +505,8 @@ def band_moran(units: DataFrame, n_perm: int, seed: str = "20260916", bands=None
                     out.append((i, int(w.sum()), (za * (w @ zb)).sum(axis=0).tolist()))
         return pd.DataFrame(out, columns=["band", "pairs", "sums"])
 
-    parts = tile_pairs(rows, "unit_id", tile).groupBy("ta", "tb").applyInPandas(
+    reach = float(max(hi for _, hi in bands))
+    parts = tile_pairs(units, tile, reach, rows).groupBy("ta", "tb").applyInPandas(
         kernel, "band int, pairs bigint, sums array<double>")
     # One branch, so that the kernel runs once: pairs come along with every permutation.
     sims = (parts.select("band", "pairs", F.posexplode("sums").alias("perm", "s")).groupBy("band", "perm")
@@ -464,7 +537,7 @@ def range_km(bands: DataFrame) -> DataFrame:
 def effective_n(units: DataFrame, range_table: DataFrame, tile: int = TILE) -> DataFrame:
     """n^2 over the sum of exp(-d / a) over all ordered pairs, the diagonal included."""
     length = range_table.select("range_km").scalar()
-    rows = tile_pairs(units.select("unit_id", "lat", "lon"), "unit_id", tile).withColumn("a", length)
+    rows = tile_pairs(units, tile).withColumn("a", length)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, same = _split(pdf)
