@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, about: what one task holds.
 BATCH_BYTES = 12_000_000
+#: Whole texts that go to Python at a time. The JVM's Arrow buffers keep the size of the largest batch they held.
+TEXTS = 1_000
 
 
 def give_back() -> None:

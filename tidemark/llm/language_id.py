@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import give_back
+from tidemark.llm.batches import TEXTS, arrow_rows, give_back
 from tidemark.llm.text import as_before, as_text, ascii_lower, whole
 from tidemark.llm.url_filter import host_of
 from tidemark.session import cut_lineage
@@ -66,8 +66,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
                 yield pd.DataFrame({"lang": lang, "cell": np.flatnonzero(n), "n": n[n > 0]})
             give_back()
 
-    counts = (labelled.where(draw < share).select("lang", "text").mapInPandas(count, "lang string, cell long, n long")
-              .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas())
+    with arrow_rows(docs.sparkSession, TEXTS):
+        counts = (labelled.where(draw < share).select("lang", "text").mapInPandas(count, "lang string, cell long, n long")
+                  .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas())
     by_lang = dict(list(counts.groupby("lang")))
     languages = sorted(by_lang)
     logs = np.full((CELLS, len(languages) + 1), -np.log(CELLS))
@@ -110,7 +111,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
 
     scored = as_text(rows.select("id", "declared", "suffix", "host", "domain", "text"), "id").mapInPandas(
         likelihood, "id string, declared string, suffix string, host string, domain string, _n long, _ll array<double>")
-    scored = cut_lineage(as_before(scored, rows, "id"))
+    with arrow_rows(rows.sparkSession, TEXTS):
+        scored = cut_lineage(as_before(scored, rows, "id"))
     best = F.array_position("_ll", F.array_max("_ll")) - 1
     scored = scored.withColumn("_best", F.when((F.col("_n") > 0) & (best < known), best))
     decided = scored.where("_best is not null")
