@@ -646,3 +646,15 @@ def test_one_pass_fits_equal_two_pass_fits(spark):
                 assert many[r["u"]]["n"] == r["n"]
                 for c in ("rss", "resid_std", "r1", "n_eff", "df", "r2", "b_t", "se_t", "b_x", "se_x", "t_x"):
                     assert abs(own[c] - r[c]) <= 1e-5 * abs(r[c]) + 1e-12, (kind, y, r["u"], c, own[c], r[c])
+
+
+def test_months_from_file_paths(spark, tmp_path):
+    from tidemark.sources import tables
+    for stamp, value in (("199912", 1.0), ("200001", 2.0), ("200002", 3.0), ("notes", 4.0)):
+        spark.createDataFrame([(value,)], "value double").write.parquet(f"{tmp_path}/gw_{stamp}.parquet")
+    # A file of another month is not opened, so it may be unreadable.
+    for part in (tmp_path / "gw_200002.parquet").glob("part-*"):
+        part.write_bytes(b"no table")
+    df = spark.read.schema("value double").parquet(f"{tmp_path}/gw_*.parquet")
+    got = tables.file_months(df, r"gw_(\d{6})\.parquet", "1999-12-01", "2000-01-01").orderBy("month").collect()
+    assert [(str(r.month), r.value) for r in got] == [("1999-12-01", 1.0), ("2000-01-01", 2.0)]

@@ -114,14 +114,16 @@ def _(spark, sf):
     return back.groupBy("year").agg(F.count("*").alias("n"), (F.sum("o_totalprice") / SCALE).alias("total"))
 
 
-@query("S08_grid_scan_pruned", f"""WITH {A}, x AS (SELECT unit_id, count(*) AS n, sum(value) AS total FROM a WHERE year(month) BETWEEN 1996 AND 1997 GROUP BY 1) SELECT {sel('unit_id:i n:i total:r')} FROM x""")
+@query("S08_grid_scan_pruned", f"""WITH {A}, x AS (SELECT unit_id, count(*) AS n, sum(value) AS total, min(month) AS first_month, max(month) AS last_month FROM a WHERE month BETWEEN DATE '1996-03-01' AND DATE '1997-10-01' GROUP BY 1) SELECT {sel('unit_id:i n:i total:r first_month:m last_month:m')} FROM x""")
 def _(spark, sf):
     path = scratch(spark, "grid")
     a = totals(spark, sf).withColumn("source", F.lit("orders"))
     b = shipped(spark, sf).select("unit_id", "month", "value", F.lit("items").alias("source"))
-    both = a.unionByName(b).withColumn("year", F.year("month"))
-    both.write.mode("overwrite").partitionBy("source", "year").parquet(path)
-    return tables.scan_grid(spark, path, "orders", (1996, 1997)).groupBy("unit_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    # One folder for each month, as a cube comes; no date stands inside the files.
+    both = a.unionByName(b).withColumns({"year": F.year("month"), "stamp": F.date_format("month", "yyyyMM")}).drop("month")
+    both.repartition("source", "stamp").write.mode("overwrite").partitionBy("source", "year", "stamp").parquet(path)
+    grid = tables.file_months(tables.scan_grid(spark, path, "orders", (1996, 1997)), r"stamp=(\d{6})/", "1996-03-01", "1997-10-01")
+    return grid.groupBy("unit_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("month").alias("first_month"), F.max("month").alias("last_month"))
 
 
 @query("S09_native_geometry", f"""WITH {P}, x AS (SELECT point_id, lon AS lon_180, lat - 0.5 AS lat_min, lat + 0.5 AS lat_max, CASE WHEN lon < 0 THEN lon + 360 ELSE lon END - 0.5 AS lon_min FROM p) SELECT {sel('point_id:i lon_180:r lat_min:r lat_max:r lon_min:r')} FROM x""")

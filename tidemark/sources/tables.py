@@ -44,6 +44,13 @@ def scan_grid(spark: SparkSession, path: str, source: str, years: tuple[int, int
     return df.where((F.col("source") == source) & F.col("year").between(*years))
 
 
+def file_months(df: DataFrame, pattern: str, first: str, last: str) -> DataFrame:
+    """Cube files without a date inside, one or more a month: ``month`` is the yyyyMM that the pattern's group finds
+    in a file's path. Files of other months, or without one, are not opened."""
+    month = F.to_date(F.nullif(F.regexp_extract("_metadata.file_path", pattern, 1), F.lit("")), "yyyyMM")
+    return df.where(month.between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).withColumn("month", month)
+
+
 def with_edges(cells: DataFrame) -> DataFrame:
     lat_lo, lat_hi = box_edges(F.col("lat_center"), F.col("lat_span"))
     lon_lo, lon_hi = box_edges(F.col("lon_center"), F.col("lon_span"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.sources.tables import read_if_present
 
@@ -28,7 +29,7 @@ def ingest(stream: DataFrame, reduce_batch: Callable[[DataFrame], DataFrame], ta
 
     def store(batch: DataFrame, batch_id: int) -> None:
         reduced = reduce_batch(batch)
-        stored = read_if_present(batch.sparkSession, target, f"{reduced._jdf.schema().toDDL()}, batch long")
+        stored = read_if_present(batch.sparkSession, target, StructType([*reduced.schema.fields, StructField("batch", LongType())]))
         if stored is not None:
             reduced = new_keys(reduced, stored.where(F.col("batch") != batch_id), keys)
         reduced.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
