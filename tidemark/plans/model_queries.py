@@ -261,11 +261,6 @@ def supplier_series(spark, sf):
     return timeops.deseasonalise(s, K, "month", "v", "v")
 
 
-#: Suppliers with more months than this take part in pairs; the record has 84.
-PAIR_MONTHS = 82
-PAIRED = f"{SUPSER}, pa AS (SELECT * FROM ad WHERE unit_id IN (SELECT unit_id FROM ad WHERE x IS NOT NULL GROUP BY 1 HAVING count(*) > {PAIR_MONTHS}))"
-
-
 def vectors(spark, sf):
     """One value per month of the record for each unit, null where absent."""
     s = timeops.complete_axis(supplier_series(spark, sf), K, "month")
@@ -273,18 +268,18 @@ def vectors(spark, sf):
     return vec.join(sites(spark, sf).select("unit_id", "lat", "lon"), "unit_id")
 
 
-@query("M17_pair_decorrelation", f"""WITH {PAIRED}, pr AS (SELECT a.unit_id AS ua, b.unit_id AS ub, corr(a.x, b.x) AS r FROM pa a JOIN pa b ON a.month = b.month AND a.unit_id < b.unit_id GROUP BY 1, 2),
+@query("M17_pair_decorrelation", f"""WITH {SUPSER}, pr AS (SELECT a.unit_id AS ua, b.unit_id AS ub, corr(a.x, b.x) AS r FROM ad a JOIN ad b ON a.month = b.month AND a.unit_id < b.unit_id GROUP BY 1, 2),
 d AS (SELECT r, {haversine_sql('s1', 's2')} AS km FROM pr JOIN s s1 ON s1.unit_id = ua JOIN s s2 ON s2.unit_id = ub WHERE r IS NOT NULL), bn AS (SELECT CAST(ceil(km / 500) AS BIGINT) AS bin, r FROM d UNION ALL SELECT 0, r FROM d WHERE km < 1300),
 x AS (SELECT bin, count(*) AS n, avg(r) AS mean_r, stddev_samp(r) AS std_r, min(r) AS min_r, (bin - 0.5) * 500 AS dist_mid FROM bn GROUP BY 1) SELECT {sel('bin:i n:i mean_r:r std_r:r min_r:r dist_mid:r')} FROM x""")
 def _(spark, sf):
-    return spatial.pair_decorrelation(vectors(spark, sf), 500.0, 1300.0, PAIR_MONTHS)
+    return spatial.pair_decorrelation(vectors(spark, sf), 500.0, 1300.0, 0)
 
 
-@query("M17_crossing_distances", f"""WITH {PAIRED}, pr AS (SELECT a.unit_id AS ua, b.unit_id AS ub, corr(a.x, b.x) AS r FROM pa a JOIN pa b ON a.month = b.month AND a.unit_id < b.unit_id GROUP BY 1, 2),
+@query("M17_crossing_distances", f"""WITH {SUPSER}, pr AS (SELECT a.unit_id AS ua, b.unit_id AS ub, corr(a.x, b.x) AS r FROM ad a JOIN ad b ON a.month = b.month AND a.unit_id < b.unit_id GROUP BY 1, 2),
 d AS (SELECT r, {haversine_sql('s1', 's2')} AS km FROM pr JOIN s s1 ON s1.unit_id = ua JOIN s s2 ON s2.unit_id = ub WHERE r IS NOT NULL), bn AS (SELECT CAST(ceil(km / 500) AS BIGINT) AS bin, avg(r) AS mean_r FROM d GROUP BY 1),
 x AS (SELECT min(CASE WHEN bin > 0 AND mean_r < 0.7 THEN (bin - 0.5) * 500 END) AS km_07, min(CASE WHEN bin > 0 AND mean_r < 0.5 THEN (bin - 0.5) * 500 END) AS km_05, min(CASE WHEN bin > 0 AND mean_r < -0.02 THEN (bin - 0.5) * 500 END) AS km_below FROM bn) SELECT {sel('km_07:r km_05:r km_below:r')} FROM x""")
 def _(spark, sf):
-    bins = spatial.pair_decorrelation(vectors(spark, sf), 500.0, 1300.0, PAIR_MONTHS)
+    bins = spatial.pair_decorrelation(vectors(spark, sf), 500.0, 1300.0, 0)
     return bins.agg(*[spatial.crossing_distance(bins, level).alias(name) for name, level in (("km_07", 0.7), ("km_05", 0.5), ("km_below", -0.02))])
 
 
