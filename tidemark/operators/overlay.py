@@ -3,19 +3,32 @@
 Spark has no range or spatial join, and a range condition alone is a nested
 loop. Both sides get the key of a regular lat/lon bucket instead; boxes and
 polygons are listed under every bucket they may touch, and the exact test stays
-as the join's residual condition. Nothing forces a broadcast: Spark does it
-when the smaller side is under its size limit, else AQE splits hot buckets.
+as the join's residual condition. Radius joins and point-in-polygon tests deal a
+bucket's rows to parts of bounded size, so that a crowded bucket is many tasks;
+listed rows are never broadcast, as Spark takes them for as few as the rows they
+come from.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import (cell_area_km2, equal_area_x, equal_area_y, haversine_km)
+from tidemark.functions.geo import (R_HAVERSINE, cell_area_km2, equal_area_x, equal_area_y, haversine_km)
 from tidemark.session import cut_lineage
 
+#: Points and edges of a bucket that meet in one task at a time, and crossings that it tests at once.
+POINT_TILE, EDGE_TILE, TESTED_AT_ONCE = 2048, 2048, 1 << 19
+#: Right rows of a radius join that one part of a bucket holds, and the widths of its buckets in degrees.
+NEAR_TILE, NEAR_STEPS = 4096, (1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 18, 20, 24, 30)
+
 
 def _columns(step: float) -> int:
     n = 360.0 / step
@@ -138,36 +151,167 @@ def crosses(lat: Column, lon: Column, x1: Column, y1: Column, x2: Column, y2: Co
     return ((y1 > lat) != (y2 > lat)) & (lon < F.try_divide((x2 - x1) * (lat - y1), y2 - y1) + x1)
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str,
-                       step: float = 5.0) -> DataFrame:
-    """(point_id, unit_id) pairs by the even-odd rule.
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions that are not merged: small rows with much work each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
-    An edge is listed under its latitude rows, in every bucket of its polygon's
-    box that is not wholly east of it. One join keeps only the edges a point's
-    ray meets, and their count combines in the same task before the shuffle.
-    Outlines may pass the seam: longitudes are read from the polygon's west end on.
-    """
+
+def _listed_edges(edges: DataFrame, step: float) -> DataFrame:
+    """Edges under their latitude rows, in every bucket of their polygon's box that is not wholly east of them."""
     box = edges.groupBy("unit_id").agg(F.min(F.least("x1", "x2")).alias("_x0"))
     lat_lo, lat_hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    listed = (edges.where("y1 <> y2").join(box, "unit_id").select(
+    return edges.where("y1 <> y2").join(box, "unit_id").select(
         "unit_id", "x1", "y1", "x2", "y2", "_x0",
-        F.explode(buckets_of_box(lat_lo, lat_hi, F.col("_x0"), F.greatest("x1", "x2"), step))
-        .alias("_b")).select("unit_id", "x1", "y1", "x2", "y2", "_x0", F.col("_b.bi").alias("_bi"),
-                             F.col("_b.bj").alias("_bj")))
+        F.inline(buckets_of_box(lat_lo, lat_hi, F.col("_x0"), F.greatest("x1", "x2"), step)).alias("_bi", "_bj"))
+
+
+def _holding(points: pa.Table, edges: pa.Table):
+    """(units, point rows, unit places) by the even-odd rule, a tile of points at a time.
+
+    With points in the order of latitude, those whose ray may meet an edge are one range.
+    """
+    code = edges["unit_id"].combine_chunks().dictionary_encode()
+    place, units = code.indices.to_numpy(zero_copy_only=False), code.dictionary
+    x1, y1, x2, y2, x0 = (edges[c].to_numpy() for c in ("x1", "y1", "x2", "y2", "_x0"))
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    all_lat, all_lon = points["lat"].to_numpy(), points["lon"].to_numpy()
+    order = np.argsort(all_lat, kind="stable")
+    for at in range(0, len(order) if len(low) else 0, POINT_TILE):
+        rows = order[at:at + POINT_TILE]
+        lat, lon = all_lat[rows], all_lon[rows]
+        first = np.searchsorted(lat, low)
+        n = np.searchsorted(lat, high) - first
+        met = np.zeros(len(units) * len(rows), dtype=np.int64)
+        upto = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + TESTED_AT_ONCE, TESTED_AT_ONCE)))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(n))):
+            size = n[lo:hi]
+            e = np.repeat(np.arange(lo, hi), size)
+            k = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size) + first[e]
+            east, west = lon[k], x0[e]
+            east = np.where(east < west, east + 360, np.where(east >= west + 360, east - 360, east))
+            crossed = east < (x2[e] - x1[e]) * (lat[k] - y1[e]) / (y2[e] - y1[e]) + x1[e]
+            met += np.bincount(place[e[crossed]] * len(rows) + k[crossed], minlength=len(met))
+        held = np.flatnonzero(met & 1)
+        yield units, rows[held % len(rows)], held // len(rows)
+
+
+def _pairs(point_id: str, points: pa.Table, edges: pa.Table) -> pa.Table:
+    got = [pa.table({point_id: points[point_id].slice(0, 0), "unit_id": edges["unit_id"].slice(0, 0)})]
+    for units, k, u in _holding(points, edges):
+        got.append(pa.table({point_id: points[point_id].take(pa.array(k)), "unit_id": units.take(pa.array(u))}))
+    return pa.concat_tables(got)
+
+
+def _lowest(point_id: str, points: pa.Table, edges: pa.Table) -> pa.Table:
+    """The lowest unit of each point."""
+    got = [pa.table({point_id: points[point_id].slice(0, 0), "unit_id": edges["unit_id"].slice(0, 0)})]
+    for units, k, u in _holding(points, edges):
+        order = pc.sort_indices(units)
+        place = np.empty(len(units), dtype=np.int64)
+        place[order.to_numpy()] = np.arange(len(units))
+        by = np.lexsort((place[u], k))
+        one = by[np.diff(k[by], prepend=-1) > 0]
+        got.append(pa.table({point_id: points[point_id].take(pa.array(k[one])), "unit_id": units.take(pa.array(u[one]))}))
+    return pa.concat_tables(got)
+
+
+def _totals(by: list[str], sums: list[str], points: pa.Table, edges: pa.Table) -> pa.Table:
+    """For each unit and group of points their number and sums."""
+    code = np.zeros(points.num_rows, dtype=np.int64)
+    for c in by:
+        own = points[c].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code * max(1, len(own.dictionary)) + own.indices.to_numpy(zero_copy_only=False)
+    _, sample, code = np.unique(code, return_index=True, return_inverse=True)
+    values = [np.nan_to_num(points[c].to_numpy()) for c in sums]
+    got = [pa.table({"unit_id": edges["unit_id"].slice(0, 0), **{c: points[c].slice(0, 0) for c in by}, "n": pa.array([], pa.int64()),
+                     **{c: pa.array([], pa.float64()) for c in sums}})]
+    for units, k, u in _holding(points, edges):
+        at = u * len(sample) + code[k]
+        n = np.bincount(at, minlength=len(units) * len(sample))
+        cell = np.flatnonzero(n)
+        rows = pa.array(sample[cell % len(sample)])
+        got.append(pa.table({"unit_id": units.take(pa.array(cell // len(sample))), **{c: points[c].take(rows) for c in by}, "n": n[cell],
+                             **{c: np.bincount(at, v[k], len(n)).astype("float64")[cell] for c, v in zip(sums, values)}}))
+    return pa.concat_tables(got)
+
+
+def _meet(points: DataFrame, edges: DataFrame, carried: list[str], kernel, schema: str, step: float) -> DataFrame:
+    """kernel(points, edges) on every tile of points and edges of one bucket.
+
+    A bucket's points are dealt to parts by a hash, its edges by their unit; each part of the one meets each of the other.
+    """
+    at, lit = ["_bi", "_bj"], F.lit(0).cast("bigint")
+    listed = _listed_edges(edges, step)
     bi, bj = bucket(F.col("lat"), F.col("lon"), step)
-    p = points.select(point_id, "lat", "lon", bi.alias("_bi"), bj.alias("_bj"))
-    east = (F.when(F.col("lon") < F.col("_x0"), F.col("lon") + 360)
-            .when(F.col("lon") >= F.col("_x0") + 360, F.col("lon") - 360).otherwise(F.col("lon")))
-    met = p.join(listed, ["_bi", "_bj"]).where(
-        crosses(F.col("lat"), east, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    return (met.groupBy(point_id, "unit_id").agg(F.count("*").alias("_c"))
-            .where("_c % 2 = 1").select(point_id, "unit_id"))
+    p = points.select(*carried, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), bi.alias("_bi"), bj.alias("_bj"))
+    # One row for each bucket of the globe at most.
+    parts = F.broadcast(p.groupBy(*at).agg(F.ceil(F.count("*") / POINT_TILE).alias("_np")).join(
+        listed.groupBy(*at).agg(F.ceil(F.count("*") / EDGE_TILE).alias("_ne")), at))
+    p = (p.join(parts, at).withColumn("_p", F.pmod(F.xxhash64(*carried, "lat", "lon"), "_np"))
+         .withColumn("_e", F.explode(F.sequence(lit, F.col("_ne") - 1))).drop("_np", "_ne"))
+    listed = (listed.join(parts, at).withColumn("_e", F.pmod(F.xxhash64("unit_id"), "_ne"))
+              .withColumn("_p", F.explode(F.sequence(lit, F.col("_np") - 1))).drop("_np", "_ne"))
+    key = [*at, "_p", "_e"]
+    return _spread(p, *key).groupBy(*key).cogroup(_spread(listed, *key).groupBy(*key)).applyInArrow(kernel, schema)
+
+
+def _by_number(points: DataFrame, point_id: str) -> tuple[DataFrame, DataFrame | None]:
+    """Points whose id is theirs alone, and those that share one, if any."""
+    again = points.groupBy(F.col(point_id).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if again.isEmpty():
+        return points, None
+    same = F.col(point_id).eqNullSafe(F.col("_id"))
+    return points.join(again, same, "left_anti"), points.join(again, same, "left_semi")
+
+
+def _kind(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _odd_pairs(points: DataFrame, edges: DataFrame, point_id: str, step: float) -> DataFrame:
+    """Pairs whose rows of one id meet an odd number of edges together."""
+    met = _meet(points, edges, [point_id], functools.partial(_pairs, point_id), f"{_kind(points, point_id)}, {_kind(edges, 'unit_id')}", step)
+    return met.groupBy(point_id, "unit_id").agg(F.count("*").alias("_c")).where("_c % 2 = 1").select(point_id, "unit_id")
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, step: float = 5.0,
+                       by: list[str] | None = None, sums: list[str] | None = None) -> DataFrame:
+    """(point_id, unit_id) pairs by the even-odd rule; with ``by`` or ``sums`` totals of them instead.
+
+    An edge is listed under its latitude rows, in every bucket of its polygon's box that is not wholly
+    east of it, so a point's own bucket holds all edges that its ray may meet. Tiles of points and edges
+    of one bucket are tested together. Outlines may pass the seam: longitudes are read from the polygon's
+    west end on. Rows that share a point_id count as one, inside if they meet an odd number of edges.
+
+    Totals are (unit_id, by, n, sums): pairs are counted in the tiles and never listed. n counts pairs; with
+    groups or sums, the rows of the points in them. Nulls add nothing to a sum.
+    """
+    alone, shared = _by_number(points, point_id)
+    unit = _kind(edges, "unit_id")
+    if by is None and sums is None:
+        out = _meet(alone, edges, [point_id], functools.partial(_pairs, point_id), f"{_kind(points, point_id)}, {unit}", step)
+        return out if shared is None else out.unionByName(_odd_pairs(shared, edges, point_id, step))
+    by, sums = by or [], sums or []
+    rows = alone.select("lat", "lon", *by, *[F.col(c).cast("double").alias(c) for c in sums])
+    kinds = [unit, *([_kind(points, *by)] if by else []), "n bigint", *[f"`{c}` double" for c in sums]]
+    out = _meet(rows, edges, [*by, *sums], functools.partial(_totals, by, sums), ", ".join(kinds), step)
+    total = [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in sums]
+    if shared is not None:
+        odd = _odd_pairs(shared, edges, point_id, step)
+        odd = odd.join(shared, point_id) if by or sums else odd
+        out = out.unionByName(odd.groupBy("unit_id", *by).agg(F.count("*").alias("n"), *total))
+    return out.groupBy("unit_id", *by).agg(F.sum("n").alias("n"), *total)
 
 
 def first_polygon(points: DataFrame, edges: DataFrame, point_id: str,
                   step: float = 5.0) -> DataFrame:
-    """Every point with the lowest unit that holds it, null when none."""
-    hits = points_in_polygons(points, edges, point_id, step)
+    """Every point with the lowest unit that holds it, null when none. A tile lists only the lowest of its units for a point."""
+    alone, shared = _by_number(points, point_id)
+    kind = f"{_kind(points, point_id)}, {_kind(edges, 'unit_id')}"
+    hits = _meet(alone, edges, [point_id], functools.partial(_lowest, point_id), kind, step)
+    if shared is not None:
+        hits = hits.unionByName(_odd_pairs(shared, edges, point_id, step))
     one = hits.groupBy(point_id).agg(F.min("unit_id").alias("unit_id"))
     return points.select(point_id).join(one, point_id, "left")
 
@@ -265,30 +409,58 @@ def with_fallback(units: DataFrame, overlap: DataFrame, unit: str, lat0: float,
     return overlap.select(unit, "ci", "cj", "weight", F.lit(False).alias("fallback")).unionByName(lone)
 
 
-def within_radius(left: DataFrame, right: DataFrame, km: float, step: float = 5.0) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, km: float, step: float | None = None) -> DataFrame:
     """Pairs (a, b, km) of left(a, lat, lon) and right(b, lat, lon) no further than km.
 
     The left side is listed under the buckets its circle may touch, so candidates
-    are bounded by the circle.
+    are bounded by the circle. Buckets are about as wide as km, and crowded ones are dealt to parts.
     """
-    reach = F.lit(km / 111.0)
-    spread = F.when(F.abs("lat") + reach >= 89.0, F.lit(180.0)).otherwise(
-        reach / F.cos(F.radians(F.abs(F.col("lat")) + reach)))
+    return _near(left, right, km, step, F.col("km") <= km).select("a", "b", "km")
+
+
+def _near(left: DataFrame, right: DataFrame, km: float, step: float | None, fits: Column) -> DataFrame:
+    """left(a, lat, lon, ...) beside right(b, lat, lon) within km, where ``fits`` holds."""
+    step = step or float(max((s for s in NEAR_STEPS if s <= km / 100), default=1))
+    more = [c for c in left.columns if c not in ("a", "lat", "lon")]
+    at, far = ["_bi", "_bj"], F.lit(km / 111.0)
+    spread = F.when(F.abs("lat") + far >= 89.0, F.lit(180.0)).otherwise(
+        far / F.cos(F.radians(F.abs(F.col("lat")) + far)))
     spread = F.least(spread, F.lit(180.0))
-    la = left.select("a", F.col("lat").alias("_lat1"), F.col("lon").alias("_lon1"), F.explode(
-        buckets_of_box(F.col("lat") - reach, F.col("lat") + reach, F.col("lon") - spread,
-                       F.col("lon") + spread, step)).alias("_b")).select(
-        "a", "_lat1", "_lon1", F.col("_b.bi").alias("_bi"), F.col("_b.bj").alias("_bj"))
+
+    def ends(side: int) -> list[Column]:
+        p, l = F.radians("lat"), F.radians("lon")
+        vector = (F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p))
+        return [F.col(c).alias(f"_{c}{side}") for c in ("lat", "lon")] + [v.alias(f"_{c}{side}") for c, v in zip("xyz", vector)]
+
     bi, bj = bucket(F.col("lat"), F.col("lon"), step)
-    rb = right.select("b", F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2"),
-                      bi.alias("_bi"), bj.alias("_bj"))
+    rb = right.select("b", *ends(2), bi.alias("_bi"), bj.alias("_bj"))
+    # One row for each bucket of the globe at most.
+    parts = F.broadcast(rb.groupBy(*at).agg(F.ceil(F.count("*") / NEAR_TILE).alias("_n")))
+    rb = rb.join(parts, at).withColumn("_part", F.pmod(F.xxhash64("b", "_lat2", "_lon2"), "_n")).drop("_n")
+    la = left.select("a", *more, *ends(1), F.inline(buckets_of_box(
+        F.col("lat") - far, F.col("lat") + far, F.col("lon") - spread, F.col("lon") + spread, step)).alias("_bi", "_bj"))
+    la = la.join(parts, at).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
+    key = [*at, "_part"]
+    # The straight line through the Earth costs a few products; it drops most candidates before the distance is worked out.
+    line = F.lit(0.0)
+    for c in "xyz":
+        line = line + (F.col(f"_{c}1") - F.col(f"_{c}2")) * (F.col(f"_{c}1") - F.col(f"_{c}2"))
+    limit = (2 * math.sin(min(km / R_HAVERSINE, math.pi) / 2)) ** 2 * (1 + 1e-9) + 1e-12
     d = haversine_km(F.col("_lat1"), F.col("_lon1"), F.col("_lat2"), F.col("_lon2"))
-    return (la.join(rb, ["_bi", "_bj"]).withColumn("km", d).where(F.col("km") <= km)
-            .select("a", "b", "km"))
+    # Listed rows are many more than Spark takes them for, so none are broadcast.
+    met = _spread(la, *key).hint("merge").join(_spread(rb, *key), key).where(line <= limit)
+    return met.withColumn("km", d).where((F.col("km") <= km) & fits).select("a", "b", "km", *more)
+
 
+def nearest_within(left: DataFrame, right: DataFrame, km: float, step: float | None = None) -> DataFrame:
+    """The nearest row of right (the lowest b of several) for each a within km.
 
-def nearest_within(left: DataFrame, right: DataFrame, km: float, step: float = 5.0) -> DataFrame:
-    near = within_radius(left, right, km, step)
+    First the least distance of every a, a number that tasks keep up to date without sorting pairs; then only the rows at it.
+    """
+    least = within_radius(left, right, km, step).groupBy("a").agg(F.min("km").alias("_least"))
+    told = least.withColumnRenamed("a", "_a")
+    known = left.join(told, F.col("a").eqNullSafe(F.col("_a"))).select("a", "lat", "lon", "_least")
+    near = _near(known, right, km, step, F.col("km") <= F.col("_least"))
     return near.groupBy("a").agg(F.min(F.struct("km", "b")).alias("_m")).select(
         "a", F.col("_m.b").alias("b"), F.col("_m.km").alias("km"))
 
