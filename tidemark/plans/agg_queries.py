@@ -177,8 +177,7 @@ def _(spark, sf):
 @query("A17_cell_centres_per_unit", f"""WITH {P}, {E}, h AS (SELECT point_id, unit_id FROM p JOIN e ON {CROSS} GROUP BY 1, 2 HAVING count(*) % 2 = 1),
 x AS (SELECT s_suppkey AS unit_id, count(point_id) AS n FROM supplier LEFT JOIN h ON unit_id = s_suppkey GROUP BY 1) SELECT {sel('unit_id:i n:i')} FROM x""")
 def _(spark, sf):
-    hits = overlay.points_in_polygons(points(spark, sf).select("point_id", "lat", "lon"), outlines(spark, sf), "point_id")
-    n = hits.groupBy("unit_id").agg(F.count("*").alias("n"))
+    n = overlay.points_in_polygons(points(spark, sf).select("point_id", "lat", "lon"), outlines(spark, sf), "point_id", by=[])
     return sites(spark, sf).select("unit_id").join(n, "unit_id", "left").na.fill(0, ["n"])
 
 
