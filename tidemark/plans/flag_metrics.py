@@ -25,11 +25,9 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     s = cut_lineage(three_series(spark, sf))
     unit = sites(spark, sf).select("unit_id", "area")
 
-    cells = points(spark, sf).select("point_id", "lat", "lon", "w", "v")
-    inside = overlay.points_in_polygons(cells, outlines(spark, sf), "point_id").join(cells, "point_id")
     ci, cj = overlay.grid_index(F.col("lat"), F.col("lon"), -90.0, -180.0, 5.0)
-    coarse = inside.groupBy("unit_id", ci.alias("ci"), cj.alias("cj")).agg(
-        F.sum("w").alias("ww"), F.count("*").alias("n"), F.count_if(F.col("v") > 0).alias("n_land"))
+    cells = points(spark, sf).select("point_id", "lat", "lon", F.col("w").alias("ww"), (F.col("v") > 0).cast("double").alias("n_land"), ci.alias("ci"), cj.alias("cj"))
+    coarse = overlay.points_in_polygons(cells, outlines(spark, sf), "point_id", by=["ci", "cj"], sums=["ww", "n_land"])
     geometry = timeops.share_of_group(coarse, K, "ww", "share").groupBy("unit_id").agg(
         F.sum("n").cast("double").alias("n_cells_a"), F.sum("n_land").cast("double").alias("n_cells_b"), F.max("share").alias("frac_dominant"))
 
