@@ -245,12 +245,15 @@ def _meet(points: DataFrame, edges: DataFrame, carried: list[str], kernel, schem
     listed = _listed_edges(edges, step)
     bi, bj = bucket(F.col("lat"), F.col("lon"), step)
     p = points.select(*carried, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), bi.alias("_bi"), bj.alias("_bj"))
-    # One row for each bucket of the globe at most.
-    parts = F.broadcast(p.groupBy(*at).agg(F.ceil(F.count("*") / POINT_TILE).alias("_np")).join(
-        listed.groupBy(*at).agg(F.ceil(F.count("*") / EDGE_TILE).alias("_ne")), at))
-    p = (p.join(parts, at).withColumn("_p", F.pmod(F.xxhash64(*carried, "lat", "lon"), "_np"))
+    # One row for each bucket of the globe at most. Points find theirs by a number of the bucket, which deals them for this join
+    # alone: where Spark does not copy the parts to all tasks, it splits hot buckets here.
+    cell = F.col("_bi") * _columns(step) + F.col("_bj")
+    parts = p.groupBy(*at).agg(F.ceil(F.count("*") / POINT_TILE).alias("_np")).join(
+        listed.groupBy(*at).agg(F.ceil(F.count("*") / EDGE_TILE).alias("_ne")), at)
+    p = (p.withColumn("_cell", cell).join(parts.select(cell.alias("_cell"), "_np", "_ne"), "_cell").drop("_cell")
+         .withColumn("_p", F.pmod(F.xxhash64(*carried, "lat", "lon"), "_np"))
          .withColumn("_e", F.explode(F.sequence(lit, F.col("_ne") - 1))).drop("_np", "_ne"))
-    listed = (listed.join(parts, at).withColumn("_e", F.pmod(F.xxhash64("unit_id"), "_ne"))
+    listed = (listed.join(F.broadcast(parts), at).withColumn("_e", F.pmod(F.xxhash64("unit_id"), "_ne"))
               .withColumn("_p", F.explode(F.sequence(lit, F.col("_np") - 1))).drop("_np", "_ne"))
     key = [*at, "_p", "_e"]
     return _spread(p, *key).groupBy(*key).cogroup(_spread(listed, *key).groupBy(*key)).applyInArrow(kernel, schema)
