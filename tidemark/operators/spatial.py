@@ -87,9 +87,9 @@ def row_standardise(edges: DataFrame) -> DataFrame:
     return salted_join(edges, total, ["src"]).select("src", "dst", F.try_divide(F.col("w"), F.col("_t")).alias("w"))
 
 
-def centred(units: DataFrame) -> DataFrame:
+def centred(units: DataFrame, *carried: Column) -> DataFrame:
     mean = units.agg(F.avg("x").alias("m")).select("m").scalar()
-    return units.where("x is not null").select("unit_id", (F.col("x") - mean).alias("z"))
+    return units.where("x is not null").select("unit_id", (F.col("x") - mean).alias("z"), *carried)
 
 
 def _linked(z: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,7 +153,7 @@ def _copied(placed: DataFrame, n: int):
 
 
 def _numbered(z: DataFrame) -> tuple[DataFrame, int]:
-    placed = cut_lineage(dense_index(z, "unit_id").select("unit_id", "idx", "z"))
+    placed = cut_lineage(dense_index(z, "unit_id").select("unit_id", "idx", *[c for c in z.columns if c != "unit_id"]))
     return placed, placed.count()
 
 
@@ -199,13 +199,17 @@ def moran_permutation(units: DataFrame, edges: DataFrame, n_perm: int, seed: str
 
     An edge carries the places of its ends, and a task deals to the ends of its edges, ``batch``
     permutations at a time; the products add up in the task, and one number for each permutation and
-    task goes on. Beyond ``copied`` units the dealt values travel to the edges as arrays.
+    task goes on. Edges go to tasks in the order of their sources, along a space-filling curve if units
+    have lat and lon, so that edges dealt together share most of their ends; any order gives the same
+    sums. Beyond ``copied`` units the dealt values travel to the edges as arrays.
     """
-    z, n = _numbered(centred(units))
+    somewhere = {"lat", "lon"} <= set(units.columns)
+    at = curve_key(unit_vector(F.col("lat"), F.col("lon"))) if somewhere else F.lit(0)
+    z, n = _numbered(centred(units, at.alias("at")))
     obs = morans_i(units, edges)
     if n <= copied:
         values = _copied(z, n)
-        linked = edges.join(z.select(F.col("unit_id").alias("src"), F.col("idx").alias("i1")), "src").join(
+        linked = edges.join(z.select(F.col("unit_id").alias("src"), F.col("idx").alias("i1"), "at"), "src").join(
             z.select(F.col("unit_id").alias("dst"), F.col("idx").alias("i2")), "dst")
 
         def dealt_products(batches):
@@ -224,7 +228,8 @@ def moran_permutation(units: DataFrame, edges: DataFrame, n_perm: int, seed: str
             if seen:
                 yield pd.DataFrame({"perm": np.arange(n_perm), "num": num, "s0": s0})
 
-        sums = (spread(linked.select("src", "dst", "w", "i1", "i2"), "src", "dst").select("w", "i1", "i2")
+        order, parts = ["at", "i1", "i2"], int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sums = (linked.select("w", *order).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("w", "i1", "i2")
                 .mapInPandas(dealt_products, "perm int, num double, s0 double")
                 .groupBy("perm").agg(F.sum("num").alias("num"), F.sum("s0").alias("s0")))
     else:

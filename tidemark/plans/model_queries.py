@@ -371,7 +371,7 @@ dz AS (SELECT perm, d.unit_id, v.z FROM d{spatial.ROUNDS} d JOIN v ON v.idx = d.
 o AS (SELECT i AS io FROM i WHERE perm = 0), x AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT io FROM o) AS i, stddev_pop(i) AS sd_perm, ((SELECT io FROM o) - avg(i)) / stddev_pop(i) AS z_perm, (count(CASE WHEN i >= (SELECT io FROM o) - 1e-12 THEN 1 END) + 1) / (count(*) + 1) AS p_perm, count(*) AS n_perm FROM i WHERE perm > 0)
 SELECT {sel('n:i i:r sd_perm:r z_perm:r p_perm:r n_perm:i')} FROM x""")
 def _(spark, sf):
-    return spatial.moran_permutation(sites(spark, sf).select("unit_id", "x"), site_edges(site_graph(spark, sf)), 9999)
+    return spatial.moran_permutation(sites(spark, sf).select("unit_id", "x", "lat", "lon"), site_edges(site_graph(spark, sf)), 9999)
 
 
 BANDLIST = "(VALUES (0, 0, 250), (1, 250, 500), (2, 500, 750), (3, 750, 1000), (4, 1000, 1500), (5, 1500, 2000), (6, 2000, 3000), (7, 3000, 4000), (8, 4000, 6000))"
